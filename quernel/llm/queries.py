@@ -26,9 +26,9 @@ def op10_jaccard_join(spark, sf_dir):
 #: All pairs of texts that share a shingle, counted exactly; components by repeated minima.
 SQL["op10_jaccard_join"] = r"""
 WITH RECURSIVE w AS (
-  SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\t\n\v\f\r ]+'), x -> x <> '') AS t FROM documents
+  SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\t\n\v\f\r ]+'), lambda x: x <> '') AS t FROM documents
 ), s AS (
-  SELECT DISTINCT doc_id, unnest(CASE WHEN len(t) >= 5 THEN list_transform(range(1, len(t) - 3), i -> array_to_string(list_slice(t, i, i + 4), ' '))
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(t) >= 5 THEN list_transform(range(1, len(t) - 3), lambda i: array_to_string(list_slice(t, i, i + 4), ' '))
                                       WHEN len(t) > 0 THEN [array_to_string(t, ' ')] ELSE [] END) AS g FROM w
 ), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
 fp AS (SELECT doc_id, md5(string_agg(g, '|' ORDER BY g)) AS f FROM s GROUP BY 1),
