@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .bpe import round_trip
 from .jaccard_join import jaccard_join
+from .token_store import new_store, read_store, write_store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -42,3 +45,15 @@ SELECT w.doc_id, coalesce(class_id, w.doc_id) AS class_id, coalesce(copy_of, w.d
        coalesce(class_id, w.doc_id) = w.doc_id AS kept
 FROM w LEFT JOIN m ON m.node = w.doc_id LEFT JOIN d ON d.a = w.doc_id LEFT JOIN o ON o.doc_id = w.doc_id
 """
+
+
+@_query
+def op1_bpe(spark, sf_dir):
+    return round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@_query
+def op4_token_store(spark, sf_dir):
+    path = new_store(spark)
+    write_store(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"), 2)
+    return read_store(spark, path).drop("ids")
