@@ -10,6 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 from .bpe import round_trip
 from .jaccard_join import jaccard_join
+from .line_dedup import line_dedup
+from .pii import pii_digest
+from .quality import classify
+from .secrets_scan import secrets_digest
 from .token_store import new_store, read_store, write_store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -57,3 +61,37 @@ def op4_token_store(spark, sf_dir):
     path = new_store(spark)
     write_store(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"), 2)
     return read_store(spark, path).drop("ids")
+
+
+@_query
+def op7_pii(spark, sf_dir):
+    return pii_digest(table(spark, sf_dir, "documents"))
+
+
+@_query
+def op8_line_dedup(spark, sf_dir):
+    return line_dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", "text")
+
+
+SQL["op8_line_dedup"] = r"""
+WITH d AS (SELECT doc_id, source, text, string_split(text, chr(10)) AS l FROM documents),
+k AS (SELECT DISTINCT source, text, trim(x, chr(9) || chr(13) || ' ') AS line FROM (SELECT source, text, unnest(l) AS x FROM d)),
+p AS (SELECT source, count(DISTINCT text) AS pages FROM d GROUP BY 1),
+b AS (SELECT source, line FROM k JOIN p USING (source) GROUP BY source, line, pages HAVING count(*) >= 3 AND count(*) > 0.08 * pages),
+e AS (SELECT doc_id, source, unnest(l) AS x, unnest(range(len(l))) AS i FROM d),
+g AS (SELECT doc_id, i, x, trim(x, chr(9) || chr(13) || ' ') <> '' AND b.line IS NOT NULL AS gone
+      FROM e LEFT JOIN b ON b.source = e.source AND b.line = trim(x, chr(9) || chr(13) || ' '))
+SELECT doc_id, CAST(count(*) AS INT) AS n_lines, CAST(count(*) FILTER (gone) AS INT) AS n_dropped,
+       coalesce(string_agg(x, chr(10) ORDER BY i) FILTER (NOT gone), '') AS text
+FROM g GROUP BY 1
+"""
+
+
+@_query
+def op2_quality(spark, sf_dir):
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@_query
+def op9_secrets(spark, sf_dir):
+    return secrets_digest(table(spark, sf_dir, "documents"))
