@@ -1,38 +1,42 @@
 """Token ids in a content-addressed store.
 
 A rolling hash over the ids cuts each document's id stream into chunks wherever the content says so; a
-chunk is stored once, under the digest of its ids. A document is a recipe (its chunks' digests in order),
-and Merkle trees over the recipes, in ascending document order, verify what is read back.
+chunk is stored once, under the digest of its ids, with the first document that holds it. A document is a
+recipe (its chunks' digests in order), and Merkle trees over the recipes, in ascending document order,
+verify what is read back.
 
 Files of a store (Parquet, in one folder):
 
-``chunks``    key binary, rid, pos, n, payload: a row for each place of a chunk in a document; the payload
-              (little-endian ids, two bytes each if the vocabulary allows, else four) is set in one of the
-              rows of a key and null in the others, so that each distinct chunk is stored once
+``chunks``    a row for each document: rid, keys (digests), payloads (little-endian ids, two bytes each if
+              the vocabulary allows, else four; null where the chunk is stored with another place), absent
+              (positions of such nulls), lent (positions of payloads that other places refer to)
 ``recipes``   rid, doc_id, ordinal, start, n_tokens, leaf: documents in ascending doc_id order
 ``manifest``  level, node, digest: level 0 joins ``FAN`` leaves each, the last level is the root
 """
 
 from __future__ import annotations
 
-import gc
 import hashlib
 import re
+import sys
 import uuid
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bpe import read_file
-from .common import edges, map_text, runs, shared_dir
+from .bpe import byte_letters, read_file
+from .common import edges, map_text, materialize, runs, shared_dir
 
 #: Ids under the rolling hash's window; average and largest ids of a chunk.
-WINDOW, AVERAGE, LARGEST = 16, 256, 4096
+WINDOW, AVERAGE, LARGEST = 8, 256, 4096
 FAN = 1024
-REMEMBERED, LONG = 500_000, 64
+REMEMBERED, LONG = 700_000, 64
+#: Largest size of the tables of shared chunks that are broadcast; larger ones are joined by shuffle.
+BROADCAST_BYTES = 48 << 20
 
 PLAIN = re.compile("[^\n -~À-ÖØ-öø-ÿ]")
 
@@ -52,32 +56,48 @@ class LibraryEncoder:
         self.library.no_padding()
         self.wide = self.library.get_vocab_size() > 1 << 16
         self.type = "<u4" if self.wide else "<u2"
-        self.known: dict[str, bytes] = {}
+        self.code = "I" if self.wide else "H"
+        self.known = _Pieces(self)
 
     def whole(self, text: str) -> bytes:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, self.type).tobytes()
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split, new = [], set()
-        for t in texts:
-            if PLAIN.search(t) or "  " in t or "\n " in t or " \n" in t or "<|" in t:
-                split.append(None)
-                continue
-            first, *rest = t.split(" ")
-            pieces = [first, *map(" ".__add__, rest)]
-            split.append(pieces)
-            new.update(pieces)
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        new = [p for p in new if p not in self.known]
-        once = {}
-        for p, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False)):
-            (self.known if len(p) <= LONG else once)[p] = np.array(e.ids, self.type).tobytes()
-        if once:
-            get = lambda p: once[p] if p in once else self.known[p]
+        return self.packed(self.library.encode(text, add_special_tokens=False).ids)
+
+    def packed(self, ids: list[int]) -> bytes:
+        ids = array(self.code, ids)
+        if sys.byteorder == "big":
+            ids.byteswap()
+        return ids.tobytes()
+
+    def encode(self, text: str) -> bytes:
+        if PLAIN.search(text) or "  " in text or "\n " in text or " \n" in text or "<|" in text:
+            return self.whole(text)
+        first, *rest = text.split(" ")
+        return b"".join([self.whole(first), *map(self.known.__getitem__, rest)])
+
+
+class _Pieces(dict):
+    """Ids of pieces that follow a space, remembered within a bound."""
+
+    def __init__(self, owner: LibraryEncoder):
+        super().__init__()
+        self.owner = owner
+        self.letters = byte_letters()
+        self.marks = {m: owner.whole(m) for m in ".,"}
+
+    def __missing__(self, piece: str) -> bytes:
+        mark = self.marks.get(piece[-1:])
+        if mark is not None and piece[:-1].isalpha():
+            out = self[piece[:-1]] + mark  # letters and marks are words of their own
+        elif piece.isalpha():  # one word: the model alone, without the library's bookkeeping
+            letters = piece if piece.isascii() else "".join(map(self.letters.__getitem__, piece.encode()))
+            out = self.owner.packed([t.id for t in self.owner.library.model.tokenize(self.letters[32] + letters)])
         else:
-            get = self.known.__getitem__
-        return [self.whole(t) if p is None else b"".join(map(get, p)) for t, p in zip(texts, split)]
+            out = self.owner.whole(" " + piece)
+        if len(piece) <= LONG:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[piece] = out
+        return out
 
 
 _LOADED: dict[int, LibraryEncoder] = {}
@@ -136,47 +156,44 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col:
         enc = loaded(spec.value)
         size = 4 if enc.wide else 2
         end = int(end_id).to_bytes(size, "little")
-        texts = [t or "" for t in part.column("text").to_pylist()]
-        row, pos, n, key, payload, leaf = [], [], [], [], [], []
-        for i, raw in enumerate(enc.encode(texts)):
-            raw += end
-            keys, last = [], 0
-            for k, cut in enumerate(cut_points(np.frombuffer(raw, enc.type))):
-                body = raw[last * size : cut * size]
-                keys.append(key_of(body))
-                row.append(i), pos.append(k), n.append(cut - last), key.append(keys[-1]), payload.append(body), leaf.append(None)
+        count, keys, bodies, leaf, off = [], [], [], [], [0]
+        for text in part.column("text").to_pylist():
+            raw = enc.encode(text or "") + end
+            last, at = 0, len(keys)
+            for cut in cut_points(np.frombuffer(raw, enc.type)):
+                bodies.append(raw[last * size : cut * size])
+                keys.append(key_of(bodies[-1]))
                 last = cut
-            leaf[-len(keys)] = leaf_of(keys)
-        at = pa.array(row, pa.int64())
+            off.append(len(keys)), count.append(last), leaf.append(leaf_of(keys[at:]))
+        off = pa.array(off, pa.int32())
         return pa.RecordBatch.from_arrays(
-            [part.column("rid").take(at), part.column("doc_id").take(at), pa.array(pos, pa.int32()), pa.array(n, pa.int32()), pa.array(key, pa.binary()), pa.array(leaf, pa.string()), pa.array(payload, pa.binary())],
-            names=["rid", "doc_id", "pos", "n", "key", "leaf", "payload"],
+            [part.column("rid"), part.column("doc_id"), pa.array(count, pa.int64()), pa.array(leaf, pa.string()), pa.ListArray.from_arrays(off, pa.array(keys, pa.binary())), pa.ListArray.from_arrays(off, pa.array(bodies, pa.binary()))],
+            names=["rid", "doc_id", "n_tokens", "leaf", "keys", "payloads"],
         )
 
-    def once(batches):
-        last = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            keys = batch.column("key").to_pylist()
-            seen = np.array([k == p for k, p in zip(keys, [last, *keys[:-1]])])
-            last = keys[-1]
-            payload = batch.column("payload")
-            if seen.any():
-                payload = pa.array([None if s else v for s, v in zip(seen, payload.to_pylist())], pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], payload], names=batch.schema.names)
-
     # the row number is fixed by the input's files and their order
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    made = map_text(rows, "text", chunked, "rid long, doc_id long, pos int, n int, key binary, leaf string, payload binary")
-    made = made.repartition("key").sortWithinPartitions("key", "rid", "pos").mapInArrow(once, made.schema)
-    made.write.parquet(f"{path}/chunks")
-    free(spark)
-
-    chunks = spark.read.schema(made.schema).parquet(f"{path}/chunks")
-    whole = chunks.groupBy("rid").agg(F.max("doc_id").alias("doc_id"), F.sum("n").alias("n_tokens"), F.max("leaf").alias("leaf"))
-    whole.write.parquet(f"{path}/documents")
-    whole = spark.read.schema(whole.schema).parquet(f"{path}/documents")
+    made = map_text(rows, "text", chunked, "rid long, doc_id long, n_tokens long, leaf string, keys array<binary>, payloads array<binary>")
+    made.write.parquet(f"{path}/staged")
+    staged = spark.read.schema(made.schema).parquet(f"{path}/staged")
+
+    places = staged.select("rid", F.posexplode("keys").alias("pos", "key"))
+    shared = places.groupBy("key").agg(F.min(F.struct("rid", "pos")).alias("first"), F.count("*").alias("places")).where("places > 1").select("key", "first")
+    shared = small(materialize(shared, "shared"), 64)
+    marks = places.join(shared, "key").groupBy("rid").agg(
+        F.sort_array(F.collect_list(F.when(F.struct("rid", "pos") != F.col("first"), F.col("pos")))).alias("absent"),
+        F.sort_array(F.collect_list(F.when(F.struct("rid", "pos") == F.col("first"), F.col("pos")))).alias("lent"),
+    )
+    marks = small(materialize(marks, "marks"), 96)
+    none = F.expr("CAST(array() AS array<int>)")
+    staged.join(marks, "rid", "left").select(
+        "rid",
+        "keys",
+        F.when(F.size("absent") > 0, F.transform("payloads", lambda x, i: F.when(~F.array_contains("absent", i), x))).otherwise(F.col("payloads")).alias("payloads"),
+        F.coalesce("absent", none).alias("absent"),
+        F.coalesce("lent", none).alias("lent"),
+    ).write.parquet(f"{path}/chunks")
+    whole = staged.select("rid", "doc_id", "n_tokens", "leaf")
     ranged = whole.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), F.col("doc_id").asc_nulls_first(), F.col("rid")).withColumn("part", F.spark_partition_id())
     ranged.write.parquet(f"{path}/ranged")
     ranged = spark.read.schema(ranged.schema).parquet(f"{path}/ranged")
@@ -197,6 +214,8 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col:
     )
     recipes.write.parquet(f"{path}/recipes")
     recipes = spark.read.schema(recipes.schema).parquet(f"{path}/recipes")
+    for gone in ("staged", "ranged"):
+        remove(spark, f"{path}/{gone}")
     level, nodes, count = 0, recipes.select("ordinal", "leaf"), before_n
     while True:
         nodes = merkle_level(nodes).select(F.lit(level).alias("level"), F.col("ordinal").alias("node"), F.col("leaf").alias("digest"))
@@ -227,34 +246,49 @@ def read_store(spark: SparkSession, path: str, wide: bool = False) -> DataFrame:
     Each chunk's digest and each recipe's Merkle leaf are checked as the ids are put together, and the
     manifest's digests above them; a mismatch or a missing chunk is an error.
     """
-    chunks = spark.read.schema("rid long, doc_id long, pos int, n int, key binary, leaf string, payload binary").parquet(f"{path}/chunks")
+    chunks = spark.read.schema("rid long, keys array<binary>, payloads array<binary>, absent array<int>, lent array<int>").parquet(f"{path}/chunks")
     recipes = spark.read.schema("rid long, doc_id long, ordinal long, start long, n_tokens long, leaf string").parquet(f"{path}/recipes")
     broken = merkle_level(recipes.select("ordinal", "leaf")).join(manifest(spark, path).where("level = 0").select(F.col("node").alias("ordinal"), "digest"), "ordinal", "full").where("NOT (leaf <=> digest)")
     if not broken.isEmpty():
         raise ValueError(f"the manifest of {path} does not match its recipes")
 
-    stored = chunks.where("payload IS NOT NULL").select("key", "payload")
-    places = chunks.select("key", "rid", "pos")
     kind = "<u4" if wide else "<u2"
 
-    def rebuild(batches):
+    def rebuilt(rid, keys: list[list[bytes]], bodies: list[list[bytes | None]]) -> pa.RecordBatch:
+        leaf, n, crc, ids = [], [], [], []
+        for own, body in zip(keys, bodies):
+            if any(v is None or key_of(v) != k for k, v in zip(own, body)):
+                raise ValueError("a chunk is missing or differs from its digest")
+            data = np.frombuffer(b"".join(body), kind).astype("<u4").tobytes()
+            leaf.append(leaf_of(own)), n.append(len(data) // 4), crc.append(zlib.crc32(data)), ids.append(data)
+        return pa.RecordBatch.from_arrays(
+            [rid, pa.array(leaf, pa.string()), pa.array(n, pa.int64()), pa.array(crc, pa.int64()), pa.array(ids, pa.binary())],
+            names=["rid", "leaf_read", "n_read", "ids_crc32", "ids"],
+        )
+
+    def whole(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                yield rebuilt(part.column("rid"), part.column("keys").to_pylist(), part.column("payloads").to_pylist())
+
+    def pieces(batches):
         for part in runs(batches, ["rid"]):
-            rid = part.column("rid").to_numpy()
             keys, body = part.column("key").to_pylist(), part.column("payload").to_pylist()
-            leaf, n, crc, ids = [], [], [], []
-            cut = np.append(edges(part, ["rid"]), len(rid))
-            for a, b in zip(cut[:-1], cut[1:]):
-                for k, v in zip(keys[a:b], body[a:b]):
-                    if v is None or key_of(v) != k:
-                        raise ValueError("a chunk is missing or differs from its digest")
-                data = np.frombuffer(b"".join(body[a:b]), kind).astype("<u4").tobytes()
-                leaf.append(leaf_of(keys[a:b])), n.append(len(data) // 4), crc.append(zlib.crc32(data)), ids.append(data)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(rid[cut[:-1]]), pa.array(leaf, pa.string()), pa.array(n, pa.int64()), pa.array(crc, pa.int64()), pa.array(ids, pa.binary())],
-                names=["rid", "leaf_read", "n_read", "ids_crc32", "ids"],
-            )
-
-    built = places.join(stored, "key", "left").repartition("rid").sortWithinPartitions("rid", "pos").select("rid", "key", "payload").mapInArrow(rebuild, "rid long, leaf_read string, n_read long, ids_crc32 long, ids binary")
+            cut = [*edges(part, ["rid"]).tolist(), part.num_rows]
+            yield rebuilt(part.column("rid").take(pa.array(cut[:-1])), [keys[a:b] for a, b in zip(cut, cut[1:])], [body[a:b] for a, b in zip(cut, cut[1:])])
+
+    out = "rid long, leaf_read string, n_read long, ids_crc32 long, ids binary"
+    # documents that hold all their chunks are read where they stand; only the others are put together
+    own = chunks.where(F.size("absent") == 0).select("rid", "keys", "payloads").mapInArrow(whole, out)
+    part = chunks.where(F.size("absent") > 0)
+    at = lambda name: F.get(name, F.col("pos")).alias(name[:-1])
+    held = part.select("rid", F.posexplode("keys").alias("pos", "key"), "payloads").select("rid", "pos", "key", at("payloads")).where("payload IS NOT NULL")
+    want = part.select("rid", F.explode("absent").alias("pos"), "keys").select("rid", "pos", at("keys"))
+    lent = chunks.where(F.size("lent") > 0).select(F.explode("lent").alias("pos"), "keys", "payloads").select(at("keys"), at("payloads"))
+    found = want.join(lent, "key", "left").select("rid", "pos", "key", "payload")
+    built = held.unionByName(found).repartition("rid").sortWithinPartitions("rid", "pos").select("rid", "key", "payload").mapInArrow(pieces, out)
+    built = own.unionByName(built)
     ok = (F.col("leaf") == F.col("leaf_read")) & (F.col("n_tokens") == F.col("n_read"))
     return recipes.join(built, "rid", "left").select(
         "doc_id",
@@ -265,10 +299,15 @@ def read_store(spark: SparkSession, path: str, wide: bool = False) -> DataFrame:
     )
 
 
-def free(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of finished work."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def small(df: DataFrame, row_bytes: int) -> DataFrame:
+    """The table with a broadcast hint if its rows are few enough, by count."""
+    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of this store through Spark's file systems."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def new_store(spark: SparkSession) -> str:
