@@ -11,9 +11,11 @@ from .common import table
 from .bpe import round_trip
 from .jaccard_join import jaccard_join
 from .line_dedup import line_dedup
+from .near_vectors import near_vectors
 from .pii import pii_digest
 from .quality import classify
 from .secrets_scan import secrets_digest
+from .sharding import shard_digest
 from .token_store import new_store, read_store, write_store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -95,3 +97,29 @@ def op2_quality(spark, sf_dir):
 @_query
 def op9_secrets(spark, sf_dir):
     return secrets_digest(table(spark, sf_dir, "documents"))
+
+
+@_query
+def op3_near_vectors(spark, sf_dir):
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+#: Every pair of a label, cosines in double precision; components by repeated minima.
+SQL["op3_near_vectors"] = r"""
+WITH RECURSIVE e AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), l AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM e a JOIN e b ON a.label = b.label AND len(a.v) = len(b.v) AND a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.v, b.v) >= 0.93
+), r AS (SELECT a AS node, a AS seen FROM (SELECT DISTINCT a FROM l) UNION SELECT r.node, l.b FROM r JOIN l ON l.a = r.seen),
+m AS (SELECT node, min(seen) AS c FROM r GROUP BY 1), n AS (SELECT a, count(*) AS k FROM l GROUP BY 1)
+SELECT vec_id, coalesce(k, 0) AS n_links, coalesce(c, vec_id) AS component_id, coalesce(c, vec_id) = vec_id AS kept
+FROM embeddings LEFT JOIN m ON m.node = vec_id LEFT JOIN n ON n.a = vec_id
+"""
+
+
+@_query
+def op5_sharding(spark, sf_dir):
+    return shard_digest(table(spark, sf_dir, "documents"))
