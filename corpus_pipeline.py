@@ -1,10 +1,56 @@
-"""A training corpus from raw documents: quality, boilerplate lines, near duplicates, benchmark leaks, tokens."""
+"""A training corpus from raw documents: quality, boilerplate lines, near duplicates, benchmark leaks, tokens.
+
+Each stage takes (spark, docs, sf_dir) and returns what it keeps, with the columns of ``documents``; the last
+one returns the token digests of what is left. Rows that repeat a doc_id stay or go together.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quernel.llm import bpe, decontaminate, jaccard_join, line_dedup, quality
+from quernel.llm.common import materialize, small, table
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a score of 0.3 or more."""
+    model = quality.train(docs, table(spark, sf_dir, "labels"))
+    return quality.score(docs, model, out_col="_score").where("_score >= 0.3").drop("_score")
+
+
+def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the boilerplate lines of their source; ``n_chars`` follows. A document that has no other line stays, empty."""
+    rows = line_dedup.line_dedup(docs)
+    return rows.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate class, that of the least id."""
+    gone = materialize(jaccard_join.jaccard_join(docs).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct(), "copies")
+    return docs.join(small(gone, 16), F.col("doc_id") == F.col("_gone"), "left_anti")
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark passage."""
+    leaks = decontaminate.find_leaks(docs, table(spark, sf_dir, "benchmark"))
+    gone = materialize(leaks.select(F.col("doc_id").alias("_gone")).distinct(), "leaks")
+    return docs.join(small(gone, 16), F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of each text."""
+    return bpe.round_trip(docs, public_tokenizers.path("word_bpe_49k.json"))
+
 
-STAGES: list = []
+STAGES = [
+    ("quality classifier", keep_quality),
+    ("line dedup", drop_lines),
+    ("n-gram Jaccard join", drop_near_copies),
+    ("benchmark decontamination", drop_leaks),
+    ("BPE encoding and decoding", tokens),
+]
 
 #: The classifier, the retrieval and the tokenizer have no SQL form; tests hold each stage against brute force.
 ORACLE_SQL = None
@@ -12,4 +58,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages in order over ``documents``; each result is written as Parquet and read again."""
-    raise NotImplementedError
+    docs = table(spark, sf_dir, "documents")
+    for i, (_, stage) in enumerate(STAGES):
+        docs = materialize(stage(spark, docs, sf_dir), f"stage{i + 1}")
+    return docs

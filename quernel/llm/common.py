@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text handled at once by a Python worker (one longer text is handled alone).
 SLICE_BYTES = 2 << 20
+#: Largest size of a table that ``small`` lets Spark broadcast.
+BROADCAST_BYTES = 48 << 20
 #: Rows of one block; a larger group is dealt out as pairs of blocks.
 BLOCK = 1024
 
@@ -48,6 +50,11 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small(df: DataFrame, row_bytes: int) -> DataFrame:
+    """A materialised table, with a broadcast hint if its rows are few enough by count; else it is joined by shuffle."""
+    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

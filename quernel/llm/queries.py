@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .bpe import round_trip
+from .decontaminate import find_leaks
 from .jaccard_join import jaccard_join
 from .line_dedup import line_dedup
 from .near_vectors import near_vectors
@@ -123,3 +124,8 @@ FROM embeddings LEFT JOIN m ON m.node = vec_id LEFT JOIN n ON n.a = vec_id
 @_query
 def op5_sharding(spark, sf_dir):
     return shard_digest(table(spark, sf_dir, "documents"))
+
+
+@_query
+def op6_decontaminate(spark, sf_dir):
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

@@ -29,14 +29,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import byte_letters, read_file
-from .common import edges, map_text, materialize, runs, shared_dir
+from .common import edges, map_text, materialize, runs, shared_dir, small
 
 #: Ids under the rolling hash's window; average and largest ids of a chunk.
 WINDOW, AVERAGE, LARGEST = 8, 256, 4096
 FAN = 1024
 REMEMBERED, LONG = 700_000, 64
-#: Largest size of the tables of shared chunks that are broadcast; larger ones are joined by shuffle.
-BROADCAST_BYTES = 48 << 20
 
 PLAIN = re.compile("[^\n -~À-ÖØ-öø-ÿ]")
 
@@ -299,11 +297,6 @@ def read_store(spark: SparkSession, path: str, wide: bool = False) -> DataFrame:
     )
 
 
-def small(df: DataFrame, row_bytes: int) -> DataFrame:
-    """The table with a broadcast hint if its rows are few enough, by count."""
-    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
-
-
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder of this store through Spark's file systems."""
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
