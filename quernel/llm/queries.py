@@ -63,7 +63,7 @@ def op1_bpe(spark, sf_dir):
 def op4_token_store(spark, sf_dir):
     path = new_store(spark)
     write_store(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"), 2)
-    return read_store(spark, path).drop("ids")
+    return read_store(spark, path, with_ids=False).drop("ids")
 
 
 @_query

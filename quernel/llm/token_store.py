@@ -39,6 +39,10 @@ REMEMBERED, LONG = 700_000, 64
 PLAIN = re.compile("[^\n -~À-ÖØ-öø-ÿ]")
 
 
+#: The byte-level word pattern over plain text.
+PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-zÀ-ÖØ-öø-ÿ]+| ?[0-9]+| ?[^\sA-Za-z0-9À-ÖØ-öø-ÿ]+|\s+(?!\S)|\s+")
+
+
 class LibraryEncoder:
     """Byte-level BPE by the library, asked once for each distinct space-separated piece.
 
@@ -74,29 +78,42 @@ class LibraryEncoder:
 
 
 class _Pieces(dict):
-    """Ids of pieces that follow a space, remembered within a bound."""
+    """Ids of pieces that follow a space in plain text, remembered within a bound."""
 
     def __init__(self, owner: LibraryEncoder):
         super().__init__()
         self.owner = owner
         self.letters = byte_letters()
-        self.marks = {m: owner.whole(m) for m in ".,"}
+        self.inner: dict[str, bytes] = {}
 
     def __missing__(self, piece: str) -> bytes:
-        mark = self.marks.get(piece[-1:])
-        if mark is not None and piece[:-1].isalpha():
-            out = self[piece[:-1]] + mark  # letters and marks are words of their own
-        elif piece.isalpha():  # one word: the model alone, without the library's bookkeeping
-            letters = piece if piece.isascii() else "".join(map(self.letters.__getitem__, piece.encode()))
-            out = self.owner.packed([t.id for t in self.owner.library.model.tokenize(self.letters[32] + letters)])
+        if piece.isalpha():
+            out = self.word(self.letters[32], piece)
         else:
-            out = self.owner.whole(" " + piece)
+            out = b"".join([self[w[1:]] if w[0] == " " and w[1:].isalpha() else self.part(w) for w in PIECE.findall(" " + piece)])
+            if "\n" in piece:  # two words and a line break seldom come again
+                return out
         if len(piece) <= LONG:
             if len(self) >= REMEMBERED:
                 self.clear()
             self[piece] = out
         return out
 
+    def word(self, before: str, word: str) -> bytes:
+        """One word of letters: the library's model alone, without its bookkeeping."""
+        body = word if word.isascii() else "".join(map(self.letters.__getitem__, word.encode()))
+        return self.owner.packed([t.id for t in self.owner.library.model.tokenize(before + body)])
+
+    def part(self, part: str) -> bytes:
+        """A word of the pattern that is no word of letters after a space."""
+        if (got := self.inner.get(part)) is None:
+            got = self.word("", part) if part.isalpha() else self.owner.whole(part)
+            if len(self.inner) >= REMEMBERED // 4:
+                self.inner.clear()
+            if len(part) <= LONG:
+                self.inner[part] = got
+        return got
+
 
 _LOADED: dict[int, LibraryEncoder] = {}
 
@@ -238,11 +255,12 @@ def manifest(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("level int, node long, digest string").parquet(f"{path}/manifest")
 
 
-def read_store(spark: SparkSession, path: str, wide: bool = False) -> DataFrame:
+def read_store(spark: SparkSession, path: str, wide: bool = False, with_ids: bool = True) -> DataFrame:
     """Read a store back: (doc_id, start, n_tokens, ids_crc32, ids binary little-endian unsigned 32-bit), verified.
 
     Each chunk's digest and each recipe's Merkle leaf are checked as the ids are put together, and the
-    manifest's digests above them; a mismatch or a missing chunk is an error.
+    manifest's digests above them; a mismatch or a missing chunk is an error. Without ``with_ids`` the ids
+    themselves are left null once they are checked and counted.
     """
     chunks = spark.read.schema("rid long, keys array<binary>, payloads array<binary>, absent array<int>, lent array<int>").parquet(f"{path}/chunks")
     recipes = spark.read.schema("rid long, doc_id long, ordinal long, start long, n_tokens long, leaf string").parquet(f"{path}/recipes")
@@ -258,7 +276,7 @@ def read_store(spark: SparkSession, path: str, wide: bool = False) -> DataFrame:
             if any(v is None or key_of(v) != k for k, v in zip(own, body)):
                 raise ValueError("a chunk is missing or differs from its digest")
             data = np.frombuffer(b"".join(body), kind).astype("<u4").tobytes()
-            leaf.append(leaf_of(own)), n.append(len(data) // 4), crc.append(zlib.crc32(data)), ids.append(data)
+            leaf.append(leaf_of(own)), n.append(len(data) // 4), crc.append(zlib.crc32(data)), ids.append(data if with_ids else None)
         return pa.RecordBatch.from_arrays(
             [rid, pa.array(leaf, pa.string()), pa.array(n, pa.int64()), pa.array(crc, pa.int64()), pa.array(ids, pa.binary())],
             names=["rid", "leaf_read", "n_read", "ids_crc32", "ids"],
