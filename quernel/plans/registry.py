@@ -1,6 +1,68 @@
-"""All registered queries and their SQL."""
+"""All registered queries and their SQL, by operator id."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Register a query under its function's name, with the SQL that it is held against."""
+
+    def put(fn):
+        QUERIES[fn.__name__] = fn
+        if sql:
+            SQL[fn.__name__] = sql
+        return fn
+
+    return put
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+class Fixture:
+    """A small literal table, the same in Spark and in SQL."""
+
+    def __init__(self, name: str, schema: str, rows: list[tuple]):
+        self.name, self.schema, self.rows = name, schema, rows
+
+    def df(self, spark: SparkSession) -> DataFrame:
+        return spark.createDataFrame(self.rows, self.schema)
+
+    def cte(self) -> str:
+        """``name(columns) AS (VALUES ...)`` for a WITH clause."""
+        kinds = [c.strip().rsplit(" ", 1) for c in _columns(self.schema)]
+        types = {"string": "VARCHAR", "int": "INTEGER", "long": "BIGINT", "double": "DOUBLE", "boolean": "BOOLEAN", "array<string>": "VARCHAR[]", "array<double>": "DOUBLE[]", "array<int>": "INTEGER[]"}
+        rows = ", ".join("(" + ", ".join(f"CAST({_literal(v)} AS {types[k[1]]})" for v, k in zip(r, kinds)) + ")" for r in self.rows)
+        return f"{self.name}({', '.join(k[0] for k in kinds)}) AS (VALUES {rows})"
+
+
+def _columns(schema: str) -> list[str]:
+    out, depth, start = [], 0, 0
+    for i, c in enumerate(schema):
+        depth += (c == "<") - (c == ">")
+        if c == "," and not depth:
+            out.append(schema[start:i])
+            start = i + 1
+    return [*out, schema[start:]]
+
+
+def _literal(v) -> str:
+    if v is None:
+        return "NULL"
+    if isinstance(v, bool):
+        return str(v).lower()
+    if isinstance(v, str):
+        return "'" + v.replace("'", "''") + "'"
+    if isinstance(v, (list, tuple)):
+        return "[" + ", ".join(map(_literal, v)) + "]"
+    return repr(v)
+
+
+from . import evaluation, governance, mutations, retrieval, scalar, sources, stateful  # noqa: E402,F401
