@@ -16,15 +16,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_text
+from .common import Remembered, map_text
 
-#: Remembered pieces of a worker; beyond it the memory starts anew.
-REMEMBERED = 500_000
+#: Remembered pieces, and fragments, of each of a worker's two generations.
+REMEMBERED = 240_000
 #: Pieces longer than this are encoded, but not remembered.
 LONG = 64
 
 #: Texts of these characters alone need no normalisation but lower case, and white space separates their words.
 PLAIN = re.compile("[^\t\n\r -~À-ÖØ-öø-ÿ]")
+#: A comma or full stop that may belong to a run of marks.
+MARK_RUN = re.compile(r"[^A-Za-z0-9À-ÖØ-öø-ÿ][.,][ \n]")
 #: The vocabulary's own word pattern over lower-case plain text.
 PLAIN_WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-zß-öø-ÿ0-9]+")
 
@@ -67,19 +69,22 @@ class ForcedBoundaryBpe:
                 inside[b[:-1], b[1:]] = True
         #: cuts[a, b]: no token holds byte a followed by byte b.
         self.cuts = ~inside
+        #: The same for pairs of ASCII letters, as text.
+        self.cut_pairs = {chr(a) + chr(b) for a, b in zip(*np.nonzero(self.cuts[:128, :128]))}
         top = max([*self.vocab.values(), *self.added.values()]) + 1
         self.names = [""] * top
         for token, i in [*self.vocab.items(), *self.added.items()]:
             self.names[i] = token
-        self.pieces = _Pieces(self)
-        self.fragments: dict[tuple[str, bool], list[int]] = {}
+        short = lambda key: len(key) <= LONG
+        self.pieces = Remembered(REMEMBERED, self.piece, short)
+        self.ends = Remembered(REMEMBERED // 6, lambda x: self.merged(x, True), short)
+        self.inner = Remembered(REMEMBERED // 6, lambda x: self.merged(x, False), short)
+        self.marks = {m: np.array(self.word(m.encode()), "<u4").tobytes() for m in ".,"}
 
     # -- encoding
 
-    def fragment(self, letters: str, last: bool) -> list[int]:
+    def merged(self, letters: str, last: bool) -> list[int]:
         """Ids of one fragment (of stand-in letters); ``last``: it ends its word."""
-        if (got := self.fragments.get((letters, last))) is not None:
-            return got
         parts = list(letters)
         if last:
             parts[-1] += self.end
@@ -97,12 +102,22 @@ class ForcedBoundaryBpe:
                     ranks[i - 1] = rank.get((parts[i - 1], parts[i]), none)
                 if i < len(ranks):
                     ranks[i] = rank.get((parts[i], parts[i + 1]), none)
-        ids = [self.vocab[p] for p in parts if p in self.vocab]
-        if len(letters) <= LONG:
-            if len(self.fragments) >= REMEMBERED:
-                self.fragments.clear()
-            self.fragments[letters, last] = ids
-        return ids
+        return [self.vocab[p] for p in parts if p in self.vocab]
+
+    def piece(self, piece: str) -> bytes:
+        """Ids of a white-space separated piece of lower-case plain text."""
+        if piece.isalpha():
+            if piece.isascii() and self.cut_pairs.isdisjoint(map(str.__add__, piece, piece[1:])):
+                ids = self.merged(piece, True)  # one word without a cut
+            else:
+                ids = self.word(piece.encode())
+        elif piece[-1] in self.marks and piece[:-1].isalpha():
+            return self.pieces[piece[:-1]] + self.marks[piece[-1]]
+        else:
+            ids = []
+            for word in PLAIN_WORD.findall(piece):
+                ids += self.word(word.encode())
+        return np.array(ids, "<u4").tobytes()
 
     def long_merge(self, parts: list[str]) -> list[str]:
         """The same merges by a heap over linked symbols, for fragments of any length."""
@@ -138,17 +153,20 @@ class ForcedBoundaryBpe:
             at = ()
         letters = "".join(map(self.letters.__getitem__, data))
         if not len(at):
-            return self.fragment(letters, True)
+            return self.ends[letters]
         ids, start = [], 0
         for cut in at:
-            ids += self.fragment(letters[start:cut], False)
+            ids += self.inner[letters[start:cut]]
             start = cut
-        return ids + self.fragment(letters[start:], True)
+        return ids + self.ends[letters[start:]]
 
     def encode_bytes(self, text: str) -> bytes:
         """Ids of a whole text as little-endian unsigned 32-bit integers."""
         if not PLAIN.search(text) and "<|" not in text:
-            return b"".join(map(self.pieces.__getitem__, text.lower().split()))
+            text = text.lower()
+            if not MARK_RUN.search(text):  # marks stand apart from words, so that more pieces are known ones
+                text = text.replace(", ", " , ").replace(". ", " . ").replace(".\n", " . ")
+            return b"".join(map(self.pieces.__getitem__, text.split()))
         out, at = [], 0
         for m in self.special.finditer(text):
             out.append(self.any_part(text[at : m.start()]))
@@ -181,25 +199,6 @@ class ForcedBoundaryBpe:
             return " ".join(self.names[i] for i in ids if 0 <= i < len(self.names))
 
 
-class _Pieces(dict):
-    """Ids of white-space separated pieces of plain text, remembered within a bound."""
-
-    def __init__(self, owner: ForcedBoundaryBpe):
-        super().__init__()
-        self.owner = owner
-
-    def __missing__(self, piece: str) -> bytes:
-        ids: list[int] = []
-        for word in PLAIN_WORD.findall(piece):
-            ids += self.owner.word(word.encode())
-        out = np.array(ids, "<u4").tobytes()
-        if len(piece) <= LONG:
-            if len(self) >= REMEMBERED:
-                self.clear()
-            self[piece] = out
-        return out
-
-
 _LOADED: dict[int, ForcedBoundaryBpe] = {}
 
 

@@ -9,6 +9,8 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import shutil
 import tempfile
 import uuid
@@ -21,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text handled at once by a Python worker (one longer text is handled alone).
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = (1 << 20) - 2
 #: Largest size of a table that ``small`` lets Spark broadcast.
 BROADCAST_BYTES = 48 << 20
 #: Rows of one block; a larger group is dealt out as pairs of blocks.
@@ -84,10 +86,42 @@ def map_text(df: DataFrame, column: str, fn: Callable[[pa.RecordBatch], pa.Recor
             for part in by_bytes(batch, column):
                 if (out := fn(part)) is not None and out.num_rows:
                     yield out
+        release()
 
     return df.mapInArrow(run, schema)
 
 
+def release() -> None:
+    """Give a worker's free memory back to the machine at the end of a task: the next stage may run in the same worker."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only some C libraries know it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+class Remembered(dict):
+    """A bounded memory of computed values: a young and an old generation of at most ``limit`` entries each.
+
+    What is asked again moves to the young generation, so that frequent keys stay. ``make`` computes a value;
+    a key for which ``keep`` is false is not remembered.
+    """
+
+    def __init__(self, limit: int, make: Callable, keep: Callable = lambda key: True):
+        super().__init__()
+        self.limit, self.make, self.keep, self.old = limit, make, keep, {}
+
+    def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+            if not self.keep(key):
+                return value
+        if len(self) >= self.limit:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+
 # ---------------------------------------------------------------- words and word hashes
 
 #: Bytes that separate words: ASCII white space.

@@ -24,7 +24,7 @@ PLACES = 1 << 16
 #: Latent dimensions, and further ones of the random sketch.
 RANK, MORE = 192, 16
 #: Least share of a window's squared weight that benchmark words must hold, least cosine, least shares of words in order.
-SHARE, COSINE, COMMON, ANSWER = 0.08, 0.2, 0.6, 0.5
+SHARE, COSINE, COMMON, ANSWER = 0.3, 0.2, 0.6, 0.5
 NARROWEST = 8
 
 

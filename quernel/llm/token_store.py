@@ -28,13 +28,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bpe import byte_letters, read_file
-from .common import edges, map_text, materialize, runs, shared_dir, small
+from .bpe import MARK_RUN, byte_letters, read_file
+from .common import Remembered, edges, map_text, materialize, runs, shared_dir, small
 
 #: Ids under the rolling hash's window; average and largest ids of a chunk.
 WINDOW, AVERAGE, LARGEST = 8, 256, 4096
 FAN = 1024
-REMEMBERED, LONG = 700_000, 64
+#: Remembered pieces of each of a worker's two generations, up to a length.
+REMEMBERED, LONG = 250_000, 64
 
 PLAIN = re.compile("[^\n -~À-ÖØ-öø-ÿ]")
 
@@ -59,7 +60,11 @@ class LibraryEncoder:
         self.wide = self.library.get_vocab_size() > 1 << 16
         self.type = "<u4" if self.wide else "<u2"
         self.code = "I" if self.wide else "H"
-        self.known = _Pieces(self)
+        self.letters = byte_letters()
+        short = lambda piece: len(piece) <= LONG and "\n" not in piece[2:]  # two words and a line break seldom come again
+        #: Ids of pieces that follow a space in plain text.
+        self.known = Remembered(REMEMBERED, self.piece, short)
+        self.parts = Remembered(REMEMBERED // 4, self.part, short)
 
     def whole(self, text: str) -> bytes:
         return self.packed(self.library.encode(text, add_special_tokens=False).ids)
@@ -70,49 +75,30 @@ class LibraryEncoder:
             ids.byteswap()
         return ids.tobytes()
 
-    def encode(self, text: str) -> bytes:
-        if PLAIN.search(text) or "  " in text or "\n " in text or " \n" in text or "<|" in text:
-            return self.whole(text)
-        first, *rest = text.split(" ")
-        return b"".join([self.whole(first), *map(self.known.__getitem__, rest)])
-
-
-class _Pieces(dict):
-    """Ids of pieces that follow a space in plain text, remembered within a bound."""
-
-    def __init__(self, owner: LibraryEncoder):
-        super().__init__()
-        self.owner = owner
-        self.letters = byte_letters()
-        self.inner: dict[str, bytes] = {}
-
-    def __missing__(self, piece: str) -> bytes:
+    def piece(self, piece: str) -> bytes:
         if piece.isalpha():
-            out = self.word(self.letters[32], piece)
-        else:
-            out = b"".join([self[w[1:]] if w[0] == " " and w[1:].isalpha() else self.part(w) for w in PIECE.findall(" " + piece)])
-            if "\n" in piece:  # two words and a line break seldom come again
-                return out
-        if len(piece) <= LONG:
-            if len(self) >= REMEMBERED:
-                self.clear()
-            self[piece] = out
-        return out
+            return self.word(self.letters[32], piece)
+        if piece[:1] == "\x01":  # no space before it
+            return self.whole(piece[1:])
+        return b"".join([self.known[w[1:]] if w[0] == " " and w[1:].isalpha() else self.parts[w] for w in PIECE.findall(" " + piece)])
 
     def word(self, before: str, word: str) -> bytes:
         """One word of letters: the library's model alone, without its bookkeeping."""
         body = word if word.isascii() else "".join(map(self.letters.__getitem__, word.encode()))
-        return self.owner.packed([t.id for t in self.owner.library.model.tokenize(before + body)])
+        return self.packed([t.id for t in self.library.model.tokenize(before + body)])
 
     def part(self, part: str) -> bytes:
         """A word of the pattern that is no word of letters after a space."""
-        if (got := self.inner.get(part)) is None:
-            got = self.word("", part) if part.isalpha() else self.owner.whole(part)
-            if len(self.inner) >= REMEMBERED // 4:
-                self.inner.clear()
-            if len(part) <= LONG:
-                self.inner[part] = got
-        return got
+        return self.word("", part) if part.isalpha() else self.whole(part)
+
+    def encode(self, text: str) -> bytes:
+        if PLAIN.search(text) or "  " in text or "\n " in text or " \n" in text or "<|" in text:
+            return self.whole(text)
+        if not MARK_RUN.search(text) and "\n\n" not in text:
+            # marks and line ends after a word become pieces of their own, so that more pieces are known ones
+            text = text.replace(", ", " \x01, ").replace(". ", " \x01. ").replace(".\n", " \x01. \x01\n \x01")
+        first, *rest = text.split(" ")
+        return b"".join([self.whole(first), *map(self.known.__getitem__, rest)])
 
 
 _LOADED: dict[int, LibraryEncoder] = {}
