@@ -1 +1,344 @@
-"""Queries."""
+"""Governance checks over literal pages, sources and logs; the log check also over the events table."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import text as X
+from ..operators import governance as G
+from ..operators import sections as S
+from .registry import Fixture, query, table
+from .scalar import tokens_sql
+
+PAGES = Fixture(
+    "pages_",
+    "slug string, dir string, status string, updated string, sources array<string>, aliases array<string>, body string, reason string, count int, fm string",
+    [
+        ("refunds", "entities", "live", "2024-05-01T00:00:00Z", ["refunds.md#a", "billing.md#x"], ["money-back", "returns"], "See [[shipping]] and [[order-tracking]] then [[Money-back]].", None, None, "{}"),
+        ("shipping", "concepts", "live", "2024-05-10T12:00:00Z", ["shipping.md#s"], ["refunds", "delivery"], "Track with [[order-tracking|the tracker]] or [[delivery#fees]]. Shipping takes five days.", None, None, "{}"),
+        ("our-shipping", "concepts", "live", "2024-05-02T00:00:00Z", ["shipping.md#s", "gone.md#q"], ["returns"], "Shipping takes three days, see [[ lost-page ]]", None, None, "{}"),
+        ("pricing", "concepts", "live", "2024-05-02T00:00:00Z", ["pricing.md#p"], [], "Prices (collision group: 'x, y') [[refunds]]", None, None, "{}"),
+        ("pricing-2", "concepts", "live", "2024-05-02T00:00:00Z", ["pricing.md#p"], [], "Prices again", None, None, "{}"),
+        ("plan", "entities", "live", "2024-05-02T00:00:00Z", ["old.md#o"], [], "(collision group: 'plan, plan-3')", None, None, "{}"),
+        ("plan-3", "entities", "live", "2024-05-02T00:00:00Z", ["old.md#o"], [], "(collision group: 'plan-3,plan')", None, None, "{}"),
+        ("legacy", "concepts", "failed_grounding", "2024-05-02T00:00:00Z", ["gone.md#a", "dup.md#b", "billing.md#c"], [], "", " ", None, "{}"),
+        ("alone", "concepts", "failed_grounding", "2024-05-02T00:00:00Z", [], [], "", "claim_unsupported", None, "{}"),
+        ("how-refund", "qa", "live", "2024-05-01T00:00:00Z", ["refunds#a", "shipping#s"], [], "answer", None, 3, '{"status": "live", "type": "qa", "question": "How?", "count": 3}'),
+        ("fresh", "qa", "live", "2024-06-01T00:00:00Z", ["shipping#s"], [], "answer", None, 1, '{"status": "zombie", "type": "qa", "question": "  ", "count": true}'),
+        ("ask-a", "qa", "draft", "2024-05-03T00:00:00Z", ["refunds#a"], [], "answer", None, 5, '{"status": "draft", "type": "page", "question": 7, "count": 0}'),
+        ("ask-b", "qa", "draft", "2024-05-04T00:00:00Z", ["refunds#a"], [], "answer", None, 5, '{"type": "qa", "question": "Q", "count": 2.5}'),
+    ],
+)
+DOCS = Fixture(
+    "docs_",
+    "path string, basename string, content string, modified string",
+    [
+        ("docs/refunds.md", "refunds.md", "refund text", "2024-05-05T12:00:00Z"), ("docs/billing.md", "billing.md", "billing", "2024-05-01T00:00:00Z"), ("docs/shipping.md", "shipping.md", "ship text", "2024-05-11T00:00:00Z"),
+        ("docs/pricing.md", "pricing.md", "price", "2024-04-01T00:00:00Z"), ("docs/a/dup.md", "dup.md", "1", "2024-04-01T00:00:00Z"), ("docs/b/dup.md", "dup.md", "2", "2024-04-01T00:00:00Z"),
+    ],
+)
+HASHES = Fixture("hashes", "slug string, source string, hash string", [("refunds", "refunds.md", "old"), ("shipping", "shipping.md", None), ("pricing", "pricing.md", "old"), ("our-shipping", "shipping.md", "older")])
+LOG = "\n".join(
+    [
+        "# log", '## [2024-01-01T00:00:01Z] chat_grounding_fallback | "How long?" reason=below_threshold top_section=a#b', '## [2024-01-01T00:00:02Z] chat | "how long" top=a#b:1.0',
+        '## [2024-01-01T00:00:03Z] chat | "How long??" top=a#b:2.0', '## [2024-01-01T00:00:04Z] chat_grounding_fallback | "how  long" reason=below_threshold top_section=a#b', "noise", '## [2024-01-01T00:00:05Z] chat | "how long" top=none',
+        '## [2024-01-01T00:00:06Z] chat_grounding_fallback | "what else" reason=retrieval_empty', '## [2024-01-01T00:00:07Z] chat_grounding_fallback | "what else!" reason=provider_error', '## [2024-01-01T00:00:08Z] chat | "what else" top=x',
+        '## [2024-01-01T00:00:09Z] chat_grounding_fallback | "cited one" reason=claim_unsupported cited=b,a', '## [2024-01-01T00:00:10Z] ingest | "x" pages=3',
+    ]
+)
+
+
+def pages(spark):
+    return PAGES.df(spark)
+
+
+def docs(spark):
+    return DOCS.df(spark)
+
+
+def log(spark):
+    return G.parse_log(spark.createDataFrame([(LOG,)], "text string"))
+
+
+RESOLVE = "res AS (SELECT slug AS name, slug AS canonical FROM pages_ UNION SELECT name, min(slug) FROM (SELECT unnest(aliases) AS name, slug FROM pages_) WHERE name NOT IN (SELECT slug FROM pages_) GROUP BY 1)"
+
+
+@query(f"WITH {PAGES.cte()}, {RESOLVE} SELECT name, canonical FROM res")
+def j_15_resolution_map(spark, d):
+    return G.resolution_map(pages(spark))
+
+
+@query(f"WITH {PAGES.cte()}, {RESOLVE} SELECT name, canonical FROM res WHERE name <> canonical")
+def j_29_alias_map(spark, d):
+    return G.resolution_map(pages(spark)).where("name <> canonical")
+
+
+@query(
+    rf"""WITH {PAGES.cte()}, {RESOLVE}, w AS (SELECT slug AS page, dir, body, unnest(regexp_extract_all(body, '{X.WIKILINK}', 1)) AS raw, unnest(regexp_extract_all(body, '{X.WIKILINK}')) AS whole FROM pages_ WHERE dir <> 'qa'),
+    m AS (SELECT trim(raw) AS slug, page, dir, substr(body, greatest(1, instr(body, whole) - 25), instr(body, whole) + length(whole) + 25 - greatest(1, instr(body, whole) - 25)) AS ctx FROM w WHERE trim(raw) NOT IN (SELECT name FROM res))
+    SELECT slug, count(*) AS mentions, array_to_string(list_sort(list_distinct(list(page))), ',') AS referenced_by, first(ctx ORDER BY dir <> 'entities', page) AS context FROM m GROUP BY 1"""
+)
+def g_c2_red_links(spark, d):
+    return G.red_links(pages(spark)).withColumn("referenced_by", F.array_join("referenced_by", ","))
+
+
+@query(
+    f"""WITH {PAGES.cte()}, {DOCS.cte()}, b AS (SELECT slug, coalesce(nullif(trim(reason), ''), 'unknown') AS reason, sources FROM pages_ WHERE status = 'failed_grounding'),
+    s AS (SELECT slug, reason, split_part(unnest(CASE WHEN len(sources) = 0 THEN [NULL] ELSE sources END), '#', 1) AS source FROM b)
+    SELECT slug, reason, source, CASE WHEN source IS NULL THEN NULL WHEN count(path) = 0 THEN 'missing' WHEN count(path) = 1 THEN 'resolved' ELSE 'ambiguous' END AS resolution
+    FROM s LEFT JOIN docs_ ON basename = source GROUP BY 1, 2, 3"""
+)
+def g_c3_failed_grounding(spark, d):
+    return G.failed_grounding(pages(spark), docs(spark))
+
+
+@query(
+    rf"""WITH {PAGES.cte()}, p AS (SELECT dir, slug, CASE WHEN regexp_matches(slug, '^.+-\d+$') AND CAST(regexp_extract(slug, '^(.+)-(\d+)$', 2) AS INT) >= 2 THEN regexp_extract(slug, '^(.+)-(\d+)$', 1) ELSE slug END AS base,
+    list_sort(list_filter(list_transform(string_split(regexp_extract(substr(body, 1, 600), '\(collision group: ''([^'']*)''\)', 1), ','), lambda x: trim(x)), lambda x: x <> '')) AS marked FROM pages_ WHERE dir <> 'qa'),
+    g AS (SELECT dir, base, list_sort(list(slug)) AS members, list(marked) AS marks FROM p GROUP BY 1, 2)
+    SELECT base, array_to_string(members, ',') AS members, CAST(len(members) AS INT) AS size FROM g WHERE len(members) >= 2 AND len(list_filter(marks, lambda m: m = members)) < len(marks)"""
+)
+def g_c4_collisions(spark, d):
+    return G.collisions(pages(spark)).withColumn("members", F.array_join("members", ","))
+
+
+PAIRS = "refs AS (SELECT DISTINCT slug, split_part(unnest(sources), '#', 1) AS source FROM pages_ WHERE dir <> 'qa'), pr AS (SELECT DISTINCT x.slug AS a, y.slug AS b FROM refs x JOIN refs y ON x.source = y.source AND x.slug < y.slug)"
+
+
+@query(f"WITH {PAGES.cte()}, {PAIRS} SELECT a, b FROM pr")
+def j_12_shared_source(spark, d):
+    return G.shared_source_pairs(pages(spark))
+
+
+@query(
+    f"""WITH {PAGES.cte()}, {PAIRS}, t AS (SELECT slug, list_distinct({tokens_sql('body')}) AS t FROM pages_),
+    s AS (SELECT a, b, CASE WHEN len(list_distinct(list_concat(x.t, y.t))) = 0 THEN 0 ELSE len(list_intersect(x.t, y.t)) / CAST(len(list_distinct(list_concat(x.t, y.t))) AS DOUBLE) END AS similarity FROM pr JOIN t x ON x.slug = a JOIN t y ON y.slug = b)
+    SELECT a, b, similarity, row_number() OVER (ORDER BY similarity DESC, a, b) AS place FROM s QUALIFY place <= 30"""
+)
+def g_c5_contradiction_candidates(spark, d):
+    return G.ranked_pairs(G.shared_source_pairs(pages(spark)), pages(spark))
+
+
+@query(
+    """SELECT x.n_nationkey AS a, y.n_nationkey AS b FROM nation x JOIN nation y ON x.n_nationkey < y.n_nationkey AND x.n_regionkey = y.n_regionkey
+    UNION SELECT x.n_nationkey, y.n_nationkey FROM nation x JOIN nation y ON x.n_nationkey < y.n_nationkey AND x.n_nationkey % 7 = y.n_nationkey % 7"""
+)
+def u_01_pair_union(spark, d):
+    rows = table(spark, d, "nation").select("n_nationkey", "n_regionkey", (F.col("n_nationkey") % 7).alias("class"))
+    pair = lambda c: rows.alias("x").join(rows.alias("y"), c).where("x.n_nationkey < y.n_nationkey").select(F.col("x.n_nationkey").alias("a"), F.col("y.n_nationkey").alias("b"))
+    return pair("n_regionkey").union(pair("class")).distinct()
+
+
+@query(
+    f"""WITH {PAGES.cte()}, {DOCS.cte()}, {HASHES.cte()} SELECT p.slug, h.source, (epoch(CAST(modified AS TIMESTAMPTZ)) - epoch(CAST(updated AS TIMESTAMPTZ))) / 86400.0 AS drift_days
+    FROM pages_ p JOIN docs_ ON basename = split_part(sources[1], '#', 1) JOIN hashes h ON h.slug = p.slug AND h.source = basename WHERE p.dir <> 'qa' AND h.hash IS NOT NULL AND h.hash <> sha256(content) AND CAST(modified AS TIMESTAMPTZ) >= CAST(updated AS TIMESTAMPTZ)"""
+)
+def g_c6_stale_pages(spark, d):
+    maps = HASHES.df(spark).groupBy("slug").agg(F.map_from_entries(F.collect_list(F.struct("source", "hash"))).alias("hashes"))
+    return G.stale_pages(pages(spark).join(maps, "slug", "left"), docs(spark))
+
+
+@query(f"WITH {PAGES.cte()} SELECT slug, count, updated, row_number() OVER (ORDER BY count DESC, updated DESC, slug) AS place FROM pages_ WHERE dir = 'qa' AND status = 'draft' QUALIFY place <= 10")
+def g_c8_promotion(spark, d):
+    return G.promotion_candidates(pages(spark))
+
+
+@query(
+    f"""WITH {PAGES.cte()}, w AS (SELECT slug, CAST(arg_max(updated, dir) AS TIMESTAMPTZ) AS u FROM pages_ WHERE dir <> 'qa' GROUP BY 1), q AS (SELECT DISTINCT slug, CAST(updated AS TIMESTAMPTZ) AS t, split_part(unnest(sources), '#', 1) AS cited FROM pages_ WHERE dir = 'qa' AND status = 'live')
+    SELECT q.slug, round(max(epoch(u) - epoch(t)) / 86400.0, 1) AS drift_days, array_to_string(list_sort(list(cited)), ',') AS cited FROM q JOIN w ON w.slug = cited WHERE epoch(u) - epoch(t) > 3 * 86400 GROUP BY 1"""
+)
+def g_c9_stale_answers(spark, d):
+    return G.stale_answers(pages(spark)).withColumn("cited", F.array_join("cited", ","))
+
+
+@query(
+    f"""WITH {PAGES.cte()}, v AS (SELECT slug, fm, json_type(fm, '$.status') AS ks, fm ->> '$.status' AS s, json_type(fm, '$.type') AS kt, fm ->> '$.type' AS t, json_type(fm, '$.question') AS kq, fm ->> '$.question' AS q, json_type(fm, '$.count') AS kc, fm ->> '$.count' AS c FROM pages_ WHERE dir = 'qa')
+    SELECT slug, 'status' AS property, coalesce(s, '<missing>') AS value FROM v WHERE NOT coalesce(s IN ('live', 'draft', 'stale', 'superseded'), false)
+    UNION ALL SELECT slug, 'type', coalesce(t, '<missing>') FROM v WHERE NOT coalesce(t = 'qa', false)
+    UNION ALL SELECT slug, 'question', coalesce(q, '<missing>') FROM v WHERE coalesce(kq, '') <> 'VARCHAR' OR trim(q) = ''
+    UNION ALL SELECT slug, 'count', coalesce(c, '<missing>') FROM v WHERE coalesce(kc, '') NOT IN ('UBIGINT', 'BIGINT') OR CAST(c AS DOUBLE) <= 0"""
+)
+def g_c10_invalid_schema(spark, d):
+    return G.invalid_answers(pages(spark))
+
+
+@query(
+    f"""WITH {PAGES.cte()}, {DOCS.cte()}, r AS (SELECT DISTINCT slug, split_part(unnest(sources), '#', 1) AS source FROM pages_ WHERE dir <> 'qa'), m AS (SELECT slug, source, source NOT IN (SELECT basename FROM docs_) AS gone FROM r)
+    SELECT slug, array_to_string(list_sort(list(source) FILTER (gone)), ',') AS missing, CASE WHEN bool_and(gone) THEN 'full' ELSE 'partial' END AS kind FROM m GROUP BY 1 HAVING bool_or(gone)"""
+)
+def g_c11_orphans(spark, d):
+    return G.orphans(pages(spark), docs(spark)).withColumn("missing", F.array_join("missing", ","))
+
+
+@query(
+    f"""WITH {PAGES.cte()}, a AS (SELECT alias, list_sort(list_distinct(list(slug))) AS c FROM (SELECT unnest(aliases) AS alias, slug FROM pages_) GROUP BY 1), s AS (SELECT *, alias IN (SELECT slug FROM pages_) AS own FROM a)
+    SELECT CASE WHEN own THEN 'alias_vs_slug' ELSE 'alias_vs_alias' END AS kind, alias, array_to_string(c, ',') AS claimed_by, CASE WHEN own THEN alias ELSE c[1] END AS resolved_to FROM s WHERE own OR len(c) >= 2"""
+)
+def g_c12_alias_collisions(spark, d):
+    return G.alias_collisions(pages(spark)).withColumn("claimed_by", F.array_join("claimed_by", ","))
+
+
+@query()
+def s_06_log_scan(spark, d):
+    return log(spark).select("line_no", "ts", "kind", "query", F.to_json("kv").alias("kv"))
+
+
+@query()
+def g_c1_coverage(spark, d):
+    return G.coverage_gaps(log(spark)).withColumn("samples", F.array_join("samples", "|"))
+
+
+@query(
+    """WITH RECURSIVE o AS (SELECT event_id, user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events WHERE event_type IN ('error', 'view')),
+    w AS (SELECT event_id, user_id, event_type, i, CASE WHEN event_type = 'error' THEN 1 ELSE 0 END AS pending, event_type = 'view' AS success FROM o WHERE i = 1
+      UNION ALL SELECT o.event_id, o.user_id, o.event_type, o.i, CASE WHEN o.event_type = 'error' THEN w.pending + 1 ELSE greatest(0, w.pending - 1) END, o.event_type = 'view' AND w.pending = 0 FROM w JOIN o ON o.user_id = w.user_id AND o.i = w.i + 1)
+    SELECT event_id, success FROM w"""
+)
+def w_05_pending_failures(spark, d):
+    rows = table(spark, d, "events").where(F.col("event_type").isin("error", "view"))
+    return G.pending_successes(rows, "user_id", "event_id", F.col("event_type") == "error", F.col("event_type") == "view").select("event_id", "success")
+
+
+def findings(spark):
+    p, s = pages(spark), docs(spark)
+    maps = HASHES.df(spark).groupBy("slug").agg(F.map_from_entries(F.collect_list(F.struct("source", "hash"))).alias("hashes"))
+    return {
+        "C1": G.coverage_gaps(log(spark)), "C2": G.red_links(p), "C3": G.failed_grounding(p, s).select("slug").distinct(), "C4": G.collisions(p), "C5": G.ranked_pairs(G.shared_source_pairs(p), p),
+        "C6": G.stale_pages(p.join(maps, "slug", "left"), s), "C8": G.promotion_candidates(p), "C9": G.stale_answers(p), "C10": G.invalid_answers(p), "C11": G.orphans(p, s), "C12": G.alias_collisions(p),
+    }
+
+
+@query()
+def a_08_findings_by_check(spark, d):
+    return G.summary(findings(spark))
+
+
+@query()
+def a_09_findings_by_axis(spark, d):
+    return G.summary(findings(spark)).groupBy("axis").agg(F.min("place").alias("first"), F.sum("n").alias("n"))
+
+
+MARKDOWN = Fixture(
+    "md",
+    "name string, text string",
+    [
+        ("a.md", "<!-- auto\n -->\n\n---\nstatus: live\ncount: 2\n---\nintro text\n\n# Top\n\n## One\nbody one\n```\n# not a heading\n```\n## One\n\n### Deep\ndeep body\n## x-2\n# Next\nlast"),
+        ("b.md", "no headings at all\n"), ("c.md", "---\n: [bad\n---\n# H"), ("d.md", ""), ("e.md", None), ("f.md", "# Only\n\n# Intro\nx\n# X\n# X\n"),
+    ],
+)
+
+
+@query()
+def f_06_frontmatter(spark, d):
+    return S.with_frontmatter(MARKDOWN.df(spark)).select("name", "frontmatter", "body")
+
+
+def parsed(spark):
+    files = S.with_frontmatter(MARKDOWN.df(spark))
+    return files, S.sections(files)
+
+
+@query()
+def f_36_sections(spark, d):
+    return parsed(spark)[1].withColumn("heading_path", F.array_join("heading_path", " > "))
+
+
+#: No document has a heading: each is one section, its whole text.
+@query("SELECT CAST(doc_id AS VARCHAR) AS name, 0 AS emit_seq, CAST(doc_id AS VARCHAR) AS id, sha256(trim(text, ' ' || chr(10))) AS content_sha FROM documents")
+def f_36_sections_of_documents(spark, d):
+    rows = S.sections(table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("name"), F.col("text").alias("body")))
+    return rows.select("name", "emit_seq", "id", F.sha2("content", 256).alias("content_sha"))
+
+
+@query()
+def a_28_uncarried(spark, d):
+    files, rows = parsed(spark)
+    return S.uncarried(files, rows)
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS name, length(text) >= 2000 AS longform FROM documents")
+def p_14_longform(spark, d):
+    files = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("name"), F.col("text").alias("body"))
+    return S.longform(files, S.sections(files))
+
+
+@query(
+    r"""WITH l AS (SELECT doc_id, regexp_replace(translate(trim(regexp_replace(unnest(string_split(text, chr(10))), '[\s\x{A0}]+', ' ', 'g')), 'lI', '11'), '\d+', '#', 'g') AS key FROM documents),
+    c AS (SELECT doc_id, key, count(*) AS n FROM l WHERE key <> '' GROUP BY 1, 2), f AS (SELECT doc_id, key FROM c WHERE n >= 3 AND (length(key) >= 5 OR regexp_matches(key, '^#\s*/\s*#$')))
+    SELECT doc_id, key FROM f UNION SELECT c.doc_id, c.key FROM c JOIN f ON f.doc_id = c.doc_id AND starts_with(f.key, c.key) WHERE n >= 2 AND length(c.key) >= 5"""
+)
+def a_04_furniture(spark, d):
+    return S.furniture(table(spark, d, "documents"))
+
+
+@query()
+def f_20_html_to_markdown(spark, d):
+    return S.convert_pages(table(spark, d, "pages")).select("page_id", "url", "markdown")
+
+
+@query(r"SELECT page_id, len(regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1)) AS links, regexp_extract(html, '<title>(.*?)</title>', 1) AS title FROM pages".replace('\\"', '"'))
+def f_20_page_links(spark, d):
+    rows = table(spark, d, "pages")
+    return rows.select("page_id", F.size(F.regexp_extract_all("html", F.lit('<a href="([^"]*)"'), F.lit(1))).cast("long").alias("links"), F.regexp_extract("html", "<title>(.*?)</title>", 1).alias("title"))
+
+
+@query()
+def f_23_split_text(spark, d):
+    return S.chunks(table(spark, d, "documents"), "doc_id", "text")
+
+
+PARAGRAPHS = Fixture("pg", "id int, t string", [(1, "aaa bbb\n\nccc\n\n" + "d" * 40 + "\n\ne"), (2, ""), (3, "one"), (4, "x" * 50 + "\n \n" + "y" * 5 + "\n\nz")])
+
+
+@query()
+def w_11_pack_paragraphs(spark, d):
+    return PARAGRAPHS.df(spark).select("id", F.posexplode(S.pack_paragraphs(F.col("t"), 5)).alias("place", "part"))
+
+
+@query(
+    f"""WITH {PAGES.cte()} SELECT slug, CASE WHEN status = 'failed_grounding' THEN 'dropped' WHEN dir <> 'qa' THEN 'indexed' WHEN fm IS NULL THEN 'dropped' WHEN fm ->> '$.status' = 'live' THEN 'indexed' WHEN fm ->> '$.status' = 'draft' THEN 'skipped' ELSE 'warned' END AS admission FROM pages_"""
+)
+def p_01_admission(spark, d):
+    status = F.expr("try_variant_get(parse_json(fm), '$.status', 'string')")
+    how = F.when(F.col("status") == "failed_grounding", "dropped").when(F.col("dir") != "qa", "indexed").when(F.col("fm").isNull(), "dropped").when(status == "live", "indexed").when(status == "draft", "skipped").otherwise("warned")
+    return pages(spark).select("slug", how.alias("admission"))
+
+
+@query(
+    f"""WITH {PAGES.cte()}, q AS (SELECT slug, split_part(unnest(sources), '#', 1) AS cited FROM pages_ WHERE dir = 'qa'), l AS (SELECT slug, trim(unnest(regexp_extract_all(body, '{X.WIKILINK}', 1))) AS t FROM pages_), {RESOLVE}
+    SELECT DISTINCT canonical AS target, slug AS source, 'link' AS how FROM l JOIN res ON name = t UNION SELECT DISTINCT cited, slug, 'citation' FROM q"""
+)
+def j_09_inbound(spark, d):
+    links = pages(spark).select("slug", F.explode(X.wikilinks("body")).alias("name")).join(G.resolution_map(pages(spark)), "name").select(F.col("canonical").alias("target"), F.col("slug").alias("source"), F.lit("link").alias("how"))
+    cites = pages(spark).where("dir = 'qa'").select(F.explode("sources").alias("ref"), "slug").select(F.element_at(F.split("ref", "#"), 1).alias("target"), F.col("slug").alias("source"), F.lit("citation").alias("how"))
+    return links.union(cites).distinct()
+
+
+@query(
+    f"""WITH {PAGES.cte()}, r AS (SELECT slug, list_filter(sources, lambda s: contains(s, '#')) AS refs FROM pages_) SELECT slug, array_to_string(list_transform(refs, lambda s: split_part(s, '#', 1)), ',') AS derived_from FROM r"""
+)
+def j_05_derived_from(spark, d):
+    return pages(spark).select("slug", F.array_join(F.transform(F.filter("sources", lambda s: F.instr(s, F.lit("#")) > 0), lambda s: F.element_at(F.split(s, "#"), 1)), ",").alias("derived_from"))
+
+
+@query(f"""WITH {PAGES.cte()}, s AS (SELECT split_part(unnest(sources), '#', 1) AS source, slug, status FROM pages_ WHERE dir <> 'qa') SELECT source, count(*) AS pages, bool_and(status = 'live') AS skip FROM (SELECT DISTINCT * FROM s) GROUP BY 1""")
+def j_23_hash_skip(spark, d):
+    refs = pages(spark).where("dir <> 'qa'").select(F.explode("sources").alias("ref"), "slug", "status").select(F.element_at(F.split("ref", "#"), 1).alias("source"), "slug", "status").distinct()
+    return refs.groupBy("source").agg(F.count("*").alias("pages"), F.every(F.col("status") == "live").alias("skip"))
+
+
+@query(
+    f"""WITH {PAGES.cte()}, {DOCS.cte()}, r AS (SELECT DISTINCT slug, split_part(unnest(sources), '#', 1) AS source FROM pages_ WHERE dir <> 'qa')
+    SELECT slug, bool_and(source = 'shipping.md' OR source NOT IN (SELECT basename FROM docs_)) AS full_orphan FROM r GROUP BY 1 HAVING bool_or(source = 'shipping.md')"""
+)
+def j_25_retire_impact(spark, d):
+    refs = pages(spark).where("dir <> 'qa'").select("slug", F.explode("sources").alias("ref")).select("slug", F.element_at(F.split("ref", "#"), 1).alias("source")).distinct()
+    left = docs(spark).where("basename <> 'shipping.md'").select(F.col("basename").alias("source")).distinct().withColumn("there", F.lit(True))
+    return refs.join(left, "source", "left").groupBy("slug").agg(F.every(F.col("there").isNull()).alias("full_orphan"), F.bool_or(F.col("source") == "shipping.md").alias("hit")).where("hit").drop("hit")
+
+
+@query(f"WITH {PAGES.cte()} SELECT dir AS file, count(*) AS bullets, string_agg('- [[' || slug || ']]' || CASE WHEN len(aliases) > 0 THEN ' (' || array_to_string(aliases, ', ') || ')' ELSE '' END, chr(10) ORDER BY slug) AS listing FROM pages_ GROUP BY 1")
+def k_04_wiki_index(spark, d):
+    bullet = F.concat(F.lit("- [["), "slug", F.lit("]]"), F.when(F.size("aliases") > 0, F.concat(F.lit(" ("), F.array_join("aliases", ", "), F.lit(")"))).otherwise(""))
+    rows = pages(spark).select(F.col("dir").alias("file"), F.struct("slug", bullet.alias("b")).alias("x")).groupBy("file").agg(F.count("*").alias("bullets"), F.array_sort(F.collect_list("x")).alias("x"))
+    return rows.select("file", "bullets", F.array_join(F.transform("x", lambda x: x["b"]), "\n").alias("listing"))
