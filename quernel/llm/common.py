@@ -78,12 +78,12 @@ def by_bytes(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> It
         at = to
 
 
-def map_text(df: DataFrame, column: str, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
+def map_text(df: DataFrame, column: str, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, limit: int = SLICE_BYTES) -> DataFrame:
     """``mapInArrow`` with bounded slices; nothing is kept between slices."""
 
     def run(batches):
         for batch in batches:
-            for part in by_bytes(batch, column):
+            for part in by_bytes(batch, column, limit):
                 if (out := fn(part)) is not None and out.num_rows:
                     yield out
         release()

@@ -7,9 +7,9 @@ verify what is read back.
 
 Files of a store (Parquet, in one folder):
 
-``chunks``    a row for each document: rid, keys (digests), payloads (little-endian ids, two bytes each if
-              the vocabulary allows, else four; null where the chunk is stored with another place), absent
-              (positions of such nulls), lent (positions of payloads that other places refer to)
+``chunks``    a row for each document: rid, keys (digests of its chunks), lens (their ids), payload (little-endian
+              ids end to end, two bytes each if the vocabulary allows, else four, without the chunks that are
+              stored with another place), absent (positions of those), lent (positions that other places refer to)
 ``recipes``   rid, doc_id, ordinal, start, n_tokens, leaf: documents in ascending doc_id order
 ``manifest``  level, node, digest: level 0 joins ``FAN`` leaves each, the last level is the root
 """
@@ -25,27 +25,32 @@ from array import array
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bpe import MARK_RUN, byte_letters, read_file
+from .bpe import byte_letters, read_file
 from .common import Remembered, edges, map_text, materialize, runs, shared_dir, small
 
 #: Ids under the rolling hash's window; average and largest ids of a chunk.
 WINDOW, AVERAGE, LARGEST = 8, 256, 4096
 FAN = 1024
-#: Remembered pieces of each of a worker's two generations, up to a length.
-REMEMBERED, LONG = 250_000, 64
-
-PLAIN = re.compile("[^\n -~À-ÖØ-öø-ÿ]")
-
+#: Remembered pieces of a worker, up to a length; beyond the number the memory starts anew. Bytes of text encoded at once.
+REMEMBERED, LONG, AT_ONCE = 600_000, 64, 4 << 20
 
 #: The byte-level word pattern over plain text.
 PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-zÀ-ÖØ-öø-ÿ]+| ?[0-9]+| ?[^\sA-Za-z0-9À-ÖØ-öø-ÿ]+|\s+(?!\S)|\s+")
 
 
+#: Texts that are not cut at spaces: other characters, adjoining white space, special tokens; and texts whose marks stay in place.
+WHOLE = "[^\n -~À-ÖØ-öø-ÿ]|  |\n | \n|<\\|"
+KEEP_MARKS = "[^A-Za-z0-9À-ÖØ-öø-ÿ][.,][ \n]|\n\n"
+#: Begins a piece that has no space before it.
+BARE = "\x01"
+
+
 class LibraryEncoder:
-    """Byte-level BPE by the library, asked once for each distinct space-separated piece.
+    """Byte-level BPE by the library, asked once for each distinct space-separated piece of many texts.
 
     In plain text a single space followed by another character always starts a word of the byte-level
     pattern, so pieces can be encoded apart. Other texts go to the library whole.
@@ -61,10 +66,8 @@ class LibraryEncoder:
         self.type = "<u4" if self.wide else "<u2"
         self.code = "I" if self.wide else "H"
         self.letters = byte_letters()
-        short = lambda piece: len(piece) <= LONG and "\n" not in piece[2:]  # two words and a line break seldom come again
-        #: Ids of pieces that follow a space in plain text.
-        self.known = Remembered(REMEMBERED, self.piece, short)
-        self.parts = Remembered(REMEMBERED // 4, self.part, short)
+        self.known: dict[str, bytes] = {}
+        self.parts = Remembered(REMEMBERED // 8, self.part, lambda part: len(part) <= LONG)
 
     def whole(self, text: str) -> bytes:
         return self.packed(self.library.encode(text, add_special_tokens=False).ids)
@@ -76,11 +79,12 @@ class LibraryEncoder:
         return ids.tobytes()
 
     def piece(self, piece: str) -> bytes:
+        """Ids of a piece of plain text: with a space before it, unless it is marked as bare."""
         if piece.isalpha():
             return self.word(self.letters[32], piece)
-        if piece[:1] == "\x01":  # no space before it
-            return self.whole(piece[1:])
-        return b"".join([self.known[w[1:]] if w[0] == " " and w[1:].isalpha() else self.parts[w] for w in PIECE.findall(" " + piece)])
+        if piece[:1] == BARE:
+            return self.word("", piece[1:]) if piece[1:].isalpha() else self.whole(piece[1:])
+        return b"".join([self.parts[w] for w in PIECE.findall(" " + piece)])
 
     def word(self, before: str, word: str) -> bytes:
         """One word of letters: the library's model alone, without its bookkeeping."""
@@ -88,17 +92,51 @@ class LibraryEncoder:
         return self.packed([t.id for t in self.library.model.tokenize(before + body)])
 
     def part(self, part: str) -> bytes:
-        """A word of the pattern that is no word of letters after a space."""
-        return self.word("", part) if part.isalpha() else self.whole(part)
-
-    def encode(self, text: str) -> bytes:
-        if PLAIN.search(text) or "  " in text or "\n " in text or " \n" in text or "<|" in text:
-            return self.whole(text)
-        if not MARK_RUN.search(text) and "\n\n" not in text:
-            # marks and line ends after a word become pieces of their own, so that more pieces are known ones
-            text = text.replace(", ", " \x01, ").replace(". ", " \x01. ").replace(".\n", " \x01. \x01\n \x01")
-        first, *rest = text.split(" ")
-        return b"".join([self.whole(first), *map(self.known.__getitem__, rest)])
+        if part.isalpha():
+            return self.word("", part)
+        return self.word(self.letters[32], part[1:]) if part[0] == " " and part[1:].isalpha() else self.whole(part)
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts (null: empty), end to end, and where each text ends."""
+        texts = pc.fill_null(texts.cast(pa.string()), "")
+        odd = pc.match_substring_regex(texts, WHOLE)
+        fast = np.flatnonzero(~odd.to_numpy(zero_copy_only=False))
+        slow = np.flatnonzero(odd.to_numpy(zero_copy_only=False))
+        plain = texts.take(pa.array(fast))
+        # marks and line ends after a word become pieces of their own, so that more pieces are known ones
+        apart = plain
+        for old, new in ((", ", " \x01, "), (". ", " \x01. "), (".\n", " \x01. \x01\n \x01")):
+            apart = pc.replace_substring(apart, old, new)
+        plain = pc.binary_join_element_wise(BARE, pc.if_else(pc.match_substring_regex(plain, KEEP_MARKS), plain, apart), "")
+        pieces = pc.split_pattern(plain, " ")
+        coded = pieces.flatten().dictionary_encode()
+        code = coded.indices.to_numpy()
+        names = coded.dictionary.to_pylist()
+        ids = list(map(self.known.get, names))
+        for i, p in enumerate(names):
+            if ids[i] is None:
+                ids[i] = self.piece(p)
+                if len(p) <= LONG and "\n" not in p[2:]:  # two words and a line break seldom come again
+                    self.known[p] = ids[i]
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+        unit = 4 if self.wide else 2
+        count = np.fromiter(map(len, ids), np.int64, len(ids)) // unit
+        flat, start = np.frombuffer(b"".join(ids), self.type), np.cumsum(count) - count
+        own = count[code]
+        end = np.cumsum(own)
+        at = np.arange(end[-1] if len(end) else 0)
+        at += np.repeat(start[code] - (end - own), own)
+        bounds = pieces.offsets.to_numpy().astype(np.int64) - pieces.offsets[0].as_py() if len(pieces) else np.zeros(1, np.int64)
+        ends = np.append(0, end)[bounds[1:]]
+        if not len(slow):
+            return flat[at], ends
+        got, parts = flat[at], [b""] * len(texts)
+        for i, a, b in zip(fast, np.append(0, ends)[:-1], ends):
+            parts[i] = got[a:b].tobytes()
+        for i in slow:
+            parts[i] = self.whole(texts[int(i)].as_py())
+        return np.frombuffer(b"".join(parts), self.type), np.cumsum([len(x) // unit for x in parts])
 
 
 _LOADED: dict[int, LibraryEncoder] = {}
@@ -157,24 +195,24 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col:
         enc = loaded(spec.value)
         size = 4 if enc.wide else 2
         end = int(end_id).to_bytes(size, "little")
-        count, keys, bodies, leaf, off = [], [], [], [], [0]
-        for text in part.column("text").to_pylist():
-            raw = enc.encode(text or "") + end
+        count, keys, lens, bodies, leaf, off = [], [], [], [], [], [0]
+        ids, ends = enc.encode(part.column("text"))
+        for a, b in zip([0, *ends[:-1].tolist()], ends.tolist()):
+            raw = ids[a:b].tobytes() + end
             last, at = 0, len(keys)
             for cut in cut_points(np.frombuffer(raw, enc.type)):
-                bodies.append(raw[last * size : cut * size])
-                keys.append(key_of(bodies[-1]))
+                keys.append(key_of(raw[last * size : cut * size])), lens.append(cut - last)
                 last = cut
-            off.append(len(keys)), count.append(last), leaf.append(leaf_of(keys[at:]))
+            off.append(len(keys)), count.append(last), leaf.append(leaf_of(keys[at:])), bodies.append(raw)
         off = pa.array(off, pa.int32())
         return pa.RecordBatch.from_arrays(
-            [part.column("rid"), part.column("doc_id"), pa.array(count, pa.int64()), pa.array(leaf, pa.string()), pa.ListArray.from_arrays(off, pa.array(keys, pa.binary())), pa.ListArray.from_arrays(off, pa.array(bodies, pa.binary()))],
-            names=["rid", "doc_id", "n_tokens", "leaf", "keys", "payloads"],
+            [part.column("rid"), part.column("doc_id"), pa.array(count, pa.int64()), pa.array(leaf, pa.string()), pa.ListArray.from_arrays(off, pa.array(keys, pa.binary())), pa.ListArray.from_arrays(off, pa.array(lens, pa.int32())), pa.array(bodies, pa.binary())],
+            names=["rid", "doc_id", "n_tokens", "leaf", "keys", "lens", "payload"],
         )
 
     # the row number is fixed by the input's files and their order
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    made = map_text(rows, "text", chunked, "rid long, doc_id long, n_tokens long, leaf string, keys array<binary>, payloads array<binary>")
+    made = map_text(rows, "text", chunked, "rid long, doc_id long, n_tokens long, leaf string, keys array<binary>, lens array<int>, payload binary", AT_ONCE)
     made.write.parquet(f"{path}/staged")
     staged = spark.read.schema(made.schema).parquet(f"{path}/staged")
 
@@ -187,10 +225,20 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col:
     )
     marks = small(materialize(marks, "marks"), 96)
     none = F.expr("CAST(array() AS array<int>)")
+    unit = 4 if loaded(spec.value).wide else 2
+
+    def kept(acc, x):
+        size = x["n"] * unit
+        out = F.when(F.array_contains("absent", x["i"]), acc["out"]).otherwise(F.concat(acc["out"], F.substring("payload", acc["at"] + 1, size)))
+        return F.struct((acc["at"] + size).alias("at"), out.alias("out"))
+
+    places_of = F.transform("lens", lambda n, i: F.struct(n.alias("n"), i.alias("i")))
+    kept_bytes = F.aggregate(places_of, F.struct(F.lit(0).alias("at"), F.lit(b"").alias("out")), kept, lambda acc: acc["out"])
     staged.join(marks, "rid", "left").select(
         "rid",
         "keys",
-        F.when(F.size("absent") > 0, F.transform("payloads", lambda x, i: F.when(~F.array_contains("absent", i), x))).otherwise(F.col("payloads")).alias("payloads"),
+        "lens",
+        F.when(F.size("absent") > 0, kept_bytes).otherwise(F.col("payload")).alias("payload"),
         F.coalesce("absent", none).alias("absent"),
         F.coalesce("lent", none).alias("lent"),
     ).write.parquet(f"{path}/chunks")
@@ -248,7 +296,7 @@ def read_store(spark: SparkSession, path: str, wide: bool = False, with_ids: boo
     manifest's digests above them; a mismatch or a missing chunk is an error. Without ``with_ids`` the ids
     themselves are left null once they are checked and counted.
     """
-    chunks = spark.read.schema("rid long, keys array<binary>, payloads array<binary>, absent array<int>, lent array<int>").parquet(f"{path}/chunks")
+    chunks = spark.read.schema("rid long, keys array<binary>, lens array<int>, payload binary, absent array<int>, lent array<int>").parquet(f"{path}/chunks")
     recipes = spark.read.schema("rid long, doc_id long, ordinal long, start long, n_tokens long, leaf string").parquet(f"{path}/recipes")
     broken = merkle_level(recipes.select("ordinal", "leaf")).join(manifest(spark, path).where("level = 0").select(F.col("node").alias("ordinal"), "digest"), "ordinal", "full").where("NOT (leaf <=> digest)")
     if not broken.isEmpty():
@@ -256,38 +304,69 @@ def read_store(spark: SparkSession, path: str, wide: bool = False, with_ids: boo
 
     kind = "<u4" if wide else "<u2"
 
-    def rebuilt(rid, keys: list[list[bytes]], bodies: list[list[bytes | None]]) -> pa.RecordBatch:
-        leaf, n, crc, ids = [], [], [], []
-        for own, body in zip(keys, bodies):
-            if any(v is None or key_of(v) != k for k, v in zip(own, body)):
-                raise ValueError("a chunk is missing or differs from its digest")
-            data = np.frombuffer(b"".join(body), kind).astype("<u4").tobytes()
-            leaf.append(leaf_of(own)), n.append(len(data) // 4), crc.append(zlib.crc32(data)), ids.append(data if with_ids else None)
+    unit = 4 if wide else 2
+
+    def rebuilt(rid, keys: list[list[bytes]], raw: list[bytes]) -> pa.RecordBatch:
+        data = [np.frombuffer(x, kind).astype("<u4") for x in raw]
         return pa.RecordBatch.from_arrays(
-            [rid, pa.array(leaf, pa.string()), pa.array(n, pa.int64()), pa.array(crc, pa.int64()), pa.array(ids, pa.binary())],
+            [rid, pa.array(map(leaf_of, keys), pa.string()), pa.array(map(len, data), pa.int64()), pa.array([zlib.crc32(x) for x in data], pa.int64()), pa.array([x.tobytes() if with_ids else None for x in data], pa.binary())],
             names=["rid", "leaf_read", "n_read", "ids_crc32", "ids"],
         )
 
-    def whole(batches):
+    def checked(key: bytes, body: bytes | None) -> bytes:
+        if body is None or key_of(body) != key:
+            raise ValueError("a chunk is missing or differs from its digest")
+        return body
+
+    def rows_of(batches, names):
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                yield rebuilt(part.column("rid"), part.column("keys").to_pylist(), part.column("payloads").to_pylist())
+                yield part, zip(*(part.column(n).to_pylist() for n in names))
+
+    def whole(batches):
+        for part, rows in rows_of(batches, ["keys", "lens", "payload"]):
+            keys, raw = [], []
+            for own, lens, payload in rows:
+                at = 0
+                for k, n in zip(own, lens):
+                    checked(k, payload[at : at + n * unit])
+                    at += n * unit
+                keys.append(own), raw.append(payload)
+            yield rebuilt(part.column("rid"), keys, raw)
+
+    def stored(wanted):
+        """(rid, pos, key, payload) of stored chunks: all, or the lent ones."""
+
+        def run(batches):
+            for _, rows in rows_of(batches, ["rid", "keys", "lens", "payload", "absent", "lent"]):
+                out = [[], [], [], []]
+                for rid, own, lens, payload, absent, lent in rows:
+                    at, gone, pick = 0, set(absent), set(lent) if wanted == "lent" else range(len(own))
+                    for i, (k, n) in enumerate(zip(own, lens)):
+                        if i not in gone:
+                            if i in pick:
+                                for c, v in zip(out, (rid, i, k, payload[at : at + n * unit])):
+                                    c.append(v)
+                            at += n * unit
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int32(), pa.binary(), pa.binary()))], names=["rid", "pos", "key", "payload"])
+
+        return run
 
     def pieces(batches):
         for part in runs(batches, ["rid"]):
             keys, body = part.column("key").to_pylist(), part.column("payload").to_pylist()
             cut = [*edges(part, ["rid"]).tolist(), part.num_rows]
-            yield rebuilt(part.column("rid").take(pa.array(cut[:-1])), [keys[a:b] for a, b in zip(cut, cut[1:])], [body[a:b] for a, b in zip(cut, cut[1:])])
+            spans = list(zip(cut, cut[1:]))
+            yield rebuilt(part.column("rid").take(pa.array(cut[:-1])), [keys[a:b] for a, b in spans], [b"".join(map(checked, keys[a:b], body[a:b])) for a, b in spans])
 
     out = "rid long, leaf_read string, n_read long, ids_crc32 long, ids binary"
     # documents that hold all their chunks are read where they stand; only the others are put together
-    own = chunks.where(F.size("absent") == 0).select("rid", "keys", "payloads").mapInArrow(whole, out)
-    part = chunks.where(F.size("absent") > 0)
-    at = lambda name: F.get(name, F.col("pos")).alias(name[:-1])
-    held = part.select("rid", F.posexplode("keys").alias("pos", "key"), "payloads").select("rid", "pos", "key", at("payloads")).where("payload IS NOT NULL")
-    want = part.select("rid", F.explode("absent").alias("pos"), "keys").select("rid", "pos", at("keys"))
-    lent = chunks.where(F.size("lent") > 0).select(F.explode("lent").alias("pos"), "keys", "payloads").select(at("keys"), at("payloads"))
+    own = chunks.where(F.size("absent") == 0).select("rid", "keys", "lens", "payload").mapInArrow(whole, out)
+    part, of_place = chunks.where(F.size("absent") > 0), "rid long, pos int, key binary, payload binary"
+    held = part.mapInArrow(stored("all"), of_place)
+    want = part.select("rid", F.explode("absent").alias("pos"), "keys").select("rid", "pos", F.get("keys", F.col("pos")).alias("key"))
+    lent = chunks.where(F.size("lent") > 0).mapInArrow(stored("lent"), of_place).select("key", "payload")
     found = want.join(lent, "key", "left").select("rid", "pos", "key", "payload")
     built = held.unionByName(found).repartition("rid").sortWithinPartitions("rid", "pos").select("rid", "key", "payload").mapInArrow(pieces, out)
     built = own.unionByName(built)
