@@ -1 +1,128 @@
-"""Queries."""
+"""Mutations over literal pages."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import mutate as M
+from .governance import DOCS, PAGES, docs, pages
+from .registry import Fixture, query
+
+CHANGES = Fixture("ch", "slug string, status string, body string, aliases array<string>", [("refunds", "draft", "new body", ["zz"]), ("brand-new", "live", "first", ["n"])])
+BASE = "p AS (SELECT slug, status, body, array_to_string(aliases, ',') AS aliases FROM pages_)"
+
+
+def show(df):
+    return df.withColumn("aliases", F.array_join("aliases", ",")) if "aliases" in df.columns else df
+
+
+@query(
+    f"""WITH {PAGES.cte()}, {CHANGES.cte()}, o AS (SELECT slug, status, body, aliases FROM pages_) SELECT coalesce(ch.slug, o.slug) AS slug, CASE WHEN ch.slug IS NULL THEN o.status ELSE ch.status END AS status,
+    CASE WHEN ch.slug IS NULL THEN o.body ELSE ch.body END AS body, array_to_string(CASE WHEN o.slug IS NULL THEN ch.aliases ELSE o.aliases END, ',') AS aliases FROM o FULL JOIN ch ON ch.slug = o.slug"""
+)
+def m_01_upsert(spark, d):
+    return show(M.upsert(pages(spark).select("slug", "status", "body", "aliases"), CHANGES.df(spark), keep=("aliases",)))
+
+
+@query(f"WITH {PAGES.cte()} SELECT slug FROM pages_ WHERE NOT (len(list_filter(sources, lambda s: split_part(s, '#', 1) = 'shipping.md')) > 0 AND slug <> 'shipping')")
+def m_02_delete_orphans(spark, d):
+    return M.delete_orphans(pages(spark), "shipping.md", spark.createDataFrame([("shipping",)], "slug string")).select("slug")
+
+
+@query(f"WITH {PAGES.cte()}, {CHANGES.cte()} SELECT slug, greatest(1, coalesce(count, 0) + CASE WHEN status IN ('draft', 'live') THEN 1 ELSE 0 END) AS count FROM pages_ WHERE dir = 'qa'")
+def m_03_file_answer(spark, d):
+    return pages(spark).where("dir = 'qa'").select("slug", F.greatest(F.lit(1), F.coalesce("count", F.lit(0)) + F.col("status").isin("draft", "live").cast("int")).alias("count"))
+
+
+BATCH = Fixture("batch", "place int, slug string", [(1, "ask-a"), (2, "../x"), (3, "nope"), (4, "fresh"), (5, "ask-a"), (6, "ask-b")])
+
+
+@query(
+    f"""WITH {PAGES.cte()}, {BATCH.cte()}, s AS (SELECT *, row_number() OVER (PARTITION BY slug ORDER BY place) AS seen FROM batch)
+    SELECT place, s.slug, CASE WHEN regexp_matches(s.slug, '[/\\\\]') THEN 'invalid_slug' WHEN status IS NULL THEN 'not_found' WHEN status NOT IN ('draft', 'live') THEN 'invalid_status' WHEN status = 'live' OR seen > 1 THEN 'already_live' ELSE 'live' END AS outcome
+    FROM s LEFT JOIN pages_ p ON p.slug = s.slug AND p.dir = 'qa'"""
+)
+def m_04_promote(spark, d):
+    return M.promote(pages(spark), BATCH.df(spark))[1]
+
+
+@query(f"WITH {PAGES.cte()}, {BATCH.cte()} SELECT slug, CASE WHEN dir = 'qa' AND slug IN (SELECT slug FROM batch) AND status = 'live' THEN 'draft' ELSE status END AS status FROM pages_")
+def m_05_demote(spark, d):
+    return M.promote(pages(spark), BATCH.df(spark), "draft")[0].select("slug", "status")
+
+
+EDITS = Fixture("ed", "slug string, body string", [("ask-a", "x [Source: refunds#a]"), ("ask-b", "y [Source: other#z]"), ("fresh", "z"), ("none", "q")])
+
+
+@query(
+    rf"""WITH {PAGES.cte()}, {EDITS.cte()} SELECT ed.slug, CASE WHEN p.slug IS NULL THEN 'not_found' WHEN status = 'live' THEN 'conflict' WHEN len(list_filter(regexp_extract_all(ed.body, '\[Source:\s*([^\]]+?)\s*\]', 1), lambda x: x NOT IN ('refunds#a', 'shipping#s'))) > 0 THEN 'ungrounded'
+    WHEN len(regexp_extract_all(ed.body, '\[Source:')) = 0 AND len(sources) = 0 THEN 'ungrounded' ELSE 'edited' END AS outcome FROM ed LEFT JOIN pages_ p ON p.slug = ed.slug AND p.dir = 'qa'"""
+)
+def m_06_edit_draft(spark, d):
+    return M.edit_draft(pages(spark), EDITS.df(spark), spark.createDataFrame([("refunds#a",), ("shipping#s",)], "id string"))[1]
+
+
+@query(f"WITH {PAGES.cte()}, {BATCH.cte()} SELECT slug, dir FROM pages_ WHERE NOT (dir = 'qa' AND status <> 'live' AND slug IN (SELECT slug FROM batch))")
+def m_07_delete_answers(spark, d):
+    return M.delete_answers(pages(spark), BATCH.df(spark)).select("slug", "dir")
+
+
+REFILED = Fixture("rf", "slug string, passed boolean, reason string, body string", [("how-refund", True, None, "better"), ("fresh", False, "below_threshold", None), ("ask-a", False, "provider_error", None)])
+
+
+@query(
+    f"""WITH {PAGES.cte()}, {REFILED.cte()} SELECT p.slug, CASE WHEN passed OR (NOT passed AND rf.reason IN ('retrieval_empty', 'below_threshold', 'claim_unsupported') AND status = 'live') THEN 'draft' ELSE status END AS status,
+    CASE WHEN passed THEN rf.body ELSE p.body END AS body FROM pages_ p LEFT JOIN rf ON rf.slug = p.slug AND p.dir = 'qa'"""
+)
+def m_08_refile(spark, d):
+    return M.refile(pages(spark).drop("reason"), REFILED.df(spark)).select("slug", "status", "body")
+
+
+@query(f"WITH {PAGES.cte()}, {DOCS.cte()} SELECT slug FROM pages_ WHERE NOT (len(sources) > 0 AND slug IN ('plan', 'our-shipping') AND len(list_filter(sources, lambda s: split_part(s, '#', 1) IN (SELECT basename FROM docs_))) = 0)".replace("IN (SELECT basename FROM docs_)", "IN ('refunds.md', 'billing.md', 'shipping.md', 'pricing.md', 'dup.md')"))
+def m_09_delete_full_orphans(spark, d):
+    return M.delete_full_orphans(pages(spark), docs(spark), spark.createDataFrame([("plan",), ("our-shipping",)], "slug string")).select("slug")
+
+
+ALIASES = Fixture("al", "slug string, alias string", [("refunds", "payback"), ("refunds", "delivery"), ("ghost", "g"), ("shipping", "delivery"), ("pricing", "plan")])
+
+
+@query(
+    f"""WITH {PAGES.cte()}, {ALIASES.cte()}, n AS (SELECT slug AS name, slug AS c FROM pages_ UNION SELECT name, min(slug) FROM (SELECT unnest(aliases) AS name, slug FROM pages_) WHERE name NOT IN (SELECT slug FROM pages_) GROUP BY 1)
+    SELECT slug, alias, CASE WHEN slug NOT IN (SELECT slug FROM pages_) THEN 'not_found' WHEN c = slug THEN 'unchanged' WHEN c IS NOT NULL THEN 'collision' ELSE 'added' END AS outcome FROM al LEFT JOIN n ON name = alias"""
+)
+def m_10_add_alias(spark, d):
+    return M.add_alias(pages(spark), ALIASES.df(spark))[1]
+
+
+@query(f"WITH {PAGES.cte()} SELECT slug, array_to_string(list_transform(sources, lambda s: CASE WHEN split_part(s, '#', 1) = 'shipping.md' THEN 'freight.md' || substr(s, 12) ELSE s END), ',') AS sources FROM pages_")
+def m_11_rename_source(spark, d):
+    return M.rename_source(pages(spark), "shipping.md", "freight.md").select("slug", F.array_join("sources", ",").alias("sources"))
+
+
+@query(f"WITH {PAGES.cte()} SELECT slug, CASE WHEN slug = 'pricing-2' THEN 'applied' ELSE 'stale' END AS outcome FROM pages_ WHERE slug IN ('pricing', 'pricing-2')")
+def m_12_compare_and_set(spark, d):
+    seen = pages(spark).where("slug = 'pricing-2'").select("slug", F.sha2("body", 256).alias("seen_hash"), F.lit("merged").alias("body"))
+    return M.compare_and_set(pages(spark), seen.union(spark.createDataFrame([("pricing", "00", "x")], "slug string, seen_hash string, body string")))[1]
+
+
+FILES = Fixture(
+    "fl",
+    "path string, basename string, ext string, bytes long, sha string, hand_authored boolean",
+    [("r/a.md", "a.md", "md", 10, "s1", False), ("r/A.md", "A.md", "md", 10, "s2", False), ("r/b#c.md", "b#c.md", "md", 1, "x", False), ("r/d.html", "d.html", "html", 0, "e", False), ("r/e.txt", "e.txt", "txt", 99999999, "y", False), ("r/f.md", "f.md", "md", 5, "s9", True), ("r/g.pdf", "g.pdf", "pdf", 5, "sg", False), ("r/h.doc", "h.doc", "doc", 5, "sh", False)],
+)
+
+
+@query(
+    rf"""WITH {FILES.cte()}, n AS (SELECT *, row_number() OVER (PARTITION BY lower(basename) ORDER BY path) AS i FROM fl) SELECT path, CASE WHEN regexp_matches(basename, '[#/\\:]') THEN 'unsafe_filename' WHEN ext NOT IN ('html', 'txt', 'md', 'pdf') THEN 'unsupported'
+    WHEN i > 1 THEN 'collision' WHEN hand_authored THEN 'hand_authored' WHEN bytes = 0 THEN 'empty' WHEN bytes > 10485760 THEN 'too_large' WHEN basename = 'g.pdf' AND sha = 'sg' THEN 'unchanged' ELSE 'imported' END AS outcome FROM n"""
+)
+def m_13_import_outcome(spark, d):
+    return M.import_outcome(FILES.df(spark), spark.createDataFrame([("g.pdf", "sg"), ("a.md", "other")], "basename string, sha string"))
+
+
+SLUGS = Fixture("sl", "place int, base string", [(1, "x"), (2, "x"), (3, "y"), (4, "x-2"), (5, "x")])
+
+
+@query("SELECT * FROM (VALUES (1, 'x', 'x'), (2, 'x', 'x-3'), (3, 'y', 'y'), (4, 'x-2', 'x-2-2'), (5, 'x', 'x-4')) AS t(place, base, slug)")
+def w_06_slug_numbering(spark, d):
+    return M.number_slugs(SLUGS.df(spark), ["x-2"])
