@@ -42,8 +42,10 @@ def scan_jsonl(spark: SparkSession, path: str, schema: str, torn_tail: bool = Fa
     last = F.max("line_no").over(Window.partitionBy(F.lit(1)))
     rows = rows.withColumn("last", F.col("line_no") == last)
     allowed = F.col("last") & F.lit(torn_tail)
-    checked = F.when(F.col("ok") | allowed, F.col("ok")).otherwise(F.raise_error(F.concat(F.lit("bad line "), F.col("line_no").cast("string"))).cast("boolean"))
-    return rows.withColumn("ok", checked).where("ok").select("line_no", "j.*")
+    # a bad line that is not allowed stays, and fails where its fields are read
+    error = F.raise_error(F.concat(F.lit("bad line "), F.col("line_no").cast("string")))
+    kept = rows.where(F.col("ok") | ~allowed).withColumn("line_no", F.when(F.col("ok"), F.col("line_no")).otherwise(error.cast("int")))
+    return kept.select("line_no", "j.*")
 
 
 def tree(files: DataFrame, root: str, limit: int = 10_000) -> DataFrame:
