@@ -65,4 +65,4 @@ def _literal(v) -> str:
     return repr(v)
 
 
-from . import evaluation, governance, mutations, retrieval, scalar, sources, stateful  # noqa: E402,F401
+from . import evaluation, governance, more, mutations, retrieval, scalar, sources, stateful  # noqa: E402,F401
