@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import Remembered, map_text
 
@@ -224,7 +225,7 @@ def encode(docs: DataFrame, tokenizer: str, text_col: str = "text", out_col: str
     """
     spec = docs.sparkSession.sparkContext.broadcast(read_file(tokenizer))
     keep = [c for c in docs.columns if c != out_col]
-    schema = docs.select(*map(_quoted, keep)).schema.add(out_col, "array<int>")
+    schema = docs.select(*map(_quoted, keep)).schema.add(out_col, T.ArrayType(T.IntegerType()))
 
     def run(part: pa.RecordBatch) -> pa.RecordBatch:
         bpe = loaded(spec.value)

@@ -147,7 +147,7 @@ def prepare(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> La
             v = idf[place(word)] @ basis[np.searchsorted(words, word)]
             items.append(i), texts.append(word), vectors.append(v / max(1e-12, np.linalg.norm(v)))
     width = [max(NARROWEST, 1 << max(0, len(t) - 1).bit_length()) for t in texts]
-    return Latent(idf, words, basis, np.array(items, np.int64), texts, np.array(vectors, np.float32).reshape(len(items), -1), np.array(width, np.int64))
+    return Latent(idf, words, basis, np.array(items, np.int64), texts, np.array(vectors, np.float32).reshape(len(items), basis.shape[1]), np.array(width, np.int64))
 
 
 def windows(start: np.ndarray, end: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
