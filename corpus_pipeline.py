@@ -11,13 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quernel.llm import bpe, decontaminate, jaccard_join, line_dedup, quality
-from quernel.llm.common import materialize, small, table
+from quernel.llm.common import materialize, table, unused, without
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a score of 0.3 or more."""
     model = quality.train(docs, table(spark, sf_dir, "labels"))
-    return quality.score(docs, model, out_col="_score").where("_score >= 0.3").drop("_score")
+    name = unused("score", docs)
+    return quality.score(docs, model, out_col=name).where(F.col(name) >= 0.3).drop(name)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,15 +29,12 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate class, that of the least id."""
-    gone = materialize(jaccard_join.jaccard_join(docs).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct(), "copies")
-    return docs.join(small(gone, 16), F.col("doc_id") == F.col("_gone"), "left_anti")
+    return without(docs, jaccard_join.jaccard_join(docs).where(~F.col("kept")).select("doc_id"), "doc_id")
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark passage."""
-    leaks = decontaminate.find_leaks(docs, table(spark, sf_dir, "benchmark"))
-    gone = materialize(leaks.select(F.col("doc_id").alias("_gone")).distinct(), "leaks")
-    return docs.join(small(gone, 16), F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
+    return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -57,6 +57,21 @@ def small(df: DataFrame, row_bytes: int) -> DataFrame:
     return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
 
 
+def unused(name: str, df: DataFrame) -> str:
+    """A column name like ``name`` that the table does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def without(docs: DataFrame, gone: DataFrame, id_col: str) -> DataFrame:
+    """The rows whose id is not in the one-column table ``gone``, which is written once; null ids match nulls."""
+    key = unused("gone", docs)
+    gone = materialize(gone.toDF(key).distinct(), "gone")
+    return docs.join(small(gone, 16), F.col(id_col).eqNullSafe(F.col(key)), "left_anti")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

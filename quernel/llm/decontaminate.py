@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BY_LETTER, by_bytes, map_text, runs, word_hashes
+from .common import BY_LETTER, by_bytes, map_text, runs, without, word_hashes
 
 #: Hashed places of document frequencies: the size of all that comes to the driver from the corpus.
 PLACES = 1 << 16
@@ -228,5 +228,4 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents without those that hold a benchmark passage; all columns, null ids included, stay."""
-    bad = find_leaks(docs, benchmark, id_col, text_col).select(F.col(id_col).alias("_leak")).distinct()
-    return docs.join(bad, F.col(id_col).eqNullSafe(F.col("_leak")), "left_anti")
+    return without(docs, find_leaks(docs, benchmark, id_col, text_col).select(id_col), id_col)

@@ -47,17 +47,16 @@ def line_dedup(docs: DataFrame, host_col: str = "source", text_col: str = "text"
     """
     bad = materialize(boilerplate(docs, host_col, text_col, ratio, min_pages), "boilerplate")
     size = bad.agg(F.sum(F.size("lines") * 8 + 64)).first()[0] or 0
-    bad = bad.select(F.col("host").alias("_host"), F.col("lines").alias("_lines"))
-    if size <= BROADCAST_BYTES:
-        bad = F.broadcast(bad)
-    names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    rows = docs.select(*(F.col(f"`{c}`") for c in names)).join(bad, F.col(host_col).eqNullSafe(F.col("_host")), "left")
-    split = F.split(F.col(text_col), "\n")
-    good = F.filter(split, lambda x: ~F.array_contains("_lines", line_key(x)) | (F.regexp_replace(x, r"[\t\r ]+", "") == ""))
-    rows = rows.withColumn("_all", F.coalesce(F.size(split), F.lit(0))).withColumn("_good", F.when(F.col("_lines").isNotNull(), good))
-    rows = rows.withColumn(text_col, F.when(F.col("_good").isNull(), F.col(text_col)).otherwise(F.array_join("_good", "\n")))
+    bad = F.broadcast(bad) if size <= BROADCAST_BYTES else bad
+    names = [c for c in docs.columns if c.lower() not in ("n_lines", "n_dropped")]
+    # the row travels as one column, so that its names cannot meet those of the work
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), F.col(host_col).alias("of"), F.split(F.col(text_col), "\n").alias("split"))
+    rows = rows.join(bad, F.col("of").eqNullSafe(F.col("host")), "left")
+    good = F.filter("split", lambda x: ~F.array_contains("lines", line_key(x)) | (F.regexp_replace(x, r"[\t\r ]+", "") == ""))
+    rows = rows.select("row", "split", F.when(F.col("lines").isNotNull(), good).alias("good"))
+    text = F.when(F.col("good").isNull(), F.col("row").getField(text_col)).otherwise(F.array_join("good", "\n"))
     return rows.select(
-        *(F.col(f"`{c}`") for c in names),
-        F.when(F.col(text_col).isNull(), 0).otherwise(F.col("_all")).cast("int").alias("n_lines"),
-        F.when(F.col("_good").isNull(), 0).otherwise(F.col("_all") - F.size("_good")).cast("int").alias("n_dropped"),
+        *((text if c == text_col else F.col("row").getField(c)).alias(c) for c in names),
+        F.coalesce(F.size("split"), F.lit(0)).cast("int").alias("n_lines"),
+        F.coalesce(F.size("split") - F.size("good"), F.lit(0)).cast("int").alias("n_dropped"),
     )

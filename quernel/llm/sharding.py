@@ -18,7 +18,7 @@ from .common import materialize
 FIRST_BITS, BITS = 12, 8
 STEPS = [FIRST_BITS] + [BITS] * 6 + [4] + [BITS] * 8
 #: Bytes that one task sorts and numbers after the exchange.
-CELL_BYTES = 32 << 20
+CELL_BYTES = 8 << 20
 
 
 def text_size(text: Column) -> Column:
@@ -105,9 +105,9 @@ def shard(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: s
     are replaced.
     """
     own = {"size", "shard", "slot"}
-    names = [c for c in docs.columns if c not in own]
+    # the row travels as one column, so that its names cannot meet those of the keys
     keyed = docs.select(
-        *(F.col(f"`{c}`") for c in names),
+        F.struct(*(F.col(f"`{c}`") for c in docs.columns if c.lower() not in own)).alias("row"),
         text_size(F.col(text_col)).alias("size"),
         F.xxhash64(F.col(text_col)).alias("h1"),
         F.xxhash64(F.col(id_col), F.lit(1)).alias("h2"),
@@ -126,7 +126,7 @@ def shard(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: s
     inside = Window.partitionBy("shard", "cell").orderBy("h1", "h2")
     numbered = placed.withColumn("in_cell", F.row_number().over(inside) - 1)
     base = F.broadcast(base) if shards * cells <= 100_000 else base
-    return numbered.join(base, ["shard", "cell"]).select(*(F.col(f"`{c}`") for c in names), "size", "shard", (F.col("base") + F.col("in_cell")).alias("slot"))
+    return numbered.join(base, ["shard", "cell"]).select("row.*", "size", "shard", (F.col("base") + F.col("in_cell")).alias("slot"))
 
 
 def shard_digest(docs: DataFrame, shards: int = 16) -> DataFrame:

@@ -395,6 +395,17 @@ def test_line_dedup(spark):
     assert len(got) == len(rows) and line_dedup.line_dedup(table.limit(0)).count() == 0
 
 
+def test_clashing_columns(spark):
+    """Extra columns that are called like the operators' own pass unharmed."""
+    names = ["h1", "h2", "row", "of", "host", "lines", "split", "good", "gone", "base", "cell", "id", "rid", "kind", "size_", "score"]
+    rows = spark.createDataFrame([(i, "h", f"some text number {i}\nmenu", *range(len(names))) for i in range(30)], ["doc_id", "source", "text", *names])
+    for out in (sharding.shard(rows), line_dedup.line_dedup(rows), pii.find_pii(rows), bpe.encode(rows, WORD_FILE), common.without(rows, rows.where("doc_id < 3").select("doc_id"), "doc_id")):
+        got = out.where("doc_id = 7").first()
+        assert [got[n] for n in names] == list(range(len(names)))
+    for out in (jaccard_join.jaccard_join(rows), bpe.round_trip(rows, WORD_FILE), secrets_scan.secrets_digest(rows), pii.pii_digest(rows)):
+        assert out.count() == 30
+
+
 def test_word_hashes_are_local():
     import pyarrow as pa
 
