@@ -29,12 +29,8 @@ def cutoff_sweep(ranked: DataFrame, groups: list[str], cutoffs: tuple[int, ...]
 def stratified(outcomes: DataFrame, arm: str, strata: list[str], measures: list[str]) -> DataFrame:
     """Means by arm over the full key and over each stratum alone, in one grouping-sets aggregation; absent keys are null."""
     sets = [[arm, *strata], *([arm, s] for s in strata)]
-    cols = ", ".join([arm, *strata])
-    view = f"_strata_{abs(hash((arm, *strata)))}"
-    outcomes.createOrReplaceTempView(view)
-    aggs = ", ".join(f"avg({m}) AS {m}" for m in measures)
-    text = f"SELECT {cols}, count(*) AS n, {aggs} FROM {view} GROUP BY GROUPING SETS ({', '.join('(' + ', '.join(s) + ')' for s in sets)})"
-    return outcomes.sparkSession.sql(text)
+    grouped = outcomes.groupingSets([[F.col(c) for c in g] for g in sets], *map(F.col, [arm, *strata]))
+    return grouped.agg(F.count("*").alias("n"), *(F.avg(m).alias(m) for m in measures))
 
 
 def macro_mean(outcomes: DataFrame, arm: str, stratum: list[str], measure: str) -> DataFrame:
