@@ -88,9 +88,9 @@ def w_02_reciprocal_rank(spark, d):
 MC = "least(1.0, 2 * list_sum(list_transform(range(0, least(b, c) + 1), lambda k: exp(lgamma(b + c + 1) - lgamma(k + 1) - lgamma(b + c - k + 1) - (b + c) * ln(2)))))"
 
 
-@query(f"WITH {OUT}, n AS (SELECT lang, count(*) FILTER (a = 1 AND b = 0) AS b, count(*) FILTER (a = 0 AND b = 1) AS c FROM o GROUP BY 1) SELECT lang, b, c, CASE WHEN b + c = 0 THEN 1 ELSE {MC} END AS p FROM n")
+@query(f"WITH {OUT}, n AS (SELECT lang, count(*) FILTER (a = 1 AND b = 0) AS b, count(*) FILTER (a = 0 AND b = 1) AS c FROM o GROUP BY 1) SELECT lang, b, c, CASE WHEN b + c = 0 THEN 1 ELSE round({MC}, 9) END AS p FROM n")
 def z_01_mcnemar(spark, d):
-    return E.discordant(paired(spark, d), ["lang"], "a", "b")
+    return E.discordant(paired(spark, d), ["lang"], "a", "b").withColumn("p", F.round("p", 9))
 
 
 @query(f"WITH {OUT} SELECT count(*) FILTER (a = 1 AND b = 0) AS b, count(*) FILTER (a = 0 AND b = 1) AS c FROM o")
@@ -150,11 +150,11 @@ def z_07_power(spark, d):
     return spark.createDataFrame([(n, round(psi, 9), E.achieved_power(n, 0.05, 0.05, psi) >= 0.8)], "n int, psi double, enough boolean")
 
 
-@query(f"WITH {OUT}, n AS (SELECT scenario, count(*) AS n, avg(a) AS ra, avg(b) AS rb, count(*) FILTER (a = 1 AND b = 0) AS b, count(*) FILTER (a = 0 AND b = 1) AS c FROM o GROUP BY 1) SELECT scenario, n, ra, rb, b, c, CASE WHEN b + c = 0 THEN 1 ELSE {MC} END AS p FROM n")
+@query(f"WITH {OUT}, n AS (SELECT scenario, count(*) AS n, avg(a) AS ra, avg(b) AS rb, count(*) FILTER (a = 1 AND b = 0) AS b, count(*) FILTER (a = 0 AND b = 1) AS c FROM o GROUP BY 1) SELECT scenario, n, ra, rb, b, c, CASE WHEN b + c = 0 THEN 1 ELSE round({MC}, 9) END AS p FROM n")
 def z_08_stats_bundle(spark, d):
     rows = paired(spark, d)
     means = rows.groupBy("scenario").agg(F.count("*").alias("n"), F.avg("a").alias("ra"), F.avg("b").alias("rb"))
-    return means.join(E.discordant(rows, ["scenario"], "a", "b"), "scenario")
+    return means.join(E.discordant(rows, ["scenario"], "a", "b").withColumn("p", F.round("p", 9)), "scenario")
 
 
 @query(f"WITH {OUT}, m AS (SELECT lang, avg(a) AS a, avg(b) AS b FROM o GROUP BY 1) SELECT bool_or(b - a > 0.05) AS killed, bool_and(a >= b) AS survives, count(*) FILTER (a < b) AS worse FROM m")

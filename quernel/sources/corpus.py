@@ -37,7 +37,7 @@ def scan_raw(spark: SparkSession, root: str) -> DataFrame:
 
 def scan_jsonl(spark: SparkSession, path: str, schema: str, torn_tail: bool = False) -> DataFrame:
     """Rows of JSON lines with their ``line_no``. A bad line is an error, but for a torn last one where that is allowed."""
-    lines = spark.read.option("wholetext", "true").text(path).select(F.posexplode(F.split("value", "\n")).alias("line_no", "line")).where("trim(line) <> ''")
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("line_no", "line")).where("trim(line) <> ''")
     rows = lines.withColumn("j", F.from_json("line", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})).withColumn("ok", F.expr("try_parse_json(line)").isNotNull())
     last = F.max("line_no").over(Window.partitionBy(F.lit(1)))
     rows = rows.withColumn("last", F.col("line_no") == last)

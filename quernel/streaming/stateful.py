@@ -47,14 +47,14 @@ def rate_limit(requests: DataFrame, key: str, ts: str, request_id: str, limit: i
 
 
 class RateLimiter(StatefulProcessor):
-    """The stream form: the state of a key is its window's start and count; a timer drops it when the window has passed."""
+    """The stream form: the state of a key is its window's start and count; it expires when no request came for a window's length."""
 
     def __init__(self, limit: int = LIMIT, window_sec: int = WINDOW_SEC):
         self.limit, self.window_ms = limit, window_sec * 1000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("window", "start long, n int")
+        self.state = handle.getValueState("window", "start long, n int", self.window_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         start, n = self.state.get() if self.state.exists() else (None, 0)
@@ -69,10 +69,6 @@ class RateLimiter(StatefulProcessor):
         self.state.update((start, n))
         yield pd.DataFrame(out, columns=["key", "request_id", "admitted"])
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.state.clear()
-        return iter(())
-
     def close(self) -> None:
         pass
 

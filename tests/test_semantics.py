@@ -1,6 +1,7 @@
 """Cases that the tables do not hold: literal rows and their known results."""
 
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -131,8 +132,11 @@ def test_rate_limit_stream(spark, tmp_path):
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
         stream = stateful.rate_limit_stream(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in")), 2, 300)
-        q = stream.writeStream.format("memory").queryName("limited").outputMode("append").trigger(availableNow=True).start()
-        q.awaitTermination(180)
+        q = stream.writeStream.format("memory").queryName("limited").outputMode("append").start()
+        until = time.time() + 90
+        while spark.table("limited").count() < 4 and time.time() < until:
+            time.sleep(0.5)
+        q.stop()
         assert {(r.request_id, r.admitted) for r in spark.table("limited").collect()} == {(1, True), (2, True), (3, False), (4, True)}
     finally:
         spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
