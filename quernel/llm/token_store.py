@@ -33,7 +33,7 @@ from .bpe import byte_letters, read_file
 from .common import Remembered, edges, map_text, materialize, runs, shared_dir, small
 
 #: Ids under the rolling hash's window; average and largest ids of a chunk.
-WINDOW, AVERAGE, LARGEST = 8, 256, 4096
+WINDOW, AVERAGE, LARGEST = 8, 512, 8192
 FAN = 1024
 #: Remembered pieces of a worker, up to a length; beyond the number the memory starts anew. Bytes of text encoded at once.
 REMEMBERED, LONG, AT_ONCE = 600_000, 64, 4 << 20
@@ -113,9 +113,13 @@ class LibraryEncoder:
         code = coded.indices.to_numpy()
         names = coded.dictionary.to_pylist()
         ids = list(map(self.known.get, names))
+        tokenize, pack, space, swap = self.library.model.tokenize, self.code, self.letters[32], sys.byteorder == "big"
         for i, p in enumerate(names):
             if ids[i] is None:
-                ids[i] = self.piece(p)
+                if p.isascii() and p.isalpha() and not swap:  # most pieces: one word, its letters their own stand-ins
+                    ids[i] = array(pack, [t.id for t in tokenize(space + p)]).tobytes()
+                else:
+                    ids[i] = self.piece(p)
                 if len(p) <= LONG and "\n" not in p[2:]:  # two words and a line break seldom come again
                     self.known[p] = ids[i]
         if len(self.known) > REMEMBERED:
