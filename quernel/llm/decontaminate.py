@@ -65,6 +65,10 @@ class Latent:
     vectors: np.ndarray  # items x rank, rows of length one
     width: np.ndarray  # width class of each item
 
+    def __post_init__(self):
+        #: For each width class, which of the words stand in its items.
+        self.of_class = {int(w): np.isin(self.words, np.concatenate([t for t, own in zip(self.texts, self.width) if own == w])) for w in np.unique(self.width)}
+
 
 def latent_space(benchmark: DataFrame, idf: np.ndarray, rank: int = RANK) -> tuple[np.ndarray, np.ndarray]:
     """Words (sorted hashes) and an orthonormal basis (words x rank) of the leading right singular space of the passages.
@@ -170,20 +174,24 @@ def search(part: pa.RecordBatch, m: Latent) -> list[tuple[int, int, int, float,
     weight = m.idf[place(word)]
     at = np.minimum(np.searchsorted(m.words, word), len(m.words) - 1)
     known = m.words[at] == word
-    total = np.append(0, np.cumsum(weight.astype(np.float64) ** 2))
-    shared = np.append(0, np.cumsum(np.where(known, weight, 0).astype(np.float64) ** 2))
+    square = weight.astype(np.float64) ** 2
+    total = np.append(0, np.cumsum(square))
+    place_of = np.flatnonzero(known)
+    known_at, known_weight = at[place_of], weight[place_of]
     best: dict[tuple[int, int], tuple] = {}
-    for width in np.unique(m.width):
+    for width, in_class in m.of_class.items():
         own = np.flatnonzero(m.width == width)
-        r, lo, hi = windows(bounds[:-1], bounds[1:], int(width))
+        r, lo, hi = windows(bounds[:-1], bounds[1:], width)
+        # a leak of a passage of this width brings its words along, and they hold a share of the window's weight
+        shared = np.append(0, np.cumsum(np.where(known & in_class[at], square, 0)))
         mass = total[hi] - total[lo]
         ok = shared[hi] - shared[lo] >= SHARE * mass
         r, lo, hi, mass = r[ok], lo[ok], hi[ok], mass[ok]
+        first, last = np.searchsorted(place_of, lo), np.searchsorted(place_of, hi)
         for a in range(0, len(r), 2048):
             z = np.zeros((min(2048, len(r) - a), m.basis.shape[1]), np.float32)
-            for i, (p, q) in enumerate(zip(lo[a : a + 2048], hi[a : a + 2048])):
-                k = np.flatnonzero(known[p:q]) + p
-                z[i] = weight[k] @ m.basis[at[k]]
+            for i, (p, q) in enumerate(zip(first[a : a + 2048].tolist(), last[a : a + 2048].tolist())):
+                z[i] = known_weight[p:q] @ m.basis[known_at[p:q]]
             near = (z @ m.vectors[own].T) / np.sqrt(mass[a : a + 2048])[:, None]
             for i, j in zip(*np.nonzero(near >= COSINE)):
                 item, text = int(m.items[own[j]]), m.texts[own[j]]
