@@ -34,7 +34,13 @@ def smoothed_idf(sections: DataFrame) -> DataFrame:
     return term_stats(sections).crossJoin(F.broadcast(corpus_stats(sections).select("n"))).select("token", "df", (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1).alias("idf"))
 
 
-def postings(sections: DataFrame, question_weight: float = QUESTION_WEIGHT, asked: DataFrame | None = None) -> DataFrame:
+def spread(df: DataFrame) -> DataFrame:
+    """A table of fewer partitions than half the cores is dealt out before costly work on its rows; others stay where they are read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 2 * df.rdd.getNumPartitions() <= cores else df
+
+
+def counts(sections: DataFrame, question_weight: float = QUESTION_WEIGHT, asked: DataFrame | None = None) -> DataFrame:
     """(id, seq, token, tf, len): tf is that of the body plus the weighted one of question tokens; ``asked`` limits the tokens."""
     rows = sections.select("id", "seq", F.size("tokens").alias("len"), F.explode("tokens").alias("token"))
     if asked is not None:
@@ -47,7 +53,12 @@ def postings(sections: DataFrame, question_weight: float = QUESTION_WEIGHT, aske
         q = q.join(F.broadcast(asked), "token", "left_semi")
     q = q.groupBy("id", "seq", "token").agg(F.count("*").alias("in_question"))
     # tokens hold the question's words too: the body's share is the rest
-    return tf.join(q, ["id", "seq", "token"], "left").withColumn("tf", F.col("tf") - F.coalesce("in_question", F.lit(0)) * (1 - question_weight)).drop("in_question").where("tf > 0")
+    return tf.join(q, ["id", "seq", "token"], "left").withColumn("tf", F.col("tf") - F.coalesce("in_question", F.lit(0)) * (1 - question_weight)).drop("in_question")
+
+
+def postings(sections: DataFrame, question_weight: float = QUESTION_WEIGHT, asked: DataFrame | None = None) -> DataFrame:
+    """The rows of ``counts`` with a weight."""
+    return counts(sections, question_weight, asked).where("tf > 0")
 
 
 def ask(queries: DataFrame, text_col: str = "text", id_col: str = "query_id", limit: int | None = None) -> DataFrame:
@@ -64,8 +75,10 @@ def scores(asked: DataFrame, sections: DataFrame, question_weight: float = QUEST
     Statistics are those of all sections, whatever is filtered later. Repeated query tokens count repeatedly.
     """
     words = asked.select("token").distinct()
-    posts = postings(sections, question_weight, words)
-    df = sections.select(F.explode(F.array_distinct("tokens")).alias("token")).join(F.broadcast(words), "token", "left_semi").groupBy("token").agg(F.count("*").alias("df"))
+    every = counts(sections, question_weight, words)
+    posts = every.where("tf > 0")
+    # a row for each section and token: their number is the document frequency, from the same exchange
+    df = every.groupBy("token").agg(F.count("*").alias("df"))
     stats = corpus_stats(sections).select("n", "avg_len")
     idf = df.crossJoin(F.broadcast(stats)).select("token", "avg_len", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1).alias("idf"))
     norm = F.when(F.col("avg_len") > 0, 1 - B + B * F.col("len") / F.col("avg_len")).otherwise(1.0)

@@ -13,7 +13,7 @@ from .scalar import tokens_sql
 
 def sections(spark, d):
     """Each document is one section without a heading."""
-    return table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("doc_id").alias("seq"), F.col("source").alias("file"), X.tokenize("text").alias("tokens"))
+    return bm25.spread(table(spark, d, "documents")).select(F.col("doc_id").alias("id"), F.col("doc_id").alias("seq"), F.col("source").alias("file"), X.tokenize("text").alias("tokens"))
 
 
 def asks(spark, d):
