@@ -2,9 +2,11 @@
 
 Inverse document frequencies come from all documents. A distributed randomised singular value decomposition
 of the benchmark's TF-IDF passages gives a latent space. Windows of every document, as wide as the
-passages of a width class, are projected into it and compared by cosine with all passages (the stated query
-set, in blocks); candidates are checked by their longest common subsequence of words, and by that of the
-passage's answer, its last quarter. So paraphrases are found as well as verbatim copies.
+passages of a width class, that hold as many of a passage's rarest words as a leak must, are projected into it and
+compared by cosine with that passage. What the latent dimensions leave out of the window and of the passage is
+bounded, so that no pair is lost whatever their number; candidates are checked by their longest common subsequence
+of words, by that of the passage's answer, its last quarter, and by the cosine of all words. So paraphrases are found
+as well as verbatim copies.
 """
 
 from __future__ import annotations
@@ -26,6 +28,8 @@ RANK, MORE = 192, 16
 #: Least share of a window's squared weight that benchmark words must hold, least cosine, least shares of words in order.
 SHARE, COSINE, COMMON, ANSWER = 0.3, 0.2, 0.6, 0.5
 NARROWEST = 8
+#: Of a passage's n words, n // FEW + 1 of the rarest must be found by whoever finds the share COMMON of all.
+FEW = 7
 
 
 def place(word: np.ndarray) -> np.ndarray:
@@ -62,14 +66,43 @@ class Latent:
     basis: np.ndarray  # words x rank, float32
     items: np.ndarray  # item ids
     texts: list[np.ndarray]  # word hashes of each item
-    vectors: np.ndarray  # items x rank, rows of length one
+    vectors: np.ndarray  # items x rank, projections of the items' vectors of length one
     width: np.ndarray  # width class of each item
 
     def __post_init__(self):
+        #: What the latent space leaves out of each item's vector, its length, with room for rounding.
+        self.left_out = np.sqrt(np.maximum(0, 1 - (self.vectors.astype(np.float64) ** 2).sum(1)) + 1e-6)
+        #: Each item's words as places in ``words`` and weights of length one.
+        self.weights = []
+        rare, self.need = [], np.zeros(len(self.texts), np.int64)
+        for i, text in enumerate(self.texts):
+            at, n = np.unique(np.searchsorted(self.words, text), return_counts=True)
+            weight = n * self.idf[place(self.words[at])].astype(np.float64)
+            self.weights.append((at, weight / max(1e-12, np.linalg.norm(weight))))
+            found, self.need[i] = rare_words(self.words, self.idf, text)
+            rare.append(found)
+        #: The items of each of the words that is among their rarest.
+        word = np.concatenate([*rare, np.zeros(0, np.int64)])
+        item = np.repeat(np.arange(len(rare)), [len(r) for r in rare])
+        order = np.argsort(word, kind="stable")
+        self.rare_item = item[order]
+        self.rare_from = np.searchsorted(word[order], np.arange(len(self.words) + 1))
         #: For each width class, which of the words stand in its items.
         self.of_class = {int(w): np.isin(self.words, np.concatenate([t for t, own in zip(self.texts, self.width) if own == w])) for w in np.unique(self.width)}
 
 
+def rare_words(words: np.ndarray, idf: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, int]:
+    """Places of a passage's rarest words, and how many of them a text must hold that holds the share COMMON of the passage.
+
+    Of n words at least m are found; n - m + k of them are taken, so at least k of these are among the found ones.
+    """
+    n = len(text)
+    m = int(np.argmax(np.arange(n + 1) / n >= COMMON))
+    k = min(m, n // FEW + 1)
+    order = np.lexsort((text, -idf[place(text)]))
+    return np.unique(np.searchsorted(words, text[order[: n - m + k]])), k
+
+
 def latent_space(benchmark: DataFrame, idf: np.ndarray, rank: int = RANK) -> tuple[np.ndarray, np.ndarray]:
     """Words (sorted hashes) and an orthonormal basis (words x rank) of the leading right singular space of the passages.
 
@@ -148,8 +181,9 @@ def prepare(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> La
     for i, text in zip(rows["id"].to_pylist(), rows["text"].to_pylist()):
         word = word_hashes(pa.array([text]), BY_LETTER)[0]
         if len(word):
-            v = idf[place(word)] @ basis[np.searchsorted(words, word)]
-            items.append(i), texts.append(word), vectors.append(v / max(1e-12, np.linalg.norm(v)))
+            own, n = np.unique(word, return_counts=True)
+            weight = n * idf[place(own)]
+            items.append(i), texts.append(word), vectors.append(weight @ basis[np.searchsorted(words, own)] / max(1e-12, np.linalg.norm(weight)))
     width = [max(NARROWEST, 1 << max(0, len(t) - 1).bit_length()) for t in texts]
     return Latent(idf, words, basis, np.array(items, np.int64), texts, np.array(vectors, np.float32).reshape(len(items), basis.shape[1]), np.array(width, np.int64))
 
@@ -165,6 +199,17 @@ def windows(start: np.ndarray, end: np.ndarray, width: int) -> tuple[np.ndarray,
     return row, lo, np.minimum(lo + width, end[row])
 
 
+def places_with(pos: np.ndarray, item: np.ndarray, row: np.ndarray, need: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(item, first, last) of each ``need[item]`` successive finds of an item's words in one row that lie within a span."""
+    order = np.argsort(item, kind="stable")
+    pos, item = pos[order], item[order]
+    to = np.arange(len(pos)) + need[item] - 1
+    at = np.flatnonzero(to < len(pos))
+    to = to[at]
+    ok = (item[at] == item[to]) & (row[pos[at]] == row[pos[to]]) & (pos[to] - pos[at] < span)
+    return item[at[ok]], pos[at[ok]], pos[to[ok]]
+
+
 def search(part: pa.RecordBatch, m: Latent) -> list[tuple[int, int, int, float, float, float]]:
     """(row, item id, first word, cosine, share of the item's words in order, share of its answer's) of one batch; the best of each row and item."""
     word, row, _, _ = word_hashes(part.column("text"), BY_LETTER)
@@ -177,38 +222,71 @@ def search(part: pa.RecordBatch, m: Latent) -> list[tuple[int, int, int, float,
     square = weight.astype(np.float64) ** 2
     total = np.append(0, np.cumsum(square))
     place_of = np.flatnonzero(known)
-    known_at, known_weight = at[place_of], weight[place_of]
+    known_at, idf = at[place_of], m.idf[place(m.words)].astype(np.float64)
+    # finds of the items' rarest words, in order of place
+    count = m.rare_from[known_at + 1] - m.rare_from[known_at]
+    pos = np.repeat(place_of, count)
+    item = m.rare_item[np.repeat(m.rare_from[known_at] - np.cumsum(count) + count, count) + np.arange(count.sum())]
     best: dict[tuple[int, int], tuple] = {}
     for width, in_class in m.of_class.items():
-        own = np.flatnonzero(m.width == width)
+        beside, step = width // 4, max(1, width // 4)
         r, lo, hi = windows(bounds[:-1], bounds[1:], width)
+        first_of = np.searchsorted(r, np.arange(part.num_rows + 1))
+        # the windows that see those finds with a quarter of the width on each side: no other can hold the wanted share of an item
+        ours = m.width[item] == width
+        j, first, last = places_with(pos[ours], item[ours], row, m.need, width + 2 * beside)
+        doc = row[first]
+        from_ = first_of[doc] + np.maximum(0, (last - beside - width - bounds[doc]) // step)
+        many = width // step + 4
+        w = (from_[:, None] + np.arange(many)).ravel()
+        j, first, last, end = (np.repeat(x, many) for x in (j, first, last, first_of[doc + 1]))
+        ok = w < end
+        w, j, first, last = w[ok], j[ok], first[ok], last[ok]
+        ok = (lo[w] - beside <= first) & (last < hi[w] + beside)
+        pair = np.unique(w[ok] * len(m.items) + j[ok])
+        w, j = pair // len(m.items), pair % len(m.items)
         # a leak of a passage of this width brings its words along, and they hold a share of the window's weight
         shared = np.append(0, np.cumsum(np.where(known & in_class[at], square, 0)))
         mass = total[hi] - total[lo]
-        ok = shared[hi] - shared[lo] >= SHARE * mass
-        r, lo, hi, mass = r[ok], lo[ok], hi[ok], mass[ok]
-        first, last = np.searchsorted(place_of, lo), np.searchsorted(place_of, hi)
-        for a in range(0, len(r), 2048):
-            z = np.zeros((min(2048, len(r) - a), m.basis.shape[1]), np.float32)
-            for i, (p, q) in enumerate(zip(first[a : a + 2048].tolist(), last[a : a + 2048].tolist())):
-                z[i] = known_weight[p:q] @ m.basis[known_at[p:q]]
-            near = (z @ m.vectors[own].T) / np.sqrt(mass[a : a + 2048])[:, None]
-            for i, j in zip(*np.nonzero(near >= COSINE)):
-                item, text = int(m.items[own[j]]), m.texts[own[j]]
-                doc, cosine = int(r[a + i]), float(near[i, j])
-                from_, to = max(bounds[doc], lo[a + i] - width // 4), min(bounds[doc + 1], hi[a + i] + width // 4)
-                if (old := best.get((doc, item))) is not None and old[4] == 1:
+        ok = (shared[hi] - shared[lo] >= SHARE * mass)[w]
+        w, j = w[ok], j[ok]
+        for a in range(0, len(w), 8192):
+            some, back = np.unique(w[a : a + 8192], return_inverse=True)
+            z, left_out = np.zeros((len(some), m.basis.shape[1]), np.float32), np.zeros(len(some))
+            for i, (p, q) in enumerate(zip(np.searchsorted(place_of, lo[some]).tolist(), np.searchsorted(place_of, hi[some]).tolist())):
+                own, n = np.unique(known_at[p:q], return_counts=True)
+                tf_idf = n * idf[own]
+                z[i] = tf_idf.astype(np.float32) @ m.basis[own]
+                left_out[i] = tf_idf @ tf_idf
+            left_out = np.sqrt(np.maximum(0, left_out - (z.astype(np.float64) ** 2).sum(1)) + 1e-6 * left_out)
+            b = j[a : a + 8192]
+            near = np.einsum("ij,ij->i", z[back], m.vectors[b]) + left_out[back] * m.left_out[b]
+            for i in np.flatnonzero(near >= (COSINE - 1e-6) * np.sqrt(mass[some][back])).tolist():
+                at_, own = int(w[a + i]), int(b[i])
+                doc, id_, text = int(r[at_]), int(m.items[own]), m.texts[own]
+                if (old := best.get((doc, id_))) is not None and old[4] == 1:
                     continue
+                from_, to = max(bounds[doc], lo[at_] - beside), min(bounds[doc + 1], hi[at_] + beside)
                 share = common_words(text, word[from_:to]) / len(text)
                 if share < COMMON:
                     continue
                 tail = text[-max(1, math.ceil(len(text) / 4)) :]
                 answer = common_words(tail, word[from_:to]) / len(tail)
-                if answer >= ANSWER and (old is None or (share, answer, cosine) > (old[4], old[5], old[3])):
-                    best[doc, item] = (doc, item, int(from_ - bounds[doc]), cosine, share, answer)
+                if answer < ANSWER:
+                    continue
+                cosine = exact_cosine(at[lo[at_] : hi[at_]][known[lo[at_] : hi[at_]]], idf, mass[at_], *m.weights[own])
+                if cosine >= COSINE and (old is None or (share, answer, cosine) > (old[4], old[5], old[3])):
+                    best[doc, id_] = (doc, id_, int(from_ - bounds[doc]), cosine, share, answer)
     return list(best.values())
 
 
+def exact_cosine(window: np.ndarray, idf: np.ndarray, mass: float, own: np.ndarray, weight: np.ndarray) -> float:
+    """Of a window's known words, as places of words, with an item's words and weights; ``mass`` is the window's squared weight."""
+    at = np.minimum(np.searchsorted(own, window), len(own) - 1)
+    held = own[at] == window
+    return float(idf[window[held]] @ weight[at[held]] / max(1e-12, math.sqrt(mass)))
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """Documents that hold a benchmark passage: (id, item_id, at_word, cosine, common, answer), a row for each document and passage.
 

@@ -291,6 +291,23 @@ def test_leaks(spark):
     assert decontaminate.find_leaks(docs(spark, rows), bench.limit(0)).count() == 0
 
 
+def test_leaks_of_many_passages(spark):
+    """More passages than latent dimensions: each verbatim copy is found, whatever share of its vector the dimensions keep."""
+    rng = random.Random(19)
+    words = ["".join(rng.choice("aeiouthnsrlm") for _ in range(rng.randint(4, 9))) for _ in range(12000)]
+    items = [" ".join(rng.choices(words, k=33)) for _ in range(4000)]
+    rows, leaks = [], set()
+    for i in range(200):
+        k = rng.randrange(4000)
+        beside = [f"other{rng.randrange(10**6)}" for _ in range(rng.choice([0, 20, 80]))]
+        rows.append((i, " ".join(beside[: len(beside) // 2] + items[k].split() + beside[len(beside) // 2 :])))
+        leaks.add((i, k))
+    rows += [(1000 + i, " ".join(rng.choices(words, k=60))) for i in range(50)]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(docs(spark, rows), bench).collect()}
+    assert got == leaks
+
+
 def test_common_words_equals_dynamic_programming():
     rng = np.random.default_rng(10)
     for _ in range(100):
