@@ -25,8 +25,8 @@ from .common import BY_LETTER, by_bytes, map_text, runs, without, word_hashes
 PLACES = 1 << 16
 #: Latent dimensions, and further ones of the random sketch.
 RANK, MORE = 192, 16
-#: Least share of a window's squared weight that benchmark words must hold, least cosine, least shares of words in order.
-SHARE, COSINE, COMMON, ANSWER = 0.3, 0.2, 0.6, 0.5
+#: Least cosine, least shares of words in order.
+COSINE, COMMON, ANSWER = 0.2, 0.6, 0.5
 NARROWEST = 8
 #: Of a passage's n words, n // FEW + 1 of the rarest must be found by whoever finds the share COMMON of all.
 FEW = 7
@@ -87,8 +87,6 @@ class Latent:
         order = np.argsort(word, kind="stable")
         self.rare_item = item[order]
         self.rare_from = np.searchsorted(word[order], np.arange(len(self.words) + 1))
-        #: For each width class, which of the words stand in its items.
-        self.of_class = {int(w): np.isin(self.words, np.concatenate([t for t, own in zip(self.texts, self.width) if own == w])) for w in np.unique(self.width)}
 
 
 def rare_words(words: np.ndarray, idf: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, int]:
@@ -219,8 +217,7 @@ def search(part: pa.RecordBatch, m: Latent) -> list[tuple[int, int, int, float,
     weight = m.idf[place(word)]
     at = np.minimum(np.searchsorted(m.words, word), len(m.words) - 1)
     known = m.words[at] == word
-    square = weight.astype(np.float64) ** 2
-    total = np.append(0, np.cumsum(square))
+    total = np.append(0, np.cumsum(weight.astype(np.float64) ** 2))
     place_of = np.flatnonzero(known)
     known_at, idf = at[place_of], m.idf[place(m.words)].astype(np.float64)
     # finds of the items' rarest words, in order of place
@@ -228,7 +225,7 @@ def search(part: pa.RecordBatch, m: Latent) -> list[tuple[int, int, int, float,
     pos = np.repeat(place_of, count)
     item = m.rare_item[np.repeat(m.rare_from[known_at] - np.cumsum(count) + count, count) + np.arange(count.sum())]
     best: dict[tuple[int, int], tuple] = {}
-    for width, in_class in m.of_class.items():
+    for width in np.unique(m.width).tolist():
         beside, step = width // 4, max(1, width // 4)
         r, lo, hi = windows(bounds[:-1], bounds[1:], width)
         first_of = np.searchsorted(r, np.arange(part.num_rows + 1))
@@ -245,11 +242,7 @@ def search(part: pa.RecordBatch, m: Latent) -> list[tuple[int, int, int, float,
         ok = (lo[w] - beside <= first) & (last < hi[w] + beside)
         pair = np.unique(w[ok] * len(m.items) + j[ok])
         w, j = pair // len(m.items), pair % len(m.items)
-        # a leak of a passage of this width brings its words along, and they hold a share of the window's weight
-        shared = np.append(0, np.cumsum(np.where(known & in_class[at], square, 0)))
         mass = total[hi] - total[lo]
-        ok = (shared[hi] - shared[lo] >= SHARE * mass)[w]
-        w, j = w[ok], j[ok]
         for a in range(0, len(w), 8192):
             some, back = np.unique(w[a : a + 8192], return_inverse=True)
             z, left_out = np.zeros((len(some), m.basis.shape[1]), np.float32), np.zeros(len(some))

@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -308,6 +309,42 @@ def test_leaks_of_many_passages(spark):
     assert got == leaks
 
 
+def test_leaks_among_rare_words(spark):
+    """Passages of frequent words, whole and paraphrased, in texts of words that no other document holds, against all windows and passages."""
+    rng = random.Random(29)
+    words = ["".join(rng.choice("aeiouthnsrlm") for _ in range(rng.randint(3, 9))) for _ in range(300)]
+    items = [" ".join(rng.choices(words, k=rng.randint(12, 60))) for _ in range(60)]
+    rows = [(10_000 + i, " ".join(rng.choices(words, k=60))) for i in range(200)]
+    for i in range(120):
+        passage = rng.choice(items).split()
+        if i % 2:
+            for p in rng.sample(range(len(passage)), len(passage) // 5):
+                passage[p] = f"new{i}x{p}"
+        around = [f"other{i}x{k}" for k in range(120)]
+        rows.append((i, " ".join(around[:60] + passage + around[60:])))
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    m = decontaminate.prepare(docs(spark, rows), bench)
+    want, weak = set(), 0
+    for id_, text in rows:
+        word = common.word_hashes(pa.array([text]), common.BY_LETTER)[0]
+        weight = m.idf[decontaminate.place(word)].astype(float)
+        for k, own in enumerate(m.texts):
+            width = int(m.width[k])
+            own_weight = {w: n * float(m.idf[decontaminate.place(np.array([w], np.uint64))][0]) for w, n in zip(*np.unique(own, return_counts=True))}
+            length = sum(v * v for v in own_weight.values()) ** 0.5
+            for lo, hi in zip(*(x.tolist() for x in decontaminate.windows(np.array([0]), np.array([len(word)]), width)[1:])):
+                held = word[max(0, lo - width // 4) : hi + width // 4]
+                if np.isin(held, own).sum() < decontaminate.COMMON * len(own):
+                    continue
+                cosine = sum(v * own_weight.get(w, 0) for v, w in zip(weight[lo:hi], word[lo:hi])) / length / (weight[lo:hi] ** 2).sum() ** 0.5
+                tail = own[-max(1, -(-len(own) // 4)) :]
+                if cosine >= decontaminate.COSINE and decontaminate.common_words(own, held) >= decontaminate.COMMON * len(own) and decontaminate.common_words(tail, held) >= decontaminate.ANSWER * len(tail):
+                    want.add((id_, int(m.items[k])))
+                    weak += (weight[lo:hi] ** 2)[np.isin(word[lo:hi], own)].sum() < 0.3 * (weight[lo:hi] ** 2).sum()
+    assert weak and len(want) > 60
+    assert {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(docs(spark, rows), bench).collect()} == want
+
+
 def test_common_words_equals_dynamic_programming():
     rng = np.random.default_rng(10)
     for _ in range(100):
