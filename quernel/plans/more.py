@@ -331,7 +331,7 @@ def x_01_embed(spark, d):
 
 @query()
 def x_02_draft_and_verify(spark, d):
-    hits = bm25.bm25_search(asks(spark, d), sections(spark, d), 3, limit=8)
+    hits = bm25.bm25_search(asks(spark, d), sections(spark, d), 3)
     texts = hits.join(table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"), "id").groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "text"))), lambda x: x["text"]).alias("sections"))
     return seams.answer(asks(spark, d).withColumnRenamed("text", "question").join(texts, "query_id", "left"))
 
@@ -346,7 +346,7 @@ def x_06_judge_pairs(spark, d):
 
 @query()
 def x_07_cross_encoder(spark, d):
-    hits = bm25.bm25_search(asks(spark, d), sections(spark, d), 5, limit=8).join(table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content")), "id").join(asks(spark, d), "query_id")
+    hits = bm25.bm25_search(asks(spark, d), sections(spark, d), 5).join(table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content")), "id").join(asks(spark, d), "query_id")
     return hits.select("query_id", "id", seams.cross_encode("text", "content").alias("model_score"))
 
 

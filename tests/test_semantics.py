@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 
 from quernel.functions import text as X
 from quernel.operators import bm25, dense, evaluation, fusion, governance, mutate, sections
+from quernel.plans.registry import QUERIES
+from quernel.plans.retrieval import asks
+from quernel.plans.retrieval import sections as sections_of_documents
 from quernel.sources import corpus
 from quernel.streaming import stateful
 
@@ -185,3 +188,11 @@ def test_token_functions(spark):
 def test_slug_numbers_skip_taken(spark):
     rows = spark.createDataFrame([(1, "a"), (2, "a")], "place int, base string")
     assert [r.slug for r in mutate.number_slugs(rows, ["a", "a-2"]).orderBy("place").collect()] == ["a-3", "a-4"]
+
+
+def test_whole_questions_are_asked(spark, sf):
+    whole = bm25.bm25_search(asks(spark, sf), sections_of_documents(spark, sf), 5)
+    want = {(r.query_id, r.id) for r in whole.collect()}
+    assert {(r.query_id, r.id) for r in QUERIES["x_07_cross_encoder"](spark, sf).collect()} == want
+    first = {(r.query_id, r.id) for r in bm25.bm25_search(asks(spark, sf), sections_of_documents(spark, sf), 5, limit=8).collect()}
+    assert want != first
