@@ -97,7 +97,7 @@ class Engine:
         """The findings of each check; ``docs``: path, basename, content, modified."""
         p = self.pages().withColumn("hashes", F.lit(None).cast("map<string,string>"))
         out = {
-            "C2": governance.red_links(p), "C3": governance.failed_grounding(p, docs), "C4": governance.collisions(p), "C5": governance.ranked_pairs(governance.shared_source_pairs(p), p), "C6": governance.stale_pages(p, docs),
+            "C2": governance.red_links(p), "C3": governance.failed_grounding(p, docs), "C4": governance.collisions(p), "C5": governance.ranked_pairs(governance.contradiction_pairs(p), p), "C6": governance.stale_pages(p, docs),
             "C8": governance.promotion_candidates(p), "C9": governance.stale_answers(p), "C10": governance.invalid_answers(p), "C11": governance.orphans(p, docs), "C12": governance.alias_collisions(p),
         }
         if log is not None:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import PUNCTUATION, WIKILINK, canonical_query, jaccard, parse_instant, parse_kv, tokenize
+from . import bm25
 
 VALID_STATUS = ("live", "draft", "stale", "superseded")
 #: Check: axis and label, in report order (fixed values).
@@ -108,6 +109,19 @@ def shared_source_pairs(pages: DataFrame) -> DataFrame:
     return refs.alias("x").join(refs.alias("y"), "source").where("x.slug < y.slug").select(F.col("x.slug").alias("a"), F.col("y.slug").alias("b")).distinct()
 
 
+def neighbour_pairs(pages: DataFrame, k: int = 3, threshold: float = 1.0) -> DataFrame:
+    """(a, b), a < b: pages, filed answers left out, of which one is among the other's ``k`` best by BM25 of the whole body, at the threshold or above."""
+    rows = pages.where("dir <> 'qa'").select(F.col("slug").alias("id"), F.col("slug").alias("seq"), tokenize("body").alias("tokens"))
+    asked = rows.select(F.col("id").alias("query_id"), F.explode("tokens").alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("times"))
+    hits = bm25.top_k(bm25.scores(asked, rows).where((F.col("query_id") != F.col("id")) & (F.col("score") >= threshold)), k)
+    return hits.select(F.least("query_id", "id").alias("a"), F.greatest("query_id", "id").alias("b")).distinct()
+
+
+def contradiction_pairs(pages: DataFrame) -> DataFrame:
+    """(a, b), a < b: the candidates of C5, pages that cite a common source and pages near each other by BM25."""
+    return shared_source_pairs(pages).union(neighbour_pairs(pages)).distinct()
+
+
 def ranked_pairs(pairs: DataFrame, pages: DataFrame, cap: int = 30) -> DataFrame:
     """(a, b, similarity, place) of the ``cap`` most alike pairs by Jaccard similarity of body tokens; ties by slugs."""
     own = pages.select("slug", F.array_distinct(tokenize("body")).alias("t"))

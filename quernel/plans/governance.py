@@ -203,7 +203,7 @@ def findings(spark):
     p, s = pages(spark), docs(spark)
     maps = HASHES.df(spark).groupBy("slug").agg(F.map_from_entries(F.collect_list(F.struct("source", "hash"))).alias("hashes"))
     return {
-        "C1": G.coverage_gaps(log(spark)), "C2": G.red_links(p), "C3": G.failed_grounding(p, s).select("slug").distinct(), "C4": G.collisions(p), "C5": G.ranked_pairs(G.shared_source_pairs(p), p),
+        "C1": G.coverage_gaps(log(spark)), "C2": G.red_links(p), "C3": G.failed_grounding(p, s).select("slug").distinct(), "C4": G.collisions(p), "C5": G.ranked_pairs(G.contradiction_pairs(p), p),
         "C6": G.stale_pages(p.join(maps, "slug", "left"), s), "C8": G.promotion_candidates(p), "C9": G.stale_answers(p), "C10": G.invalid_answers(p), "C11": G.orphans(p, s), "C12": G.alias_collisions(p),
     }
 

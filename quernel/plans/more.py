@@ -338,7 +338,7 @@ def x_02_draft_and_verify(spark, d):
 
 @query()
 def x_06_judge_pairs(spark, d):
-    p = G.ranked_pairs(G.shared_source_pairs(pages(spark)), pages(spark))
+    p = G.ranked_pairs(G.contradiction_pairs(pages(spark)), pages(spark))
     body = pages(spark).select("slug", "body")
     rows = p.join(body.select(F.col("slug").alias("a"), F.col("body").alias("x")), "a").join(body.select(F.col("slug").alias("b"), F.col("body").alias("y")), "b")
     return rows.select("a", "b", seams.judge("x", "y").alias("verdict"))

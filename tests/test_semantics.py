@@ -190,6 +190,24 @@ def test_slug_numbers_skip_taken(spark):
     assert [r.slug for r in mutate.number_slugs(rows, ["a", "a-2"]).orderBy("place").collect()] == ["a-3", "a-4"]
 
 
+def test_contradiction_candidates_need_no_common_source(spark):
+    rows = spark.createDataFrame(
+        [("a", "entities", ["x.md#1"], "shipping takes five days"), ("b", "concepts", ["y.md#1"], "shipping takes three days"), ("c", "concepts", ["x.md#2"], "unlike words"), ("d", "qa", ["z.md"], "shipping takes five days"), ("e", "entities", [], "")]
+        + [(f"n{i}", "concepts", [], f"other{i} page{i}") for i in range(8)],
+        "slug string, dir string, sources array<string>, body string",
+    )
+    assert {(r.a, r.b) for r in governance.shared_source_pairs(rows).collect()} == {("a", "c")}
+    assert {(r.a, r.b) for r in governance.contradiction_pairs(rows).collect()} == {("a", "b"), ("a", "c")}
+
+
+def test_registered_candidates_hold_neighbours(spark, sf):
+    ask = lambda name: QUERIES[name](spark, sf).collect()
+    pairs = {(r.a, r.b) for r in ask("j_12_shared_source")} | {tuple(sorted((r.query_id, r.neighbour))) for r in ask("j_13_bm25_neighbours")}
+    assert len(pairs) > len(ask("j_12_shared_source"))
+    assert {r.check_id: r.n for r in ask("a_08_findings_by_check")}["C5"] == len(pairs)
+    assert {(r.a, r.b) for r in ask("x_06_judge_pairs")} == pairs
+
+
 def test_whole_questions_are_asked(spark, sf):
     whole = bm25.bm25_search(asks(spark, sf), sections_of_documents(spark, sf), 5)
     want = {(r.query_id, r.id) for r in whole.collect()}
