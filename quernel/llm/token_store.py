@@ -293,18 +293,32 @@ def manifest(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("level int, node long, digest string").parquet(f"{path}/manifest")
 
 
+def check_manifest(spark: SparkSession, path: str, recipes: DataFrame) -> None:
+    """Every level of the manifest, up to the root, against the one below, the lowest against the recipes; an error where they differ."""
+    held = manifest(spark, path)
+    level, nodes, below = 0, recipes.select("ordinal", "leaf"), recipes.count()
+    while True:
+        own = held.where(F.col("level") == level).select(F.col("node").alias("ordinal"), "digest")
+        got = merkle_level(nodes).join(own, "ordinal", "full").agg(F.count("*").alias("n"), F.count_if(F.expr("NOT (leaf <=> digest)")).alias("broken")).first()
+        if got.broken or got.n != -(-below // FAN):
+            raise ValueError(f"the manifest of {path} does not match its recipes at level {level}")
+        if got.n <= 1:
+            break
+        level, nodes, below = level + 1, own.withColumnRenamed("digest", "leaf"), got.n
+    if not held.where(~F.col("level").between(0, level)).isEmpty():
+        raise ValueError(f"the manifest of {path} does not match its recipes: it has levels above the root")
+
+
 def read_store(spark: SparkSession, path: str, wide: bool = False, with_ids: bool = True) -> DataFrame:
     """Read a store back: (doc_id, start, n_tokens, ids_crc32, ids binary little-endian unsigned 32-bit), verified.
 
     Each chunk's digest and each recipe's Merkle leaf are checked as the ids are put together, and the
-    manifest's digests above them; a mismatch or a missing chunk is an error. Without ``with_ids`` the ids
+    manifest's digests above them, level by level up to the root; a mismatch or a missing chunk is an error. Without ``with_ids`` the ids
     themselves are left null once they are checked and counted.
     """
     chunks = spark.read.schema("rid long, keys array<binary>, lens array<int>, payload binary, absent array<int>, lent array<int>").parquet(f"{path}/chunks")
     recipes = spark.read.schema("rid long, doc_id long, ordinal long, start long, n_tokens long, leaf string").parquet(f"{path}/recipes")
-    broken = merkle_level(recipes.select("ordinal", "leaf")).join(manifest(spark, path).where("level = 0").select(F.col("node").alias("ordinal"), "digest"), "ordinal", "full").where("NOT (leaf <=> digest)")
-    if not broken.isEmpty():
-        raise ValueError(f"the manifest of {path} does not match its recipes")
+    check_manifest(spark, path, recipes)
 
     kind = "<u4" if wide else "<u2"
 

@@ -96,6 +96,22 @@ def test_store_tells_damage(spark):
         token_store.read_store(spark, path).collect()
 
 
+@pytest.mark.parametrize("damage", ["root", "middle", "missing", "more"])
+def test_store_tells_damage_above_the_lowest_level(spark, monkeypatch, damage):
+    monkeypatch.setattr(token_store, "FAN", 3)
+    path = token_store.new_store(spark)
+    token_store.write_store(docs(spark, [(i, f"text {i}") for i in range(20)]), path, BYTE_FILE, 2)
+    assert token_store.read_store(spark, path).count() == 20
+    held = [tuple(r) for r in token_store.manifest(spark, path).collect()]
+    top = max(r[0] for r in held)
+    assert top == 2
+    level = {"root": top, "middle": 1}.get(damage)
+    bad = [(a, n, "0" * 64 if (a, n) == (level, 0) else x) for a, n, x in held if not (damage == "missing" and a == top)] + [(top + 1, 0, "0" * 64)] * (damage == "more")
+    spark.createDataFrame(bad, "level int, node long, digest string").write.mode("overwrite").parquet(path + "/manifest")
+    with pytest.raises(ValueError, match="does not match its recipes"):
+        token_store.read_store(spark, path)
+
+
 def test_store_of_nothing(spark):
     path = token_store.new_store(spark)
     token_store.write_store(docs(spark, []), path, BYTE_FILE, 2)
