@@ -34,27 +34,78 @@ BLOCK = 1024
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a temporary folder of this process only where it is unset."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    """The cluster's ``spark.checkpoint.dir``. Where it is unset: a temporary folder of this process on one machine, an error on a cluster."""
+    context = spark.sparkContext
+    root = context.getConf().get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
     if getattr(shared_dir, "own", None) is None:
         shared_dir.own = tempfile.mkdtemp(prefix="quernel-")
         atexit.register(shutil.rmtree, shared_dir.own, ignore_errors=True)
     return "file://" + shared_dir.own
 
 
+def new_folder(spark: SparkSession) -> str:
+    """A new folder for tables of this application; all of them go when the application ends."""
+    root = f"{shared_dir(spark)}/quernel-{spark.sparkContext.applicationId}"
+    if root not in _FOLDERS:
+        _FOLDERS.add(root)
+        atexit.register(remove_at_end, spark, root)
+    return f"{root}/{uuid.uuid4().hex}"
+
+
+_FOLDERS: set[str] = set()
+
+
+def remove_at_end(spark: SparkSession, path: str) -> None:
+    if spark.sparkContext._jsc is not None:  # else the session has ended before
+        with contextlib.suppress(Exception):
+            remove(spark, path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder through Spark's file systems."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once into the shared folder and read it back: the lineage ends there and survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/quernel-{uuid.uuid4().hex}/{name}"
+    path = f"{new_folder(spark)}/{name}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete materialised tables that nothing will read again."""
+    for t in tables:
+        if path := getattr(t, "written_to", None):
+            remove(t.sparkSession, path)
 
 
-def small(df: DataFrame, row_bytes: int) -> DataFrame:
-    """A materialised table, with a broadcast hint if its rows are few enough by count; else it is joined by shuffle."""
-    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
+def small(df: DataFrame, row_bytes: int, size: int | None = None) -> DataFrame:
+    """A materialised table, with a broadcast hint if its bytes, by ``size`` or else by its count of rows, are few enough; else it is joined by shuffle."""
+    return F.broadcast(df) if (df.count() * row_bytes if size is None else size) <= BROADCAST_BYTES else df
+
+
+def heavy(total: int) -> int:
+    """Rows of one key beyond which it is no longer left to one task: fewer than a thousand keys can have as many."""
+    return max(1000, total // 1000)
+
+
+def join_unique(many: DataFrame, one: DataFrame, key: str, hot: DataFrame, how: str = "inner") -> DataFrame:
+    """``many`` joined with ``one``, which has each key once. The keys of ``hot`` (fewer than a thousand, see ``heavy``) are
+    joined by broadcast, so that no task gets all rows of one of them; the others by exchange."""
+    if hot.isEmpty():
+        return many.join(one, key, how)
+    hot = F.broadcast(hot.select(key))
+    few = F.broadcast(one.join(hot, key, "left_semi"))
+    return many.join(hot, key, "left_semi").join(few, key, how).unionByName(many.join(hot, key, "left_anti").join(one, key, how))
 
 
 def unused(name: str, df: DataFrame) -> str:
@@ -352,30 +403,47 @@ def forest(n: int, a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
 # ---------------------------------------------------------------- connected components
 
 
+def with_minimum(edges_: DataFrame, rows: int) -> DataFrame:
+    """Edges (u, v) with ``m``, the least of u and of all v of their u.
+
+    The minima are combined before they are exchanged. Where they are few enough they are broadcast; else those of
+    the nodes with very many edges are, and only the edges of all other nodes are exchanged.
+    """
+    low = edges_.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
+    if rows * 32 <= BROADCAST_BYTES:  # there are no more nodes than rows
+        return edges_.join(F.broadcast(low), "u")
+    low = materialize(low, "minima")
+    return join_unique(edges_, low, "u", low.where(F.col("n") > heavy(rows)))
+
+
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """Connected components of ``links(a, b)``: rows (node, component), component the least node reachable.
 
-    Large-star and small-star steps alternate until the edges no longer change, each written to the
-    shared folder. Minima are combined before each shuffle, so a node with very many links is no
-    bottleneck. Nodes without links are not returned; self links, nulls and repeated links do no harm.
+    Large-star and small-star steps alternate until the edges no longer change, each written to the shared folder
+    in place of the one before. Nodes without links are not returned; self links, nulls and repeated links do no
+    harm. The steps are logarithmic in the number of nodes; more than ``rounds`` of them are an error.
     """
+
+    def seen(pair: DataFrame) -> tuple:
+        return tuple(pair.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")), F.sum((F.xxhash64("v", "u") % 1000003))).first())
+
     pair = materialize(
         links.where("a IS NOT NULL AND b IS NOT NULL AND a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links"
     )
-    before = None
+    now = seen(pair)
     for _ in range(rounds):
+        before, last = now, pair
         both = pair.select("u", "v").unionByName(pair.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        pair = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = pair.groupBy("u").agg(F.min("v").alias("m"))
+        large = with_minimum(both, 2 * now[0]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = large if now[0] * 64 <= BROADCAST_BYTES else materialize(large, "large")
+        least = with_minimum(large, 2 * now[0])
         pair = materialize(
-            pair.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).distinct(),
-            "links",
+            least.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "links"
         )
-        now = tuple(pair.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")), F.sum((F.xxhash64("v", "u") % 1000003))).first())
+        now = seen(pair)
+        discard(last, large)
         if now == before:
             break
-        before = now
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     return pair.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(

@@ -80,19 +80,63 @@ def test_store_round_trip(spark, odd, library):
         assert ids in [library[BYTE_FILE].encode(t, add_special_tokens=False).ids + [2] for t in texts]
         assert (r.start, r.n_tokens, r.ids_crc32) == (start, len(ids), zlib.crc32(bytes(r.ids)))
         start += len(ids)
-    # each distinct chunk is stored once
-    held = [k for r in spark.read.parquet(path + "/chunks").collect() for i, k in enumerate(r["keys"]) if i not in r.absent]
-    assert len(held) == len({bytes(k) for k in held})
-
-
-def test_store_tells_damage(spark):
+    # each distinct chunk is stored once, in files that ascend
+    held = [bytes(k) for r in spark.read.parquet(path + "/chunks").collect() for k in r["keys"]]
+    assert len(held) == len(set(held))
+
+
+@pytest.mark.parametrize("ordered", [True, False])
+def test_store_of_shared_chunks(spark, monkeypatch, library, ordered):
+    """Chunks that hundreds of documents share, in documents of many chunks, by broadcast and by exchange with hot keys."""
+    rng = random.Random(31)
+    passage = [" ".join(rng.choice("abcdefgh") + str(rng.randrange(99)) for _ in range(300)) for _ in range(6)]
+    rows = [(i, " ".join([f"own{i}", *rng.sample(passage, rng.randrange(5)), "x" * rng.randrange(50)])) for i in range(400)]
+    rows += [(None, passage[0]), (7, passage[0] + " end")]
+    if ordered:
+        rows.sort(key=lambda r: (r[0] is not None, r[0] or 0))
+    else:
+        rng.shuffle(rows)
+    for limit in (common.BROADCAST_BYTES, -1):
+        monkeypatch.setattr(common, "BROADCAST_BYTES", limit)
+        monkeypatch.setattr(token_store, "BROADCAST_BYTES", limit)
+        monkeypatch.setattr(token_store, "heavy", lambda n: 40)
+        path = token_store.new_store(spark)
+        table = docs(spark, rows).coalesce(1) if ordered else docs(spark, rows)
+        token_store.write_store(table, path, BYTE_FILE, 2)
+        assert token_store.in_order(table.select("doc_id")) is ordered
+        chunks = spark.read.parquet(path + "/chunks")
+        held = [bytes(k) for r in chunks.collect() for k in r["keys"]]
+        assert len(held) == len(set(held)) and chunks.where(F.size("lent") > 0).count() > 3
+        got = token_store.read_store(spark, path).collect()
+        want = sorted((i, tuple(library[BYTE_FILE].encode(t, add_special_tokens=False).ids + [2])) for i, t in rows if i is not None)
+        assert sorted((r.doc_id, tuple(np.frombuffer(bytes(r.ids), "<u4").tolist())) for r in got if r.doc_id is not None) == want
+        got.sort(key=lambda r: r.start)
+        assert [r.doc_id for r in got] == sorted((i for i, _ in rows), key=lambda i: (i is not None, i or 0))
+        # each file of chunks ascends, and the files' ranges do not overlap
+        own = chunks.select("rid", F.input_file_name().alias("f"), F.monotonically_increasing_id().alias("at")).join(spark.read.parquet(path + "/recipes").select("rid", "ordinal"), "rid").collect()
+        by_file = {}
+        for r in sorted(own, key=lambda r: r.at):
+            by_file.setdefault(r.f, []).append(r.ordinal)
+        spans = sorted(by_file.values())
+        assert [x for s in spans for x in s] == list(range(len(rows)))
+
+
+@pytest.mark.parametrize("table, damage", [("chunks", "body"), ("chunks", "row"), ("recipes", "doc_id"), ("recipes", "start"), ("recipes", "n_tokens"), ("recipes", "keys")])
+def test_store_tells_damage(spark, table, damage):
     path = token_store.new_store(spark)
     token_store.write_store(docs(spark, [(1, "some text here"), (2, "other")]), path, BYTE_FILE, 2)
-    bad = spark.read.parquet(path + "/chunks").withColumn("payload", F.concat(F.lit(b"\x00\x00"), F.expr("substring(payload, 3, 1000)")))
-    bad.write.parquet(path + "/damaged")
-    bad = spark.read.parquet(path + "/damaged")
-    bad.write.mode("overwrite").parquet(path + "/chunks")
-    with pytest.raises(Exception, match="differs from its digest"):
+    rows = spark.read.parquet(f"{path}/{table}")
+    if damage == "body":
+        rows = rows.withColumn("bodies", F.transform("bodies", lambda x: F.concat(F.lit(b"\x00\x00"), F.substring(x, 3, 1000))))
+    elif damage == "row":
+        rows = rows.limit(1)
+    elif damage == "keys":
+        rows = rows.withColumn("keys", F.reverse(F.transform("keys", F.reverse)))
+    else:
+        rows = rows.withColumn(damage, F.col(damage) + 1)
+    rows.write.parquet(path + "/damaged")
+    spark.read.parquet(path + "/damaged").write.mode("overwrite").parquet(f"{path}/{table}")
+    with pytest.raises(Exception, match="differs from its|does not match its recipes|missing"):
         token_store.read_store(spark, path).collect()
 
 
@@ -120,10 +164,17 @@ def test_store_of_nothing(spark):
 
 def test_chunks_follow_the_content():
     rng = np.random.default_rng(1)
+    cut = lambda ids: token_store.cut_points(ids, np.array([len(ids)])).tolist()
     ids = rng.integers(0, 50_000, 20_000).astype(np.uint16)
-    a, b = token_store.cut_points(ids), token_store.cut_points(np.concatenate([rng.integers(0, 9, 77).astype(np.uint16), ids]))
+    a, b = cut(ids), cut(np.concatenate([rng.integers(0, 9, 77).astype(np.uint16), ids]))
     assert a[-1] == len(ids) and len({x + 77 for x in a} & set(b)) > 0.9 * len(a)
-    assert max(np.diff([0, *token_store.cut_points(np.zeros(30_000, np.uint16))])) <= token_store.LARGEST
+    assert 64 < np.diff(a).mean() < 256
+    assert max(np.diff([0, *cut(np.zeros(30_000, np.uint16))])) <= token_store.LARGEST
+    # streams end to end are cut as each alone
+    ends = np.cumsum([3, 0, 700, 12_000, 1, 7000])
+    parts = [cut(ids[x:y]) for x, y in zip([0, *ends], ends) if y > x]
+    starts = [x for x, y in zip([0, *ends], ends) if y > x]
+    assert token_store.cut_points(ids[: ends[-1]], ends).tolist() == [s + c for s, p in zip(starts, parts) for c in p]
 
 
 # ---------------------------------------------------------------- quality
