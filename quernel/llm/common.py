@@ -19,7 +19,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text handled at once by a Python worker (one longer text is handled alone).
@@ -116,6 +116,11 @@ def unused(name: str, df: DataFrame) -> str:
     return name
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def without(docs: DataFrame, gone: DataFrame, id_col: str) -> DataFrame:
     """The rows whose id is not in the one-column table ``gone``, which is written once; null ids match nulls."""
     key = unused("gone", docs)
@@ -397,7 +402,8 @@ def forest(n: int, a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
         np.minimum.at(root, rb, low)
         while (root != root[root]).any():
             root = root[root]
-    return [(int(r), i) for i, r in enumerate(root) if r != i]
+    other = np.flatnonzero(root != np.arange(n))
+    return list(zip(root[other].tolist(), other.tolist()))
 
 
 # ---------------------------------------------------------------- connected components

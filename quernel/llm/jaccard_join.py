@@ -3,7 +3,8 @@
 Texts are sets of word shingles (five words). Texts with the same set form one class and are collapsed
 before anything is compared. Classes that share a band of MinHash values are candidates; their MinHash
 values are compared a chunk at a time, and a pair is dropped as soon as the posterior probability that its
-similarity reaches the threshold falls below ``tolerance`` (uniform prior). The rest is verified exactly.
+similarity reaches the threshold falls below ``tolerance`` (uniform prior). What is left of a bucket is
+spanned by a forest; inside the groups that these forests join, the rest is verified exactly.
 
 No pair of a group is ever emitted: blocks of pairs are compared inside a task, which emits a count for
 each class and the edges of a spanning forest.
@@ -19,13 +20,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, deal_blocks, edges, fixed, forest, map_text, materialize, mix, runs, shingles
+from .common import components, deal_blocks, discard, edges, fixed, forest, map_text, materialize, mix, runs, shingles, unused, without
 
 BAND, BANDS = 5, 32
 HASHES = BAND * BANDS
-#: MinHash values compared at a time; the first chunk travels with the bands, as 16-bit values.
+#: MinHash values compared at a time; the low bytes of all values travel with the bands.
 CHUNK = 32
-BLOCK = 512
+#: Members of a block; buckets of up to so many members are compared many at a time.
+BLOCK, FEW = 512, 12
 
 _RNG = np.random.Generator(np.random.PCG64(20240501))
 _MUL = _RNG.integers(0, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -74,70 +76,112 @@ def keep_from(n: int, threshold: float, tolerance: float) -> int:
 
 
 def sketch(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """(id, n, fp_hi, fp_lo, sig binary, bands array<long>) of each text with a shingle."""
+    """(row, id, fp_hi, fp_lo, sig binary, bands array<long>) of each text; without a shingle the last four are null.
 
-    def run(part: pa.RecordBatch) -> pa.RecordBatch | None:
+    ``row`` numbers the rows of the input as its files and their order say.
+    """
+
+    def run(part: pa.RecordBatch) -> pa.RecordBatch:
         sets = shingles(part.column("text"), width)
-        full = np.array([i for i, s in enumerate(sets) if len(s)], np.int64)
-        if not len(full):
-            return None
-        sets = [sets[i] for i in full]
+        full = np.array([len(s) > 0 for s in sets], bool)
+        sets = [s for s in sets if len(s)]
         sig = signature(sets)
-        fp = np.frombuffer(b"".join(hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets), np.int64).reshape(-1, 2)
+        fp = fingerprints(sets)
         keys = band_keys(sig).view(np.int64)
+        at = np.where(full, np.cumsum(full) - 1, 0)
+        of_full = lambda values: values.take(pa.array(at, mask=~full))
         return pa.RecordBatch.from_arrays(
             [
-                part.column("id").take(pa.array(full)),
-                pa.array([len(s) for s in sets], pa.int32()),
-                pa.array(fp[:, 0].copy()),
-                pa.array(fp[:, 1].copy()),
-                pa.array([r.tobytes() for r in sig], pa.binary()),
-                pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * BANDS), pa.array(keys.ravel())),
+                part.column("row"),
+                part.column("id"),
+                of_full(pa.array(fp[:, 0].copy())),
+                of_full(pa.array(fp[:, 1].copy())),
+                of_full(pa.array([r.tobytes() for r in sig], pa.binary())),
+                of_full(pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * BANDS), pa.array(keys.ravel()))),
             ],
-            names=["id", "n", "fp_hi", "fp_lo", "sig", "bands"],
+            names=["row", "id", "fp_hi", "fp_lo", "sig", "bands"],
         )
 
-    return map_text(
-        docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")),
-        "text",
-        run,
-        "id long, n int, fp_hi long, fp_lo long, sig binary, bands array<bigint>",
-    )
+    return map_text(numbered(docs, id_col, text_col), "text", run, "row long, id long, fp_hi long, fp_lo long, sig binary, bands array<bigint>")
+
+
+def numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+
+
+def fingerprints(sets: list[np.ndarray]) -> np.ndarray:
+    """128 bits of each set, as two integers."""
+    return np.frombuffer(b"".join(hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets), np.int64).reshape(-1, 2)
+
+
+def needs(threshold: float, tolerance: float) -> dict[int, int]:
+    """Equal values that a pair must have after each chunk. Low bytes agree by chance as well, which only keeps pairs longer."""
+    return {n: keep_from(n, threshold, tolerance) for n in range(CHUNK, HASHES + 1, CHUNK)}
+
+
+def still_alike(low: np.ndarray, a: np.ndarray, b: np.ndarray, least: dict[int, int]) -> np.ndarray:
+    """Which pairs of rows (a, b) survive all chunks of values, compared a chunk at a time."""
+    left, equal = np.arange(len(a)), np.zeros(len(a), np.int32)
+    for n, need in least.items():
+        step = slice(n - CHUNK, n)
+        equal = equal + np.count_nonzero(low[a[left], step] == low[b[left], step], axis=1)
+        good = equal >= need
+        left, equal = left[good], equal[good]
+    return left
+
+
+def spanning(low: np.ndarray, x: np.ndarray, y: np.ndarray | None, least: dict[int, int]) -> list[tuple[int, int]]:
+    """Edges of a spanning forest of the alike pairs among rows x, or between rows x and rows y.
+
+    Each row that is reached is compared with the rows that are not reached yet: a group of copies takes one
+    comparison a member, not one a pair.
+    """
+    out = []
+    free = [x, x if y is None else y]
+    while len(free[0]):
+        todo = [(0, free[0][0])]
+        free[0] = free[0][1:]
+        while todo:
+            side, row = todo.pop()
+            other = 0 if y is None else 1 - side
+            hit = np.zeros(len(free[other]), bool)
+            hit[still_alike(low, np.full(len(hit), row), free[other], least)] = True
+            for r in free[other][hit].tolist():
+                out.append((int(row), r))
+                todo.append((other, r))
+            free[other] = free[other][~hit]
+    return out
 
 
 def alike_in_bands(members: DataFrame, threshold: float, tolerance: float) -> DataFrame:
-    """Edges (a, b) that span what survives the first chunk of values in each bucket of a band."""
-    least = keep_from(CHUNK, threshold, tolerance)
+    """Edges (a, b) that span what survives the comparison of all values in each bucket of a band."""
+    least = needs(threshold, tolerance)
     key = ["band", "bucket", "bi", "bj"]
 
     def run(batches):
         for part in runs(batches, key):
-            ids = part.column("id").to_numpy(zero_copy_only=False)
-            blk = part.column("blk").to_numpy(zero_copy_only=False)
-            bi, bj = (part.column(k).to_numpy(zero_copy_only=False) for k in ("bi", "bj"))
-            short = fixed(part.column("short"), np.uint16, CHUNK)
+            ids, blk, bi, bj = (part.column(k).to_numpy(zero_copy_only=False) for k in ("id", "blk", "bi", "bj"))
+            low = fixed(part.column("low"), np.uint8, HASHES)
             cut = np.append(edges(part, key), part.num_rows)
-            size = np.diff(cut)
+            first, size = cut[:-1], np.diff(cut)
             a, b = [], []
-            two = cut[:-1][size == 2]
-            two = two[(bi[two] == bj[two]) | (blk[two] != blk[two + 1])]
-            good = two[(short[two] == short[two + 1]).sum(1) >= least]
-            a.append(ids[good]), b.append(ids[good + 1])
-            for at, n in zip(cut[:-1][size > 2], size[size > 2]):
-                s, k, own = short[at : at + n], ids[at : at + n], blk[at : at + n]
-                x = np.arange(n) if bi[at] == bj[at] else np.flatnonzero(own == bi[at])
-                y = x if bi[at] == bj[at] else np.flatnonzero(own == bj[at])
-                if not len(x) or not len(y):
-                    continue
-                equal = np.zeros((len(x), len(y)), np.uint8)
-                for j in range(CHUNK):
-                    equal += s[x, j][:, None] == s[y, j][None, :]
-                i, j = np.nonzero(equal >= least)
-                for p, q in forest(n, x[i], y[j]):
-                    a.append(k[[p]]), b.append(k[[q]])
-            a, b = np.concatenate(a), np.concatenate(b)
-            if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+            for n in range(2, FEW + 1):  # all pairs of the small buckets at once
+                at = first[size == n]
+                i, j = (at[:, None] + k for k in np.triu_indices(n, 1))
+                i, j = i.ravel(), j.ravel()
+                apart = (bi[i] == bj[i]) | (blk[i] != blk[j])
+                i, j = i[apart], j[apart]
+                good = still_alike(low, i, j, least)
+                for r, s in forest(part.num_rows, i[good], j[good]) if n > 2 and len(good) else zip(i[good].tolist(), j[good].tolist()):
+                    a.append(r), b.append(s)
+            for at, n in zip(first[size > FEW].tolist(), size[size > FEW].tolist()):
+                rows = np.arange(at, at + n)
+                of = blk[rows]
+                pair = (rows, None) if bi[at] == bj[at] else (rows[of == bi[at]], rows[of == bj[at]])
+                for r, s in spanning(low, *pair, least):
+                    a.append(r), b.append(s)
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(ids[b])], names=["a", "b"])
 
     return deal_blocks(members, ["band", "bucket"], "size", "id").mapInArrow(run, "a long, b long")
 
@@ -165,7 +209,7 @@ def common_shingles(sets: list[np.ndarray], x: np.ndarray, y: np.ndarray, i: np.
 
 def verify(members: DataFrame, threshold: float, tolerance: float) -> DataFrame:
     """Rows (a, b, links): a link of the spanning forest where b is set, else a count of texts linked to class a."""
-    least = {n: keep_from(n, threshold, tolerance) for n in range(CHUNK, HASHES + 1, CHUNK)}
+    least = needs(threshold, tolerance)
     key = ["component", "bi", "bj"]
 
     def linked(sig, count, sets, x, y, within):
@@ -222,75 +266,95 @@ def verify(members: DataFrame, threshold: float, tolerance: float) -> DataFrame:
     return deal_blocks(members, ["component"], "size", "id", BLOCK).mapInArrow(run, "a long, b long, links long")
 
 
-def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, width: int = 5, tolerance: float = 1e-6) -> DataFrame:
-    """Near-duplicate classes of texts: (id, class_id, copy_of, n_links, kept), one row for each document.
+def classes_of_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, width: int = 5, tolerance: float = 1e-6) -> DataFrame:
+    """(row, id, class_id, copy_of, n_links, kept) of each row, ``row`` its number by the input's files and their order.
 
-    Two texts are linked if the Jaccard similarity of their sets of lower-case, white-space separated word
-    5-grams is at least ``threshold``. ``class_id`` is the least id reachable by links, ``copy_of`` the
-    least id with the very same set, ``n_links`` the number of other documents linked directly, ``kept``
-    whether the id is the least of its class. Texts of one to four words are compared as one shingle.
-    Null, empty and blank texts link with nothing (class of their own, no links). Null ids are dropped;
-    rows that repeat an id count as copies of one document: one row comes back for each id and text class.
-    The id is any integer column; other columns are ignored.
+    See ``jaccard_join``. ``docs`` must read alike each time, as files do; it is an error if it does not.
     """
     rows = materialize(sketch(docs, id_col, text_col, width), "sketch")
-    class_of = rows.groupBy("fp_hi", "fp_lo").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.min_by(F.struct("sig", "bands"), "id").alias("own"))
-    classes = materialize(class_of.select("fp_hi", "fp_lo", "rep", "copies", "own.sig", "own.bands"), "classes")
+    least = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row"))
+    own = rows.where("sig IS NOT NULL").groupBy("fp_hi", "fp_lo").agg(least.alias("first"), F.count("*").alias("copies"), F.first(F.struct("sig", "bands")).alias("own"))
+    classes = materialize(own.select(F.monotonically_increasing_id().alias("node"), "fp_hi", "fp_lo", "first", "copies", "own.sig", "own.bands"), "classes")
 
-    keys = classes.select(F.col("rep").alias("id"), F.posexplode("bands").alias("band", "bucket"))
+    keys = classes.select(F.col("node").alias("id"), F.posexplode("bands").alias("band", "bucket"))
     full = materialize(keys.groupBy("band", "bucket").agg(F.count("*").alias("size")).where("size > 1"), "buckets")
-    found = keys.join(full, ["band", "bucket"])
-    busy = materialize(found, "candidates")
-    low16 = map_short(classes.join(busy.select(F.col("id").alias("rep")).distinct(), "rep", "left_semi"))
-    coarse = components(alike_in_bands(busy.join(low16, "id"), threshold, tolerance))
-
+    busy = materialize(keys.join(full, ["band", "bucket"]), "candidates")
+    low = low_bytes(classes.join(busy.select(F.col("id").alias("node")).distinct(), "node", "left_semi"))
+    coarse = components(alike_in_bands(busy.join(low, "id"), threshold, tolerance))
     coarse = materialize(coarse.join(coarse.groupBy("component").agg(F.count("*").alias("size")), "component"), "coarse")
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(coarse.select(F.col("node").alias("id")), "id", "left_semi")
-    sets = text_sets(texts, width)
-    members = (
-        coarse.withColumnRenamed("node", "id")
-        .join(classes.select(F.col("rep").alias("id"), "copies", "sig", "fp_hi", "fp_lo"), "id")
-        .join(sets, ["id", "fp_hi", "fp_lo"])
-        .drop("fp_hi", "fp_lo")
+    discard(full, busy)
+
+    wanted = coarse.join(classes.select("node", "first.row", "copies", "sig", "fp_hi", "fp_lo"), "node")
+    sets = text_sets(numbered(docs, id_col, text_col).join(coarse.join(classes, "node").select("first.row"), "row", "left_semi"), width)
+    same = F.col("fp_hi").eqNullSafe(F.col("hi")) & F.col("fp_lo").eqNullSafe(F.col("lo"))
+    members = wanted.join(sets, "row", "left").select(
+        F.col("node").alias("id"), "component", "size", "copies", "sig", F.when(same, F.col("shingles")).otherwise(F.raise_error(F.lit("the documents were read in another order the second time"))).alias("shingles")
     )
     checked = materialize(verify(members, threshold, tolerance), "verified")
+    discard(coarse)
     joined = components(checked.where("b IS NOT NULL").select("a", "b"))
     counts = checked.where("b IS NULL").groupBy("a").agg(F.sum("links").alias("links"))
 
     of_class = (
-        classes.select("fp_hi", "fp_lo", "rep", "copies")
-        .join(joined.withColumnRenamed("node", "rep"), "rep", "left")
-        .join(counts.withColumnRenamed("a", "rep"), "rep", "left")
-        .select("fp_hi", "fp_lo", "rep", F.coalesce("component", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+        classes.select("fp_hi", "fp_lo", "node", "first", "copies")
+        .join(joined, "node", "left")
+        .join(counts.withColumnRenamed("a", "node"), "node", "left")
+        .select("fp_hi", "fp_lo", "first", F.coalesce("component", "node").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    )
+    least = of_class.groupBy("component").agg(F.min("first").alias("least"))
+    of_class = materialize(of_class.join(least, "component").select("fp_hi", "fp_lo", "first", "least", "n_links"), "classes")
+    discard(classes, checked)
+    out = rows.select("row", "id", "fp_hi", "fp_lo").join(of_class, ["fp_hi", "fp_lo"], "left")
+    alone = F.col("first").isNull()
+    return out.select(
+        "row",
+        "id",
+        F.when(alone, F.col("id")).otherwise(F.col("least.id")).alias("class_id"),
+        F.when(alone, F.col("id")).otherwise(F.col("first.id")).alias("copy_of"),
+        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+        (alone | (F.col("row") == F.col("least.row"))).alias("kept"),
     )
-    with_words = rows.select("id", "fp_hi", "fp_lo").join(of_class, ["fp_hi", "fp_lo"]).select("id", "class_id", F.col("rep").alias("copy_of"), "n_links")
-    every = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"))
-    none = every.join(rows.select("id"), "id", "left_anti").select("id", F.col("id").alias("class_id"), F.col("id").alias("copy_of"), F.lit(0).cast("long").alias("n_links"))
-    out = with_words.unionByName(none).distinct()
-    return out.withColumn("kept", F.col("id") == F.col("class_id")).withColumnRenamed("id", id_col)
 
 
-def map_short(classes: DataFrame) -> DataFrame:
-    """(id, short): the low 16 bits of the first chunk of values."""
+def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, width: int = 5, tolerance: float = 1e-6) -> DataFrame:
+    """Near-duplicate classes of texts: (id, class_id, copy_of, n_links, kept), one row for each row of ``docs``.
+
+    Two texts are linked if the Jaccard similarity of their sets of lower-case, white-space separated word
+    5-grams is at least ``threshold``. ``class_id`` is the least id reachable by links, ``copy_of`` the least id
+    with the very same set, ``n_links`` the number of other rows linked directly, ``kept`` whether the row is the
+    one of its class that stays: that of the least id, among equal ids the first. Texts of one to four words are
+    compared as one shingle. Null, empty and blank texts link with nothing (class of their own, no links, kept).
+    Rows that repeat an id are rows of their own; null ids rank last, and are the class id only where no row
+    of the class has an id. The id is any integer column; other columns are ignored.
+    """
+    return classes_of_rows(docs, id_col, text_col, threshold, width, tolerance).drop("row").withColumnRenamed("id", id_col)
+
+
+def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, width: int = 5) -> DataFrame:
+    """The rows of ``docs`` without those that are not ``kept``: one row of each class stays, with all its columns."""
+    name = unused("row", docs)
+    gone = classes_of_rows(docs, id_col, text_col, threshold, width).where(~F.col("kept")).select("row")
+    return without(docs.withColumn(name, F.monotonically_increasing_id()), gone, name).drop(name)
+
+
+def low_bytes(classes: DataFrame) -> DataFrame:
+    """(id, low): the low byte of each MinHash value."""
 
     def run(batches):
         for batch in batches:
             if batch.num_rows:
-                low = fixed(batch.column("sig"), np.uint32, HASHES)[:, :CHUNK].astype(np.uint16)
-                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([r.tobytes() for r in low], pa.binary())], names=["id", "short"])
+                low = fixed(batch.column("sig"), np.uint32, HASHES).astype(np.uint8)
+                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([r.tobytes() for r in low], pa.binary())], names=["id", "low"])
 
-    return classes.select(F.col("rep").alias("id"), "sig").mapInArrow(run, "id long, short binary")
+    return classes.select(F.col("node").alias("id"), "sig").mapInArrow(run, "id long, low binary")
 
 
 def text_sets(texts: DataFrame, width: int) -> DataFrame:
-    """(id, fingerprint, shingles binary) of texts, once for each id and set."""
+    """(row, hi, lo, shingles binary) of texts: their fingerprint and their shingles."""
 
     def run(part: pa.RecordBatch) -> pa.RecordBatch:
         sets = shingles(part.column("text"), width)
-        fp = np.frombuffer(b"".join(hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets), np.int64).reshape(-1, 2)
-        return pa.RecordBatch.from_arrays(
-            [part.column("id"), pa.array(fp[:, 0].copy()), pa.array(fp[:, 1].copy()), pa.array([s.tobytes() for s in sets], pa.binary())],
-            names=["id", "fp_hi", "fp_lo", "shingles"],
-        )
+        fp = fingerprints(sets)
+        return pa.RecordBatch.from_arrays([part.column("row"), pa.array(fp[:, 0].copy()), pa.array(fp[:, 1].copy()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["row", "hi", "lo", "shingles"])
 
-    return map_text(texts, "text", run, "id long, fp_hi long, fp_lo long, shingles binary").dropDuplicates(["id", "fp_hi", "fp_lo"])
+    return map_text(texts.select("row", "text"), "text", run, "row long, hi long, lo long, shingles binary")

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -215,26 +216,53 @@ def test_dual_coordinate_descent_separates():
 # ---------------------------------------------------------------- vectors
 
 
-def test_near_vectors_brute_force(spark):
-    rng = np.random.default_rng(4)
-    base = rng.standard_normal((40, 16))
-    rows = [(i, (base[i % 40] + rng.standard_normal(16) * rng.choice([0, 0.1, 0.25])).tolist(), int(i % 3)) for i in range(600)]
-    rows += [(1000, None, 1), (1001, [0.0] * 16, 1), (1002, [float("nan")] * 16, 1), (1003, [1.0, None] * 8, 1), (1004, [1.0] * 16, None), (1005, [], 2), (1006, [1.0, 2.0], 1), (1007, [2.0, 4.0], 1), (1008, [1e200] * 16, 0), (1009, [1e200] * 16, 0)]
-    got = {r.vec_id: r for r in near_vectors.near_vectors(spark.createDataFrame(rows + [(None, [1.0], 1)], "vec_id long, embedding array<double>, label int")).collect()}
-    ok = {i: np.array(v) / np.abs(v).max() for i, v, lab in rows if lab is not None and v and None not in v and np.isfinite(v).all() and any(v)}
-    label = {i: lab for i, _, lab in rows}
-    links = {i: {j for j in ok if j != i and label[i] == label[j] and len(ok[i]) == len(ok[j]) and ok[i] @ ok[j] / np.linalg.norm(ok[i]) / np.linalg.norm(ok[j]) >= 0.93} for i in ok}
-    assert len(got) == len(rows)
-    for i, _, _ in rows:
+def brute_vectors(rows):
+    """(id, n_links, component_id) of each row, by all pairs."""
+    unit = [np.array(v) / np.abs(v).max() if lab is not None and v and None not in v and np.isfinite(v).all() and any(v) else None for _, v, lab in rows]
+    unit = [None if u is None else u / np.linalg.norm(u) for u in unit]
+    links = [[j for j, y in enumerate(unit) if x is not None and y is not None and i != j and rows[i][2] == rows[j][2] and len(x) == len(y) and x @ y >= 0.93] for i, x in enumerate(unit)]
+    out = []
+    for i, (own, _, _) in enumerate(rows):
         seen, todo = {i}, [i]
         while todo:
-            for j in links.get(todo.pop(), ()):
+            for j in links[todo.pop()]:
                 if j not in seen:
                     seen.add(j), todo.append(j)
-        assert (got[i].n_links, got[i].component_id, got[i].kept) == (len(links.get(i, ())), min(seen), i == min(seen))
+        out.append((own, len(links[i]), min((rows[k][0] for k in seen if rows[k][0] is not None), default=None)))
+    return sorted(out, key=str)
+
+
+def vector_rows(rng, n, spread=(0, 0.1, 0.25), dim=16, bases=40):
+    base = rng.standard_normal((bases, dim))
+    return [(i, (base[i % bases] + rng.standard_normal(dim) * rng.choice(spread)).tolist(), int(i % 3)) for i in range(n)]
+
+
+def test_near_vectors_brute_force(spark):
+    rng = np.random.default_rng(4)
+    rows = vector_rows(rng, 600)
+    rows += [(1000, None, 1), (1001, [0.0] * 16, 1), (1002, [float("nan")] * 16, 1), (1003, [1.0, None] * 8, 1), (1004, [1.0] * 16, None), (1005, [], 2), (1006, [1.0, 2.0], 1), (1007, [2.0, 4.0], 1), (1008, [1e200] * 16, 0), (1009, [1e200] * 16, 0)]
+    rows += [(None, rows[4][1], 1), (7, rows[5][1], 2), (7, rows[6][1], 0), (None, [3.0, -1.0], 2), (None, [3.0, -1.0], 2), (None, None, None)]
+    table = spark.createDataFrame([(*r, 1, "x", 5) for r in rows], "vec_id long, embedding array<double>, label int, id int, vec string, node int")
+    got = near_vectors.near_vectors(table).collect()
+    assert sorted(((r.vec_id, r.n_links, r.component_id) for r in got), key=str) == brute_vectors(rows)
+    assert all(r.kept == (r.vec_id == r.component_id) for r in got)
     assert near_vectors.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
 
+@pytest.mark.parametrize("bits", [4, 7, 12, 18])
+def test_near_vectors_find_every_link_at_any_number_of_bits(spark, monkeypatch, bits):
+    """Links close above the threshold, in tables of as many bits as large labels get, with buckets of several blocks."""
+    monkeypatch.setattr(near_vectors, "BLOCK", 32)
+    plan = near_vectors.plan
+    monkeypatch.setattr(near_vectors, "plan", lambda n, t: plan(near_vectors.BUCKET << bits, t))
+    assert near_vectors.plan(9, 0.93)[0] == bits
+    rows = [(i, v, 0) for i, v, _ in vector_rows(np.random.default_rng(bits), 500, (0.2, 0.24, 0.27), bases=25)]
+    want = brute_vectors(rows)
+    assert sum(n for _, n, _ in want) > 500
+    got = near_vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert sorted(((r.vec_id, r.n_links, r.component_id) for r in got), key=str) == want
+
+
 # ---------------------------------------------------------------- near-duplicate texts
 
 
@@ -257,7 +285,8 @@ def test_jaccard_join_brute_force(spark):
                 own[rng.randrange(len(own))] = rng.choice(words)
             rows.append((len(rows), " ".join(own)))
     rows += [(900, None), (901, ""), (902, "  \n"), (903, "One two"), (904, "one TWO"), (905, "one two three"), (906, "z " * 30), (907, "z " * 300)]
-    got = {r.doc_id: r for r in jaccard_join.jaccard_join(docs(spark, rows + [(None, "x")])).collect()}
+    got = {r.doc_id: r for r in jaccard_join.jaccard_join(docs(spark, rows + [(None, "no copy")])).collect()}
+    assert (lone := got.pop(None)).kept and lone.class_id is None and lone.n_links == 0
     sets = shingle_sets(rows)
     links = {i: {j for j in sets if j != i and a and sets[j] and len(a & sets[j]) >= 0.8 * len(a | sets[j]) - 1e-9} for i, a in sets.items()}
     assert len(got) == len(rows)
@@ -281,6 +310,33 @@ def test_jaccard_join_of_one_large_group(spark, monkeypatch):
     assert jaccard_join.jaccard_join(docs(spark, [])).count() == 0
 
 
+def test_jaccard_join_of_repeated_and_null_ids(spark):
+    one, two = " ".join(f"w{k}" for k in range(60)), " ".join(f"w{k}" for k in range(61))
+    rows = [(5, one), (5, one), (5, "other words"), (None, two), (9, None), (None, "lost words"), (None, "lost words"), (9, ""), (3, two)]
+    got = sorted((tuple(r) for r in jaccard_join.jaccard_join(docs(spark, rows)).collect()), key=str)
+    want = [(5, 3, 5, 3, False)] * 2 + [(5, 5, 5, 0, True), (None, 3, 3, 3, False), (9, 9, 9, 0, True), (9, 9, 9, 0, True), (3, 3, 3, 3, True)]
+    want += [(None, None, None, 1, True), (None, None, None, 1, False)]
+    assert got == sorted(want, key=str)
+    table = spark.createDataFrame([(*r, "x", 7) for r in rows], "doc_id long, text string, row string, id int")
+    kept = jaccard_join.without_copies(table)
+    assert kept.columns == table.columns
+    assert sorted(((r.doc_id, r.text, r["row"], r.id) for r in kept.collect()), key=str) == sorted([(5, "other words", "x", 7), (9, None, "x", 7), (9, "", "x", 7), (None, "lost words", "x", 7), (3, two, "x", 7)], key=str)
+
+
+def test_spanning_forest_of_alike_rows():
+    rng = np.random.default_rng(8)
+    least = jaccard_join.needs(0.8, 1e-6)
+    base = rng.integers(0, 256, (9, jaccard_join.HASHES), dtype=np.uint8)
+    low = base[rng.integers(0, 9, 120)]
+    low[np.arange(120), rng.integers(0, jaccard_join.HASHES, 120)] += 1
+    for x, y in ((np.arange(120), None), (np.arange(50), np.arange(50, 120))):
+        i, j = np.triu_indices(120, 1) if y is None else (v.ravel() for v in np.meshgrid(x, y, indexing="ij"))
+        good = jaccard_join.still_alike(low, i, j, least)
+        own = jaccard_join.spanning(low, x, y, least)
+        groups = lambda a, b: common.forest(120, np.array(a), np.array(b))
+        assert groups(*zip(*own)) == groups(i[good], j[good]) and len(own) == len(groups(i[good], j[good]))
+
+
 def test_posterior_bound():
     assert jaccard_join.keep_from(32, 0.8, 1e-6) < 16 < jaccard_join.keep_from(160, 0.8, 1e-6) < 128
 
@@ -322,9 +378,35 @@ def test_shards(spark):
     assert {r.shard for r in sharding.shard(docs(spark, [(1, "a")])).collect()} <= set(range(16))
 
 
-def test_equal_rows_stay_whole(spark):
-    got = sharding.shard(docs(spark, [(1, "a")] * 50)).collect()
-    assert len(got) == 50 and len({(r.shard, r.slot) for r in got}) == 50
+def test_equal_rows_and_hot_ids_in_many_cells(spark, monkeypatch):
+    """Rows sorted in many cells: exact shares, neighbouring slots for equal texts, no cell with all rows of an id or a text."""
+    monkeypatch.setattr(sharding, "CELL_BYTES", 500)
+    rng = random.Random(3)
+    rows = [(1, "a" * 9)] * 500 + [(None, f"null {i}") for i in range(500)] + [(7, f"seven {i % 250}") for i in range(500)] + [(i, f"own text {rng.randrange(700)}") for i in range(1500)]
+    got = sharding.shard(docs(spark, rows)).collect()
+    assert sorted(((r.doc_id, r.text) for r in got), key=str) == sorted(rows, key=str)
+    by_shard, seen = {}, {}
+    for r in got:
+        by_shard.setdefault(r.shard, []).append(r)
+    total = sum(len(t) + 1 for _, t in rows)
+    for k, own in by_shard.items():
+        own.sort(key=lambda r: r.slot)
+        assert [r.slot for r in own] == list(range(len(own)))
+        assert abs(sum(r["size"] for r in own) - total / 16) < 40
+        for a, b in zip([None, *own], own):
+            if a is None or a.text != b.text:
+                assert (k, b.text) not in seen
+                seen[k, b.text] = 1
+    narrow = docs(spark, rows).select(F.xxhash64("text").alias("h1"), F.xxhash64("doc_id", F.monotonically_increasing_id()).alias("h2"), sharding.text_size(F.col("text")).alias("size"))
+    bounds = sharding.splitters(narrow, 16, 0.001, 8)
+    held = {r.cell: r for r in sharding.cell_of(narrow, bounds, "cell").groupBy("cell").agg(F.count("*").alias("n"), F.sum("size").alias("bytes")).collect()}
+    assert max(r.bytes for r in held.values()) < 3 * total / 128
+    # splitters against the sorted keys
+    keys = sorted(((r.h1 + (1 << 63)) << 64 | (r.h2 + (1 << 63)), r["size"]) for r in narrow.collect())
+    for t, bound in enumerate(bounds, 1):
+        below = sum(n for k, n in keys if k < bound)
+        assert abs(below - total * t / 128) <= (0.5 * total / 128 if t % 8 else 0.001 * total / 16) + 20
+        assert sum(r.n for c, r in held.items() if c < t) == sum(k < bound for k, _ in keys)
 
 
 # ---------------------------------------------------------------- decontamination
@@ -456,9 +538,30 @@ def test_pii_brute_force(spark):
     assert got[14].spans.count("iban:") == 2 and got[7].top_score > 0.7
 
 
+def test_pii_of_very_many_matches(spark):
+    """The time follows the text: 200,000 matches of one kind in one text, and of several kinds."""
+    texts = ["1.1.1.1 " * 200_000, "a@b.c, 1.2.3.4, +1234567890, 4111111111111111, " * 20_000]
+    began = time.monotonic()
+    got = {r.doc_id: r for r in pii.pii_digest(docs(spark, list(enumerate(texts)))).collect()}
+    assert time.monotonic() - began < 60
+    assert got[0].n_ip == 200_000 and got[0].spans.endswith(f"ip:{8 * 199_999}:{8 * 200_000 - 1}")
+    assert [got[1][f"n_{k}"] for k in pii.BASE_KINDS] == [20_000] * 4
+    for i, t in enumerate(texts):
+        assert got[i].base_sha256 == hashlib.sha256(base_pii(t).encode()).hexdigest()
+    assert pii.redact(docs(spark, [(1, texts[1])])).first().text.startswith("[email], [ip], [phone], [card], [email]")
+
+
+def test_pii_context_words(spark):
+    texts = ["bitte per Telefon +49 30 12345678", "x" * 30 + " +49 30 12345678", "llame al móvil: +34 912 345 678", "phone" + " " * 43 + "+49 30 12345678", "phone" + " " * 44 + "+49 30 12345678", "phone 1.1.1.1 +49 30 12345678", "call +1 2 +1 2 x +49 30 12345678"]
+    got = {r.doc_id: [x.score for x in r.pii if x.kind == "phone"] for r in pii.find_pii(docs(spark, list(enumerate(texts)))).collect()}
+    assert [round(got[i][0], 3) for i in range(len(texts))] == [0.7, 0.6, 0.7, 0.7, 0.6, 0.7, 0.7]
+
+
 def test_pii_redaction(spark):
     rows = spark.createDataFrame([(1, "mail a@b.co now", "x"), (2, None, "y")], "doc_id int, text string, pii string")
-    assert [r.text for r in pii.redact(rows).orderBy("doc_id").collect()] == ["mail [email] now", None]
+    got = pii.redact(rows).orderBy("doc_id").collect()
+    assert [(r.text, r.pii) for r in got] == [("mail [email] now", "x"), (None, "y")]
+    assert pii.redact(docs(spark, [(1, "+1 415 555 0100, 4111 1111 1111 1111, 1.2.3.4 9.9.9.999 x")])).first().text == "[phone], [card], [ip] 9.9.9.999 x"
     assert pii.pii_digest(docs(spark, [])).count() == 0
 
 
@@ -505,14 +608,19 @@ def test_guess_cost():
 # ---------------------------------------------------------------- lines
 
 
-def test_line_dedup(spark):
+@pytest.mark.parametrize("limit", [line_dedup.BROADCAST_BYTES, -1])
+def test_line_dedup(spark, monkeypatch, limit):
+    monkeypatch.setattr(line_dedup, "BROADCAST_BYTES", limit)
+    monkeypatch.setattr(line_dedup, "heavy", lambda n: 20)
     rows = [(i, "h", f"menu\nown line {i}\n\n footer \n") for i in range(20)] + [(30, "h", None), (31, "h", ""), (32, None, "menu\nx"), (33, "k", "menu"), (34, "k", "menu\ny")]
     rows += [(40 + i, "h", "copied page\nof one text") for i in range(30)]
+    rows += [(80 + i, None, f"top\nlast {i}") for i in range(5)] + [(90, "h", "menu\n" * 3000 + "end")]
     table = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, source string, text string, n_lines int")
     got = {r.doc_id: r for r in line_dedup.line_dedup(table).collect()}
-    assert got[3].text == "own line 3\n\n" and (got[3].n_lines, got[3].n_dropped) == (5, 2)
+    assert got[3].text == "own line 3\n\n" and (got[3].n_lines, got[3].n_lines_, got[3].n_dropped) == (1, 5, 2)
     assert got[30].text is None and got[31].text == "" and got[32].text == "menu\nx" and got[33].text == "menu"
     assert got[45].text == "copied page\nof one text"  # copies are one page
+    assert got[82].text == "last 2" and (got[90].text, got[90].n_dropped) == ("end", 3000)
     assert len(got) == len(rows) and line_dedup.line_dedup(table.limit(0)).count() == 0
 
 
@@ -520,6 +628,10 @@ def test_clashing_columns(spark):
     """Extra columns that are called like the operators' own pass unharmed."""
     names = ["h1", "h2", "row", "of", "host", "lines", "split", "good", "gone", "base", "cell", "id", "rid", "kind", "size_", "score"]
     rows = spark.createDataFrame([(i, "h", f"some text number {i}\nmenu", *range(len(names))) for i in range(30)], ["doc_id", "source", "text", *names])
+    taken = spark.createDataFrame([(1, "a\nb", "h", 7, 8, 9, 10, 11, 12)], "doc_id int, text string, source string, size int, shard int, slot int, pii int, n_lines int, n_dropped int")
+    assert sharding.shard(taken).first().asDict() | {"size_": 4, "shard_": 15} == sharding.shard(taken).first().asDict() | {"shard_": 15}
+    for out in (sharding.shard(taken), pii.find_pii(taken), line_dedup.line_dedup(taken)):
+        assert [out.first()[c] for c in taken.columns] == list(taken.first())
     for out in (sharding.shard(rows), line_dedup.line_dedup(rows), pii.find_pii(rows), bpe.encode(rows, WORD_FILE), common.without(rows, rows.where("doc_id < 3").select("doc_id"), "doc_id")):
         got = out.where("doc_id = 7").first()
         assert [got[n] for n in names] == list(range(len(names)))
