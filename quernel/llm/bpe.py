@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Remembered, map_text
+from .common import Remembered, map_text, unused
 
 #: Remembered pieces, and fragments, of each of a worker's two generations.
 REMEMBERED = 240_000
@@ -218,38 +218,38 @@ def read_file(path: str) -> str:
 
 
 def encode(docs: DataFrame, tokenizer: str, text_col: str = "text", out_col: str = "ids") -> DataFrame:
-    """Adds the ids (array<int>) of each whole text, replacing a column of that name; a null text is an empty one.
+    """Adds the ids (array<int>) of each whole text; a null text is an empty one, repeated rows stay.
 
     ``tokenizer`` is the path of a tokenizer file on the driver; its text (a few MB, whatever the corpus) is
-    broadcast. All other columns, whatever their names, are passed through.
+    broadcast. All columns pass: where one has the new name, the new column is called with further underscores.
     """
     spec = docs.sparkSession.sparkContext.broadcast(read_file(tokenizer))
-    keep = [c for c in docs.columns if c != out_col]
-    schema = docs.select(*map(_quoted, keep)).schema.add(out_col, T.ArrayType(T.IntegerType()))
+    name = unused(out_col, docs)
+    schema = T.StructType([*docs.schema.fields, T.StructField(name, T.ArrayType(T.IntegerType()))])
 
     def run(part: pa.RecordBatch) -> pa.RecordBatch:
         bpe = loaded(spec.value)
         ids = [np.frombuffer(bpe.encode_bytes(t or ""), "<i4") for t in part.column(text_col).to_pylist()]
         off = np.cumsum([0, *map(len, ids)]).astype(np.int32)
         flat = pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32), pa.int32())
-        return pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(pa.array(off), flat)], names=[*part.schema.names, out_col])
+        return pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(pa.array(off), flat)], names=[*part.schema.names, name])
 
-    return map_text(docs.select(*map(_quoted, keep)), text_col, run, schema)
+    return map_text(docs, text_col, run, schema)
 
 
 def decode(rows: DataFrame, tokenizer: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
-    """Adds the decoded text of an id column; null ids give a null text. Other columns are passed through."""
+    """Adds the decoded text of an id column; null ids give a null text, no ids an empty one. Columns pass as in ``encode``."""
     spec = rows.sparkSession.sparkContext.broadcast(read_file(tokenizer))
-    keep = [c for c in rows.columns if c != out_col]
-    schema = rows.select(*map(_quoted, keep)).schema.add(out_col, "string")
+    name = unused(out_col, rows)
+    schema = T.StructType([*rows.schema.fields, T.StructField(name, T.StringType())])
 
     def run(batches):
         for batch in batches:
             bpe = loaded(spec.value)
             text = [None if x is None else bpe.decode(x) for x in batch.column(ids_col).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(text, pa.string())], names=[*batch.schema.names, out_col])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(text, pa.string())], names=[*batch.schema.names, name])
 
-    return rows.select(*map(_quoted, keep)).mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
 def round_trip(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -275,6 +275,3 @@ def round_trip(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col
     kind = rows.schema["id"].dataType.simpleString()
     return map_text(rows, "text", run, f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id_col)
 
-
-def _quoted(name: str):
-    return F.col("`" + name.replace("`", "``") + "`")

@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +29,8 @@ RANK, MORE = 192, 16
 #: Least cosine, least shares of words in order.
 COSINE, COMMON, ANSWER = 0.2, 0.6, 0.5
 NARROWEST = 8
+#: Most passages, and bytes of passages, that are searched for at once: they bound what a search sends to each worker.
+PASSAGES, PASSAGE_BYTES = 4096, 1 << 20
 #: Of a passage's n words, n // FEW + 1 of the rarest must be found by whoever finds the share COMMON of all.
 FEW = 7
 
@@ -169,10 +172,14 @@ def common_words(a: np.ndarray, b: np.ndarray) -> int:
     return len(a) - v.bit_count()
 
 
-def prepare(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> Latent:
-    """The search side of benchmark(item_id, text) with frequencies of all documents; its size is that of the benchmark."""
+def weights_of(docs: DataFrame, text_col: str = "text") -> np.ndarray:
+    """Inverse document frequency by hashed place, over all documents."""
     count, n = document_frequency(docs, text_col)
-    idf = np.log((n + 1) / (count + 1) + 1e-9).clip(0.01).astype(np.float32)
+    return np.log((n + 1) / (count + 1) + 1e-9).clip(0.01).astype(np.float32)
+
+
+def prepare(idf: np.ndarray, benchmark: DataFrame) -> Latent:
+    """The search side of one block of benchmark(item_id, text)."""
     words, basis = latent_space(benchmark, idf)
     items, texts, vectors = [], [], []
     rows = benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("long").alias("id"), "text").toArrow()
@@ -186,6 +193,13 @@ def prepare(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> La
     return Latent(idf, words, basis, np.array(items, np.int64), texts, np.array(vectors, np.float32).reshape(len(items), basis.shape[1]), np.array(width, np.int64))
 
 
+def blocks(benchmark: DataFrame) -> list[DataFrame]:
+    """Parts of benchmark(item_id, text), by a hash of their rows, of about the bound's passages and bytes; one longer passage is a part of its own size."""
+    rows, size = benchmark.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
+    n = max(1, -(-rows // PASSAGES), -(-(size or 0) // PASSAGE_BYTES))
+    return [benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i) for i in range(n)] if n > 1 else [benchmark]
+
+
 def windows(start: np.ndarray, end: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, from, to) of the windows of each row's words start..end: every quarter of the width, the last one flush with the end."""
     step = max(1, width // 4)
@@ -284,25 +298,34 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     """Documents that hold a benchmark passage: (id, item_id, at_word, cosine, common, answer), a row for each document and passage.
 
     ``common`` is the share of the passage's words found in order, ``answer`` that of its last quarter. Words
-    are runs of letters and digits in lower case. Null and empty texts and passages match nothing; null item
-    ids are left out, null ids kept. Repeated rows give one row each; an empty table on either side gives none.
+    are runs of letters and digits in lower case. Of several places of a passage in a document that of the
+    greatest shares, then of the greatest cosine, then the first is told. Null and empty texts and passages
+    match nothing; null item ids are left out, null ids kept. Repeated rows give one row each, of either side
+    (passages of equal id and text one); an empty table on either side gives none; other columns are ignored.
+    A large benchmark is searched for in blocks, each a pass over all documents.
     """
     spark = docs.sparkSession
-    model = spark.sparkContext.broadcast(prepare(docs, benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text_col).alias("text")), text_col))
-
-    def run(part: pa.RecordBatch) -> pa.RecordBatch | None:
-        got = search(part, model.value)
-        if not got:
-            return None
-        r, item, at, cosine, common, answer = zip(*got)
-        return pa.RecordBatch.from_arrays(
-            [part.column("id").take(pa.array(r)), pa.array(item, pa.int64()), pa.array(at, pa.int64()), pa.array(cosine, pa.float64()), pa.array(common, pa.float64()), pa.array(answer, pa.float64())],
-            names=["id", "item_id", "at_word", "cosine", "common", "answer"],
-        )
-
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    return map_text(rows, "text", run, f"id {kind}, item_id long, at_word long, cosine double, common double, answer double").withColumnRenamed("id", id_col)
+    idf = weights_of(docs, text_col)
+
+    def found(block: DataFrame) -> DataFrame:
+        model = spark.sparkContext.broadcast(prepare(idf, block))
+
+        def run(part: pa.RecordBatch) -> pa.RecordBatch | None:
+            got = search(part, model.value)
+            if not got:
+                return None
+            r, item, at, cosine, common, answer = zip(*got)
+            return pa.RecordBatch.from_arrays(
+                [part.column("id").take(pa.array(r)), pa.array(item, pa.int64()), pa.array(at, pa.int64()), pa.array(cosine, pa.float64()), pa.array(common, pa.float64()), pa.array(answer, pa.float64())],
+                names=["id", "item_id", "at_word", "cosine", "common", "answer"],
+            )
+
+        return map_text(rows, "text", run, f"id {kind}, item_id long, at_word long, cosine double, common double, answer double")
+
+    parts = blocks(benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text_col).alias("text")))
+    return reduce(DataFrame.unionByName, map(found, parts)).withColumnRenamed("id", id_col)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -15,7 +15,7 @@ from .line_dedup import line_dedup
 from .near_vectors import near_vectors
 from .pii import pii_digest
 from .quality import classify
-from .secrets_scan import secrets_digest
+from .secrets_scan import secrets_digest, vocabulary_words
 from .sharding import shard_digest
 from .token_store import new_store, read_store, write_store
 
@@ -97,7 +97,7 @@ def op2_quality(spark, sf_dir):
 
 @_query
 def op9_secrets(spark, sf_dir):
-    return secrets_digest(table(spark, sf_dir, "documents"))
+    return secrets_digest(table(spark, sf_dir, "documents"), more_words=vocabulary_words(public_tokenizers.path("word_bpe_49k.json")))
 
 
 @_query

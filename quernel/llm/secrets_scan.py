@@ -8,6 +8,7 @@ attacker who knows these habits needs.
 from __future__ import annotations
 
 import hashlib
+import json
 import math
 import re
 
@@ -43,8 +44,34 @@ SHIFTED = dict(zip('~!@#$%^&*()_+{}|:"<>?', r"`1234567890-=[]\;',./"))
 DATE = re.compile(r"(?:19|20)\d\d[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:19|20)\d\d|(?:19|20)\d\d")
 LEET = str.maketrans("@4310$57", "aaeiosst")
 
-_RANK = {w: i + 1 for i, w in enumerate(WORDS)}
-_LONGEST = max(map(len, WORDS))
+#: Letters of a dictionary's words.
+SHORTEST_WORD, LONGEST_WORD = 3, 16
+
+
+class Words:
+    """A ranked dictionary: ``WORDS``, then further words, commonest first."""
+
+    def __init__(self, more=()):
+        self.rank: dict[str, int] = {}
+        for w in (*WORDS, *more):
+            if len(w) <= LONGEST_WORD:
+                self.rank.setdefault(w, len(self.rank) + 1)
+        self.longest = max(map(len, self.rank))
+
+
+COMMON_WORDS = Words()
+
+
+def vocabulary_words(path: str) -> list[str]:
+    """The whole words of a public tokenizer's vocabulary (a file with word ends), in the order in which its merges formed them.
+
+    Frequent words are formed first, so that the order is a rank.
+    """
+    with open(path, encoding="utf-8") as f:
+        model = json.load(f)["model"]
+    end = model["end_of_word_suffix"]
+    words = (t.removesuffix(end) for t, _ in sorted(model["vocab"].items(), key=lambda x: x[1]) if t.endswith(end))
+    return [w for w in words if w.isascii() and w.isalpha() and SHORTEST_WORD <= len(w) <= LONGEST_WORD]
 
 
 def _near() -> dict[str, set[str]]:
@@ -60,15 +87,15 @@ def _near() -> dict[str, set[str]]:
 _NEAR = _near()
 
 
-def spans_of(value: str):
+def spans_of(value: str, words: Words = COMMON_WORDS):
     """(start, end, cost) of every cheap span: words, dates, repeats, keyboard walks. Their number grows with the value's length only."""
     low = value.lower()
     plain = low.translate(LEET)
     n = len(value)
     for i in range(n):
-        for j in range(i + 3, min(n, i + _LONGEST) + 1):
+        for j in range(i + SHORTEST_WORD, min(n, i + words.longest) + 1):
             for form, extra in ((low, 0.0), (plain, 0.5)):
-                if (rank := _RANK.get(form[i:j])) is not None:
+                if (rank := words.rank.get(form[i:j])) is not None:
                     case = 0.0 if value[i:j] in (low[i:j], low[i:j].upper(), low[i:j].capitalize()) else 1.0
                     yield i, j, math.log10(rank + 1) + extra + case + (0.3 if value[i].isupper() else 0)
                     break
@@ -110,11 +137,11 @@ def alphabet(value: str) -> int:
     return max(10, size + 100 * any(not c.isascii() for c in value))
 
 
-def guess_cost(value: str) -> float:
+def guess_cost(value: str, words: Words = COMMON_WORDS) -> float:
     """Minimum over segmentations of the sum of the spans' costs, each further span costing a factor of two; 0 for an empty value."""
     n = len(value)
     ends: list[list[tuple[int, float]]] = [[] for _ in range(n + 1)]
-    for i, j, cost in spans_of(value):
+    for i, j, cost in spans_of(value, words):
         ends[j].append((i, cost))
     brute, more = math.log10(alphabet(value)) if n else 0.0, math.log10(2)
     best, forced = [0.0] * (n + 1), [0.0] * (n + 1)  # forced: the last span is brute force
@@ -126,7 +153,7 @@ def guess_cost(value: str) -> float:
     return best[n]
 
 
-def find_secrets(text: str) -> list[tuple[int, int, int, float]]:
+def find_secrets(text: str, words: Words = COMMON_WORDS) -> list[tuple[int, int, int, float]]:
     """(start, rank of kind, end, guess cost) of a text's secrets, ordered; ends exclusive, in code points.
 
     A span of ``assign`` is the whole assignment, one of ``guess`` the value alone; the cost of ``access`` and ``hex`` is that of brute force.
@@ -136,7 +163,7 @@ def find_secrets(text: str) -> list[tuple[int, int, int, float]]:
     if "pass" in low or "secret" in low or "token" in low or "key" in low or not text.isascii():
         for m in ASSIGN.finditer(text):
             if len(m[2]) >= 8:
-                out.append((m.start(), 0, m.end(), guess_cost(m[2])))
+                out.append((m.start(), 0, m.end(), guess_cost(m[2], words)))
     if "AKIA" in text:
         for m in ACCESS.finditer(text):
             if m.end() - m.start() >= 16:
@@ -145,7 +172,7 @@ def find_secrets(text: str) -> list[tuple[int, int, int, float]]:
         out.append((m.start(), 2, m.end(), (m.end() - m.start()) * math.log10(16)))
     if "=" in text or ":" in text:
         for m in CONTEXT.finditer(text):
-            if len(m[1]) >= LEAST and (cost := guess_cost(m[1])) >= STRONG:
+            if len(m[1]) >= LEAST and (cost := guess_cost(m[1], words)) >= STRONG:
                 out.append((m.start(1), 3, m.end(1), cost))
     return sorted(out)
 
@@ -154,14 +181,17 @@ def span_text(spans) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b, _ in spans)
 
 
-def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each row of ``docs``: (id, secrets array<struct<kind, start, end, cost>>).
+def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", more_words: list[str] | None = None) -> DataFrame:
+    """One row for each row of ``docs``: (id, secrets array<struct<kind, start, end, cost>>), in order of start, then kind.
 
-    Null and empty texts have no secrets; null ids and repeated rows stay; other columns are ignored.
+    ``more_words`` are words for the guess cost, commonest first, after the built-in ones; they are broadcast,
+    their number does not follow the corpus. Null and empty texts have no secrets; null ids and repeated rows
+    stay; an empty table gives none; other columns are ignored.
     """
+    words = docs.sparkSession.sparkContext.broadcast(Words(more_words or ()))
 
     def run(part: pa.RecordBatch) -> pa.RecordBatch:
-        found = [[{"kind": KINDS[k], "start": a, "end": b, "cost": c} for a, k, b, c in find_secrets(t or "")] for t in part.column("text").to_pylist()]
+        found = [[{"kind": KINDS[k], "start": a, "end": b, "cost": c} for a, k, b, c in find_secrets(t or "", words.value)] for t in part.column("text").to_pylist()]
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("cost", pa.float64())]))
         return pa.RecordBatch.from_arrays([part.column("id"), pa.array(found, kind)], names=["id", "secrets"])
 
@@ -169,8 +199,8 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return map_text(rows, "text", run, f"id {rows.schema['id'].dataType.simpleString()}, secrets array<struct<kind:string,start:int,end:int,cost:double>>").withColumnRenamed("id", id_col)
 
 
-def secrets_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    rows = scan_secrets(docs, id_col, text_col)
+def secrets_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", more_words: list[str] | None = None) -> DataFrame:
+    rows = scan_secrets(docs, id_col, text_col, more_words)
     counts = [count_of("secrets", k).alias(f"n_{k}") for k in BASE_KINDS]
     return rows.select(
         id_col,

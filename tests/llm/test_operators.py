@@ -55,8 +55,8 @@ def test_bpe_random_texts(library):
 
 def test_bpe_keeps_clashing_columns(spark):
     rows = spark.createDataFrame([(1, "hi there", "x", 5)], "doc_id int, text string, ids string, n_tokens int")
-    got = bpe.decode(bpe.encode(rows, WORD_FILE), WORD_FILE).first()
-    assert got.n_tokens == 5 and got.decoded == "hi</w> there</w>"
+    got = bpe.decode(bpe.encode(rows, WORD_FILE), WORD_FILE, "ids_").first()
+    assert got.n_tokens == 5 and got.ids == "x" and got.decoded == "hi</w> there</w>"
     assert bpe.round_trip(rows.limit(0), WORD_FILE).count() == 0
 
 
@@ -205,6 +205,54 @@ def test_quality_without_labels(spark):
     assert {r.score for r in got} == {0.5}
 
 
+def test_quality_of_odd_tables(spark):
+    """Nulls, empty and very long texts, repeated ids and rows, labels both ways, columns that are called like the operator's."""
+    rows = [(i, ("good words here " if i % 2 else "BAD!! %% ") * (1 + i % 7), "x", 5) for i in range(200)]
+    rows += [(300, None, "x", 5), (301, "", "x", 5), (None, "text", "x", 5), (302, "long " * 400_000, "x", 5), (5, "BAD!! %% again", "x", 5), (5, None, "x", 5), (9, rows[9][1], "x", 5)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, score string, held_out int")
+    labels = [(i, i % 2) for i in range(200)] + [(i, i % 2) for i in range(0, 200, 3)] + [(7, 0), (8, None), (None, 1), (999, 1), (11, 4)]
+    label_table = spark.createDataFrame([(*x, 1) for x in labels], "doc_id long, quality int, text int")
+    got = quality.classify(table, label_table).collect()
+    assert len(got) == len(rows) and all(0 <= r.score <= 1 for r in got)
+    assert sorted(r.doc_id for r in got if r.doc_id is not None) == sorted(r[0] for r in rows if r[0] is not None)
+    assert all(r.predicted == r.doc_id % 2 for r in got if r.doc_id is not None and r.doc_id < 200 and r.doc_id not in (5, 7))
+    assert len({r.score for r in got if r.doc_id == 9}) == 1
+    scored = quality.score(table, quality.train(table, label_table)).first()
+    assert (scored.score, scored.held_out) == ("x", 5) and 0 <= scored.score_ <= 1
+    assert quality.classify(table.limit(0), label_table).count() == 0
+
+
+def test_quality_learns_from_a_bounded_number_of_rows(spark, monkeypatch):
+    seen = []
+    fit = quality.fit
+    monkeypatch.setattr(quality, "fit", lambda rows, label, totals: seen.append((len(rows), totals, max(map(len, rows), default=0))) or fit(rows, label, totals))
+    table = docs(spark, [(1, f"text {i}") for i in range(20_001)] + [(2, "other" * i) for i in range(50)] + [(i, "".join(map(chr, range(32, 2000)))) for i in range(10, 40)])
+    quality.train(table, docs(spark, [(1, 1), (2, 0), *((i, 1) for i in range(10, 40))], "doc_id long, quality int"), sample=5)
+    ((n, totals, size),) = seen
+    assert n <= 10 and size <= 1 + quality.FEATURES // 8 + 1 and sum(totals) == sum(zlib.crc32(str(i).encode()) % 5 != 0 for i in (1, 2, *range(10, 40)))
+    at = np.unique(np.random.default_rng(1).integers(0, quality.FEATURES, 5000)).astype(np.uint32)
+    assert all((quality.unpacked(quality.packed(x)) == x).all() for x in (at, at[:7], at[:0]))
+
+
+def test_dual_coordinate_descent_reaches_the_optimum():
+    """Against projected gradient steps on the dual of a small problem in dense matrices."""
+    rng = np.random.default_rng(5)
+    rows = [np.unique(rng.integers(0, 30, rng.integers(1, 9))).astype(np.uint32) for _ in range(60)] + [np.zeros(0, np.uint32)]
+    scale, y, top = rng.standard_normal(30), np.where(rng.random(61) < 0.5, 1.0, -1.0), rng.uniform(0.2, 2, 61)
+    alpha, w, bias = quality.dual_descent([quality.packed(r) for r in rows], scale, y, top, 3000, 1, 1e-9)
+    x = np.zeros((61, 31))
+    for i, at in enumerate(rows):
+        x[i, at] = scale[at] / max(1e-12, np.linalg.norm(scale[at]))
+        x[i, 30] = 1
+    q = (x * y[:, None]) @ (x * y[:, None]).T
+    value = lambda a: 0.5 * a @ q @ a - a.sum()
+    brute = np.zeros(61)
+    for _ in range(60_000):
+        brute = np.clip(brute - (q @ brute - 1) / np.linalg.norm(q, 2), 0, top)
+    assert (alpha >= 0).all() and (alpha <= top).all() and value(alpha) == pytest.approx(value(brute), abs=1e-4)
+    assert np.allclose((alpha * y) @ x, [*w, bias])
+
+
 def test_dual_coordinate_descent_separates():
     rng = np.random.default_rng(3)
     rows = [np.unique(np.concatenate([rng.integers(0, 500, 20), [600 + y]])).astype(np.uint32) for y in (0, 1) * 100]
@@ -359,6 +407,34 @@ def test_components(spark):
     assert got == {n: find(n) for n in root}
 
 
+def test_components_of_a_large_star(spark, monkeypatch):
+    """A node with 100,000 links, beyond the size that is broadcast: its edges are joined apart."""
+    monkeypatch.setattr(common, "BROADCAST_BYTES", -1)
+    star = spark.range(100_000).select(F.lit(500_000).cast("long").alias("a"), (F.col("id") + 400_000).alias("b"))
+    chain = spark.range(40).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    got = common.components(star.unionByName(chain)).groupBy("component").count().collect()
+    assert {r.component: r["count"] for r in got} == {400_000: 100_001, 0: 41}
+
+
+def test_hot_keys_are_joined_apart(spark):
+    many = spark.range(3000).select((F.col("id") % 7).alias("k"), F.when(F.col("id") % 3 == 0, 1).otherwise(F.col("id") % 50).alias("key"))
+    one = spark.createDataFrame([(i, f"v{i}") for i in range(40)], "key long, v string")
+    for how in ("inner", "left"):
+        want = sorted(many.join(one, "key", how).collect(), key=str)
+        for hot in ([], [(1,)], [(1,), (45,)]):
+            assert sorted(common.join_unique(many, one, "key", spark.createDataFrame(hot, "key long"), how).collect(), key=str) == want
+
+
+def test_tables_in_the_shared_folder(spark):
+    import os
+
+    a = common.materialize(spark.range(5), "a")
+    path = a.written_to.removeprefix("file://")
+    assert os.path.isdir(path) and spark.sparkContext.applicationId in path
+    common.discard(a, spark.range(3))
+    assert not os.path.exists(path)
+
+
 # ---------------------------------------------------------------- sharding
 
 
@@ -472,7 +548,7 @@ def test_leaks_among_rare_words(spark):
         around = [f"other{i}x{k}" for k in range(120)]
         rows.append((i, " ".join(around[:60] + passage + around[60:])))
     bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
-    m = decontaminate.prepare(docs(spark, rows), bench)
+    m = decontaminate.prepare(decontaminate.weights_of(docs(spark, rows)), bench)
     want, weak = set(), 0
     for id_, text in rows:
         word = common.word_hashes(pa.array([text]), common.BY_LETTER)[0]
@@ -494,6 +570,58 @@ def test_leaks_among_rare_words(spark):
     assert {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(docs(spark, rows), bench).collect()} == want
 
 
+def test_leaks_in_blocks(spark, monkeypatch):
+    """A benchmark that is searched for in many blocks, with texts of one to very many words, ties and repeated rows, and other columns."""
+    rng = random.Random(39)
+    words = ["".join(rng.choice("aeiouthnsrlm") for _ in range(rng.randint(4, 9))) for _ in range(2000)]
+    items = [(i, " ".join(rng.choices(words, k=30))) for i in range(50)]
+    items += [(7, items[7][1]), (70, items[7][1])]
+    far = " ".join(rng.choices(words, k=60_000))
+    rows = [(i, items[i][1]) for i in range(20)] + [(3, items[3][1]), (None, items[4][1]), (100, far + " " + items[5][1] + " " + far), (101, items[6][1] + " x " + items[6][1])]
+    want = [(i, i) for i in range(20)] + [(7, 70), (None, 4), (100, 5), (101, 6)]
+    table = spark.createDataFrame([(*r, 1, 2.0) for r in rows], "doc_id long, text string, item_id int, cosine double")
+    bench = spark.createDataFrame([(*r, 1) for r in items], "item_id long, text string, doc_id int")
+    found = lambda: sorted(((r.doc_id, r.item_id) for r in decontaminate.find_leaks(table, bench).collect()), key=str)
+    whole = found()
+    assert sorted(set(whole), key=str) == sorted(set(want), key=str)
+    assert next(r.at_word for r in decontaminate.find_leaks(table, bench).collect() if r.doc_id == 100) in range(59_960, 60_001)
+    monkeypatch.setattr(decontaminate, "PASSAGES", 9)
+    assert len(decontaminate.blocks(bench.select("item_id", "text"))) == 6
+    assert sorted(set(found()), key=str) == sorted(set(want), key=str)
+    kept = decontaminate.decontaminate(table, bench)
+    assert kept.columns == table.columns and kept.count() == 0
+
+
+@pytest.mark.parametrize("share, least", [(0.1, 0.99), (0.2, 0.98), (0.3, 0.95), (0.35, 0.95), (0.4, 0.95)])
+def test_leaks_by_share_of_replaced_words(spark, sf, share, least):
+    """Paraphrases planted in the documents: of those that meet the rule (words in order, answer) somewhere in the document, found by any cosine."""
+    rng = random.Random(int(share * 100))
+    bench = spark.read.parquet(f"{sf}/benchmark.parquet")
+    texts = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect() if r.text and len(r.text.split()) > 30]
+    items = [(r.item_id, r.text) for r in bench.collect()]
+    words = [w for _, t in texts for w in t.split()]
+    planted, rows = {}, []
+    for k in range(160):
+        item, passage = items[k % len(items)]
+        own = passage.split()
+        for p in rng.sample(range(len(own)), int(len(own) * share)):
+            own[p] = rng.choice(words)
+        doc = rng.choice(texts)[1].split()
+        at = rng.randrange(len(doc))
+        rows.append((k, " ".join(doc[:at] + own + doc[at:])))
+        planted[k] = item
+    got = {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(docs(spark, rows), bench).collect()}
+    hashed = {i: common.word_hashes(pa.array([t]), common.BY_LETTER)[0] for i, t in items}
+    due = []
+    for k, text in rows:
+        own, word = hashed[planted[k]], common.word_hashes(pa.array([text]), common.BY_LETTER)[0]
+        tail, span = own[-max(1, -(-len(own) // 4)) :], len(own)
+        near = [word[a : a + span + span // 4] for a in range(0, max(1, len(word) - span // 2), max(1, span // 8))]
+        if any(decontaminate.common_words(own, x) >= decontaminate.COMMON * len(own) and decontaminate.common_words(tail, x) >= decontaminate.ANSWER * len(tail) for x in near):
+            due.append((k, planted[k]))
+    assert len(due) > 100 and sum(x in got for x in due) >= least * len(due), (len(due), sum(x in got for x in due))
+
+
 def test_common_words_equals_dynamic_programming():
     rng = np.random.default_rng(10)
     for _ in range(100):
@@ -586,6 +714,17 @@ def test_secrets_brute_force(spark):
     assert secrets_scan.secrets_digest(docs(spark, [])).count() == 0
 
 
+def test_guess_cost_with_a_vocabulary(spark):
+    more = secrets_scan.vocabulary_words(WORD_FILE)
+    words = secrets_scan.Words(more)
+    assert len(more) > 20_000 and more.index("the") < more.index("house") < 20_000
+    cost = secrets_scan.guess_cost
+    assert cost("gardenhouse", words) < 8 < cost("gardenhouse") and cost("correcthorsebattery", words) < cost("xk3vq9wzt", words) + 3
+    table = docs(spark, [(1, "pass: gardenhouse"), (2, "pass: gT5#kq9!Zw")])
+    assert [r.spans for r in secrets_scan.secrets_digest(table).orderBy("doc_id").collect()] == ["guess:6:17", "guess:6:16"]
+    assert [r.spans for r in secrets_scan.secrets_digest(table, more_words=more).orderBy("doc_id").collect()] == ["", "guess:6:16"]
+
+
 def test_guess_cost():
     cost = secrets_scan.guess_cost
     assert cost("") == 0 and cost("password") < 1 < cost("password1987") < cost("gT5#kq9!Zw")
