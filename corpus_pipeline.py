@@ -1,7 +1,9 @@
 """A training corpus from raw documents: quality, boilerplate lines, near duplicates, benchmark leaks, tokens.
 
 Each stage takes (spark, docs, sf_dir) and returns what it keeps, with the columns of ``documents``; the last
-one returns the token digests of what is left. Rows that repeat a doc_id stay or go together.
+one returns the token digests of what is left. Every stage decides on rows: a repeated doc_id is a row of its own,
+null ids are rows like others, and null and empty texts are scored, kept or dropped as any text. Columns that are called
+like a stage's own pass unharmed; empty tables stay empty.
 """
 
 from __future__ import annotations
@@ -11,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quernel.llm import bpe, decontaminate, jaccard_join, line_dedup, quality
-from quernel.llm.common import materialize, table, unused, without
+from quernel.llm.common import materialize, table, unused
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,17 +25,17 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the boilerplate lines of their source; ``n_chars`` follows. A document that has no other line stays, empty."""
-    rows = line_dedup.line_dedup(docs)
-    return rows.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    rows, dropped = line_dedup.line_dedup(docs), unused("n_dropped", docs)
+    return rows.withColumn("n_chars", F.when(F.col(dropped) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate class, that of the least id."""
-    return without(docs, jaccard_join.jaccard_join(docs).where(~F.col("kept")).select("doc_id"), "doc_id")
+    return jaccard_join.without_copies(docs)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark passage."""
+    """Documents that hold no benchmark passage; of an id that repeats, all rows go if one holds a passage."""
     return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
