@@ -18,7 +18,7 @@ from .common import materialize, unused
 #: Bits of the key that each round refines: 64 of the first hash, then 64 of the second.
 STEPS = [14] + [8] * 6 + [2] + [8] * 8
 #: Wanted bytes of a cell, which one task sorts; most cells, whatever the size of the table.
-CELL_BYTES, CELLS = 32 << 20, 8192
+CELL_BYTES, CELLS = 8 << 20, 8192
 
 
 def text_size(text: Column) -> Column:
