@@ -65,7 +65,7 @@ class Engine:
         scored = bm25.scores(bm25.ask(queries), rows)
         lang = queries.select("query_id", detect_lang("text").alias("lang"))
         keep = rows.where("page_type <> 'qa'") if exclude_qa else rows
-        own = scored.join(keep.select("id", "seq", "lang"), ["id", "seq"]).join(F.broadcast(lang), ["query_id", "lang"])
+        own = scored.join(keep.select("id", "seq", "lang"), ["id", "seq"]).join(bm25.sized(lang), ["query_id", "lang"])
         return bm25.top_k(own, k).select("query_id", "id", "rank", "score")
 
     def hybrid(self, queries: DataFrame, k: int = fusion.TOP) -> DataFrame:
@@ -97,7 +97,7 @@ class Engine:
         """The findings of each check; ``docs``: path, basename, content, modified."""
         p = self.pages().withColumn("hashes", F.lit(None).cast("map<string,string>"))
         out = {
-            "C2": governance.red_links(p), "C3": governance.failed_grounding(p, docs), "C4": governance.collisions(p), "C5": governance.ranked_pairs(governance.contradiction_pairs(p), p), "C6": governance.stale_pages(p, docs),
+            "C2": governance.red_links(p), "C3": governance.failed_grounding(p, docs), "C4": governance.collisions(p), "C5": governance.contradictions(p), "C6": governance.stale_pages(p, docs),
             "C8": governance.promotion_candidates(p), "C9": governance.stale_answers(p), "C10": governance.invalid_answers(p), "C11": governance.orphans(p, docs), "C12": governance.alias_collisions(p),
         }
         if log is not None:

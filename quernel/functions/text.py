@@ -11,6 +11,7 @@ STOP_WORDS = "a an and are as at by can do does for from how i in is it my of on
 HAN = r"\x{4E00}-\x{9FFF}\x{3400}-\x{4DBF}\x{20000}-\x{2A6DF}\x{F900}-\x{FAFF}"
 WORD_OR_HAN = rf"[{HAN}]+|[a-z0-9]+"
 HAN_RATIO = 0.20
+#: ASCII punctuation, links between pages, inline citations and the refusal (fixed values).
 PUNCTUATION = r"[!-/:-@\[-`{-~]"
 WIKILINK = r"\[\[([^\]|#]+?)(?:#[^\]|]*)?(?:\|[^\]]*)?\]\]"
 CITATION_TRIMMED = r"\[Source:\s*([^\]]+?)\s*\]"

@@ -2,7 +2,7 @@
 
 A corpus is a DataFrame with ``id, seq, tokens`` and, where given, ``question_tokens``, ``heading_path``, ``lang``,
 ``page_type``. ``seq`` is the corpus order that breaks ties. Query tokens are few: they are joined to the postings
-before anything is shuffled, so only postings of asked words move.
+before anything is shuffled, so only postings of asked words move. A batch of queries is broadcast if its count of rows allows it.
 """
 
 from __future__ import annotations
@@ -40,17 +40,26 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if 2 * df.rdd.getNumPartitions() <= cores else df
 
 
+#: Rows of a table that is broadcast, at most: query tokens and query labels are some 100 bytes each.
+BROADCAST_ROWS = 500_000
+
+
+def sized(df: DataFrame) -> DataFrame:
+    """A table with a broadcast hint if it has few enough rows, by count; else it is left to Spark."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
 def counts(sections: DataFrame, question_weight: float = QUESTION_WEIGHT, asked: DataFrame | None = None) -> DataFrame:
     """(id, seq, token, tf, len): tf is that of the body plus the weighted one of question tokens; ``asked`` limits the tokens."""
     rows = sections.select("id", "seq", F.size("tokens").alias("len"), F.explode("tokens").alias("token"))
     if asked is not None:
-        rows = rows.join(F.broadcast(asked), "token", "left_semi")
+        rows = rows.join(asked, "token", "left_semi")
     tf = rows.groupBy("id", "seq", "len", "token").agg(F.count("*").cast("double").alias("tf"))
     if "question_tokens" not in sections.columns:
         return tf
     q = sections.select("id", "seq", F.explode("question_tokens").alias("token"))
     if asked is not None:
-        q = q.join(F.broadcast(asked), "token", "left_semi")
+        q = q.join(asked, "token", "left_semi")
     q = q.groupBy("id", "seq", "token").agg(F.count("*").alias("in_question"))
     # tokens hold the question's words too: the body's share is the rest
     return tf.join(q, ["id", "seq", "token"], "left").withColumn("tf", F.col("tf") - F.coalesce("in_question", F.lit(0)) * (1 - question_weight)).drop("in_question")
@@ -61,12 +70,9 @@ def postings(sections: DataFrame, question_weight: float = QUESTION_WEIGHT, aske
     return counts(sections, question_weight, asked).where("tf > 0")
 
 
-def ask(queries: DataFrame, text_col: str = "text", id_col: str = "query_id", limit: int | None = None) -> DataFrame:
-    """(query_id, token, times): tokens of each query with their repetitions; ``limit`` keeps the first tokens."""
-    tokens = tokenize(text_col)
-    if limit:
-        tokens = F.slice(tokens, 1, limit)
-    return queries.select(F.col(id_col).alias("query_id"), F.explode(tokens).alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("times"))
+def ask(queries: DataFrame, text_col: str = "text", id_col: str = "query_id") -> DataFrame:
+    """(query_id, token, times): tokens of each query with their repetitions."""
+    return queries.select(F.col(id_col).alias("query_id"), F.explode(tokenize(text_col)).alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("times"))
 
 
 def scores(asked: DataFrame, sections: DataFrame, question_weight: float = QUESTION_WEIGHT) -> DataFrame:
@@ -74,7 +80,8 @@ def scores(asked: DataFrame, sections: DataFrame, question_weight: float = QUEST
 
     Statistics are those of all sections, whatever is filtered later. Repeated query tokens count repeatedly.
     """
-    words = asked.select("token").distinct()
+    asked = sized(asked)
+    words = sized(asked.select("token").distinct())
     every = counts(sections, question_weight, words)
     posts = every.where("tf > 0")
     # a row for each section and token: their number is the document frequency, from the same exchange
@@ -83,10 +90,10 @@ def scores(asked: DataFrame, sections: DataFrame, question_weight: float = QUEST
     idf = df.crossJoin(F.broadcast(stats)).select("token", "avg_len", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1).alias("idf"))
     norm = F.when(F.col("avg_len") > 0, 1 - B + B * F.col("len") / F.col("avg_len")).otherwise(1.0)
     weight = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * norm)
-    base = posts.join(idf, "token").select("id", "seq", "token", weight.alias("w")).join(F.broadcast(asked), "token").select("query_id", "id", "seq", (F.col("w") * F.col("times")).alias("part"))
+    base = posts.join(idf, "token").select("id", "seq", "token", weight.alias("w")).join(asked, "token").select("query_id", "id", "seq", (F.col("w") * F.col("times")).alias("part"))
     if "heading_path" in sections.columns:
         head = sections.select("id", "seq", F.explode(F.array_distinct(tokenize(F.array_join("heading_path", " ")))).alias("token"))
-        boost = head.join(F.broadcast(asked), "token").select("query_id", "id", "seq", (F.col("times") * HEADING_BOOST).alias("part"))
+        boost = head.join(asked, "token").select("query_id", "id", "seq", (F.col("times") * HEADING_BOOST).alias("part"))
         base = base.unionByName(boost)
     return base.groupBy("query_id", "id", "seq").agg(F.sum("part").alias("score"))
 
@@ -97,9 +104,9 @@ def top_k(scored: DataFrame, k: int) -> DataFrame:
     return scored.withColumn("rank", rank).where(F.col("rank") <= k).where("score > 0")
 
 
-def bm25_search(queries: DataFrame, sections: DataFrame, k: int = 10, limit: int | None = None, lang: str | None = None, exclude_qa: bool = False) -> DataFrame:
+def bm25_search(queries: DataFrame, sections: DataFrame, k: int = 10, lang: str | None = None, exclude_qa: bool = False) -> DataFrame:
     """(query_id, id, rank, score). ``lang`` filters candidates by the query's language, ``exclude_qa`` drops filed answers; both after the statistics."""
-    scored = scores(ask(queries, limit=limit), sections)
+    scored = scores(ask(queries), sections)
     if lang is not None or exclude_qa:
         keep = sections
         if exclude_qa:

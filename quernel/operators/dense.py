@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .bm25 import sized
+
 CEILING = 1.1
 #: Largest set of query vectors that is sent to every task at once.
 QUERY_BLOCK = 4096
@@ -24,18 +26,19 @@ def squared_distance(a, b):
 def nearest(queries: DataFrame, vectors: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding", keep: list[str] = ()) -> DataFrame:
     """(query_id, id, distance, keep...) of the k nearest vectors of each query(query_id, vector), nearest first, ids break ties.
 
-    Null vectors on either side take no part. The query set is read in blocks of ``QUERY_BLOCK``.
+    Null vectors on either side take no part. The query set comes to the driver in blocks of about ``QUERY_BLOCK``,
+    by a hash of the query, and each block is a pass over the vectors.
     """
     spark = vectors.sparkSession
-    asked = queries.where("vector IS NOT NULL").orderBy("query_id").toArrow()
-    ids = asked["query_id"].to_numpy()
+    queries = queries.where("vector IS NOT NULL").select("query_id", "vector")
+    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
     rows = vectors.where(F.col(vector_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector"), *keep)
     extra = [rows.schema[c] for c in keep]
     schema = ", ".join(["query_id long", "id long", "distance double", *(f"`{f.name}` {f.dataType.simpleString()}" for f in extra)])
     out = None
-    for at in range(0, len(ids), QUERY_BLOCK) or [0]:
-        block = np.array(asked["vector"].slice(at, QUERY_BLOCK).to_pylist(), np.float64)
-        sent = spark.sparkContext.broadcast((ids[at : at + QUERY_BLOCK], block))
+    for i in range(blocks):
+        asked = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i).orderBy("query_id").toArrow()
+        sent = spark.sparkContext.broadcast((asked["query_id"].to_numpy(), np.array(asked["vector"].to_pylist(), np.float64)))
 
         def run(batches, sent=sent):
             own, q = sent.value
@@ -79,7 +82,7 @@ def trimmed(rows: pa.Table, k: int) -> pa.Table:
 def nearest_of(queries: DataFrame, vectors: DataFrame, k: int, filter_col: str, floor: int = 100, **names) -> DataFrame:
     """k nearest of the query's own ``filter_col`` value among the max(20 k, floor) nearest of all: there may be fewer."""
     wide = nearest(queries.select("query_id", "vector"), vectors, max(20 * k, floor), keep=[filter_col], **names)
-    own = wide.join(F.broadcast(queries.select("query_id", F.col(filter_col).alias("_own"))), "query_id").where(F.col(filter_col) == F.col("_own"))
+    own = wide.join(sized(queries.select("query_id", F.col(filter_col).alias("_own"))), "query_id").where(F.col(filter_col) == F.col("_own"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id"))
     return own.withColumn("rank", rank).where(F.col("rank") <= k).drop("_own")
 

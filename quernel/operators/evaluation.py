@@ -196,3 +196,13 @@ def ledger(calls: DataFrame, prices: DataFrame) -> DataFrame:
     rows = calls.join(F.broadcast(prices), "model", "left")
     usd = (F.col("input_tokens") * F.col("input_price") + F.col("output_tokens") * F.col("output_price")) / 1e6
     return rows.withColumn("usd", usd).cube("stack", "phase").agg(F.count("*").alias("calls"), F.sum(F.col("input_tokens") + F.col("output_tokens")).alias("tokens"), F.sum("usd").alias("usd"), F.grouping_id().alias("slice"))
+
+
+def control_sample(verdicts: DataFrame, margin: int, n: int, seed: int) -> DataFrame:
+    """(id, hit) of ``n`` clear hits (more than ``margin`` tokens in common) and ``n`` clear misses of verdicts(id, hit, overlap), without replacement.
+
+    Drawn by the order of a digest of the seed and the id, so that a draw is the same everywhere; fewer where there are fewer.
+    """
+    clear = verdicts.where(~F.col("hit") | (F.col("overlap") > margin))
+    place = F.row_number().over(Window.partitionBy("hit").orderBy(F.sha2(F.concat_ws(":", F.lit(str(seed)), F.col("id").cast("string")), 256), "id"))
+    return clear.withColumn("place", place).where(F.col("place") <= n).select("id", "hit")

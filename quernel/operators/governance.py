@@ -7,10 +7,12 @@ aliases array<string>, body, and for some checks reason, unsupported, hashes map
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import PUNCTUATION, WIKILINK, canonical_query, jaccard, parse_instant, parse_kv, tokenize
+from ..functions.text import PUNCTUATION, WIKILINK, canonical_query, cited_ids, jaccard, parse_instant, parse_kv, tokenize
 from . import bm25
 
 VALID_STATUS = ("live", "draft", "stale", "superseded")
@@ -70,17 +72,20 @@ def resolution_map(pages: DataFrame) -> DataFrame:
 def red_links(pages: DataFrame, margin: int = 25) -> DataFrame:
     """C2: (slug, mentions, referenced_by, context) of link targets that resolve to nothing; the context is that of the first mention in page order."""
     known = resolution_map(pages).select(F.col("name").alias("target"))
-    body = pages.where(F.col("dir").isin("entities", "concepts")).select("dir", "slug", "body", F.split("body", WIKILINK, -1).alias("gaps"), F.regexp_extract_all("body", F.lit(WIKILINK), F.lit(0)).alias("found"))
-    links = body.select("dir", "slug", "body", "gaps", "found", F.posexplode(F.regexp_extract_all("body", F.lit(WIKILINK), F.lit(1))).alias("i", "raw"))
-    start = F.aggregate(F.slice("gaps", F.lit(1), F.col("i") + 1), F.lit(0), lambda s, g: s + F.length(g)) + F.aggregate(F.slice("found", F.lit(1), F.col("i")), F.lit(0), lambda s, m: s + F.length(m))
-    links = links.withColumn("start", start).withColumn("target", F.trim("raw")).where("target <> ''")
-    end = F.col("start") + F.length(F.element_at("found", F.col("i") + 1))
-    lo = F.greatest(F.lit(0), F.col("start") - margin)
-    links = links.select("target", "slug", F.struct("dir", "slug", "start").alias("place"), F.substring(F.col("body"), lo + 1, end + margin - lo).alias("context"))
-    missing = links.join(known, "target", "left_anti")
+    body = pages.where(F.col("dir").isin("entities", "concepts"))
+    sized = lambda column: F.transform(column, lambda x: F.length(x))
+    parts = F.arrays_zip(F.regexp_extract_all("body", F.lit(WIKILINK), F.lit(1)).alias("raw"), sized(F.regexp_extract_all("body", F.lit(WIKILINK), F.lit(0))).alias("n"), sized(F.split("body", WIKILINK, -1)).alias("gap"))
+    links = body.select("dir", "slug", F.posexplode(parts).alias("i", "p")).where("p.raw IS NOT NULL")
+    before = Window.partitionBy("dir", "slug").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
+    start = F.coalesce(F.sum(F.col("p.gap") + F.col("p.n")).over(before), F.lit(0)).cast("int") + F.col("p.gap")
+    links = links.select("dir", "slug", F.trim("p.raw").alias("target"), start.alias("start"), F.col("p.n").alias("n")).where("target <> ''")
     # entities come before concepts
-    order = F.struct((F.col("place.dir") != "entities").alias("a"), F.col("place.slug").alias("b"), F.col("place.start").alias("c"))
-    return missing.groupBy(F.col("target").alias("slug")).agg(F.count("*").alias("mentions"), F.array_sort(F.collect_set("slug")).alias("referenced_by"), F.min_by("context", order).alias("context"))
+    place = F.struct((F.col("dir") != "entities").alias("later"), "slug", "start", "n", "dir")
+    missing = links.join(known, "target", "left_anti").groupBy("target").agg(F.count("*").alias("mentions"), F.array_sort(F.collect_set("slug")).alias("referenced_by"), F.min(place).alias("first"))
+    lo = F.greatest(F.lit(0), F.col("first.start") - margin)
+    context = F.substring(F.col("p.body"), lo + 1, F.col("first.start") + F.col("first.n") + margin - lo)
+    there = (F.col("p.slug") == F.col("first.slug")) & (F.col("p.dir") == F.col("first.dir"))
+    return missing.join(pages.select("dir", "slug", "body").alias("p"), there).select(F.col("target").alias("slug"), "mentions", "referenced_by", context.alias("context"))
 
 
 def failed_grounding(pages: DataFrame, docs: DataFrame) -> DataFrame:
@@ -118,10 +123,52 @@ def neighbour_pairs(pages: DataFrame, k: int = 3, threshold: float = 1.0) -> Dat
 
 
 def contradiction_pairs(pages: DataFrame) -> DataFrame:
-    """(a, b), a < b: the candidates of C5, pages that cite a common source and pages near each other by BM25."""
+    """(a, b), a < b: the candidates of C5, pages that cite a common source and pages near each other by BM25. All pairs of
+    a source's pages: for the most alike ones see ``contradictions``."""
     return shared_source_pairs(pages).union(neighbour_pairs(pages)).distinct()
 
 
+#: Pages of one source that a task compares with as many others.
+BLOCK = 512
+
+
+def alike_in_source(pages: DataFrame, cap: int) -> DataFrame:
+    """(a, b, similarity): among the pages of each source the ``cap`` most alike pairs of each pair of blocks.
+
+    The pages of a source are dealt out as pairs of blocks; pairs are compared inside tasks, and only the best leave them.
+    """
+    own = pages.where(F.col("dir").isin("entities", "concepts")).select("slug", F.array_distinct(tokenize("body")).alias("t"), F.explode("sources").alias("ref"))
+    own = own.select(F.element_at(F.split("ref", "#"), 1).alias("source"), "slug", F.coalesce("t", F.array().cast("array<string>")).alias("t")).dropDuplicates(["source", "slug"])
+    size = own.groupBy("source").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    dealt = own.join(size, "source").withColumn("block", F.pmod(F.xxhash64("slug"), F.col("blocks")).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("source", "slug", "t", "block", F.least("block", "with").alias("x"), F.greatest("block", "with").alias("y"))
+
+    def best(rows: pd.DataFrame) -> pd.DataFrame:
+        words: dict[str, int] = {}
+        sets = [np.fromiter((words.setdefault(w, len(words)) for w in t), np.int64, len(t)) for t in rows["t"]]
+        own, n = np.zeros((len(sets), max(1, len(words))), np.float32), np.array([len(s) for s in sets])
+        for i, s in enumerate(sets):
+            own[i, s] = 1
+        block, slug = rows["block"].to_numpy(), rows["slug"].to_numpy()
+        p, q = np.flatnonzero(block == rows["x"].iloc[0]), np.flatnonzero(block == rows["y"].iloc[0])
+        both = own[p] @ own[q].T
+        union = n[p][:, None] + n[q][None, :] - both
+        i, j = np.nonzero(slug[p][:, None] < slug[q][None, :]) if rows["x"].iloc[0] == rows["y"].iloc[0] else (v.ravel() for v in np.indices(both.shape))
+        exact = both[i, j].astype(np.float64) / np.maximum(union[i, j], 1)
+        at = np.argsort(-exact, kind="stable")
+        at = at[exact[at] >= exact[at[min(cap, len(at)) - 1]]] if len(at) else at  # ties of the last one stay
+        a, b = np.minimum(slug[p][i[at]], slug[q][j[at]]), np.maximum(slug[p][i[at]], slug[q][j[at]])
+        return pd.DataFrame({"a": a, "b": b, "similarity": exact[at]}).sort_values(["similarity", "a", "b"], ascending=[False, True, True]).head(cap)
+
+    return dealt.groupBy("source", "x", "y").applyInPandas(best, "a string, b string, similarity double")
+
+
+def contradictions(pages: DataFrame, cap: int = 30) -> DataFrame:
+    """C5: (a, b, similarity, place) of the ``cap`` most alike candidates: ``ranked_pairs`` of ``contradiction_pairs``, without the pairs that cannot be among them."""
+    shared = alike_in_source(pages, cap).distinct().orderBy(F.col("similarity").desc(), "a", "b").limit(cap)
+    return ranked_pairs(shared.select("a", "b").union(neighbour_pairs(pages)).distinct(), pages, cap)
+
+
 def ranked_pairs(pairs: DataFrame, pages: DataFrame, cap: int = 30) -> DataFrame:
     """(a, b, similarity, place) of the ``cap`` most alike pairs by Jaccard similarity of body tokens; ties by slugs."""
     own = pages.select("slug", F.array_distinct(tokenize("body")).alias("t"))
@@ -198,3 +245,14 @@ def summary(findings: dict[str, DataFrame]) -> DataFrame:
         counts = part if counts is None else counts.unionByName(part)
     taxonomy = spark.createDataFrame([(i, *t) for i, t in enumerate(TAXONOMY)], "place int, check_id string, label string, axis string")
     return taxonomy.join(counts, "check_id", "left").select("place", "check_id", "label", "axis", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+
+
+def edit_grounding(edits: DataFrame, sections: DataFrame) -> DataFrame:
+    """(slug, failures) of edits(slug, body, sources): every inline citation must be among the page's sources, and a section that is there; without
+    any citation the page must have sources. ``sections``: id."""
+    rows = edits.select("slug", "sources", cited_ids("body").alias("cited"))
+    each = rows.select("slug", "sources", F.explode("cited").alias("id")).join(sections.select("id").distinct().withColumn("there", F.lit(True)), "id", "left")
+    why = F.when(~F.array_contains("sources", F.col("id")), F.concat(F.lit("not a source: "), "id")).when(F.col("there").isNull(), F.concat(F.lit("no such section: "), "id"))
+    bad = each.withColumn("why", why).where("why IS NOT NULL").groupBy("slug").agg(F.array_sort(F.collect_set("why")).alias("failures"))
+    none = F.when((F.size("cited") == 0) & (F.coalesce(F.size("sources"), F.lit(0)) <= 0), F.array(F.lit("no sources")))
+    return rows.join(bad, "slug", "left").select("slug", F.coalesce("failures", none, F.expr("CAST(array() AS array<string>)")).alias("failures"))

@@ -6,15 +6,18 @@ give the same results everywhere, so that plans around them can be tested.
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
+import json
 import re
+import zlib
 from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import REFUSAL
+from ..functions.text import REFUSAL, kangxi
 
 DIM = 64
 #: Waits before the second and third attempt, and the time that all attempts may take, in seconds (fixed values).
@@ -117,3 +120,107 @@ def transcribe(pages: DataFrame, model: Callable[[bytes], str] = lambda page: pa
 def classify_source(text: Column | str) -> Column:
     """A stand-in classifier: a page about one capitalised name is an entity, else a concept."""
     return F.when(F.regexp_count(F.col(text) if isinstance(text, str) else text, F.lit(r"\b[A-Z][a-z]+")) >= 3, "entity").otherwise("concept")
+
+
+# ---------------------------------------------------------------- judge replies and chapters
+
+
+def judge_reply(reply: str) -> tuple[bool, str]:
+    """(answers, reasoning) of a judge's JSON reply, in a code fence or not; an unreadable reply counts as no, with its beginning as the reason."""
+    text = reply.strip()
+    if text.startswith("```"):
+        text = re.sub(r"^(?i:json)", "", text.strip("`")).strip()
+    try:
+        fields = json.loads(text)
+        return bool(fields.get("answers", False)), str(fields.get("reasoning", "")).strip()
+    except (ValueError, AttributeError):
+        return False, f"unparseable judge reply: {reply[:120]}"
+
+
+def overlap_reply(query: str, content: str) -> str:
+    """A stand-in judge: a content that holds most of the query's words answers it."""
+    share = overlap_score(query, content)
+    return json.dumps({"answers": share >= 0.5, "reasoning": f"{share:.2f} of the words"})
+
+
+def judged(items: DataFrame, model: Callable[[str, str], str] = overlap_reply) -> DataFrame:
+    """Adds ``answers`` and ``reasoning`` to items(query, content, ...): whether a judge finds that the content answers the query."""
+    reply = F.pandas_udf(lambda q, c: pd.DataFrame([judge_reply(model(x, y)) for x, y in zip(q, c)], columns=["answers", "reasoning"]), "answers boolean, reasoning string")
+    return items.withColumn("_reply", reply("query", "content")).select(*items.columns, "_reply.answers", "_reply.reasoning")
+
+
+def sentence_chapters(text: str, size: int = 2000) -> list[tuple[str, str]]:
+    """A stand-in proposal: a chapter at the first line, and at each line some ``size`` characters after the last, titled by its first words."""
+    out, at, due = [], 0, 0
+    for line in text.splitlines(keepends=True):
+        if line.strip() and at >= due:
+            words = line.split()
+            out.append((" ".join(words[:5]), " ".join(words[:12])))
+            due = at + size
+        at += len(line)
+    return out
+
+
+def propose_chapters(docs: DataFrame, model: Callable[[str], list[tuple[str, str]]] = sentence_chapters) -> DataFrame:
+    """(id, place, title, anchor) of rows(id, text): proposed chapters in order; a proposal of none is an error, a null text has none."""
+
+    def run(batches):
+        for rows in batches:
+            out = []
+            for i, text in zip(rows["id"], rows["text"]):
+                if text is None:
+                    continue
+                chapters = model(text)
+                if not chapters:
+                    raise ValueError(f"no chapters were proposed for {i}")
+                out += [(i, k, title, anchor) for k, (title, anchor) in enumerate(chapters)]
+            yield pd.DataFrame(out, columns=["id", "place", "title", "anchor"])
+
+    return docs.select("id", "text").mapInPandas(run, f"id {docs.schema['id'].dataType.simpleString()}, place int, title string, anchor string")
+
+
+# ---------------------------------------------------------------- PDF
+
+_STREAM = re.compile(rb"<<(.*?)>>\s*stream\r?\n(.*?)\r?\nendstream", re.S)
+_SHOWN = re.compile(rb"\((?:[^()\\]|\\.)*\)|<[0-9A-Fa-f\s]+>|T\*|TD|Td|ET")
+_ESCAPES = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f"}
+
+
+def pdf_text(raw: bytes) -> list[str]:
+    """The text that each content stream of a plain PDF shows, as a stand-in for a converter's.
+
+    Streams are plain or deflated, strings of one byte a character; an encrypted file, or none, is an error.
+    """
+    if not raw.startswith(b"%PDF"):
+        raise ValueError("not a PDF")
+    if b"/Encrypt" in raw:
+        raise ValueError("the PDF is encrypted")
+    out = []
+    for head, body in _STREAM.findall(raw):
+        if b"/FlateDecode" in head:
+            with contextlib.suppress(zlib.error):
+                body = zlib.decompress(body)
+        if b"BT" not in body:
+            continue
+        parts: list[bytes] = []
+        for token in _SHOWN.findall(body):
+            if token[:1] == b"(":
+                parts.append(re.sub(rb"\\(.)", lambda m: _ESCAPES.get(m[1], m[1]), token[1:-1]))
+            elif token[:1] == b"<":
+                digits = re.sub(rb"\s", b"", token[1:-1])
+                parts.append(bytes.fromhex((digits + b"0" * (len(digits) % 2)).decode()))
+            elif parts and parts[-1] != b"\n":
+                parts.append(b"\n")
+        out.append(b"".join(parts).decode("latin-1").strip())
+    return out
+
+
+def has_text_layer(content: Column | str, model: Callable[[bytes], list[str]] = pdf_text) -> Column:
+    """Whether any page of a PDF (binary) shows text that is not blank; null for null, an error for a file that cannot be opened."""
+    return F.pandas_udf(lambda s: s.map(lambda raw: None if raw is None else any(t.strip() for t in model(raw))), "boolean")(content)
+
+
+def pdf_to_markdown(content: Column | str, model: Callable[[bytes], list[str]] = pdf_text) -> Column:
+    """The text of a PDF's pages, a blank line between them, with Kangxi radicals unified; empty where there is no text layer."""
+    text = F.pandas_udf(lambda s: s.map(lambda raw: None if raw is None else "\n\n".join(t for t in model(raw) if t)), "string")
+    return kangxi(text(content))

@@ -22,7 +22,7 @@ FENCE = "```"
 # ---------------------------------------------------------------- frontmatter
 
 
-def split_frontmatter(text: str) -> tuple[dict, str]:
+def frontmatter_of(text: str) -> tuple[dict, str]:
     """Frontmatter as a dict, and the body. A leading HTML comment is skipped; malformed or absent frontmatter gives {} and the whole text."""
     import yaml
 
@@ -55,7 +55,7 @@ def with_frontmatter(files: DataFrame, text_col: str = "text") -> DataFrame:
         for batch in batches:
             fm, body = [], []
             for t in batch.column(text_col).to_pylist():
-                fields, rest = split_frontmatter(t) if t is not None else (None, None)
+                fields, rest = frontmatter_of(t) if t is not None else (None, None)
                 fm.append(None if fields is None else json.dumps(fields, default=str, ensure_ascii=False))
                 body.append(rest)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fm, pa.string()), pa.array(body, pa.string())], names=[*batch.schema.names, "frontmatter", "body"])
@@ -309,8 +309,33 @@ def convert_pages(pages: DataFrame, html_col: str = "html", out_col: str = "mark
     return pages.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema), f"{out_col} string"]))
 
 
+# ---------------------------------------------------------------- outline and fences
+
+
+def outline_text(text: Column | str, max_tokens: int = 2000) -> Column:
+    """All heading lines, whatever fences they stand in, then the first ``3 * max_tokens`` characters of the other lines.
+
+    A heading is one to six number signs and a space, after any white space. Null stays null.
+    """
+    text = F.col(text) if isinstance(text, str) else text
+    lines = F.split(text, "\n")
+    ended = F.transform(lines, lambda x, i: F.when(i < F.size(lines) - 1, F.concat(x, F.lit("\n"))).otherwise(x))
+    is_heading = lambda x: x.rlike(r"^\s*#{1,6} ")
+    heads = F.transform(F.filter(ended, is_heading), lambda x: F.rtrim(x, F.lit("\n")))
+    body = F.substring(F.array_join(F.filter(ended, lambda x: ~is_heading(x)), ""), 1, 3 * max_tokens)
+    return F.array_join(F.filter(F.concat(heads, F.array(body)), lambda x: x != ""), "\n")
+
+
+def fence_parity(lines: DataFrame, key: str = "name", order: str = "line", text_col: str = "x") -> DataFrame:
+    """Adds ``inside``: whether an odd number of fence lines of the same text stand before a line."""
+    before = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    return lines.withColumn("inside", F.coalesce(F.sum(F.col(text_col).startswith(FENCE).cast("int")).over(before), F.lit(0)) % 2 == 1)
+
+
 # ---------------------------------------------------------------- splitting
 
+#: From coarse to fine (fixed values).
+
 SEPARATORS = ("\n\n", "\n", ". ", " ", "")
 
 

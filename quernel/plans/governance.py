@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..operators import governance as G
 from ..operators import sections as S
-from .registry import Fixture, query, table
+from .registry import SQL, Fixture, query, table
 from .scalar import tokens_sql
 
 PAGES = Fixture(
@@ -110,13 +110,19 @@ def j_12_shared_source(spark, d):
     return G.shared_source_pairs(pages(spark))
 
 
-@query(
-    f"""WITH {PAGES.cte()}, {PAIRS}, t AS (SELECT slug, list_distinct({tokens_sql('body')}) AS t FROM pages_),
-    s AS (SELECT a, b, CASE WHEN len(list_distinct(list_concat(x.t, y.t))) = 0 THEN 0 ELSE len(list_intersect(x.t, y.t)) / CAST(len(list_distinct(list_concat(x.t, y.t))) AS DOUBLE) END AS similarity FROM pr JOIN t x ON x.slug = a JOIN t y ON y.slug = b)
+#: The three best pages by BM25 of each page's whole body.
+NEIGHBOURS = f"""WITH {PAGES.cte()}, t AS (SELECT slug, row_number() OVER (ORDER BY slug) AS seq, {tokens_sql('body')} AS tokens FROM pages_ WHERE dir <> 'qa'), st AS (SELECT count(*) AS n, avg(len(tokens)) AS a FROM t), post AS (SELECT slug, seq, len(tokens) AS len, unnest(tokens) AS token FROM t),
+df AS (SELECT token, count(DISTINCT slug) AS df FROM post GROUP BY 1), tf AS (SELECT slug, seq, len, token, count(*) AS tf FROM post GROUP BY ALL), q AS (SELECT slug AS query_id, token FROM post),
+sc AS (SELECT query_id, slug, seq, sum(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / a))) AS score FROM q JOIN tf USING (token) JOIN df USING (token) CROSS JOIN st WHERE query_id <> slug GROUP BY 1, 2, 3)
+SELECT query_id, slug AS neighbour, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, seq) AS rank, score FROM sc WHERE score >= 1.0 QUALIFY rank <= 3"""
+CANDIDATES = f"""WITH {PAGES.cte()}, {PAIRS}, nb AS (SELECT DISTINCT least(query_id, neighbour) AS a, greatest(query_id, neighbour) AS b FROM ({NEIGHBOURS}) AS x), both_ AS (SELECT a, b FROM pr UNION SELECT a, b FROM nb), t AS (SELECT slug, list_distinct({tokens_sql('body')}) AS t FROM pages_),
+    s AS (SELECT a, b, CASE WHEN len(list_distinct(list_concat(x.t, y.t))) = 0 THEN 0 ELSE len(list_intersect(x.t, y.t)) / CAST(len(list_distinct(list_concat(x.t, y.t))) AS DOUBLE) END AS similarity FROM both_ JOIN t x ON x.slug = a JOIN t y ON y.slug = b)
     SELECT a, b, similarity, row_number() OVER (ORDER BY similarity DESC, a, b) AS place FROM s QUALIFY place <= 30"""
-)
+
+
+@query(CANDIDATES)
 def g_c5_contradiction_candidates(spark, d):
-    return G.ranked_pairs(G.shared_source_pairs(pages(spark)), pages(spark))
+    return G.contradictions(pages(spark))
 
 
 @query(
@@ -178,12 +184,34 @@ def g_c12_alias_collisions(spark, d):
     return G.alias_collisions(pages(spark)).withColumn("claimed_by", F.array_join("claimed_by", ","))
 
 
-@query()
+LOGGED = Fixture(
+    "want",
+    "line_no int, ts string, kind string, query string, kv string",
+    [
+        (1, "2024-01-01T00:00:01Z", "chat_grounding_fallback", "How long?", '{"reason":"below_threshold","top_section":"a#b"}'), (2, "2024-01-01T00:00:02Z", "chat", "how long", '{"top":"a#b:1.0"}'),
+        (3, "2024-01-01T00:00:03Z", "chat", "How long??", '{"top":"a#b:2.0"}'), (4, "2024-01-01T00:00:04Z", "chat_grounding_fallback", "how  long", '{"reason":"below_threshold","top_section":"a#b"}'),
+        (6, "2024-01-01T00:00:05Z", "chat", "how long", '{"top":"none"}'), (7, "2024-01-01T00:00:06Z", "chat_grounding_fallback", "what else", '{"reason":"retrieval_empty"}'),
+        (8, "2024-01-01T00:00:07Z", "chat_grounding_fallback", "what else!", '{"reason":"provider_error"}'), (9, "2024-01-01T00:00:08Z", "chat", "what else", '{"top":"x"}'),
+        (10, "2024-01-01T00:00:09Z", "chat_grounding_fallback", "cited one", '{"reason":"claim_unsupported","cited":"b,a"}'), (11, "2024-01-01T00:00:10Z", "ingest", "x", '{"pages":"3"}'),
+    ],
+)
+#: "how long" fails twice more than it succeeds, "what else" once before a success of its own, "cited one" has no success.
+GAPS = Fixture(
+    "want",
+    "canonical string, reason string, section string, hits long, first_seen string, last_seen string, samples string",
+    [
+        ("cited one", "claim_unsupported", "a,b", 1, "2024-01-01T00:00:09Z", "2024-01-01T00:00:09Z", "cited one"), ("how long", "below_threshold", "a#b", 2, "2024-01-01T00:00:01Z", "2024-01-01T00:00:04Z", "How long?|how  long"),
+        ("what else", "retrieval_empty", None, 1, "2024-01-01T00:00:06Z", "2024-01-01T00:00:06Z", "what else"),
+    ],
+)
+
+
+@query(f"WITH {LOGGED.cte()} SELECT * FROM want")
 def s_06_log_scan(spark, d):
     return log(spark).select("line_no", "ts", "kind", "query", F.to_json("kv").alias("kv"))
 
 
-@query()
+@query(f"WITH {GAPS.cte()} SELECT * FROM want")
 def g_c1_coverage(spark, d):
     return G.coverage_gaps(log(spark)).withColumn("samples", F.array_join("samples", "|"))
 
@@ -203,17 +231,27 @@ def findings(spark):
     p, s = pages(spark), docs(spark)
     maps = HASHES.df(spark).groupBy("slug").agg(F.map_from_entries(F.collect_list(F.struct("source", "hash"))).alias("hashes"))
     return {
-        "C1": G.coverage_gaps(log(spark)), "C2": G.red_links(p), "C3": G.failed_grounding(p, s).select("slug").distinct(), "C4": G.collisions(p), "C5": G.ranked_pairs(G.contradiction_pairs(p), p),
+        "C1": G.coverage_gaps(log(spark)), "C2": G.red_links(p), "C3": G.failed_grounding(p, s).select("slug").distinct(), "C4": G.collisions(p), "C5": G.contradictions(p),
         "C6": G.stale_pages(p.join(maps, "slug", "left"), s), "C8": G.promotion_candidates(p), "C9": G.stale_answers(p), "C10": G.invalid_answers(p), "C11": G.orphans(p, s), "C12": G.alias_collisions(p),
     }
 
 
-@query()
+#: Each check's findings by the SQL of its own query, in report order.
+COUNTED = {
+    "C6": "g_c6_stale_pages", "C3": "g_c3_failed_grounding", "C11": "g_c11_orphans", "C5": "g_c5_contradiction_candidates", "C4": "g_c4_collisions", "C12": "g_c12_alias_collisions", "C1": "g_c1_coverage", "C2": "g_c2_red_links",
+    "C8": "g_c8_promotion", "C10": "g_c10_invalid_schema", "C9": "g_c9_stale_answers",
+}
+FINDINGS = " UNION ALL ".join(
+    f"SELECT {i} AS place, '{check}' AS check_id, '{label}' AS label, '{axis}' AS axis, (SELECT count({'DISTINCT slug' if check == 'C3' else '*'}) FROM ({SQL[COUNTED[check]]}) AS x{i}) AS n" for i, (check, label, axis) in enumerate(G.TAXONOMY)
+)
+
+
+@query(FINDINGS)
 def a_08_findings_by_check(spark, d):
     return G.summary(findings(spark))
 
 
-@query()
+@query(f"SELECT axis, min(place) AS first, sum(n)::BIGINT AS n FROM ({FINDINGS}) AS f GROUP BY 1")
 def a_09_findings_by_axis(spark, d):
     return G.summary(findings(spark)).groupBy("axis").agg(F.min("place").alias("first"), F.sum("n").alias("n"))
 
@@ -228,7 +266,28 @@ MARKDOWN = Fixture(
 )
 
 
-@query()
+FRONTMATTER = Fixture(
+    "want",
+    "name string, frontmatter string, body string",
+    [
+        ("a.md", '{"status": "live", "count": 2}', "intro text\n\n# Top\n\n## One\nbody one\n```\n# not a heading\n```\n## One\n\n### Deep\ndeep body\n## x-2\n# Next\nlast"),
+        ("b.md", "{}", "no headings at all\n"), ("c.md", "{}", "---\n: [bad\n---\n# H"), ("d.md", "{}", ""), ("e.md", None, None), ("f.md", "{}", "# Only\n\n# Intro\nx\n# X\n# X\n"),
+    ],
+)
+#: A heading without text of its own and with deeper ones below it is no section; a repeated slug gets a number.
+SECTIONS = Fixture(
+    "want",
+    "name string, emit_seq int, heading string, heading_path string, content string, leaf boolean, id string",
+    [
+        ("a.md", 0, "a.md", "a.md", "intro text", True, "a.md#intro"), ("a.md", 1, "One", "Top > One", "body one\n```\n# not a heading\n```", True, "a.md#one"), ("a.md", 2, "Deep", "Top > One > Deep", "deep body", True, "a.md#deep"),
+        ("a.md", 3, "x-2", "Top > x-2", "", True, "a.md#x-2"), ("a.md", 4, "Next", "Next", "last", True, "a.md#next"), ("b.md", 0, "b.md", "b.md", "no headings at all", True, "b.md"),
+        ("c.md", 0, "c.md", "c.md", "---\n: [bad\n---", True, "c.md#intro"), ("c.md", 1, "H", "H", "", True, "c.md#h"), ("d.md", 0, "d.md", "d.md", "", True, "d.md"),
+        ("f.md", 0, "Only", "Only", "", True, "f.md#only"), ("f.md", 1, "Intro", "Intro", "x", True, "f.md#intro"), ("f.md", 2, "X", "X", "", True, "f.md#x"), ("f.md", 3, "X", "X", "", True, "f.md#x-2"),
+    ],
+)
+
+
+@query(f"WITH {FRONTMATTER.cte()} SELECT * FROM want")
 def f_06_frontmatter(spark, d):
     return S.with_frontmatter(MARKDOWN.df(spark)).select("name", "frontmatter", "body")
 
@@ -238,7 +297,7 @@ def parsed(spark):
     return files, S.sections(files)
 
 
-@query()
+@query(f"WITH {SECTIONS.cte()} SELECT * FROM want")
 def f_36_sections(spark, d):
     return parsed(spark)[1].withColumn("heading_path", F.array_join("heading_path", " > "))
 
@@ -250,7 +309,7 @@ def f_36_sections_of_documents(spark, d):
     return rows.select("name", "emit_seq", "id", F.sha2("content", 256).alias("content_sha"))
 
 
-@query()
+@query(f"WITH {MARKDOWN.cte()} SELECT name, 0 AS missing FROM md")
 def a_28_uncarried(spark, d):
     files, rows = parsed(spark)
     return S.uncarried(files, rows)
@@ -290,7 +349,10 @@ def f_23_split_text(spark, d):
 PARAGRAPHS = Fixture("pg", "id int, t string", [(1, "aaa bbb\n\nccc\n\n" + "d" * 40 + "\n\ne"), (2, ""), (3, "one"), (4, "x" * 50 + "\n \n" + "y" * 5 + "\n\nz")])
 
 
-@query()
+PACKED = Fixture("want", "id int, place int, part string", [(1, 0, "aaa bbb\n\nccc"), (1, 1, "d" * 40), (1, 2, "e"), (3, 0, "one"), (4, 0, "x" * 50), (4, 1, "yyyyy\n\nz")])
+
+
+@query(f"WITH {PACKED.cte()} SELECT * FROM want")
 def w_11_pack_paragraphs(spark, d):
     return PARAGRAPHS.df(spark).select("id", F.posexplode(S.pack_paragraphs(F.col("t"), 5)).alias("place", "part"))
 

@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import bm25, dense, seams
+from ..operators import evaluation as E
 from ..operators import governance as G
-from .governance import DOCS, PAGES, RESOLVE, docs, pages
-from .registry import Fixture, query, table
+from .governance import DOCS, NEIGHBOURS, PAGES, RESOLVE, docs, pages
+from .evaluation import MC, OUT, paired
+from .registry import SQL, Fixture, query, table
 from .retrieval import BM25, HYBRID, KNN, STATS, arms, asks, probes, sections
 from .scalar import tokens_sql
 
@@ -23,21 +25,11 @@ def s_03_raw_scan_order(spark, d):
     return table(spark, d, "documents").select(F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit("."), ext).alias("path"), ext.alias("ext"), F.array_position(kinds, ext).alias("rank"))
 
 
-@query("SELECT count(*) AS sections FROM documents")
-def s_05_stat_only(spark, d):
-    return table(spark, d, "documents").agg(F.count("*").alias("sections"))
-
-
 @query("SELECT source AS dir, lang AS name, count(*) AS files, sum(n_chars) AS bytes FROM documents GROUP BY 1, 2")
 def s_11_listing(spark, d):
     return table(spark, d, "documents").groupBy(F.col("source").alias("dir"), F.col("lang").alias("name")).agg(F.count("*").alias("files"), F.sum("n_chars").alias("bytes"))
 
 
-@query("SELECT doc_id, text FROM documents WHERE doc_id = 17 AND source = 'src17'")
-def s_13_single_file(spark, d):
-    return table(spark, d, "documents").where("doc_id = 17 AND source = 'src17'").select("doc_id", "text")
-
-
 TRASH = Fixture("tr", "path string", [("trash/2024-01-02T00:00:00Z/docs/a.md",), ("trash/2024-01-01T00:00:00Z/b.md",), ("trash/x",)])
 
 
@@ -73,11 +65,6 @@ def p_09_path_safety(spark, d):
     return RELPATHS.df(spark).select("path", X.safe_path("path", ["docs", "raw"]).alias("ok"))
 
 
-@query("SELECT n_name AS slug, n_name <> '' AND NOT contains(n_name, '/') AS ok FROM nation")
-def p_10_bare_slug(spark, d):
-    return table(spark, d, "nation").select(F.col("n_name").alias("slug"), X.bare_slug("n_name").alias("ok"))
-
-
 @query("SELECT doc_id, length(text) // 3 > 0.5 * 8000 AS asynchronous FROM documents")
 def p_13_async_route(spark, d):
     return table(spark, d, "documents").select("doc_id", (X.estimate_tokens("text") > 0.5 * 8000).alias("asynchronous"))
@@ -116,14 +103,14 @@ def p_20_citation_path(spark, d):
 
 @query(f"WITH {BM25}, {KNN} SELECT 'lexical' AS arm, query_id, id, score FROM hits WHERE rank <= 3 AND score > 0 UNION ALL SELECT 'dense', query_id, id, NULL FROM rk WHERE rank <= 3")
 def p_21_normalised_results(spark, d):
-    lexical = bm25.bm25_search(asks(spark, d), sections(spark, d), 3, limit=8).select(F.lit("lexical").alias("arm"), "query_id", "id", "score")
+    lexical = bm25.bm25_search(asks(spark, d), sections(spark, d), 3).select(F.lit("lexical").alias("arm"), "query_id", "id", "score")
     near = dense.nearest(probes(spark, d), table(spark, d, "embeddings"), 3).select(F.lit("dense").alias("arm"), "query_id", "id", F.lit(None).cast("double").alias("score"))
     return lexical.unionByName(near)
 
 
 @query(f"WITH {BM25} SELECT query_id, CASE WHEN arg_min(id, rank) % 5 = 0 THEN 'cached ' || arg_min(id, rank) ELSE string_agg(CAST(id AS VARCHAR), chr(10) ORDER BY rank) END AS body FROM hits WHERE rank <= 3 AND score > 0 GROUP BY 1")
 def p_22_degraded_serving(spark, d):
-    rows = bm25.bm25_search(asks(spark, d), sections(spark, d), 3, limit=8).groupBy("query_id").agg(F.min_by("id", "rank").alias("top"), F.array_sort(F.collect_list(F.struct("rank", "id"))).alias("x"))
+    rows = bm25.bm25_search(asks(spark, d), sections(spark, d), 3).groupBy("query_id").agg(F.min_by("id", "rank").alias("top"), F.array_sort(F.collect_list(F.struct("rank", "id"))).alias("x"))
     excerpts = F.array_join(F.transform("x", lambda x: x["id"].cast("string")), "\n")
     return rows.select("query_id", F.when(F.col("top") % 5 == 0, F.concat(F.lit("cached "), F.col("top").cast("string"))).otherwise(excerpts).alias("body"))
 
@@ -146,11 +133,11 @@ def p_25_query_filter(spark, d):
     return table(spark, d, "conversations").where("role = 'user' AND length(text) > 0").select("conv_id", "turn")
 
 
-@query(f"WITH {STATS}, q AS (SELECT item_id AS query_id, unnest(list_slice({tokens_sql('text')}, 1, 8)) AS token FROM benchmark) SELECT query_id, count(*) AS matches, count(DISTINCT id) AS touched FROM q JOIN post USING (token) GROUP BY 1")
+@query(f"WITH {STATS}, q AS (SELECT item_id AS query_id, unnest({tokens_sql('text')}) AS token FROM benchmark) SELECT query_id, count(*) AS matches, count(DISTINCT id) AS touched FROM q JOIN post USING (token) GROUP BY 1")
 def j_01_query_postings(spark, d):
-    asked = bm25.ask(asks(spark, d), limit=8)
-    posts = bm25.postings(sections(spark, d), asked=asked.select("token").distinct())
-    return posts.join(F.broadcast(asked), "token").groupBy("query_id").agg(F.sum((F.col("tf") * F.col("times")).cast("long")).alias("matches"), F.countDistinct("id").alias("touched"))
+    asked = bm25.sized(bm25.ask(asks(spark, d)))
+    posts = bm25.postings(sections(spark, d), asked=bm25.sized(asked.select("token").distinct()))
+    return posts.join(asked, "token").groupBy("query_id").agg(F.sum((F.col("tf") * F.col("times")).cast("long")).alias("matches"), F.countDistinct("id").alias("touched"))
 
 
 @query(f"WITH {HYBRID} SELECT coalesce(lex.query_id, den.query_id) AS query_id, coalesce(lex.id, den.id) AS id, lex.rank AS lexical_rank, den.rank AS dense_rank FROM lex FULL JOIN den ON lex.query_id = den.query_id AND lex.id = den.id")
@@ -195,10 +182,7 @@ def j_11_later_citation(spark, d):
     return qa.join(wiki, "cited").where("later > updated").select("slug", "cited").distinct()
 
 
-@query(f"""WITH {PAGES.cte()}, t AS (SELECT slug, row_number() OVER (ORDER BY slug) AS seq, {tokens_sql('body')} AS tokens FROM pages_ WHERE dir <> 'qa'), st AS (SELECT count(*) AS n, avg(len(tokens)) AS a FROM t), post AS (SELECT slug, seq, len(tokens) AS len, unnest(tokens) AS token FROM t),
-df AS (SELECT token, count(DISTINCT slug) AS df FROM post GROUP BY 1), tf AS (SELECT slug, seq, len, token, count(*) AS tf FROM post GROUP BY ALL), q AS (SELECT slug AS query_id, token FROM post),
-sc AS (SELECT query_id, slug, seq, sum(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / a))) AS score FROM q JOIN tf USING (token) JOIN df USING (token) CROSS JOIN st WHERE query_id <> slug GROUP BY 1, 2, 3)
-SELECT query_id, slug AS neighbour, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, seq) AS rank, score FROM sc WHERE score >= 1.0 QUALIFY rank <= 3""")
+@query(NEIGHBOURS)
 def j_13_bm25_neighbours(spark, d):
     rows = pages(spark).where("dir <> 'qa'").select(F.col("slug").alias("id"), F.row_number().over(Window.orderBy("slug")).alias("seq"), X.tokenize("body").alias("tokens"))
     asked = rows.select(F.col("id").alias("query_id"), F.explode("tokens").alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("times"))
@@ -245,17 +229,17 @@ def j_28_citation_priority(spark, d):
     return cited.join(pages(spark).select("slug", "dir"), "slug").groupBy("slug").agg(F.min_by("dir", order).alias("dir"))
 
 
-@query(f"""WITH {STATS}, q AS (SELECT item_id AS query_id, unnest(list_slice({tokens_sql('text')}, 1, 4)) AS token FROM benchmark), tf AS (SELECT id, len, token, count(*) AS tf FROM post GROUP BY 1, 2, 3), w(weight) AS (VALUES (CAST(0.1 AS DOUBLE)), (0.3), (1.0)),
+@query(f"""WITH {STATS}, q AS (SELECT item_id AS query_id, unnest({tokens_sql('text')}) AS token FROM benchmark), tf AS (SELECT id, len, token, count(*) AS tf FROM post GROUP BY 1, 2, 3), w(weight) AS (VALUES (CAST(0.1 AS DOUBLE)), (0.3), (1.0)),
 sc AS (SELECT weight, query_id, id, sum(ln((n - df + 0.5) / (df + 0.5) + 1) * (weight * tf) * 2.5 / (weight * tf + 1.5 * (0.25 + 0.75 * len / avg_len))) AS s FROM q JOIN tf USING (token) JOIN df USING (token) CROSS JOIN st CROSS JOIN w GROUP BY 1, 2, 3) SELECT weight, max(s) AS best, avg(s) AS mean FROM sc GROUP BY 1""")
 def a_21_question_weight_sweep(spark, d):
-    rows, asked = sections(spark, d), bm25.ask(asks(spark, d), limit=4)
-    posts = bm25.postings(rows, asked=asked.select("token").distinct())
+    rows, asked = sections(spark, d), bm25.sized(bm25.ask(asks(spark, d)))
+    posts = bm25.postings(rows, asked=bm25.sized(asked.select("token").distinct()))
     stats = bm25.corpus_stats(rows).select("n", "avg_len")
     idf = bm25.term_stats(rows).crossJoin(F.broadcast(stats)).select("token", "avg_len", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1).alias("idf"))
     tf = F.col("weight") * F.col("tf")
     part = F.col("idf") * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * F.col("len") / F.col("avg_len"))) * F.col("times")
     grid = F.explode(F.array(F.lit(0.1), F.lit(0.3), F.lit(1.0))).alias("weight")
-    scored = posts.join(idf, "token").join(F.broadcast(asked), "token").select("*", grid).groupBy("weight", "query_id", "id").agg(F.sum(part).alias("s"))
+    scored = posts.join(idf, "token").join(asked, "token").select("*", grid).groupBy("weight", "query_id", "id").agg(F.sum(part).alias("s"))
     return scored.groupBy("weight").agg(F.max("s").alias("best"), F.avg("s").alias("mean"))
 
 
@@ -271,7 +255,7 @@ def a_06_link_mentions(spark, d):
 
 @query(f"WITH {HYBRID} SELECT query_id, id, rank FROM lex WHERE rank <= 10")
 def w_01_rank_within_arm(spark, d):
-    return bm25.bm25_search(asks(spark, d), sections(spark, d), 10, limit=8).select("query_id", "id", "rank")
+    return bm25.bm25_search(asks(spark, d), sections(spark, d), 10).select("query_id", "id", "rank")
 
 
 @query("SELECT item_id, array_to_string(list(w ORDER BY first), ' ') AS words FROM (SELECT item_id, w, min(i) AS first FROM (SELECT item_id, unnest(string_split(lower(text), ' ')) AS w, unnest(range(len(string_split(lower(text), ' ')))) AS i FROM benchmark) GROUP BY 1, 2) GROUP BY 1")
@@ -279,13 +263,6 @@ def w_10_first_seen(spark, d):
     return table(spark, d, "benchmark").select("item_id", F.array_join(F.array_distinct(F.split(F.lower("text"), " ")), " ").alias("words"))
 
 
-@query("WITH l AS (SELECT doc_id, i, x, CASE WHEN starts_with(x, 'The') THEN 1 ELSE 0 END AS f FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents)) SELECT doc_id, CAST(i AS INT) AS line, coalesce(sum(f) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) % 2 = 1 AS inside FROM l")
-def w_09_fence_parity(spark, d):
-    lines = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "x"))
-    before = Window.partitionBy("doc_id").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
-    return lines.select("doc_id", "line", (F.coalesce(F.sum(F.col("x").startswith("The").cast("int")).over(before), F.lit(0)) % 2 == 1).alias("inside"))
-
-
 @query("SELECT k, least(10, greatest(1, k)) AS clamped FROM (VALUES (-3), (0), (5), (99)) AS t(k)")
 def o_12_clamp(spark, d):
     return spark.createDataFrame([(-3,), (0,), (5,), (99,)], "k int").select("k", F.least(F.lit(10), F.greatest(F.lit(1), "k")).alias("clamped"))
@@ -319,11 +296,6 @@ def f_35_separation_mark(spark, d):
     return pages(spark).select("slug", F.regexp_extract(F.substring("body", 1, 600), r"\(collision group: '([^']*)'\)", 1).alias("marked"))
 
 
-@query("SELECT doc_id, substr(text, 1, 300) AS outline FROM documents")
-def f_19_outline(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.substring("text", 1, 300).alias("outline"))
-
-
 @query()
 def x_01_embed(spark, d):
     return table(spark, d, "benchmark").select("item_id", seams.embed("text").alias("embedding"))
@@ -338,7 +310,7 @@ def x_02_draft_and_verify(spark, d):
 
 @query()
 def x_06_judge_pairs(spark, d):
-    p = G.ranked_pairs(G.contradiction_pairs(pages(spark)), pages(spark))
+    p = G.contradictions(pages(spark))
     body = pages(spark).select("slug", "body")
     rows = p.join(body.select(F.col("slug").alias("a"), F.col("body").alias("x")), "a").join(body.select(F.col("slug").alias("b"), F.col("body").alias("y")), "b")
     return rows.select("a", "b", seams.judge("x", "y").alias("verdict"))
@@ -357,16 +329,20 @@ def x_09_rewrite(spark, d):
     return rows.select("conv_id", "turn", seams.rewrite("text", "history").alias("rewritten"))
 
 
-@query()
-def z_11_three_arms(spark, d):
-    from ..operators import evaluation as E
-    from .evaluation import paired
+Z11 = f"""WITH {OUT}, n AS (SELECT 'ab' AS pair, count(*) FILTER (a = 1 AND b = 0) AS b, count(*) FILTER (a = 0 AND b = 1) AS c FROM o UNION ALL SELECT 'ac', count(*) FILTER (a = 1 AND c = 0), count(*) FILTER (a = 0 AND c = 1) FROM o
+UNION ALL SELECT 'bc', count(*) FILTER (b = 1 AND c = 0), count(*) FILTER (b = 0 AND c = 1) FROM o), t AS (SELECT pair, b, c, CASE WHEN b + c = 0 THEN 1 ELSE {MC} END AS p FROM n),
+h AS (SELECT *, p * (3 - row_number() OVER (ORDER BY p, pair) + 1) AS s FROM t), cq AS ({SQL["z_05_cochran_q"].replace("WITH " + OUT + ", s AS", "WITH s AS")})
+SELECT pair, h.b, h.c, round(h.p, 9) AS p, round(least(1.0, max(s) OVER (ORDER BY h.p, pair ROWS UNBOUNDED PRECEDING)), 9) AS holm, round(q, 9) AS q, round(cq.p, 9) AS q_p FROM h CROSS JOIN cq"""
+
 
+@query(Z11)
+def z_11_three_arms(spark, d):
     rows = paired(spark, d)
     tests = None
     for a, b in (("a", "b"), ("a", "c"), ("b", "c")):
         one = E.discordant(rows, [], a, b).withColumn("pair", F.lit(a + b))
         tests = one if tests is None else tests.unionByName(one)
-    return E.holm(tests, "p").crossJoin(E.cochran_q(rows, ["a", "b", "c"]).select("q", F.col("p").alias("q_p")))
+    rows = E.holm(tests, "p").crossJoin(E.cochran_q(rows, ["a", "b", "c"]).select("q", F.col("p").alias("q_p")))
+    return rows.select("pair", "b", "c", *(F.round(c, 9).alias(c) for c in ("p", "holm", "q", "q_p")))
 
 

@@ -25,7 +25,7 @@ post AS (SELECT id, len(tokens) AS len, unnest(tokens) AS token FROM toks),
 df AS (SELECT token, count(DISTINCT id) AS df FROM post GROUP BY 1),
 st AS (SELECT count(*) AS n, avg(len(tokens)) AS avg_len, count(DISTINCT file) AS files FROM toks)"""
 BM25 = f"""{STATS},
-q AS (SELECT item_id AS query_id, unnest(list_slice({tokens_sql('text')}, 1, 8)) AS token FROM benchmark),
+q AS (SELECT item_id AS query_id, unnest({tokens_sql('text')}) AS token FROM benchmark),
 tf AS (SELECT id, len, token, count(*) AS tf FROM post GROUP BY 1, 2, 3),
 sc AS (SELECT query_id, id, sum(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / avg_len))) AS score
   FROM q JOIN tf USING (token) JOIN df USING (token) CROSS JOIN st GROUP BY 1, 2),
@@ -56,19 +56,19 @@ def a_03_idf(spark, d):
 
 @query(f"WITH {BM25} SELECT query_id, id, rank, score FROM hits WHERE rank <= 10 AND score > 0")
 def o_01_bm25_topk(spark, d):
-    return bm25.bm25_search(asks(spark, d), sections(spark, d), 10, limit=8)
+    return bm25.bm25_search(asks(spark, d), sections(spark, d), 10)
 
 
 @query(f"WITH {BM25} SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank, score FROM hits JOIN documents ON id = doc_id WHERE lang = 'en' QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) <= 5")
 def p_02_language_filter(spark, d):
     langs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "lang")
-    return bm25.bm25_search(asks(spark, d), sections(spark, d).join(langs, "id"), 5, limit=8, lang="en")
+    return bm25.bm25_search(asks(spark, d), sections(spark, d).join(langs, "id"), 5, lang="en")
 
 
 @query(f"WITH {BM25} SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank, score FROM hits WHERE id % 3 <> 0 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) <= 5")
 def p_03_exclude_qa(spark, d):
     rows = sections(spark, d).withColumn("page_type", F.when(F.col("id") % 3 == 0, "qa").when(F.col("id") % 3 == 1, "entity"))
-    return bm25.bm25_search(asks(spark, d), rows, 5, limit=8, exclude_qa=True)
+    return bm25.bm25_search(asks(spark, d), rows, 5, exclude_qa=True)
 
 
 @query(f"""WITH {BM25}, t AS (SELECT query_id, max(score) AS top_score FROM hits WHERE rank <= 10 AND score > 0 GROUP BY 1)
@@ -76,7 +76,7 @@ SELECT item_id AS query_id, top_score, top_score IS NULL OR top_score < 20 AS re
 FROM benchmark LEFT JOIN t ON query_id = item_id""")
 def p_04_gate(spark, d):
     q = asks(spark, d)
-    return bm25.gate(q, bm25.bm25_search(q, sections(spark, d), 10, limit=8), 20.0)
+    return bm25.gate(q, bm25.bm25_search(q, sections(spark, d), 10), 20.0)
 
 
 MIXED = Fixture(
@@ -149,7 +149,7 @@ top AS (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORD
 
 
 def arms(spark, d):
-    lexical = bm25.bm25_search(asks(spark, d), sections(spark, d), fusion.DEPTH, limit=8)
+    lexical = bm25.bm25_search(asks(spark, d), sections(spark, d), fusion.DEPTH)
     near = dense.nearest(probes(spark, d), table(spark, d, "embeddings"), fusion.DEPTH)
     near = near.select((F.col("query_id") / 50).cast("long").alias("query_id"), "id", "rank", "distance")
     return lexical, fusion.drop_orphans(near, table(spark, d, "documents").select(F.col("doc_id").alias("id")))
@@ -190,12 +190,12 @@ def p_07_or_gate(spark, d):
 SELECT query_id, file, doc_id AS id, row_number() OVER (PARTITION BY query_id ORDER BY first, doc_id) AS place FROM f JOIN documents ON source = file""")
 def j_04_expand(spark, d):
     rows = sections(spark, d)
-    return fusion.expand_pages(bm25.bm25_search(asks(spark, d), rows, 3, limit=8), rows)
+    return fusion.expand_pages(bm25.bm25_search(asks(spark, d), rows, 3), rows)
 
 
 @query(f"WITH {HYBRID}, {FUSED} SELECT lex.query_id, lex.id, (lex.id * 7919) % 1000 AS model_score, row_number() OVER (PARTITION BY lex.query_id ORDER BY (lex.id * 7919) % 1000 DESC, lex.rank) AS new_rank FROM lex WHERE rank <= 20 QUALIFY new_rank <= 3")
 def o_06_rerank(spark, d):
-    pool = bm25.bm25_search(asks(spark, d), sections(spark, d), 20, limit=8)
+    pool = bm25.bm25_search(asks(spark, d), sections(spark, d), 20)
     return fusion.rerank(pool, lambda p: (F.col("id") * 7919) % 1000).select("query_id", "id", "model_score", "new_rank")
 
 
@@ -212,5 +212,5 @@ def o_11_key_tokens(spark, d):
 @query(f"""WITH {BM25} SELECT query_id, id AS source_id, file || ' > ' || id AS breadcrumb, round(score, 3) AS score, substr(text, 1, 240) AS excerpt FROM hits JOIN toks USING (id) JOIN documents ON doc_id = id WHERE rank <= 3 AND score > 0""")
 def p_19_sources(spark, d):
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "source", "text")
-    hits = bm25.bm25_search(asks(spark, d), sections(spark, d), 3, limit=8).join(docs, "id")
+    hits = bm25.bm25_search(asks(spark, d), sections(spark, d), 3).join(docs, "id")
     return hits.select("query_id", F.col("id").alias("source_id"), F.concat_ws(" > ", "source", F.col("id").cast("string")).alias("breadcrumb"), F.round("score", 3).alias("score"), F.substring("text", 1, 240).alias("excerpt"))

@@ -85,9 +85,9 @@ def f_05_script_ratio(spark, d):
     return TEXTS.df(spark).select("id", X.detect_lang("t").alias("lang"), X.script_ratio("t").alias("ratio"))
 
 
-@query(f"SELECT doc_id, {norm_sql('substr(text, 1, 200)')} AS q FROM documents")
+@query(f"SELECT doc_id, {norm_sql('text')} AS q FROM documents")
 def f_07_normalize(spark, d):
-    return table(spark, d, "documents").select("doc_id", X.normalize_question(F.substring("text", 1, 200)).alias("q"))
+    return table(spark, d, "documents").select("doc_id", X.normalize_question("text").alias("q"))
 
 
 @query(

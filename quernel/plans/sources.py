@@ -14,21 +14,6 @@ def s_01_corpus_order(spark, d):
     return C.in_corpus_order(table(spark, d, "documents").select("doc_id", "source", path.alias("path"))).select("doc_id", "source", "seq")
 
 
-@query("SELECT doc_id, source FROM documents WHERE source IN ('src1', 'src2', 'src3')")
-def s_02_subdirs(spark, d):
-    return table(spark, d, "documents").where(F.col("source").isin("src1", "src2", "src3")).select("doc_id", "source")
-
-
-@query("SELECT count(*) AS n FROM documents WHERE NOT regexp_matches(source, '(^|/)\\.')")
-def s_14_count_tree(spark, d):
-    return table(spark, d, "documents").where(~F.col("source").rlike(r"(^|/)\.")).agg(F.count("*").alias("n"))
-
-
-@query("SELECT max(ts) > TIMESTAMP '2024-01-01' AS stale FROM events")
-def s_15_index_stale(spark, d):
-    return table(spark, d, "events").agg((F.max("ts") > F.lit("2024-01-01").cast("timestamp_ntz")).alias("stale"))
-
-
 @query("WITH f AS (SELECT source || '/' || lang || '/' || doc_id || '.md' AS p, n_chars AS bytes FROM documents), e AS (SELECT p AS relpath, false AS is_dir, bytes FROM f UNION SELECT split_part(p, '/', 1), true, NULL FROM f UNION SELECT split_part(p, '/', 1) || '/' || split_part(p, '/', 2), true, NULL FROM f), o AS (SELECT *, row_number() OVER (ORDER BY relpath) AS place, count(*) OVER () > 10000 AS truncated FROM e) SELECT relpath, is_dir, bytes, place, truncated FROM o WHERE place <= 10000")
 def s_12_tree(spark, d):
     path = F.concat(F.lit("root/"), "source", F.lit("/"), "lang", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".md"))
@@ -46,14 +31,9 @@ def k_07_append_new(spark, d):
     return C.append_new(rows.where("event_type <> 'error'"), rows.where("event_type = 'view'"), ["user_id", "event_type"])
 
 
-@query("SELECT doc_id, CASE WHEN lang = 'en' THEN 'docs' ELSE 'raw' END AS target, length(text) > 10485760 AS rejected FROM documents")
-def k_12_upload_routing(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.when(F.col("lang") == "en", "docs").otherwise("raw").alias("target"), (F.length("text") > 10_485_760).alias("rejected"))
-
-
-@query("SELECT doc_id, '---' || chr(10) || 'source: ' || source || chr(10) || '---' || chr(10) || substr(text, 1, 80) AS page FROM documents")
+@query("SELECT doc_id, '---' || chr(10) || 'source: ' || source || chr(10) || '---' || chr(10) || text AS page FROM documents")
 def k_13_capture(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.concat(F.lit("---\nsource: "), "source", F.lit("\n---\n"), F.substring("text", 1, 80)).alias("page"))
+    return table(spark, d, "documents").select("doc_id", F.concat(F.lit("---\nsource: "), "source", F.lit("\n---\n"), "text").alias("page"))
 
 
 @query("SELECT doc_id, max(length(text) // 3 > 6000) OVER (PARTITION BY source) AS rejected, length(text) // 3 > 0.5 * 8000 AS asynchronous FROM documents")

@@ -34,7 +34,12 @@ def t_03_budget(spark, d):
     return rows.select("event_id", F.col("before").cast("double").alias("before"), "over_cap", "over_admin")
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE o AS (SELECT event_id, CAST(ts AS DATE) AS day, CAST({COST} AS DOUBLE) AS cost, row_number() OVER (PARTITION BY CAST(ts AS DATE) ORDER BY event_id) AS i FROM events),
+    w AS (SELECT event_id, day, i, cost AS spent, true AS admitted FROM o WHERE i = 1
+      UNION ALL SELECT o.event_id, o.day, o.i, w.spent + CASE WHEN w.spent < 3.0 THEN o.cost ELSE 0 END, w.spent < 3.0 FROM w JOIN o ON o.day = w.day AND o.i = w.i + 1)
+    SELECT event_id AS request_id, admitted FROM w"""
+)
 def t_03_admitted_budget(spark, d):
     return T.admitted_budget(table(spark, d, "events"), "ts", "event_id", "event_id", F.expr(COST))
 

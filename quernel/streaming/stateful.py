@@ -163,3 +163,54 @@ def sse_frames(answers: DataFrame, id_col: str, text_col: str) -> DataFrame:
         F.array(frame("done", F.lit("{}"))),
     )
     return answers.select(F.col(id_col).alias("id"), F.posexplode(frames).alias("seq", "f")).select("id", "seq", "f.event", "f.data")
+
+
+def two_phase(retrieved: DataFrame, verified: DataFrame, id_col: str = "query_id") -> DataFrame:
+    """(id, phase, seq, payload): for each query its sources first, then its verified answer; a query whose gate refused has both at once, the answer from the gate.
+
+    ``retrieved``: id, sources, refused, refusal; ``verified``: id, answer. Only verified text is ever sent.
+    """
+    first = retrieved.select(id_col, F.lit("sources_ready").alias("phase"), F.lit(0).alias("seq"), F.to_json("sources").alias("payload"))
+    rows = retrieved.join(verified.select(id_col, "answer"), id_col, "left")
+    last = rows.select(id_col, F.lit("done").alias("phase"), F.lit(1).alias("seq"), F.when(F.col("refused"), F.col("refusal")).otherwise(F.col("answer")).alias("payload"))
+    return first.unionByName(last)
+
+
+#: Seconds without a frame before a sign of life is sent, and without a read before a stream is closed (fixed values).
+HEARTBEAT, IDLE = 15, 45
+
+
+def heartbeats(frames: DataFrame, key: str, ts: str, interval: int = HEARTBEAT) -> DataFrame:
+    """(key, ts, kind): the frames of each stream, and a ``ping`` after every ``interval`` seconds of a gap between two of them."""
+    after = F.lead(ts).over(Window.partitionBy(key).orderBy(ts))
+    gap = (F.unix_micros(after.cast("timestamp")) - F.unix_micros(F.col(ts).cast("timestamp"))) / 1e6
+    pings = frames.withColumn("_n", F.coalesce(F.floor((gap - 1e-6) / interval), F.lit(0)).cast("int")).where("_n > 0")
+    pings = pings.select(key, F.explode(F.sequence(F.lit(1), "_n")).alias("_k"), F.col(ts).alias("_t")).select(key, F.expr(f"_t + make_interval(0, 0, 0, 0, 0, 0, _k * {interval})").alias(ts), F.lit("ping").alias("kind"))
+    return frames.select(key, ts, F.lit("frame").alias("kind")).unionByName(pings)
+
+
+def idle_cut(reads: DataFrame, key: str, ts: str, timeout: int = IDLE) -> DataFrame:
+    """Reads of each stream up to the first gap of more than ``timeout`` seconds: there the stream is closed."""
+    by = Window.partitionBy(key).orderBy(ts)
+    seconds = (F.unix_micros(F.col(ts).cast("timestamp")) - F.unix_micros(F.lag(ts).over(by).cast("timestamp"))) / 1e6
+    late = F.coalesce((seconds > timeout).cast("int"), F.lit(0))
+    return reads.withColumn("_late", late).withColumn("_cut", F.max("_late").over(by.rowsBetween(Window.unboundedPreceding, 0))).where("_cut = 0").drop("_late", "_cut")
+
+
+def admitted_streams(opened: DataFrame, key: list[str], start: str, end: str, order: str, most: int = 6) -> DataFrame:
+    """Adds ``admitted``: a stream is refused while ``most`` admitted ones of its gate (``key``) are open. A gate works one after another: its rows are one fold."""
+
+    def run(rows):
+        import heapq
+
+        rows = rows.sort_values([start, order])
+        open_, out = [], []
+        for s, e in zip(rows[start], rows[end]):
+            while open_ and open_[0] <= s:
+                heapq.heappop(open_)
+            out.append(len(open_) < most)
+            if out[-1]:
+                heapq.heappush(open_, e)
+        return rows.assign(admitted=out)
+
+    return opened.groupBy(*key).applyInPandas(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in opened.schema), "admitted boolean"]))

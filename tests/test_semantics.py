@@ -37,7 +37,7 @@ def test_nothing_of_a_body_is_lost(spark):
     [("---\na: 1\n---\nx", {"a": 1}, "x"), ("<!-- c\n-->\n\n---\na: 1\n---\nx", {"a": 1}, "x"), ("<!-- open\n---\na: 1\n---\nx", {}, None), ("---\n: [\n---\nx", {}, None), ("x", {}, "x"), ("", {}, "")],
 )
 def test_frontmatter(text, fields, body):
-    assert sections.split_frontmatter(text) == (fields, text if body is None else body)
+    assert sections.frontmatter_of(text) == (fields, text if body is None else body)
 
 
 def test_writers_frontmatter_stands_anywhere():
@@ -212,5 +212,5 @@ def test_whole_questions_are_asked(spark, sf):
     whole = bm25.bm25_search(asks(spark, sf), sections_of_documents(spark, sf), 5)
     want = {(r.query_id, r.id) for r in whole.collect()}
     assert {(r.query_id, r.id) for r in QUERIES["x_07_cross_encoder"](spark, sf).collect()} == want
-    first = {(r.query_id, r.id) for r in bm25.bm25_search(asks(spark, sf), sections_of_documents(spark, sf), 5, limit=8).collect()}
-    assert want != first
+    tokens = {r.query_id: r.n for r in bm25.ask(asks(spark, sf)).groupBy("query_id").agg(F.sum("times").alias("n")).collect()}
+    assert max(tokens.values()) > 20
