@@ -11,7 +11,8 @@ from ..functions import text as X
 from ..operators import bm25, dense, seams
 from ..operators import evaluation as E
 from ..operators import governance as G
-from .governance import DOCS, NEIGHBOURS, PAGES, RESOLVE, docs, pages
+from ..sources import corpus as C
+from .governance import CANDIDATES, DOCS, NEIGHBOURS, PAGES, RESOLVE, docs, pages
 from .evaluation import MC, OUT, paired
 from .registry import SQL, Fixture, query, table
 from .retrieval import BM25, HYBRID, KNN, STATS, arms, asks, probes, sections
@@ -41,7 +42,7 @@ def s_17_trash(spark, d):
 
 @query(f"WITH {STATS} SELECT token, df, row_number() OVER (ORDER BY token) AS place FROM df")
 def k_02_index_order(spark, d):
-    return bm25.term_stats(sections(spark, d)).withColumn("place", F.row_number().over(Window.orderBy("token")))
+    return C.in_corpus_order(bm25.term_stats(sections(spark, d)), "token").withColumnRenamed("seq", "place")
 
 
 @query("SELECT event_id, '## [' || strftime(ts, '%Y-%m-%dT%H:%M:%SZ') || '] ' || event_type || ' | \"' || replace(substr(props, 1, 60), '\"', '''') || '\"' AS line FROM events")
@@ -308,7 +309,11 @@ def x_02_draft_and_verify(spark, d):
     return seams.answer(asks(spark, d).withColumnRenamed("text", "question").join(texts, "query_id", "left"))
 
 
-@query()
+@query(
+    rf"""WITH {PAGES.cte()}, c AS ({CANDIDATES}), w AS (SELECT c.a, c.b, x.body AS x, y.body AS y FROM c JOIN {PAGES.name} x ON x.slug = c.a JOIN {PAGES.name} y ON y.slug = c.b),
+    n AS (SELECT a, b, regexp_extract_all(x, '\d+') AS nx, regexp_extract_all(y, '\d+') AS ny, list_distinct(regexp_extract_all(regexp_replace(lower(x), '\d+', '', 'g'), '[a-z0-9]+')) AS wx, list_distinct(regexp_extract_all(lower(y), '[a-z0-9]+')) AS wy FROM w)
+    SELECT a, b, CASE WHEN nx <> ny AND len(wx) > 0 AND len(list_intersect(wx, wy)) / CAST(len(wx) AS DOUBLE) > 0.5 THEN 'contradiction' ELSE 'consistent' END AS verdict FROM n"""
+)
 def x_06_judge_pairs(spark, d):
     p = G.contradictions(pages(spark))
     body = pages(spark).select("slug", "body")
@@ -316,13 +321,17 @@ def x_06_judge_pairs(spark, d):
     return rows.select("a", "b", seams.judge("x", "y").alias("verdict"))
 
 
-@query()
+@query(
+    f"""WITH {BM25}, h AS (SELECT query_id, id FROM hits WHERE rank <= 5 AND score > 0),
+    w AS (SELECT h.query_id, h.id, list_distinct(regexp_extract_all(lower(b.text), '[a-z0-9]+')) AS q, list_distinct(regexp_extract_all(lower(d.text), '[a-z0-9]+')) AS c FROM h JOIN benchmark b ON b.item_id = h.query_id JOIN documents d ON d.doc_id = h.id)
+    SELECT query_id, id, CASE WHEN len(q) = 0 THEN 0 ELSE len(list_intersect(q, c)) / CAST(len(q) AS DOUBLE) END AS model_score FROM w"""
+)
 def x_07_cross_encoder(spark, d):
     hits = bm25.bm25_search(asks(spark, d), sections(spark, d), 5).join(table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content")), "id").join(asks(spark, d), "query_id")
     return hits.select("query_id", "id", seams.cross_encode("text", "content").alias("model_score"))
 
 
-@query()
+@query("SELECT conv_id, turn, CASE WHEN lag(turn) OVER w IS NULL THEN text ELSE lag(text) OVER w || ' / ' || text END AS rewritten FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)")
 def x_09_rewrite(spark, d):
     by = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
     rows = table(spark, d, "conversations").withColumn("history", F.collect_list("text").over(by))

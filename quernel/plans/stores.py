@@ -17,6 +17,7 @@ from ..streaming import stateful as T
 from .governance import MARKDOWN
 from .registry import Fixture, query, table
 from .retrieval import KNN, STATS, probes, sections
+from .scalar import tokens_sql
 
 # ---------------------------------------------------------------- files
 
@@ -429,3 +430,35 @@ def s_19_pdf_text_layer(spark, d):
 @query("SELECT * FROM (VALUES (1, 'Hello (world)' || chr(10) || 'second line'), (2, ''), (3, 'After a very long first line of words' || chr(10) || 'Hi'), (4, ''), (5, NULL)) AS t(id, markdown)")
 def s_20_pdf_markdown(spark, d):
     return pdfs(spark).select("id", seams.pdf_to_markdown("content").alias("markdown"))
+
+
+# ---------------------------------------------------------------- pages and texts
+
+
+@query(
+    f"""WITH t AS (SELECT lpad(CAST(doc_id AS VARCHAR), 9, '0') AS slug, source, list_distinct({tokens_sql('text')}) AS t FROM documents), p AS (SELECT x.slug AS a, y.slug AS b, x.t AS s, y.t AS u FROM t x JOIN t y ON x.source = y.source AND x.slug < y.slug),
+    j AS (SELECT a, b, CASE WHEN len(list_distinct(list_concat(s, u))) = 0 THEN 0 ELSE len(list_intersect(s, u)) / CAST(len(s) + len(u) - len(list_intersect(s, u)) AS DOUBLE) END AS similarity FROM p)
+    SELECT a, b, similarity FROM j QUALIFY row_number() OVER (ORDER BY similarity DESC, a, b) <= 30"""
+)
+def o_07_alike_pages(spark, d):
+    """The most alike documents of a common source, compared in blocks inside tasks."""
+    rows = table(spark, d, "documents").select(F.lpad(F.col("doc_id").cast("string"), 9, "0").alias("slug"), F.lit("entities").alias("dir"), F.array("source").alias("sources"), F.col("text").alias("body"))
+    return G.alike_in_source(rows, 30).distinct().orderBy(F.col("similarity").desc(), "a", "b").limit(30)
+
+
+PAGE = "<html><head><title>T</title><script>x()</script></head><body><h1>Top &amp; more</h1><!-- c --><p>a <b>b</b> <a href='u'>l</a></p><ul><li>1</li><li>2</li></ul><pre>k  v</pre></body></html>"
+CONVERTED = Fixture("cv", "id int, markdown string", [(1, "T\n\n# Top & more\n\na **b** [l](u)\n\n* 1\n* 2\n\n```\nk  v\n```"), (2, ""), (3, None)])
+
+
+@query(f"WITH {CONVERTED.cte()} SELECT * FROM cv")
+def f_20_html_of_a_page(spark, d):
+    return S.convert_pages(spark.createDataFrame([(1, PAGE), (2, ""), (3, None)], "id int, html string")).select("id", "markdown")
+
+
+SPLIT = Fixture("sp", "id int, chunk int, content string", [(1, 0, "aaaa bbbb"), (1, 1, "bbbb cccc"), (1, 2, "dddd"), (2, 0, "short"), (4, 0, "xxxxxxxxxx"), (4, 1, "xxxxxxxxxx"), (4, 2, "xxxxxxxxxx"), (4, 3, "xxxxxx")])
+
+
+@query(f"WITH {SPLIT.cte()} SELECT * FROM sp")
+def f_23_split_small(spark, d):
+    rows = spark.createDataFrame([(1, "aaaa bbbb cccc\n\ndddd"), (2, "short"), (3, ""), (4, "x" * 21), (5, None)], "id int, content string")
+    return S.chunks(rows, size=10, overlap=5)

@@ -8,7 +8,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import safe_filename, safe_path
@@ -34,14 +34,32 @@ def scan_markdown(spark: SparkSession, root: str, subdirs: list[str] = ()) -> Da
     return rows.where(F.col("dir").isin(list(subdirs))) if subdirs else rows
 
 
-def in_corpus_order(files: DataFrame) -> DataFrame:
-    """Adds ``seq``, the place in path order: the tie-breaker of retrieval. Counts of range partitions give the offsets, so no task numbers all rows."""
-    n = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parts = files.repartitionByRange(n, "path").withColumn("_p", F.spark_partition_id())
-    counts = parts.groupBy("_p").agg(F.count("*").alias("n"))
-    base = counts.withColumn("_base", F.coalesce(F.sum("n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
-    place = F.row_number().over(Window.partitionBy("_p").orderBy("path"))
-    return parts.withColumn("_n", place).join(F.broadcast(base), "_p").withColumn("seq", F.col("_base") + F.col("_n")).drop("_p", "_n", "_base")
+#: Rows that the bounds of ranges are taken from, whatever the table.
+BOUND_SAMPLE = 10_000
+
+
+def running_sum(rows: DataFrame, order: str, value: Column, out_col: str) -> DataFrame:
+    """Adds the sum of ``value`` over all rows up to and including each one, in the order of a column without nulls.
+
+    Rows are dealt out by ranges, whose bounds come from a bounded sample (the values with the least hashes); the ranges'
+    totals, a row each, give the offsets, so that no task sees all rows. Rows of one place in the order are summed one
+    after another, in any order.
+    """
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sample = [r[0] for r in rows.select(order).distinct().orderBy(F.xxhash64(order)).limit(BOUND_SAMPLE).orderBy(order).collect()]
+    bounds = sorted({len(sample) * i // n for i in range(1, n)} - {0})
+    part = F.size(F.filter(F.array(*(F.lit(sample[i]) for i in bounds)), lambda b: b <= F.col(order))) if bounds else F.lit(0)
+    parts = rows.withColumn("_value", value).withColumn("_part", part)
+    totals = parts.groupBy("_part").agg(F.sum("_value").alias("_total"))
+    before = F.sum("_total").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    base = totals.select("_part", F.coalesce(before, F.lit(0)).alias("_base"))
+    own = F.sum("_value").over(Window.partitionBy("_part").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    return parts.withColumn("_own", own).join(F.broadcast(base), "_part").withColumn(out_col, F.col("_base") + F.col("_own")).drop("_part", "_value", "_own", "_base")
+
+
+def in_corpus_order(files: DataFrame, order: str = "path") -> DataFrame:
+    """Adds ``seq``, the place in path order: the tie-breaker of retrieval."""
+    return running_sum(files, order, F.lit(1).cast("long"), "seq")
 
 
 def scan_raw(spark: SparkSession, root: str) -> DataFrame:
@@ -185,8 +203,7 @@ def move_in(spark: SparkSession, new: str, path: str) -> None:
 
 def append_capped(records: DataFrame, stored: int, cap: int = 1 << 20) -> DataFrame:
     """Records (with ``line``) that still fit below the cap of the store's bytes, in order of ``seq``."""
-    before = F.sum(F.octet_length("line") + 1).over(Window.orderBy("seq").rowsBetween(Window.unboundedPreceding, 0))
-    return records.withColumn("_sum", before).where(F.col("_sum") + stored <= cap).drop("_sum")
+    return running_sum(records, "seq", (F.octet_length("line") + 1).cast("long"), "_sum").where(F.col("_sum") + stored <= cap).drop("_sum")
 
 
 def append_new(rows: DataFrame, stored: DataFrame, key: list[str]) -> DataFrame:
