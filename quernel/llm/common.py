@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 SLICE_BYTES = (1 << 20) - 2
 #: Largest size of a table that ``small`` lets Spark broadcast.
 BROADCAST_BYTES = 48 << 20
-#: Rows of one block; a larger group is dealt out as pairs of blocks, a smaller one as pairs of up to ``SPREAD`` blocks.
-BLOCK, SPREAD, LEAST_BLOCK = 1024, 12, 128
+#: Rows of one block; a larger group is dealt out as pairs of blocks.
+BLOCK = 1024
 
 
 # ---------------------------------------------------------------- tables in the shared folder
@@ -324,11 +324,10 @@ def deal_blocks(rows: DataFrame, key: list[str], size: str, row_id: str, block:
     """Deal the members of each group out to pairs of blocks, so that no task holds a whole large group.
 
     ``size`` holds the group's number of members. Adds ``blk`` (the member's block), ``bi`` <= ``bj``
-    (the pair of blocks), and returns the rows partitioned and sorted by ``key, bi, bj``. A block has at most
-    about ``block`` members; a smaller group has up to ``SPREAD`` blocks of ``LEAST_BLOCK`` members, so that it, too,
-    is work for many tasks.
+    (the pair of blocks), and returns the rows partitioned and sorted by ``key, bi, bj``. A group of at
+    most ``block`` members is one block.
     """
-    n = F.greatest(F.ceil(F.col(size) / F.lit(block)), F.least(F.lit(SPREAD), F.ceil(F.col(size) / F.lit(LEAST_BLOCK)))).cast("int")
+    n = F.ceil(F.col(size) / F.lit(block)).cast("int")
     dealt = (
         rows.withColumn("_n", n)
         .withColumn("blk", F.pmod(F.xxhash64(row_id), F.col("_n")).cast("int"))
@@ -407,6 +406,15 @@ def forest(n: int, a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(root[other].tolist(), other.tolist()))
 
 
+def join_counted(many: DataFrame, one: DataFrame, key: str, count: str, row_bytes: int = 64, how: str = "inner") -> DataFrame:
+    """``many`` joined with the materialised table ``one``, which has each key once and its rows in ``many`` as ``count``: by
+    broadcast if it is small, else with the keys of very many rows apart."""
+    rows, total = one.agg(F.count("*"), F.sum(count)).first()
+    if rows * row_bytes <= BROADCAST_BYTES:
+        return many.join(F.broadcast(one), key, how)
+    return join_unique(many, one, key, one.where(F.col(count) > heavy(total)), how)
+
+
 # ---------------------------------------------------------------- connected components
 
 

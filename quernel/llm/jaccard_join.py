@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, deal_blocks, discard, edges, fixed, forest, map_text, materialize, mix, runs, shingles, unused, without
+from .common import components, deal_blocks, discard, edges, fixed, forest, join_counted, map_text, materialize, mix, runs, shingles, unused, without
 
 BAND, BANDS = 5, 32
 HASHES = BAND * BANDS
@@ -153,6 +153,31 @@ def spanning(low: np.ndarray, x: np.ndarray, y: np.ndarray | None, least: dict[i
     return out
 
 
+def joining(low: np.ndarray, x: np.ndarray, y: np.ndarray, least: dict[int, int]) -> list[tuple[int, int]]:
+    """Edges between rows x and rows y that join what the alike pairs among x, and among y, leave apart: these are spanned elsewhere."""
+    every = np.concatenate([x, y])
+    own = [*spanning(low, x, None, least), *spanning(low, y, None, least)]
+    place = {r: i for i, r in enumerate(every.tolist())}
+    root = np.arange(len(every))
+    if own:
+        for r, s in forest(len(every), *(np.array([place[e[k]] for e in own]) for k in (0, 1))):
+            root[s] = r
+    root, out = root.tolist(), []
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    for a, b in spanning(low, x, y, least):
+        i, j = find(place[a]), find(place[b])
+        if i != j:
+            root[max(i, j)] = min(i, j)
+            out.append((a, b))
+    return out
+
+
 def alike_in_bands(members: DataFrame, threshold: float, tolerance: float) -> DataFrame:
     """Edges (a, b) that span what survives the comparison of all values in each bucket of a band."""
     least = needs(threshold, tolerance)
@@ -177,8 +202,8 @@ def alike_in_bands(members: DataFrame, threshold: float, tolerance: float) -> Da
             for at, n in zip(first[size > FEW].tolist(), size[size > FEW].tolist()):
                 rows = np.arange(at, at + n)
                 of = blk[rows]
-                pair = (rows, None) if bi[at] == bj[at] else (rows[of == bi[at]], rows[of == bj[at]])
-                for r, s in spanning(low, *pair, least):
+                found = spanning(low, rows, None, least) if bi[at] == bj[at] else joining(low, rows[of == bi[at]], rows[of == bj[at]], least)
+                for r, s in found:
                     a.append(r), b.append(s)
             if a:
                 yield pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(ids[b])], names=["a", "b"])
@@ -281,7 +306,9 @@ def classes_of_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     busy = materialize(keys.join(full, ["band", "bucket"]), "candidates")
     low = low_bytes(classes.join(busy.select(F.col("id").alias("node")).distinct(), "node", "left_semi"))
     coarse = components(alike_in_bands(busy.join(low, "id"), threshold, tolerance))
-    coarse = materialize(coarse.join(coarse.groupBy("component").agg(F.count("*").alias("size")), "component"), "coarse")
+    coarse = materialize(coarse, "coarse")
+    sizes = materialize(coarse.groupBy("component").agg(F.count("*").alias("size")), "sizes")
+    coarse = join_counted(coarse, sizes, "component", "size")
     discard(full, busy)
 
     wanted = coarse.join(classes.select("node", "first.row", "copies", "sig", "fp_hi", "fp_lo"), "node")
@@ -291,7 +318,6 @@ def classes_of_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.col("node").alias("id"), "component", "size", "copies", "sig", F.when(same, F.col("shingles")).otherwise(F.raise_error(F.lit("the documents were read in another order the second time"))).alias("shingles")
     )
     checked = materialize(verify(members, threshold, tolerance), "verified")
-    discard(coarse)
     joined = components(checked.where("b IS NOT NULL").select("a", "b"))
     counts = checked.where("b IS NULL").groupBy("a").agg(F.sum("links").alias("links"))
 
@@ -301,8 +327,10 @@ def classes_of_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         .join(counts.withColumnRenamed("a", "node"), "node", "left")
         .select("fp_hi", "fp_lo", "first", F.coalesce("component", "node").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     )
-    least = of_class.groupBy("component").agg(F.min("first").alias("least"))
-    of_class = materialize(of_class.join(least, "component").select("fp_hi", "fp_lo", "first", "least", "n_links"), "classes")
+    # a class alone is its own least
+    of_class = materialize(of_class, "joined")
+    least = materialize(of_class.groupBy("component").agg(F.min("first").alias("least"), F.count("*").alias("n")).where("n > 1"), "least")
+    of_class = join_counted(of_class, least, "component", "n", 96, "left").select("fp_hi", "fp_lo", "first", F.coalesce("least", "first").alias("least"), "n_links")
     discard(classes, checked)
     out = rows.select("row", "id", "fp_hi", "fp_lo").join(of_class, ["fp_hi", "fp_lo"], "left")
     alone = F.col("first").isNull()

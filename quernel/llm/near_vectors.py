@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, deal_blocks, discard, edges, fixed, forest, materialize, runs
+from .common import components, deal_blocks, discard, edges, fixed, forest, join_counted, materialize, runs
 
 #: Wanted members of a bucket; chance to miss a link at the very threshold, for the tables and for the bits' comparison.
 BUCKET, MISS, MISS_BITS = 64, 1e-5, 1e-6
@@ -179,8 +179,10 @@ def near_vectors(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "emb
         .join(counts.withColumnRenamed("a", "node"), "node", "left")
         .select("kind", "vec", "least", F.coalesce("component", "node").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     )
-    least = of_class.groupBy("component").agg(F.min("least").alias("component_id"))
-    of_class = materialize(of_class.join(least, "component").select("kind", "vec", "component_id", "n_links"), "classes")
+    # a class alone is its own least
+    of_class = materialize(of_class, "joined")
+    least = materialize(of_class.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("n")).where("n > 1"), "least")
+    of_class = join_counted(of_class, least, "component", "n", 48, "left").select("kind", "vec", F.coalesce("component_id", "least").alias("component_id"), "n_links")
     discard(classes, checked)
     linked = every.where("kind IS NOT NULL").join(of_class, ["kind", "vec"]).select("id", "n_links", "component_id")
     alone = every.where("kind IS NULL").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))

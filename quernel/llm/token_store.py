@@ -34,8 +34,8 @@ from .common import BROADCAST_BYTES, by_bytes, discard, edges, heavy, join_uniqu
 #: Ids under the rolling hash's window; average (a power of two) and largest ids of a chunk.
 WINDOW, AVERAGE, LARGEST = 8, 128, 4096
 FAN = 1024
-#: Remembered pieces of a worker, up to a length; beyond the number the memory starts anew. Bytes of text encoded at once.
-REMEMBERED, LONG, AT_ONCE = 1_000_000, 64, 8 << 20
+#: Remembered pieces of a worker, up to a length. Bytes of text encoded at once.
+REMEMBERED, LONG, AT_ONCE = 1_000_000, 64, 4 << 20
 
 #: Texts that are not cut at spaces: other characters, adjoining white space, special tokens; and texts whose marks stay in place.
 WHOLE = "[^\n -~À-ÖØ-öø-ÿ]|  |\n | \n|<\\|"
@@ -104,17 +104,21 @@ class LibraryEncoder:
 
     def coded_pieces(self, names: pa.Array) -> pa.Array:
         """Ids of distinct pieces, those that are not known from the library; what is short is remembered."""
-        at = pc.index_in(names, value_set=self.words)
-        new = names.filter(pc.is_null(at))
+        # the known ones are looked up among these few, not the other way round
+        place = pc.fill_null(pc.index_in(self.words, value_set=names), -1).to_numpy(zero_copy_only=False)
+        known = np.flatnonzero(place >= 0)
+        at = np.full(len(names), -1)
+        at[place[known]] = known
+        new = names.filter(pa.array(at < 0))
         ids = self.packed(self.pieces(new.to_pylist()))
-        at = pc.fill_null(at, -1).to_numpy(zero_copy_only=False).copy()
         at[at < 0] = len(self.words) + np.arange(len(new))
         out = pa.concat_arrays([self.coded, ids]).take(pa.array(at))
         short = pc.less_equal(pc.utf8_length(new), LONG)
         new, ids = new.filter(short), ids.filter(short)
-        fits = len(self.words) + len(new) <= REMEMBERED
-        self.words = pa.concat_arrays([self.words, new]) if fits else new
-        self.coded = pa.concat_arrays([self.coded, ids]) if fits else ids
+        # where they do not fit, the older half stays: frequent pieces are met first
+        keep = len(self.words) if len(self.words) + len(new) <= REMEMBERED else REMEMBERED // 2
+        self.words = pa.concat_arrays([self.words[:keep], new])
+        self.coded = pa.concat_arrays([self.coded[:keep], ids])
         return out
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -347,8 +347,14 @@ def test_jaccard_join_brute_force(spark):
         assert (got[i].n_links, got[i].class_id, got[i].kept) == (len(links[i]), min(seen), i == min(seen)), i
 
 
-def test_jaccard_join_of_one_large_group(spark, monkeypatch):
+@pytest.mark.parametrize("limit", [common.BROADCAST_BYTES, -1])
+def test_jaccard_join_of_one_large_group(spark, monkeypatch, limit):
+    """In many blocks, and with its rows joined by broadcast and apart."""
+    monkeypatch.setattr(common, "BROADCAST_BYTES", limit)
+    monkeypatch.setattr(common, "heavy", lambda n: 20)
     monkeypatch.setattr(jaccard_join, "BLOCK", 16)
+    deal = jaccard_join.deal_blocks
+    monkeypatch.setattr(jaccard_join, "deal_blocks", lambda rows, key, size, id_, block=16: deal(rows, key, size, id_, 16))
     base = [f"w{k}" for k in range(200)]
     rows = [(i, " ".join(base[:i] + [f"x{i}"] + base[i + 1 :])) for i in range(90)]
     got = jaccard_join.jaccard_join(docs(spark, rows)).collect()
@@ -383,6 +389,13 @@ def test_spanning_forest_of_alike_rows():
         own = jaccard_join.spanning(low, x, y, least)
         groups = lambda a, b: common.forest(120, np.array(a), np.array(b))
         assert groups(*zip(*own)) == groups(i[good], j[good]) and len(own) == len(groups(i[good], j[good]))
+    # what two blocks are joined by, and what each is spanned by, span all: an edge for each tree that is found in both
+    x, y = np.arange(50), np.arange(50, 120)
+    i, j = np.triu_indices(120, 1)
+    good = jaccard_join.still_alike(low, i, j, least)
+    between = jaccard_join.joining(low, x, y, least)
+    every = [*between, *jaccard_join.spanning(low, x, None, least), *jaccard_join.spanning(low, y, None, least)]
+    assert groups(*zip(*every)) == groups(i[good], j[good]) and len(between) <= 9
 
 
 def test_posterior_bound():
