@@ -10,14 +10,17 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 from .bpe import round_trip
 from .decontaminate import find_leaks
+from .divergence import source_divergence
 from .jaccard_join import jaccard_join
 from .line_dedup import line_dedup
 from .near_vectors import near_vectors
 from .pii import pii_digest
+from .prefix_trie import conversation_trie
 from .quality import classify
 from .secrets_scan import secrets_digest, vocabulary_words
 from .sharding import shard_digest
 from .token_store import new_store, read_store, write_store
+from .top_products import top_products
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -129,3 +132,74 @@ def op5_sharding(spark, sf_dir):
 @_query
 def op6_decontaminate(spark, sf_dir):
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@_query
+def op11_divergence(spark, sf_dir):
+    return source_divergence(table(spark, sf_dir, "documents"))
+
+
+#: Every kept term in every group, in integers of 128 bits.
+SQL["op11_divergence"] = r"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(text, '') AS text, coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents),
+w AS (SELECT r, lang, source, translate(unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term FROM d),
+k AS (SELECT lang, term, CAST(count(*) AS HUGEINT) AS n FROM w GROUP BY 1, 2 HAVING count(DISTINCT r) >= 30),
+l AS (SELECT lang, CAST(count(*) AS HUGEINT) AS v, CAST(sum(n) AS HUGEINT) AS total FROM k GROUP BY 1),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT lang, source, term, CAST(count(*) AS HUGEINT) AS n FROM w SEMI JOIN k USING (lang, term) GROUP BY 1, 2, 3),
+t AS (SELECT lang, source, CAST(sum(n) AS HUGEINT) AS total FROM c GROUP BY 1, 2),
+p AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, 1 + 1000000000 * (coalesce(c.n, 0) + 5) // (coalesce(t.total, 0) + 5 * l.v) AS p, 1 + 1000000000 * (k.n + 5) // (l.total + 5 * l.v) AS q
+      FROM g JOIN k USING (lang) JOIN l USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term LEFT JOIN t ON t.lang = g.lang AND t.source = g.source),
+f AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY 1, 2, 3),
+u AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f.value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+      UNION ALL SELECT lang, source, 'term', term, p - q FROM p WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INT) AS rank
+FROM u QUALIFY part = 'pair' OR rank <= 50
+"""
+
+
+@_query
+def op12_top_products(spark, sf_dir):
+    return top_products(table(spark, sf_dir, "embeddings"))
+
+
+#: Every query with every row.
+SQL["op12_top_products"] = r"""
+WITH e AS (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+)
+SELECT a.vec_id AS query_id, CAST(row_number() OVER (PARTITION BY a.r ORDER BY list_inner_product(a.v, b.v) DESC, b.vec_id) AS INT) AS rank, b.vec_id,
+       CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score
+FROM e a JOIN e b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id QUALIFY rank <= 10
+"""
+
+
+@_query
+def op13_prefix_trie(spark, sf_dir):
+    return conversation_trie(table(spark, sf_dir, "conversations"))
+
+
+#: Paths as lists of digests; each node with all nodes below it. The checksum of a decimal goes bit by bit.
+SQL["op13_prefix_trie"] = r"""
+WITH o AS (
+  SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS i,
+         md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS turn, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS words
+  FROM conversations WHERE conv_id IS NOT NULL
+), h AS (
+  SELECT c, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(c AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+           lambda s, b: list_reduce(list_prepend(xor(s, b), range(8)), lambda z, j: xor(z >> 1, (z & 1) * 3988292384)))) % 4 AS h FROM (SELECT DISTINCT c FROM o)
+), r AS (
+  SELECT h.c, 0 AS own, o.i, o.turn, o.words FROM h JOIN o ON o.c = h.c - h.c % 20 AND o.i <= h
+  UNION ALL SELECT h.c, 1, o.i, o.turn, o.words FROM h JOIN o ON o.c = h.c AND o.i > h
+), s AS (
+  SELECT c, row_number() OVER w AS depth, list(turn) OVER w AS path, words FROM r WINDOW w AS (PARTITION BY c ORDER BY own, i ROWS UNBOUNDED PRECEDING)
+  UNION ALL SELECT c, 0, CAST([] AS VARCHAR[]), 0 FROM h
+), x AS (SELECT *, depth = max(depth) OVER (PARTITION BY c) AS ends FROM s),
+n AS (SELECT path, depth, min(c) AS c, count(*) AS n, any_value(words) AS words, string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (ends) AS ids FROM x GROUP BY 1, 2),
+k AS (SELECT list_slice(path, 1, depth - 1) AS path, depth - 1 AS depth, count(*) AS children FROM n WHERE depth > 0 GROUP BY 1, 2),
+m AS (SELECT n.*, coalesce(children, 0) AS children FROM n LEFT JOIN k USING (path, depth)),
+b AS (SELECT list_slice(m.path, 1, a) AS path, a AS depth, sum((n - 1) * words) AS saved, count(*) FILTER (children = 0) AS leaves FROM m, unnest(range(m.depth + 1)) AS t(a) GROUP BY 1, 2)
+SELECT m.c AS conv_id, m.depth, p.c AS parent_conv_id, m.n AS n_convs, m.children AS n_children, b.leaves AS n_leaves, CAST(b.saved AS BIGINT) AS saved_tokens, sha256(coalesce(m.ids, '')) AS ends_sha256
+FROM m JOIN b USING (path, depth) LEFT JOIN m p ON m.depth > 0 AND p.depth = m.depth - 1 AND p.path = list_slice(m.path, 1, m.depth - 1)
+"""
