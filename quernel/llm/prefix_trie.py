@@ -70,7 +70,7 @@ def rebuilt(turns: DataFrame, group: int = 20, shared: int = 4) -> tuple[DataFra
     taken = F.crc32(F.col("c").cast("string")) % F.lit(shared)
     heads = turns.where(F.expr(f"c % {group} = 0 AND idx < {shared}")).groupBy(F.col("c").alias("donor")).agg(F.sort_array(F.collect_list(F.struct("idx", "turn", "words"))).alias("head"))
     convs = turns.groupBy("c").agg(F.count("*").alias("n")).withColumns({"donor": F.expr(f"c - c % {group}"), "h": taken}).join(heads, "donor", "left")
-    convs = convs.withColumn("g", F.coalesce(F.least("h", F.size("head").cast("long")), F.lit(0)).cast("int"))
+    convs = convs.withColumn("g", F.least("h", F.coalesce(F.size("head"), F.lit(0)).cast("long")).cast("int"))
     convs = convs.select("c", "n", "h", "g", (F.col("g") + F.greatest(F.col("n") - F.col("h"), F.lit(0))).alias("length"), F.when(F.col("g") > 0, F.slice("head", F.lit(1), F.col("g"))).alias("head"))
     convs = materialize(convs, "conversations")
     own = join_counted(turns.where(F.col("idx") > taken), convs.select("c", "n", "h", "g", "length"), "c", "n")
