@@ -15,7 +15,7 @@ from ..sources import corpus as C
 from .governance import CANDIDATES, DOCS, NEIGHBOURS, PAGES, RESOLVE, docs, pages
 from .evaluation import MC, OUT, paired
 from .registry import SQL, Fixture, query, table
-from .retrieval import BM25, HYBRID, KNN, STATS, arms, asks, probes, sections
+from .retrieval import BM25, HYBRID, KNN, STATS, arms, asks, index_of, probes, sections
 from .scalar import tokens_sql
 
 
@@ -42,7 +42,7 @@ def s_17_trash(spark, d):
 
 @query(f"WITH {STATS} SELECT token, df, row_number() OVER (ORDER BY token) AS place FROM df")
 def k_02_index_order(spark, d):
-    return C.in_corpus_order(bm25.term_stats(sections(spark, d)), "token").withColumnRenamed("seq", "place")
+    return C.in_corpus_order(index_of(spark, d).terms, "token").withColumnRenamed("seq", "place")
 
 
 @query("SELECT event_id, '## [' || strftime(ts, '%Y-%m-%dT%H:%M:%SZ') || '] ' || event_type || ' | \"' || replace(substr(props, 1, 60), '\"', '''') || '\"' AS line FROM events")
@@ -104,14 +104,14 @@ def p_20_citation_path(spark, d):
 
 @query(f"WITH {BM25}, {KNN} SELECT 'lexical' AS arm, query_id, id, score FROM hits WHERE rank <= 3 AND score > 0 UNION ALL SELECT 'dense', query_id, id, NULL FROM rk WHERE rank <= 3")
 def p_21_normalised_results(spark, d):
-    lexical = bm25.bm25_search(asks(spark, d), sections(spark, d), 3).select(F.lit("lexical").alias("arm"), "query_id", "id", "score")
+    lexical = index_of(spark, d).search(asks(spark, d), 3).select(F.lit("lexical").alias("arm"), "query_id", "id", "score")
     near = dense.nearest(probes(spark, d), table(spark, d, "embeddings"), 3).select(F.lit("dense").alias("arm"), "query_id", "id", F.lit(None).cast("double").alias("score"))
     return lexical.unionByName(near)
 
 
 @query(f"WITH {BM25} SELECT query_id, CASE WHEN arg_min(id, rank) % 5 = 0 THEN 'cached ' || arg_min(id, rank) ELSE string_agg(CAST(id AS VARCHAR), chr(10) ORDER BY rank) END AS body FROM hits WHERE rank <= 3 AND score > 0 GROUP BY 1")
 def p_22_degraded_serving(spark, d):
-    rows = bm25.bm25_search(asks(spark, d), sections(spark, d), 3).groupBy("query_id").agg(F.min_by("id", "rank").alias("top"), F.array_sort(F.collect_list(F.struct("rank", "id"))).alias("x"))
+    rows = index_of(spark, d).search(asks(spark, d), 3).groupBy("query_id").agg(F.min_by("id", "rank").alias("top"), F.array_sort(F.collect_list(F.struct("rank", "id"))).alias("x"))
     excerpts = F.array_join(F.transform("x", lambda x: x["id"].cast("string")), "\n")
     return rows.select("query_id", F.when(F.col("top") % 5 == 0, F.concat(F.lit("cached "), F.col("top").cast("string"))).otherwise(excerpts).alias("body"))
 
@@ -137,8 +137,7 @@ def p_25_query_filter(spark, d):
 @query(f"WITH {STATS}, q AS (SELECT item_id AS query_id, unnest({tokens_sql('text')}) AS token FROM benchmark) SELECT query_id, count(*) AS matches, count(DISTINCT id) AS touched FROM q JOIN post USING (token) GROUP BY 1")
 def j_01_query_postings(spark, d):
     asked = bm25.sized(bm25.ask(asks(spark, d)))
-    posts = bm25.postings(sections(spark, d), asked=bm25.sized(asked.select("token").distinct()))
-    return posts.join(asked, "token").groupBy("query_id").agg(F.sum((F.col("tf") * F.col("times")).cast("long")).alias("matches"), F.countDistinct("id").alias("touched"))
+    return index_of(spark, d).postings(asked.select("token").distinct()).join(asked, "token").groupBy("query_id").agg(F.sum((F.col("tf") * F.col("times")).cast("long")).alias("matches"), F.countDistinct("id").alias("touched"))
 
 
 @query(f"WITH {HYBRID} SELECT coalesce(lex.query_id, den.query_id) AS query_id, coalesce(lex.id, den.id) AS id, lex.rank AS lexical_rank, den.rank AS dense_rank FROM lex FULL JOIN den ON lex.query_id = den.query_id AND lex.id = den.id")
@@ -233,10 +232,9 @@ def j_28_citation_priority(spark, d):
 @query(f"""WITH {STATS}, q AS (SELECT item_id AS query_id, unnest({tokens_sql('text')}) AS token FROM benchmark), tf AS (SELECT id, len, token, count(*) AS tf FROM post GROUP BY 1, 2, 3), w(weight) AS (VALUES (CAST(0.1 AS DOUBLE)), (0.3), (1.0)),
 sc AS (SELECT weight, query_id, id, sum(ln((n - df + 0.5) / (df + 0.5) + 1) * (weight * tf) * 2.5 / (weight * tf + 1.5 * (0.25 + 0.75 * len / avg_len))) AS s FROM q JOIN tf USING (token) JOIN df USING (token) CROSS JOIN st CROSS JOIN w GROUP BY 1, 2, 3) SELECT weight, max(s) AS best, avg(s) AS mean FROM sc GROUP BY 1""")
 def a_21_question_weight_sweep(spark, d):
-    rows, asked = sections(spark, d), bm25.sized(bm25.ask(asks(spark, d)))
-    posts = bm25.postings(rows, asked=bm25.sized(asked.select("token").distinct()))
-    stats = bm25.corpus_stats(rows).select("n", "avg_len")
-    idf = bm25.term_stats(rows).crossJoin(F.broadcast(stats)).select("token", "avg_len", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1).alias("idf"))
+    index, asked = index_of(spark, d), bm25.sized(bm25.ask(asks(spark, d)))
+    posts, average = index.postings(asked.select("token").distinct()), F.broadcast(index.stats.select((F.col("total_len") / F.col("n")).alias("avg_len")))
+    idf = index.idf().crossJoin(average)
     tf = F.col("weight") * F.col("tf")
     part = F.col("idf") * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * F.col("len") / F.col("avg_len"))) * F.col("times")
     grid = F.explode(F.array(F.lit(0.1), F.lit(0.3), F.lit(1.0))).alias("weight")
@@ -256,7 +254,7 @@ def a_06_link_mentions(spark, d):
 
 @query(f"WITH {HYBRID} SELECT query_id, id, rank FROM lex WHERE rank <= 10")
 def w_01_rank_within_arm(spark, d):
-    return bm25.bm25_search(asks(spark, d), sections(spark, d), 10).select("query_id", "id", "rank")
+    return index_of(spark, d).search(asks(spark, d), 10).select("query_id", "id", "rank")
 
 
 @query("SELECT item_id, array_to_string(list(w ORDER BY first), ' ') AS words FROM (SELECT item_id, w, min(i) AS first FROM (SELECT item_id, unnest(string_split(lower(text), ' ')) AS w, unnest(range(len(string_split(lower(text), ' ')))) AS i FROM benchmark) GROUP BY 1, 2) GROUP BY 1")
@@ -304,7 +302,7 @@ def x_01_embed(spark, d):
 
 @query()
 def x_02_draft_and_verify(spark, d):
-    hits = bm25.bm25_search(asks(spark, d), sections(spark, d), 3)
+    hits = index_of(spark, d).search(asks(spark, d), 3)
     texts = hits.join(table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"), "id").groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "text"))), lambda x: x["text"]).alias("sections"))
     return seams.answer(asks(spark, d).withColumnRenamed("text", "question").join(texts, "query_id", "left"))
 
@@ -327,7 +325,7 @@ def x_06_judge_pairs(spark, d):
     SELECT query_id, id, CASE WHEN len(q) = 0 THEN 0 ELSE len(list_intersect(q, c)) / CAST(len(q) AS DOUBLE) END AS model_score FROM w"""
 )
 def x_07_cross_encoder(spark, d):
-    hits = bm25.bm25_search(asks(spark, d), sections(spark, d), 5).join(table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content")), "id").join(asks(spark, d), "query_id")
+    hits = index_of(spark, d).search(asks(spark, d), 5).join(table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content")), "id").join(asks(spark, d), "query_id")
     return hits.select("query_id", "id", seams.cross_encode("text", "content").alias("model_score"))
 
 

@@ -7,13 +7,29 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import bm25, dense, fusion
+from ..operators.postings import Index
+from ..sources import corpus as C
 from .registry import Fixture, query, table
 from .scalar import tokens_sql
 
 
-def sections(spark, d):
+def sections(spark, d, *more):
     """Each document is one section without a heading."""
-    return bm25.spread(table(spark, d, "documents")).select(F.col("doc_id").alias("id"), F.col("doc_id").alias("seq"), F.col("source").alias("file"), X.tokenize("text").alias("tokens"))
+    return bm25.spread(table(spark, d, "documents")).select(F.col("doc_id").alias("id"), F.col("doc_id").alias("seq"), F.col("source").alias("file"), X.tokenize("text").alias("tokens"), *more)
+
+
+#: Indices of this process by application, path and the table's state.
+_INDICES: dict[tuple, Index] = {}
+
+
+def index_of(spark, d) -> Index:
+    """The stored index of the documents: built by the first query that asks it, anew when the table has changed."""
+    path = f"{d}/documents.parquet"
+    key = (spark.sparkContext.applicationId, path, C.stamp(spark, path))
+    if key not in _INDICES:
+        rows = sections(spark, d, "lang", F.when(F.col("doc_id") % 3 == 0, "qa").when(F.col("doc_id") % 3 == 1, "entity").alias("page_type"))
+        _INDICES[key] = Index.build(rows, C.scratch(spark))
+    return _INDICES[key]
 
 
 def asks(spark, d):
@@ -56,19 +72,17 @@ def a_03_idf(spark, d):
 
 @query(f"WITH {BM25} SELECT query_id, id, rank, score FROM hits WHERE rank <= 10 AND score > 0")
 def o_01_bm25_topk(spark, d):
-    return bm25.bm25_search(asks(spark, d), sections(spark, d), 10)
+    return index_of(spark, d).search(asks(spark, d), 10)
 
 
 @query(f"WITH {BM25} SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank, score FROM hits JOIN documents ON id = doc_id WHERE lang = 'en' QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) <= 5")
 def p_02_language_filter(spark, d):
-    langs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "lang")
-    return bm25.bm25_search(asks(spark, d), sections(spark, d).join(langs, "id"), 5, lang="en")
+    return index_of(spark, d).search(asks(spark, d), 5, F.col("lang") == "en")
 
 
 @query(f"WITH {BM25} SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank, score FROM hits WHERE id % 3 <> 0 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) <= 5")
 def p_03_exclude_qa(spark, d):
-    rows = sections(spark, d).withColumn("page_type", F.when(F.col("id") % 3 == 0, "qa").when(F.col("id") % 3 == 1, "entity"))
-    return bm25.bm25_search(asks(spark, d), rows, 5, exclude_qa=True)
+    return index_of(spark, d).search(asks(spark, d), 5, ~F.col("page_type").eqNullSafe("qa"))
 
 
 @query(f"""WITH {BM25}, t AS (SELECT query_id, max(score) AS top_score FROM hits WHERE rank <= 10 AND score > 0 GROUP BY 1)
@@ -76,7 +90,7 @@ SELECT item_id AS query_id, top_score, top_score IS NULL OR top_score < 20 AS re
 FROM benchmark LEFT JOIN t ON query_id = item_id""")
 def p_04_gate(spark, d):
     q = asks(spark, d)
-    return bm25.gate(q, bm25.bm25_search(q, sections(spark, d), 10), 20.0)
+    return bm25.gate(q, index_of(spark, d).search(q, 10), 20.0)
 
 
 MIXED = Fixture(
@@ -149,7 +163,7 @@ top AS (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORD
 
 
 def arms(spark, d):
-    lexical = bm25.bm25_search(asks(spark, d), sections(spark, d), fusion.DEPTH)
+    lexical = index_of(spark, d).search(asks(spark, d), fusion.DEPTH)
     near = dense.nearest(probes(spark, d), table(spark, d, "embeddings"), fusion.DEPTH)
     near = near.select((F.col("query_id") / 50).cast("long").alias("query_id"), "id", "rank", "distance")
     return lexical, fusion.drop_orphans(near, table(spark, d, "documents").select(F.col("doc_id").alias("id")))
@@ -189,13 +203,13 @@ def p_07_or_gate(spark, d):
 @query(f"""WITH {BM25}, f AS (SELECT query_id, source AS file, min(rank) AS first FROM hits JOIN documents ON doc_id = id WHERE rank <= 3 AND score > 0 GROUP BY 1, 2)
 SELECT query_id, file, doc_id AS id, row_number() OVER (PARTITION BY query_id ORDER BY first, doc_id) AS place FROM f JOIN documents ON source = file""")
 def j_04_expand(spark, d):
-    rows = sections(spark, d)
-    return fusion.expand_pages(bm25.bm25_search(asks(spark, d), rows, 3), rows)
+    index = index_of(spark, d)
+    return fusion.expand_pages(index.search(asks(spark, d), 3), index.live().select("id", "seq", "file"))
 
 
 @query(f"WITH {HYBRID}, {FUSED} SELECT lex.query_id, lex.id, (lex.id * 7919) % 1000 AS model_score, row_number() OVER (PARTITION BY lex.query_id ORDER BY (lex.id * 7919) % 1000 DESC, lex.rank) AS new_rank FROM lex WHERE rank <= 20 QUALIFY new_rank <= 3")
 def o_06_rerank(spark, d):
-    pool = bm25.bm25_search(asks(spark, d), sections(spark, d), 20)
+    pool = index_of(spark, d).search(asks(spark, d), 20)
     return fusion.rerank(pool, lambda p: (F.col("id") * 7919) % 1000).select("query_id", "id", "model_score", "new_rank")
 
 
@@ -212,5 +226,5 @@ def o_11_key_tokens(spark, d):
 @query(f"""WITH {BM25} SELECT query_id, id AS source_id, file || ' > ' || id AS breadcrumb, round(score, 3) AS score, substr(text, 1, 240) AS excerpt FROM hits JOIN toks USING (id) JOIN documents ON doc_id = id WHERE rank <= 3 AND score > 0""")
 def p_19_sources(spark, d):
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "source", "text")
-    hits = bm25.bm25_search(asks(spark, d), sections(spark, d), 3).join(docs, "id")
+    hits = index_of(spark, d).search(asks(spark, d), 3).join(docs, "id")
     return hits.select("query_id", F.col("id").alias("source_id"), F.concat_ws(" > ", "source", F.col("id").cast("string")).alias("breadcrumb"), F.round("score", 3).alias("score"), F.substring("text", 1, 240).alias("excerpt"))

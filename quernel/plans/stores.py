@@ -12,11 +12,12 @@ from ..operators import bm25, dense, reports, seams
 from ..operators import evaluation as E
 from ..operators import governance as G
 from ..operators import sections as S
+from ..operators.postings import Index
 from ..sources import corpus as C
 from ..streaming import stateful as T
 from .governance import MARKDOWN
 from .registry import Fixture, query, table
-from .retrieval import KNN, STATS, probes, sections
+from .retrieval import KNN, STATS, index_of, probes
 from .scalar import tokens_sql
 
 # ---------------------------------------------------------------- files
@@ -119,17 +120,13 @@ def s_18_hot_cache(spark, d):
 @query(f"WITH {STATS} SELECT token, df FROM df")
 def s_04_index_load(spark, d):
     """The index written and loaded; the terms are those of the documents."""
-    path, rows = C.scratch(spark), sections(spark, d)
-    C.write_index(rows, bm25.term_stats(rows), bm25.corpus_stats(rows), path)
-    return C.read_index(spark, path)[1]
+    return Index(spark, index_of(spark, d).parts).terms
 
 
 @query("SELECT count(*) AS sections FROM documents")
 def s_05_stat_only(spark, d):
     """The number of sections by the index's row of statistics, without its sections."""
-    path, rows = C.scratch(spark), sections(spark, d)
-    C.write_index(rows.limit(0), bm25.term_stats(rows.limit(0)), bm25.corpus_stats(rows), path)
-    return spark.createDataFrame([(C.indexed_sections(spark, path),)], "sections long")
+    return index_of(spark, d).stats.select(F.col("n").alias("sections"))
 
 
 @query(f"WITH {KNN} SELECT query_id, id, distance, rank FROM rk WHERE rank <= 3")

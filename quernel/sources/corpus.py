@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
@@ -15,14 +16,24 @@ from ..functions.text import safe_filename, safe_path
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder that all machines see: below ``spark.checkpoint.dir``, or on one machine a temporary one."""
+    """A new folder that all machines see, deleted when the application ends: below ``spark.checkpoint.dir``, or on one machine a temporary one."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
             raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
         root = "file://" + tempfile.mkdtemp(prefix="quernel-")
         atexit.register(shutil.rmtree, root.removeprefix("file://"), ignore_errors=True)
-    return f"{root.rstrip('/')}/quernel-{uuid.uuid4().hex}"
+    path = f"{root.rstrip('/')}/quernel-{uuid.uuid4().hex}"
+    atexit.register(remove_at_end, spark, path)
+    return path
+
+
+def remove_at_end(spark: SparkSession, path: str) -> None:
+    """Delete a folder when the application ends, if its session is still there."""
+    if spark.sparkContext._jsc is not None:
+        with contextlib.suppress(Exception):
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def scan_markdown(spark: SparkSession, root: str, subdirs: list[str] = ()) -> DataFrame:
@@ -161,6 +172,14 @@ def status(spark: SparkSession, path: str):
     return fs.getFileStatus(at) if fs.exists(at) else None
 
 
+def stamp(spark: SparkSession, path: str) -> tuple[int, int, int]:
+    """(time of change, files, bytes) of a path: what tells whether a table is still the one that was read."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    sums = fs.getContentSummary(at)
+    return fs.getFileStatus(at).getModificationTime(), sums.getFileCount(), sums.getLength()
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     return status(spark, path) is not None
 
