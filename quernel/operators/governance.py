@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import PUNCTUATION, WIKILINK, canonical_query, cited_ids, jaccard, parse_instant, parse_kv, tokenize
-from . import bm25
+from ..sources.corpus import scratch
+from .postings import Index
 
 VALID_STATUS = ("live", "draft", "stale", "superseded")
 #: Check: axis and label, in report order (fixed values).
@@ -27,7 +28,12 @@ LOG_LINE = r"^## \[([^\]]+)\] (\S+) \| (.*)$"
 
 def parse_log(text: DataFrame) -> DataFrame:
     """(line_no, ts, kind, query, kv) of a log(text): one row a line of the grammar; other lines are left out."""
-    lines = text.select(F.posexplode(F.split("text", r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\x{2028}\x{2029}]")).alias("line_no", "line")).where(F.col("line").rlike(LOG_LINE))
+    return parse_lines(text.select(F.posexplode(F.split("text", r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\x{2028}\x{2029}]")).alias("line_no", "line")))
+
+
+def parse_lines(lines: DataFrame) -> DataFrame:
+    """``parse_log`` of lines(line_no, line) that stand in a table."""
+    lines = lines.where(F.col("line").rlike(LOG_LINE))
     part = lambda i: F.regexp_extract("line", LOG_LINE, i)
     rows = lines.select("line_no", part(1).alias("ts"), part(2).alias("kind"), part(3).alias("summary"))
     return rows.select("line_no", "ts", "kind", F.regexp_extract("summary", '"([^"]*)"', 1).alias("query"), parse_kv("summary").alias("kv"))
@@ -114,11 +120,15 @@ def shared_source_pairs(pages: DataFrame) -> DataFrame:
     return refs.alias("x").join(refs.alias("y"), "source").where("x.slug < y.slug").select(F.col("x.slug").alias("a"), F.col("y.slug").alias("b")).distinct()
 
 
+def page_index(pages: DataFrame) -> Index:
+    """A stored index of the bodies of pages, filed answers left out, in slug order."""
+    rows = pages.where("dir <> 'qa'").select(F.col("slug").alias("id"), F.col("slug").alias("seq"), tokenize("body").alias("tokens"))
+    return Index.build(rows, scratch(pages.sparkSession))
+
+
 def neighbour_pairs(pages: DataFrame, k: int = 3, threshold: float = 1.0) -> DataFrame:
     """(a, b), a < b: pages, filed answers left out, of which one is among the other's ``k`` best by BM25 of the whole body, at the threshold or above."""
-    rows = pages.where("dir <> 'qa'").select(F.col("slug").alias("id"), F.col("slug").alias("seq"), tokenize("body").alias("tokens"))
-    asked = rows.select(F.col("id").alias("query_id"), F.explode("tokens").alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("times"))
-    hits = bm25.top_k(bm25.scores(asked, rows).where((F.col("query_id") != F.col("id")) & (F.col("score") >= threshold)), k)
+    hits = page_index(pages).neighbours(k, threshold)
     return hits.select(F.least("query_id", "id").alias("a"), F.greatest("query_id", "id").alias("b")).distinct()
 
 

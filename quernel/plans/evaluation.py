@@ -55,12 +55,12 @@ def calls(spark, d):
     f"WITH {PRICES.cte()}, {CALLS} SELECT stack, phase, count(*) AS calls, sum(input_tokens + output_tokens) AS tokens, sum((input_tokens * input_price + output_tokens * output_price) / 1e6) AS usd, grouping(stack, phase) AS slice FROM calls LEFT JOIN prices USING (model) GROUP BY CUBE (stack, phase)"
 )
 def a_14_ledger_cube(spark, d):
-    return E.ledger(calls(spark, d), PRICES.df(spark))
+    return E.ledger(calls(spark, d), PRICES.df(spark, d))
 
 
 @query(f"WITH {PRICES.cte()}, {CALLS} SELECT model, count(*) AS calls, sum((input_tokens * input_price + output_tokens * output_price) / 1e6) AS usd FROM calls LEFT JOIN prices USING (model) GROUP BY 1")
 def j_20_priced_calls(spark, d):
-    rows = calls(spark, d).join(F.broadcast(PRICES.df(spark)), "model", "left")
+    rows = calls(spark, d).join(F.broadcast(PRICES.df(spark, d)), "model", "left")
     return rows.groupBy("model").agg(F.count("*").alias("calls"), F.sum((F.col("input_tokens") * F.col("input_price") + F.col("output_tokens") * F.col("output_price")) / 1e6).alias("usd"))
 
 
@@ -106,26 +106,34 @@ def z_02_wilson(spark, d):
 
 
 TESTS = Fixture("tests", "name string, p double", [("x", 0.0385), ("y", 0.0034), ("z", 0.7111), ("w", 0.0385), ("v", 0.5)])
+TESTS.over("part", {
+    "name": "'t' || p_partkey",
+    "p": "CAST(p_partkey * 7919 % 1000 AS DOUBLE) / 1000",
+})
 HOLM = "SELECT name, p, least(1.0, max(s) OVER (ORDER BY p, name ROWS UNBOUNDED PRECEDING)) AS holm FROM (SELECT name, p, p * (count(*) OVER () - row_number() OVER (ORDER BY p, name) + 1) AS s FROM tests)"
 
 
 @query(f"WITH {TESTS.cte()}, h AS ({HOLM}) SELECT name, p, max(holm) OVER (PARTITION BY p) AS holm FROM h")
 def z_03_holm(spark, d):
-    rows = E.holm(TESTS.df(spark), "p")
+    rows = E.holm(TESTS.df(spark, d), "p")
     return rows.withColumn("holm", F.max("holm").over(Window.partitionBy("p")))
 
 
 @query(f"WITH {TESTS.cte()}, h AS ({HOLM}) SELECT max(holm) AS most, min(holm) AS least, count(*) FILTER (holm < 0.05) AS significant FROM h")
 def w_07_holm_running_max(spark, d):
-    return E.holm(TESTS.df(spark), "p").agg(F.max("holm").alias("most"), F.min("holm").alias("least"), F.count_if(F.col("holm") < 0.05).alias("significant"))
+    return E.holm(TESTS.df(spark, d), "p").agg(F.max("holm").alias("most"), F.min("holm").alias("least"), F.count_if(F.col("holm") < 0.05).alias("significant"))
 
 
 CHI = Fixture("chi", "x double, df int", [(7.9512, 2), (0.0, 2), (3.0, 2), (40.0, 2), (1e-3, 2)])
+CHI.over("part", {
+    "x": "CAST(p_partkey % 500 AS DOUBLE) / 10",
+    "df": "2",
+})
 
 
 @query(f"WITH {CHI.cte()} SELECT x, exp(-x / 2) AS p FROM chi")
 def z_04_chi2_survival(spark, d):
-    return CHI.df(spark).select("x", E.chi2_sf("x", "df").alias("p"))
+    return CHI.df(spark, d).select("x", E.chi2_sf("x", "df").alias("p"))
 
 
 @query(f"WITH {OUT}, s AS (SELECT sum(a) AS a, sum(b) AS b, sum(c) AS c, sum(a + b + c) AS t, sum((a + b + c) * (a + b + c)) AS t2 FROM o) SELECT 2.0 * (3 * (a * a + b * b + c * c) - t * t) / (3 * t - t2) AS q, 2 AS df, exp(-(2.0 * (3 * (a * a + b * b + c * c) - t * t) / (3 * t - t2)) / 2) AS p FROM s")
@@ -171,6 +179,14 @@ ANSWERS = Fixture(
         (4, "I cannot confirm from the knowledge base.", [], [], [], []), (5, "x", ["c"], ["c"], ["a"], ["a", "c"]),
     ],
 )
+ANSWERS.over("documents", {
+    "id": "doc_id",
+    "answer": "CASE doc_id % 3 WHEN 0 THEN 'I cannot confirm from the knowledge base.' ELSE text END",
+    "cited": "CASE doc_id % 4 WHEN 0 THEN array() WHEN 1 THEN array('s' || (doc_id % 5)) ELSE array('s' || (doc_id % 5), 't' || (doc_id % 7)) END",
+    "retrieved": "CASE doc_id % 11 WHEN 0 THEN array() ELSE array('s' || (doc_id % 5), 't' || (doc_id % 3)) END",
+    "gold": "CASE WHEN doc_id % 6 = 0 THEN array() ELSE array('s' || (doc_id % 5)) END",
+    "group_ids": "CASE doc_id % 5 WHEN 4 THEN array() ELSE array('s' || (doc_id % 5), 't' || (doc_id % 2)) END",
+})
 
 
 @query(
@@ -182,17 +198,17 @@ def z_10_content_axes(spark, d):
 
     grounded = (F.size("cited") > 0) & (F.size(F.array_except("cited", "retrieved")) == 0)
     leak = F.arrays_overlap("cited", F.array_except("group_ids", "gold"))
-    return ANSWERS.df(spark).select("id", grounded.alias("grounded"), (is_refusal("answer") & (F.size("gold") == 0)).alias("refused_well"), F.coalesce(leak, F.lit(False)).alias("leak"))
+    return ANSWERS.df(spark, d).select("id", grounded.alias("grounded"), (is_refusal("answer") & (F.size("gold") == 0)).alias("refused_well"), F.coalesce(leak, F.lit(False)).alias("leak"))
 
 
 @query(f"WITH {ANSWERS.cte()} SELECT id, len(list_filter(cited, lambda x: NOT list_contains(retrieved, x))) = 0 AS subset, array_to_string(list_sort(list_filter(group_ids, lambda x: NOT list_contains(gold, x))), ',') AS leak_ids, list_sort(cited) = list_sort(retrieved) AS equal FROM ans")
 def u_06_subset_and_leaks(spark, d):
-    return ANSWERS.df(spark).select("id", (F.size(F.array_except("cited", "retrieved")) == 0).alias("subset"), F.array_join(F.array_sort(F.array_except("group_ids", "gold")), ",").alias("leak_ids"), (F.array_sort("cited") == F.array_sort("retrieved")).alias("equal"))
+    return ANSWERS.df(spark, d).select("id", (F.size(F.array_except("cited", "retrieved")) == 0).alias("subset"), F.array_join(F.array_sort(F.array_except("group_ids", "gold")), ",").alias("leak_ids"), (F.array_sort("cited") == F.array_sort("retrieved")).alias("equal"))
 
 
 @query(f"WITH {ANSWERS.cte()} SELECT id, array_to_string(list_sort(list_filter(cited, lambda x: NOT list_contains(retrieved, x))), ',') AS added, array_to_string(list_sort(list_filter(retrieved, lambda x: NOT list_contains(cited, x))), ',') AS dropped FROM ans")
 def u_03_citation_delta(spark, d):
-    return ANSWERS.df(spark).select("id", F.array_join(F.array_sort(F.array_except("cited", "retrieved")), ",").alias("added"), F.array_join(F.array_sort(F.array_except("retrieved", "cited")), ",").alias("dropped"))
+    return ANSWERS.df(spark, d).select("id", F.array_join(F.array_sort(F.array_except("cited", "retrieved")), ",").alias("added"), F.array_join(F.array_sort(F.array_except("retrieved", "cited")), ",").alias("dropped"))
 
 
 THRESHOLDS = [x / 10 for x in range(0, 31, 5)]
@@ -222,7 +238,7 @@ def a_22_refusal_rate(spark, d):
 
 @query(f"WITH {PRICES.cte()}, {CALLS}, u AS (SELECT stack, sum((input_tokens * input_price + output_tokens * output_price) / 1e6) AS usd, count(*) FILTER (output_tokens > 900) AS good FROM calls LEFT JOIN prices USING (model) GROUP BY 1), v(volume) AS (VALUES (100), (1000), (10000)) SELECT stack, volume, usd / nullif(good, 0) AS per_correct, usd / volume AS amortised FROM u CROSS JOIN v")
 def a_25_cost_curve(spark, d):
-    rows = calls(spark, d).join(F.broadcast(PRICES.df(spark)), "model", "left")
+    rows = calls(spark, d).join(F.broadcast(PRICES.df(spark, d)), "model", "left")
     usd = rows.groupBy("stack").agg(F.sum((F.col("input_tokens") * F.col("input_price") + F.col("output_tokens") * F.col("output_price")) / 1e6).alias("usd"), F.count_if(F.col("output_tokens") > 900).alias("good"))
     volume = F.explode(F.array(F.lit(100), F.lit(1000), F.lit(10000))).alias("volume")
     return usd.select("stack", "usd", "good", volume).select("stack", "volume", (F.col("usd") / F.nullif("good", F.lit(0))).alias("per_correct"), (F.col("usd") / F.col("volume")).alias("amortised"))
@@ -235,11 +251,18 @@ def a_26_spend_projection(spark, d):
 
 
 GROUNDED = Fixture("g", "slug string, ord int, passed boolean, reason string, claims array<string>", [("a", 1, True, None, []), ("a", 2, False, "claim_unsupported", ["x", "y"]), ("a", 3, False, "retrieval_empty", ["z"]), ("b", 1, True, None, [])])
+GROUNDED.over("documents", {
+    "slug": "'g' || (doc_id div 4)",
+    "ord": "doc_id % 4",
+    "passed": "doc_id % 5 <> 0",
+    "reason": "CASE doc_id % 10 WHEN 0 THEN 'claim_unsupported' WHEN 5 THEN 'retrieval_empty' END",
+    "claims": "CASE doc_id % 10 WHEN 0 THEN array(source, lang) WHEN 5 THEN array(source) ELSE array() END",
+})
 
 
 @query(f"WITH {GROUNDED.cte()} SELECT slug, bool_and(passed) AS passed, arg_min(reason, ord) FILTER (NOT passed) AS reason, array_to_string(flatten(list(claims ORDER BY ord)), ',') AS claims FROM g GROUP BY 1")
 def a_24_combined_grounding(spark, d):
-    return GROUNDED.df(spark).groupBy("slug").agg(F.every("passed").alias("passed"), F.min_by(F.when(~F.col("passed"), F.col("reason")), F.when(~F.col("passed"), F.col("ord"))).alias("reason"), F.array_join(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("ord", "claims"))), lambda x: x["claims"])), ",").alias("claims"))
+    return GROUNDED.df(spark, d).groupBy("slug").agg(F.every("passed").alias("passed"), F.min_by(F.when(~F.col("passed"), F.col("reason")), F.when(~F.col("passed"), F.col("ord"))).alias("reason"), F.array_join(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("ord", "claims"))), lambda x: x["claims"])), ",").alias("claims"))
 
 
 @query("SELECT count(*) AS sections, count(DISTINCT source) AS files, (SELECT count(*) FROM pages) AS pages FROM documents")
@@ -279,11 +302,15 @@ def w_12_round_robin(spark, d):
 
 
 GOLD = Fixture("cover", "wiki string, doc string", [("w1", "d1"), ("w1", "d2"), ("w2", "d2")])
+GOLD.over("documents", {
+    "wiki": "'w' || (doc_id div 3)",
+    "doc": "'d' || (doc_id % 300)",
+})
 
 
 @query(f"WITH {GOLD.cte()}, e AS (SELECT wiki AS id, doc AS other FROM cover UNION ALL SELECT doc, wiki FROM cover UNION ALL SELECT wiki, wiki FROM cover UNION ALL SELECT doc, doc FROM cover) SELECT id, array_to_string(list_sort(list_distinct(list(other))), ',') AS gold FROM e GROUP BY 1")
 def j_16_gold_map(spark, d):
-    g = GOLD.df(spark)
+    g = GOLD.df(spark, d)
     pair = lambda a, b: g.select(F.col(a).alias("id"), F.col(b).alias("other"))
     rows = pair("wiki", "doc").union(pair("doc", "wiki")).union(pair("wiki", "wiki")).union(pair("doc", "doc"))
     return rows.groupBy("id").agg(F.array_join(F.array_sort(F.collect_set("other")), ",").alias("gold"))

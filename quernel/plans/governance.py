@@ -29,6 +29,28 @@ PAGES = Fixture(
         ("ask-b", "qa", "draft", "2024-05-04T00:00:00Z", ["refunds#a"], [], "answer", None, 5, '{"type": "qa", "question": "Q", "count": 2.5}'),
     ],
 )
+DAY = "'2024-05-' || lpad(CAST(1 + doc_id % 28 AS STRING), 2, '0') || 'T00:00:00Z'"
+STATE = "CASE doc_id % 4 WHEN 0 THEN 'draft' WHEN 3 THEN 'zombie' ELSE 'live' END"
+MARK = "CASE doc_id % 9 WHEN 0 THEN '(collision group: ''p' || (doc_id div 3) || ', p' || (doc_id div 3) || '-2'') ' WHEN 1 THEN '(collision group: ''p' || (doc_id div 3) || '-2,p' || (doc_id div 3) || ''') ' ELSE '' END"
+LINKS = "' [[alias' || (doc_id % 40) || ']] and [[p' || (doc_id * 7 % 500) || '|label]] or [[ gone' || (doc_id % 23) || ' ]]'"
+META = [
+    """CASE doc_id % 20 WHEN 18 THEN '' ELSE ', "type": "qa"' END""",
+    """', "question": ' || CASE doc_id % 20 WHEN 9 THEN '"  "' WHEN 19 THEN '7' ELSE '"Q' || doc_id || '"' END""",
+    """', "count": ' || CASE doc_id % 20 WHEN 8 THEN 'true' WHEN 19 THEN '2.5' ELSE CAST(1 + doc_id % 9 AS STRING) END""",
+]
+#: A page for each document: slugs that differ by numbers, files and pages as sources, aliases that collide, links to pages, aliases and nothing.
+PAGES.over("documents", {
+    "slug": "'p' || (doc_id div 3) || CASE doc_id % 3 WHEN 0 THEN '' ELSE '-' || (doc_id % 3 + 1) END",
+    "dir": "CASE WHEN doc_id % 10 < 5 THEN 'entities' WHEN doc_id % 10 < 8 THEN 'concepts' ELSE 'qa' END",
+    "status": f"CASE WHEN doc_id % 10 >= 8 THEN {STATE} WHEN doc_id % 7 = 3 THEN 'failed_grounding' ELSE 'live' END",
+    "updated": DAY,
+    "sources": "CASE WHEN doc_id % 10 >= 8 THEN array('p' || (doc_id div 7) || '#a', 'p' || (doc_id div 5) || '-2#b') WHEN doc_id % 14 = 3 THEN array() ELSE array(source || '.md#s' || (doc_id % 5), 'file' || (doc_id div 4) || '.md#x') END",
+    "aliases": "CASE doc_id % 6 WHEN 0 THEN array('alias' || (doc_id div 12), 'p' || (doc_id div 9)) WHEN 3 THEN array('alias' || (doc_id div 12)) ELSE array() END",
+    "body": f"{MARK} || text || {LINKS}",
+    "reason": "CASE WHEN doc_id % 7 = 3 THEN CASE doc_id % 3 WHEN 0 THEN 'claim_unsupported' WHEN 1 THEN ' ' END END",
+    "count": "CASE WHEN doc_id % 10 >= 8 THEN 1 + doc_id % 9 END",
+    "fm": f"""CASE WHEN doc_id % 10 < 8 THEN '{{}}' ELSE '{{"status": "' || {STATE} || '"' || {" || ".join(META)} || '}}' END""",
+})
 DOCS = Fixture(
     "docs_",
     "path string, basename string, content string, modified string",
@@ -37,27 +59,47 @@ DOCS = Fixture(
         ("docs/pricing.md", "pricing.md", "price", "2024-04-01T00:00:00Z"), ("docs/a/dup.md", "dup.md", "1", "2024-04-01T00:00:00Z"), ("docs/b/dup.md", "dup.md", "2", "2024-04-01T00:00:00Z"),
     ],
 )
+#: The files that pages cite: some are gone, some names are there twice, and one file stands for each source that is left.
+DOCS.over("documents", {
+    "path": "CASE WHEN doc_id < 30 AND doc_id % 3 = 0 THEN 'docs/' || 'src' || (doc_id div 3) WHEN doc_id % 4 = 0 THEN 'docs/a/file' || (doc_id div 4) ELSE 'docs/b/file' || (doc_id div 4) END || '.md'",
+    "basename": "CASE WHEN doc_id < 30 AND doc_id % 3 = 0 THEN 'src' || (doc_id div 3) ELSE 'file' || (doc_id div 4) END || '.md'",
+    "content": "text",
+    "modified": "'2024-05-' || lpad(CAST(1 + doc_id * 5 % 28 AS STRING), 2, '0') || 'T12:00:00Z'",
+}, "doc_id < 30 AND doc_id % 3 = 0 OR doc_id >= 30 AND (doc_id % 4 = 0 AND doc_id % 36 <> 0 OR doc_id % 44 = 1)")
 HASHES = Fixture("hashes", "slug string, source string, hash string", [("refunds", "refunds.md", "old"), ("shipping", "shipping.md", None), ("pricing", "pricing.md", "old"), ("our-shipping", "shipping.md", "older")])
-LOG = "\n".join(
-    [
+HASHES.over("documents", {
+    "slug": "'p' || (doc_id div 3) || CASE doc_id % 3 WHEN 0 THEN '' ELSE '-' || (doc_id % 3 + 1) END",
+    "source": "source || '.md'",
+    "hash": "CASE doc_id % 3 WHEN 0 THEN 'old' WHEN 1 THEN md5(text) END",
+})
+LOG = Fixture(
+    "log_",
+    "line_no int, line string",
+    [*enumerate([
         "# log", '## [2024-01-01T00:00:01Z] chat_grounding_fallback | "How long?" reason=below_threshold top_section=a#b', '## [2024-01-01T00:00:02Z] chat | "how long" top=a#b:1.0',
         '## [2024-01-01T00:00:03Z] chat | "How long??" top=a#b:2.0', '## [2024-01-01T00:00:04Z] chat_grounding_fallback | "how  long" reason=below_threshold top_section=a#b', "noise", '## [2024-01-01T00:00:05Z] chat | "how long" top=none',
         '## [2024-01-01T00:00:06Z] chat_grounding_fallback | "what else" reason=retrieval_empty', '## [2024-01-01T00:00:07Z] chat_grounding_fallback | "what else!" reason=provider_error', '## [2024-01-01T00:00:08Z] chat | "what else" top=x',
         '## [2024-01-01T00:00:09Z] chat_grounding_fallback | "cited one" reason=claim_unsupported cited=b,a', '## [2024-01-01T00:00:10Z] ingest | "x" pages=3',
-    ]
+    ])],
 )
+STAMP = "'## [' || replace(substr(CAST(ts AS STRING), 1, 19), ' ', 'T') || 'Z] '"
+#: A log of the events: errors are failed answers, views answers, clicks another kind, and the rest is no line of the grammar.
+LOG.over("events", {
+    "line_no": "event_id",
+    "line": STAMP + " || CASE event_type WHEN 'error' THEN 'chat_grounding_fallback | \"How long, user ' || user_id || CASE event_id % 3 WHEN 0 THEN '?' ELSE '' END || '\" reason=' || CASE event_id % 4 WHEN 0 THEN 'below_threshold' WHEN 1 THEN 'retrieval_empty' WHEN 2 THEN 'claim_unsupported' ELSE 'provider_error' END || CASE event_id % 5 WHEN 0 THEN ' cited=b,a' WHEN 1 THEN '' ELSE ' top_section=s' || (event_id % 3) || '#b' END WHEN 'view' THEN 'chat | \"how long,  user ' || user_id || '\" top=x:1.0' WHEN 'click' THEN 'ingest | \"x\" pages=3' ELSE 'noise' END",
+})
 
 
-def pages(spark):
-    return PAGES.df(spark)
+def pages(spark, d):
+    return PAGES.df(spark, d)
 
 
-def docs(spark):
-    return DOCS.df(spark)
+def docs(spark, d):
+    return DOCS.df(spark, d)
 
 
-def log(spark):
-    return G.parse_log(spark.createDataFrame([(LOG,)], "text string"))
+def log(spark, d):
+    return G.parse_lines(LOG.df(spark, d))
 
 
 RESOLVE = "res AS (SELECT slug AS name, slug AS canonical FROM pages_ UNION SELECT name, min(slug) FROM (SELECT unnest(aliases) AS name, slug FROM pages_) WHERE name NOT IN (SELECT slug FROM pages_) GROUP BY 1)"
@@ -65,12 +107,12 @@ RESOLVE = "res AS (SELECT slug AS name, slug AS canonical FROM pages_ UNION SELE
 
 @query(f"WITH {PAGES.cte()}, {RESOLVE} SELECT name, canonical FROM res")
 def j_15_resolution_map(spark, d):
-    return G.resolution_map(pages(spark))
+    return G.resolution_map(pages(spark, d))
 
 
 @query(f"WITH {PAGES.cte()}, {RESOLVE} SELECT name, canonical FROM res WHERE name <> canonical")
 def j_29_alias_map(spark, d):
-    return G.resolution_map(pages(spark)).where("name <> canonical")
+    return G.resolution_map(pages(spark, d)).where("name <> canonical")
 
 
 @query(
@@ -79,7 +121,7 @@ def j_29_alias_map(spark, d):
     SELECT slug, count(*) AS mentions, array_to_string(list_sort(list_distinct(list(page))), ',') AS referenced_by, first(ctx ORDER BY dir <> 'entities', page) AS context FROM m GROUP BY 1"""
 )
 def g_c2_red_links(spark, d):
-    return G.red_links(pages(spark)).withColumn("referenced_by", F.array_join("referenced_by", ","))
+    return G.red_links(pages(spark, d)).withColumn("referenced_by", F.array_join("referenced_by", ","))
 
 
 @query(
@@ -89,7 +131,7 @@ def g_c2_red_links(spark, d):
     FROM s LEFT JOIN docs_ ON basename = source GROUP BY 1, 2, 3"""
 )
 def g_c3_failed_grounding(spark, d):
-    return G.failed_grounding(pages(spark), docs(spark))
+    return G.failed_grounding(pages(spark, d), docs(spark, d))
 
 
 @query(
@@ -99,7 +141,7 @@ def g_c3_failed_grounding(spark, d):
     SELECT base, array_to_string(members, ',') AS members, CAST(len(members) AS INT) AS size FROM g WHERE len(members) >= 2 AND len(list_filter(marks, lambda m: m = members)) < len(marks)"""
 )
 def g_c4_collisions(spark, d):
-    return G.collisions(pages(spark)).withColumn("members", F.array_join("members", ","))
+    return G.collisions(pages(spark, d)).withColumn("members", F.array_join("members", ","))
 
 
 PAIRS = "refs AS (SELECT DISTINCT slug, split_part(unnest(sources), '#', 1) AS source FROM pages_ WHERE dir <> 'qa'), pr AS (SELECT DISTINCT x.slug AS a, y.slug AS b FROM refs x JOIN refs y ON x.source = y.source AND x.slug < y.slug)"
@@ -107,7 +149,7 @@ PAIRS = "refs AS (SELECT DISTINCT slug, split_part(unnest(sources), '#', 1) AS s
 
 @query(f"WITH {PAGES.cte()}, {PAIRS} SELECT a, b FROM pr")
 def j_12_shared_source(spark, d):
-    return G.shared_source_pairs(pages(spark))
+    return G.shared_source_pairs(pages(spark, d))
 
 
 #: The three best pages by BM25 of each page's whole body.
@@ -122,7 +164,7 @@ CANDIDATES = f"""WITH {PAGES.cte()}, {PAIRS}, nb AS (SELECT DISTINCT least(query
 
 @query(CANDIDATES)
 def g_c5_contradiction_candidates(spark, d):
-    return G.contradictions(pages(spark))
+    return G.contradictions(pages(spark, d))
 
 
 @query(
@@ -140,13 +182,13 @@ def u_01_pair_union(spark, d):
     FROM pages_ p JOIN docs_ ON basename = split_part(sources[1], '#', 1) JOIN hashes h ON h.slug = p.slug AND h.source = basename WHERE p.dir <> 'qa' AND h.hash IS NOT NULL AND h.hash <> sha256(content) AND CAST(modified AS TIMESTAMPTZ) >= CAST(updated AS TIMESTAMPTZ)"""
 )
 def g_c6_stale_pages(spark, d):
-    maps = HASHES.df(spark).groupBy("slug").agg(F.map_from_entries(F.collect_list(F.struct("source", "hash"))).alias("hashes"))
-    return G.stale_pages(pages(spark).join(maps, "slug", "left"), docs(spark))
+    maps = HASHES.df(spark, d).groupBy("slug").agg(F.map_from_entries(F.collect_list(F.struct("source", "hash"))).alias("hashes"))
+    return G.stale_pages(pages(spark, d).join(maps, "slug", "left"), docs(spark, d))
 
 
 @query(f"WITH {PAGES.cte()} SELECT slug, count, updated, row_number() OVER (ORDER BY count DESC, updated DESC, slug) AS place FROM pages_ WHERE dir = 'qa' AND status = 'draft' QUALIFY place <= 10")
 def g_c8_promotion(spark, d):
-    return G.promotion_candidates(pages(spark))
+    return G.promotion_candidates(pages(spark, d))
 
 
 @query(
@@ -154,7 +196,7 @@ def g_c8_promotion(spark, d):
     SELECT q.slug, round(max(epoch(u) - epoch(t)) / 86400.0, 1) AS drift_days, array_to_string(list_sort(list(cited)), ',') AS cited FROM q JOIN w ON w.slug = cited WHERE epoch(u) - epoch(t) > 3 * 86400 GROUP BY 1"""
 )
 def g_c9_stale_answers(spark, d):
-    return G.stale_answers(pages(spark)).withColumn("cited", F.array_join("cited", ","))
+    return G.stale_answers(pages(spark, d)).withColumn("cited", F.array_join("cited", ","))
 
 
 @query(
@@ -165,7 +207,7 @@ def g_c9_stale_answers(spark, d):
     UNION ALL SELECT slug, 'count', coalesce(c, '<missing>') FROM v WHERE coalesce(kc, '') NOT IN ('UBIGINT', 'BIGINT') OR CAST(c AS DOUBLE) <= 0"""
 )
 def g_c10_invalid_schema(spark, d):
-    return G.invalid_answers(pages(spark))
+    return G.invalid_answers(pages(spark, d))
 
 
 @query(
@@ -173,7 +215,7 @@ def g_c10_invalid_schema(spark, d):
     SELECT slug, array_to_string(list_sort(list(source) FILTER (gone)), ',') AS missing, CASE WHEN bool_and(gone) THEN 'full' ELSE 'partial' END AS kind FROM m GROUP BY 1 HAVING bool_or(gone)"""
 )
 def g_c11_orphans(spark, d):
-    return G.orphans(pages(spark), docs(spark)).withColumn("missing", F.array_join("missing", ","))
+    return G.orphans(pages(spark, d), docs(spark, d)).withColumn("missing", F.array_join("missing", ","))
 
 
 @query(
@@ -181,39 +223,38 @@ def g_c11_orphans(spark, d):
     SELECT CASE WHEN own THEN 'alias_vs_slug' ELSE 'alias_vs_alias' END AS kind, alias, array_to_string(c, ',') AS claimed_by, CASE WHEN own THEN alias ELSE c[1] END AS resolved_to FROM s WHERE own OR len(c) >= 2"""
 )
 def g_c12_alias_collisions(spark, d):
-    return G.alias_collisions(pages(spark)).withColumn("claimed_by", F.array_join("claimed_by", ","))
-
-
-LOGGED = Fixture(
-    "want",
-    "line_no int, ts string, kind string, query string, kv string",
-    [
-        (1, "2024-01-01T00:00:01Z", "chat_grounding_fallback", "How long?", '{"reason":"below_threshold","top_section":"a#b"}'), (2, "2024-01-01T00:00:02Z", "chat", "how long", '{"top":"a#b:1.0"}'),
-        (3, "2024-01-01T00:00:03Z", "chat", "How long??", '{"top":"a#b:2.0"}'), (4, "2024-01-01T00:00:04Z", "chat_grounding_fallback", "how  long", '{"reason":"below_threshold","top_section":"a#b"}'),
-        (6, "2024-01-01T00:00:05Z", "chat", "how long", '{"top":"none"}'), (7, "2024-01-01T00:00:06Z", "chat_grounding_fallback", "what else", '{"reason":"retrieval_empty"}'),
-        (8, "2024-01-01T00:00:07Z", "chat_grounding_fallback", "what else!", '{"reason":"provider_error"}'), (9, "2024-01-01T00:00:08Z", "chat", "what else", '{"top":"x"}'),
-        (10, "2024-01-01T00:00:09Z", "chat_grounding_fallback", "cited one", '{"reason":"claim_unsupported","cited":"b,a"}'), (11, "2024-01-01T00:00:10Z", "ingest", "x", '{"pages":"3"}'),
-    ],
-)
-#: "how long" fails twice more than it succeeds, "what else" once before a success of its own, "cited one" has no success.
-GAPS = Fixture(
-    "want",
-    "canonical string, reason string, section string, hits long, first_seen string, last_seen string, samples string",
-    [
-        ("cited one", "claim_unsupported", "a,b", 1, "2024-01-01T00:00:09Z", "2024-01-01T00:00:09Z", "cited one"), ("how long", "below_threshold", "a#b", 2, "2024-01-01T00:00:01Z", "2024-01-01T00:00:04Z", "How long?|how  long"),
-        ("what else", "retrieval_empty", None, 1, "2024-01-01T00:00:06Z", "2024-01-01T00:00:06Z", "what else"),
-    ],
-)
-
-
-@query(f"WITH {LOGGED.cte()} SELECT * FROM want")
+    return G.alias_collisions(pages(spark, d)).withColumn("claimed_by", F.array_join("claimed_by", ","))
+
+
+#: The lines of the grammar, their question and the last value of each key behind it.
+PARSED = rf"""{LOG.cte()}, g AS (SELECT line_no, regexp_extract(line, '^## \[([^\]]+)\] (\S+) \| (.*)$', ['ts', 'kind', 'summary']) AS x FROM log_ WHERE regexp_matches(line, '^## \[[^\]]+\] \S+ \| ')),
+lg AS (SELECT line_no, x.ts AS ts, x.kind AS kind, regexp_extract(x.summary, '"([^"]*)"', 1) AS query, regexp_replace(x.summary, '"[^"]*"', '', 'g') AS rest FROM g),
+kv AS (SELECT line_no, unnest(regexp_extract_all(rest, '(\w+)=(\S+)', 1)) AS k, unnest(regexp_extract_all(rest, '(\w+)=(\S+)', 2)) AS v, unnest(range(len(regexp_extract_all(rest, '(\w+)=(\S+)')))) AS i FROM lg),
+kl AS (SELECT line_no, k, max_by(v, i) AS v, max(i) AS i FROM kv GROUP BY 1, 2)"""
+CANONICAL = r"regexp_replace(trim(regexp_replace(trim(lower(query), chr(10) || ' '), '^[!-/:-@\[-`{-~]+|[!-/:-@\[-`{-~]+$', '', 'g'), chr(10) || ' '), '\s+', ' ', 'g')"
+#: The counter of pending failures goes row by row; a success counts where it stands at zero.
+GAPS = f"""WITH RECURSIVE {PARSED},
+o AS (SELECT *, {CANONICAL} AS canonical, kind = 'chat' AS good, row_number() OVER (PARTITION BY {CANONICAL} ORDER BY line_no) AS i FROM lg WHERE kind IN ('chat', 'chat_grounding_fallback')),
+w AS (SELECT line_no, canonical, ts, good, i, CASE WHEN good THEN 0 ELSE 1 END AS pending, good AS success FROM o WHERE i = 1
+  UNION ALL SELECT o.line_no, o.canonical, o.ts, o.good, o.i, CASE WHEN o.good THEN greatest(0, w.pending - 1) ELSE w.pending + 1 END, o.good AND w.pending = 0 FROM w JOIN o ON o.canonical = w.canonical AND o.i = w.i + 1),
+a AS (SELECT canonical, max(ts) AS answered FROM w WHERE success GROUP BY 1),
+f AS (SELECT o.*, r.v AS reason, coalesce(t.v, array_to_string(list_sort(string_split(c.v, ',')), ',')) AS section FROM o JOIN kl r ON r.line_no = o.line_no AND r.k = 'reason' AND r.v IN ('retrieval_empty', 'below_threshold', 'claim_unsupported')
+  LEFT JOIN kl t ON t.line_no = o.line_no AND t.k = 'top_section' LEFT JOIN kl c ON c.line_no = o.line_no AND c.k = 'cited' WHERE NOT good),
+u AS (SELECT canonical, reason, section, query, min(line_no) AS first FROM f GROUP BY ALL),
+m AS (SELECT canonical, reason, section, list(query ORDER BY first)[1:3] AS samples FROM u GROUP BY ALL),
+h AS (SELECT canonical, reason, section, count(*) AS hits, min(ts) AS first_seen, max(ts) AS last_seen FROM f GROUP BY ALL)
+SELECT h.canonical, h.reason, h.section, hits, first_seen, last_seen, array_to_string(samples, '|') AS samples FROM h JOIN m ON m.canonical = h.canonical AND m.reason = h.reason AND m.section IS NOT DISTINCT FROM h.section LEFT JOIN a ON a.canonical = h.canonical
+WHERE answered IS NULL OR answered <= last_seen"""
+
+
+@query(f"""WITH {PARSED} SELECT lg.line_no, ts, kind, query, coalesce('{{' || string_agg('"' || k || '":"' || v || '"', ',' ORDER BY i) || '}}', '{{}}') AS kv FROM lg LEFT JOIN kl USING (line_no) GROUP BY ALL""")
 def s_06_log_scan(spark, d):
-    return log(spark).select("line_no", "ts", "kind", "query", F.to_json("kv").alias("kv"))
+    return log(spark, d).select("line_no", "ts", "kind", "query", F.to_json("kv").alias("kv"))
 
 
-@query(f"WITH {GAPS.cte()} SELECT * FROM want")
+@query(GAPS)
 def g_c1_coverage(spark, d):
-    return G.coverage_gaps(log(spark)).withColumn("samples", F.array_join("samples", "|"))
+    return G.coverage_gaps(log(spark, d)).withColumn("samples", F.array_join("samples", "|"))
 
 
 @query(
@@ -227,11 +268,11 @@ def w_05_pending_failures(spark, d):
     return G.pending_successes(rows, "user_id", "event_id", F.col("event_type") == "error", F.col("event_type") == "view").select("event_id", "success")
 
 
-def findings(spark):
-    p, s = pages(spark), docs(spark)
-    maps = HASHES.df(spark).groupBy("slug").agg(F.map_from_entries(F.collect_list(F.struct("source", "hash"))).alias("hashes"))
+def findings(spark, d):
+    p, s = pages(spark, d), docs(spark, d)
+    maps = HASHES.df(spark, d).groupBy("slug").agg(F.map_from_entries(F.collect_list(F.struct("source", "hash"))).alias("hashes"))
     return {
-        "C1": G.coverage_gaps(log(spark)), "C2": G.red_links(p), "C3": G.failed_grounding(p, s).select("slug").distinct(), "C4": G.collisions(p), "C5": G.contradictions(p),
+        "C1": G.coverage_gaps(log(spark, d)), "C2": G.red_links(p), "C3": G.failed_grounding(p, s).select("slug").distinct(), "C4": G.collisions(p), "C5": G.contradictions(p),
         "C6": G.stale_pages(p.join(maps, "slug", "left"), s), "C8": G.promotion_candidates(p), "C9": G.stale_answers(p), "C10": G.invalid_answers(p), "C11": G.orphans(p, s), "C12": G.alias_collisions(p),
     }
 
@@ -241,19 +282,19 @@ COUNTED = {
     "C6": "g_c6_stale_pages", "C3": "g_c3_failed_grounding", "C11": "g_c11_orphans", "C5": "g_c5_contradiction_candidates", "C4": "g_c4_collisions", "C12": "g_c12_alias_collisions", "C1": "g_c1_coverage", "C2": "g_c2_red_links",
     "C8": "g_c8_promotion", "C10": "g_c10_invalid_schema", "C9": "g_c9_stale_answers",
 }
-FINDINGS = " UNION ALL ".join(
-    f"SELECT {i} AS place, '{check}' AS check_id, '{label}' AS label, '{axis}' AS axis, (SELECT count({'DISTINCT slug' if check == 'C3' else '*'}) FROM ({SQL[COUNTED[check]]}) AS x{i}) AS n" for i, (check, label, axis) in enumerate(G.TAXONOMY)
-)
+FINDINGS = "SELECT nr AS place, check_id, label, axis, n FROM (" + " UNION ALL ".join(
+    f"SELECT {i} AS nr, '{check}' AS check_id, '{label}' AS label, '{axis}' AS axis, (SELECT count({'DISTINCT slug' if check == 'C3' else '*'}) FROM ({SQL[COUNTED[check]]}) AS x{i}) AS n" for i, (check, label, axis) in enumerate(G.TAXONOMY)
+) + ") AS x"
 
 
 @query(FINDINGS)
 def a_08_findings_by_check(spark, d):
-    return G.summary(findings(spark))
+    return G.summary(findings(spark, d))
 
 
 @query(f"SELECT axis, min(place) AS first, sum(n)::BIGINT AS n FROM ({FINDINGS}) AS f GROUP BY 1")
 def a_09_findings_by_axis(spark, d):
-    return G.summary(findings(spark)).groupBy("axis").agg(F.min("place").alias("first"), F.sum("n").alias("n"))
+    return G.summary(findings(spark, d)).groupBy("axis").agg(F.min("place").alias("first"), F.sum("n").alias("n"))
 
 
 MARKDOWN = Fixture(
@@ -266,6 +307,14 @@ MARKDOWN = Fixture(
 )
 
 
+NL = "chr(10)"
+#: A page with frontmatter, nested headings, one of them empty, and a fence around each document.
+MARKDOWN.over("documents", {
+    "name": "'d' || doc_id || '.md'",
+    "text": f"'---' || {NL} || 'status: live' || {NL} || 'count: ' || doc_id || {NL} || '---' || {NL} || 'Intro of ' || doc_id || {NL} || '# Top' || {NL} || {NL} || '## One' || {NL} || text || {NL} || '```' || {NL} || '# not a heading' || {NL} || '```' || {NL} || '## One' || {NL} || {NL} || '### Deep' || {NL} || 'deep ' || source",
+})
+
+
 FRONTMATTER = Fixture(
     "want",
     "name string, frontmatter string, body string",
@@ -274,6 +323,11 @@ FRONTMATTER = Fixture(
         ("b.md", "{}", "no headings at all\n"), ("c.md", "{}", "---\n: [bad\n---\n# H"), ("d.md", "{}", ""), ("e.md", None, None), ("f.md", "{}", "# Only\n\n# Intro\nx\n# X\n# X\n"),
     ],
 )
+FRONTMATTER.over("documents", {
+    "name": "'d' || doc_id || '.md'",
+    "frontmatter": """'{"status": "live", "count": ' || doc_id || '}'""",
+    "body": f"'Intro of ' || doc_id || {NL} || '# Top' || {NL} || {NL} || '## One' || {NL} || text || {NL} || '```' || {NL} || '# not a heading' || {NL} || '```' || {NL} || '## One' || {NL} || {NL} || '### Deep' || {NL} || 'deep ' || source",
+})
 #: A heading without text of its own and with deeper ones below it is no section; a repeated slug gets a number.
 SECTIONS = Fixture(
     "want",
@@ -289,17 +343,23 @@ SECTIONS = Fixture(
 
 @query(f"WITH {FRONTMATTER.cte()} SELECT * FROM want")
 def f_06_frontmatter(spark, d):
-    return S.with_frontmatter(MARKDOWN.df(spark)).select("name", "frontmatter", "body")
+    return S.with_frontmatter(MARKDOWN.df(spark, d)).select("name", "frontmatter", "body")
 
 
-def parsed(spark):
-    files = S.with_frontmatter(MARKDOWN.df(spark))
+def parsed(spark, d):
+    files = S.with_frontmatter(MARKDOWN.df(spark, d))
     return files, S.sections(files)
 
 
-@query(f"WITH {SECTIONS.cte()} SELECT * FROM want")
+#: What the nested headings of ``MARKDOWN`` give: three sections of each document.
+NESTED = r"""SELECT 'd' || doc_id || '.md' AS name, n AS emit_seq, CASE n WHEN 0 THEN 'd' || doc_id || '.md' WHEN 1 THEN 'One' ELSE 'Deep' END AS heading, CASE n WHEN 0 THEN 'd' || doc_id || '.md' WHEN 1 THEN 'Top > One' ELSE 'Top > One > Deep' END AS heading_path,
+CASE n WHEN 0 THEN 'Intro of ' || doc_id WHEN 1 THEN ltrim(text || chr(10) || '```' || chr(10) || '# not a heading' || chr(10) || '```', ' ' || chr(10)) ELSE 'deep ' || source END AS content, true AS leaf,
+'d' || doc_id || '.md#' || CASE n WHEN 0 THEN 'intro' WHEN 1 THEN 'one' ELSE 'deep' END AS id FROM documents, (SELECT CAST(unnest(range(3)) AS INT) AS n) AS p"""
+
+
+@query(NESTED)
 def f_36_sections(spark, d):
-    return parsed(spark)[1].withColumn("heading_path", F.array_join("heading_path", " > "))
+    return parsed(spark, d)[1].withColumn("heading_path", F.array_join("heading_path", " > "))
 
 
 #: No document has a heading: each is one section, its whole text.
@@ -311,7 +371,7 @@ def f_36_sections_of_documents(spark, d):
 
 @query(f"WITH {MARKDOWN.cte()} SELECT name, 0 AS missing FROM md")
 def a_28_uncarried(spark, d):
-    files, rows = parsed(spark)
+    files, rows = parsed(spark, d)
     return S.uncarried(files, rows)
 
 
@@ -349,12 +409,20 @@ def f_23_split_text(spark, d):
 PARAGRAPHS = Fixture("pg", "id int, t string", [(1, "aaa bbb\n\nccc\n\n" + "d" * 40 + "\n\ne"), (2, ""), (3, "one"), (4, "x" * 50 + "\n \n" + "y" * 5 + "\n\nz")])
 
 
-PACKED = Fixture("want", "id int, place int, part string", [(1, 0, "aaa bbb\n\nccc"), (1, 1, "d" * 40), (1, 2, "e"), (3, 0, "one"), (4, 0, "x" * 50), (4, 1, "yyyyy\n\nz")])
+#: The sentences of each document as paragraphs.
+PARAGRAPHS.over("documents", {"id": "doc_id", "t": "replace(text, '. ', '.' || chr(10) || chr(10))"})
 
 
-@query(f"WITH {PACKED.cte()} SELECT * FROM want")
+@query(
+    rf"""WITH RECURSIVE {PARAGRAPHS.cte()}, p AS (SELECT id, list_filter(list_transform(regexp_split_to_array(t, '\n\s*\n'), lambda x: trim(x)), lambda x: x <> '') AS ps FROM pg),
+    w AS (SELECT id, 1 AS i, '' AS cur, CAST([] AS VARCHAR[]) AS done, ps FROM p
+      UNION ALL SELECT id, i + 1, CASE WHEN cur = '' THEN ps[i] WHEN length(cur || chr(10) || chr(10) || ps[i]) // 3 <= 60 THEN cur || chr(10) || chr(10) || ps[i] ELSE ps[i] END,
+        CASE WHEN cur = '' OR length(cur || chr(10) || chr(10) || ps[i]) // 3 <= 60 THEN done ELSE list_append(done, cur) END, ps FROM w WHERE i <= len(ps)),
+    f AS (SELECT id, CASE WHEN cur = '' THEN done ELSE list_append(done, cur) END AS parts FROM w WHERE i = len(ps) + 1)
+    SELECT id, CAST(unnest(range(len(parts))) AS INT) AS place, unnest(parts) AS part FROM f"""
+)
 def w_11_pack_paragraphs(spark, d):
-    return PARAGRAPHS.df(spark).select("id", F.posexplode(S.pack_paragraphs(F.col("t"), 5)).alias("place", "part"))
+    return PARAGRAPHS.df(spark, d).select("id", F.posexplode(S.pack_paragraphs(F.col("t"), 60)).alias("place", "part"))
 
 
 @query(
@@ -363,7 +431,7 @@ def w_11_pack_paragraphs(spark, d):
 def p_01_admission(spark, d):
     status = F.expr("try_variant_get(parse_json(fm), '$.status', 'string')")
     how = F.when(F.col("status") == "failed_grounding", "dropped").when(F.col("dir") != "qa", "indexed").when(F.col("fm").isNull(), "dropped").when(status == "live", "indexed").when(status == "draft", "skipped").otherwise("warned")
-    return pages(spark).select("slug", how.alias("admission"))
+    return pages(spark, d).select("slug", how.alias("admission"))
 
 
 @query(
@@ -371,8 +439,8 @@ def p_01_admission(spark, d):
     SELECT DISTINCT canonical AS target, slug AS source, 'link' AS how FROM l JOIN res ON name = t UNION SELECT DISTINCT cited, slug, 'citation' FROM q"""
 )
 def j_09_inbound(spark, d):
-    links = pages(spark).select("slug", F.explode(X.wikilinks("body")).alias("name")).join(G.resolution_map(pages(spark)), "name").select(F.col("canonical").alias("target"), F.col("slug").alias("source"), F.lit("link").alias("how"))
-    cites = pages(spark).where("dir = 'qa'").select(F.explode("sources").alias("ref"), "slug").select(F.element_at(F.split("ref", "#"), 1).alias("target"), F.col("slug").alias("source"), F.lit("citation").alias("how"))
+    links = pages(spark, d).select("slug", F.explode(X.wikilinks("body")).alias("name")).join(G.resolution_map(pages(spark, d)), "name").select(F.col("canonical").alias("target"), F.col("slug").alias("source"), F.lit("link").alias("how"))
+    cites = pages(spark, d).where("dir = 'qa'").select(F.explode("sources").alias("ref"), "slug").select(F.element_at(F.split("ref", "#"), 1).alias("target"), F.col("slug").alias("source"), F.lit("citation").alias("how"))
     return links.union(cites).distinct()
 
 
@@ -380,27 +448,27 @@ def j_09_inbound(spark, d):
     f"""WITH {PAGES.cte()}, r AS (SELECT slug, list_filter(sources, lambda s: contains(s, '#')) AS refs FROM pages_) SELECT slug, array_to_string(list_transform(refs, lambda s: split_part(s, '#', 1)), ',') AS derived_from FROM r"""
 )
 def j_05_derived_from(spark, d):
-    return pages(spark).select("slug", F.array_join(F.transform(F.filter("sources", lambda s: F.instr(s, F.lit("#")) > 0), lambda s: F.element_at(F.split(s, "#"), 1)), ",").alias("derived_from"))
+    return pages(spark, d).select("slug", F.array_join(F.transform(F.filter("sources", lambda s: F.instr(s, F.lit("#")) > 0), lambda s: F.element_at(F.split(s, "#"), 1)), ",").alias("derived_from"))
 
 
 @query(f"""WITH {PAGES.cte()}, s AS (SELECT split_part(unnest(sources), '#', 1) AS source, slug, status FROM pages_ WHERE dir <> 'qa') SELECT source, count(*) AS pages, bool_and(status = 'live') AS skip FROM (SELECT DISTINCT * FROM s) GROUP BY 1""")
 def j_23_hash_skip(spark, d):
-    refs = pages(spark).where("dir <> 'qa'").select(F.explode("sources").alias("ref"), "slug", "status").select(F.element_at(F.split("ref", "#"), 1).alias("source"), "slug", "status").distinct()
+    refs = pages(spark, d).where("dir <> 'qa'").select(F.explode("sources").alias("ref"), "slug", "status").select(F.element_at(F.split("ref", "#"), 1).alias("source"), "slug", "status").distinct()
     return refs.groupBy("source").agg(F.count("*").alias("pages"), F.every(F.col("status") == "live").alias("skip"))
 
 
 @query(
     f"""WITH {PAGES.cte()}, {DOCS.cte()}, r AS (SELECT DISTINCT slug, split_part(unnest(sources), '#', 1) AS source FROM pages_ WHERE dir <> 'qa')
-    SELECT slug, bool_and(source = 'shipping.md' OR source NOT IN (SELECT basename FROM docs_)) AS full_orphan FROM r GROUP BY 1 HAVING bool_or(source = 'shipping.md')"""
+    SELECT slug, bool_and(source = 'src0.md' OR source NOT IN (SELECT basename FROM docs_)) AS full_orphan FROM r GROUP BY 1 HAVING bool_or(source = 'src0.md')"""
 )
 def j_25_retire_impact(spark, d):
-    refs = pages(spark).where("dir <> 'qa'").select("slug", F.explode("sources").alias("ref")).select("slug", F.element_at(F.split("ref", "#"), 1).alias("source")).distinct()
-    left = docs(spark).where("basename <> 'shipping.md'").select(F.col("basename").alias("source")).distinct().withColumn("there", F.lit(True))
-    return refs.join(left, "source", "left").groupBy("slug").agg(F.every(F.col("there").isNull()).alias("full_orphan"), F.bool_or(F.col("source") == "shipping.md").alias("hit")).where("hit").drop("hit")
+    refs = pages(spark, d).where("dir <> 'qa'").select("slug", F.explode("sources").alias("ref")).select("slug", F.element_at(F.split("ref", "#"), 1).alias("source")).distinct()
+    left = docs(spark, d).where("basename <> 'src0.md'").select(F.col("basename").alias("source")).distinct().withColumn("there", F.lit(True))
+    return refs.join(left, "source", "left").groupBy("slug").agg(F.every(F.col("there").isNull()).alias("full_orphan"), F.bool_or(F.col("source") == "src0.md").alias("hit")).where("hit").drop("hit")
 
 
 @query(f"WITH {PAGES.cte()} SELECT dir AS file, count(*) AS bullets, string_agg('- [[' || slug || ']]' || CASE WHEN len(aliases) > 0 THEN ' (' || array_to_string(aliases, ', ') || ')' ELSE '' END, chr(10) ORDER BY slug) AS listing FROM pages_ GROUP BY 1")
 def k_04_wiki_index(spark, d):
     bullet = F.concat(F.lit("- [["), "slug", F.lit("]]"), F.when(F.size("aliases") > 0, F.concat(F.lit(" ("), F.array_join("aliases", ", "), F.lit(")"))).otherwise(""))
-    rows = pages(spark).select(F.col("dir").alias("file"), F.struct("slug", bullet.alias("b")).alias("x")).groupBy("file").agg(F.count("*").alias("bullets"), F.array_sort(F.collect_list("x")).alias("x"))
+    rows = pages(spark, d).select(F.col("dir").alias("file"), F.struct("slug", bullet.alias("b")).alias("x")).groupBy("file").agg(F.count("*").alias("bullets"), F.array_sort(F.collect_list("x")).alias("x"))
     return rows.select("file", "bullets", F.array_join(F.transform("x", lambda x: x["b"]), "\n").alias("listing"))

@@ -32,12 +32,15 @@ def s_11_listing(spark, d):
 
 
 TRASH = Fixture("tr", "path string", [("trash/2024-01-02T00:00:00Z/docs/a.md",), ("trash/2024-01-01T00:00:00Z/b.md",), ("trash/x",)])
+TRASH.over("documents", {
+    "path": "CASE doc_id % 4 WHEN 3 THEN 'trash/x' || doc_id ELSE 'trash/2024-01-' || lpad(CAST(1 + doc_id % 28 AS STRING), 2, '0') || 'T00:00:00Z/' || CASE doc_id % 2 WHEN 0 THEN 'docs/' ELSE '' END || doc_id || '.md' END",
+})
 
 
 @query(rf"WITH {TRASH.cte()} SELECT regexp_extract(path, '^trash/([^/]+Z)/(.+)$', 1) AS ts, regexp_extract(path, '^trash/([^/]+Z)/(.+)$', 2) AS relpath FROM tr WHERE regexp_matches(path, '^trash/([^/]+Z)/(.+)$')")
 def s_17_trash(spark, d):
     at = lambda i: F.regexp_extract("path", r"^trash/([^/]+Z)/(.+)$", i)
-    return TRASH.df(spark).where(at(1) != "").select(at(1).alias("ts"), at(2).alias("relpath"))
+    return TRASH.df(spark, d).where(at(1) != "").select(at(1).alias("ts"), at(2).alias("relpath"))
 
 
 @query(f"WITH {STATS} SELECT token, df, row_number() OVER (ORDER BY token) AS place FROM df")
@@ -54,16 +57,19 @@ def k_05_log_lines(spark, d):
 @query(f"WITH {PAGES.cte()} SELECT status AS axis, count(*) AS n, string_agg('- ' || slug || ' (' || dir || ')', chr(10) ORDER BY slug, dir) AS lines FROM pages_ GROUP BY 1")
 def k_08_report(spark, d):
     bullet = F.concat(F.lit("- "), "slug", F.lit(" ("), "dir", F.lit(")"))
-    rows = pages(spark).groupBy(F.col("status").alias("axis")).agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("slug", "dir", bullet.alias("b")))).alias("x"))
+    rows = pages(spark, d).groupBy(F.col("status").alias("axis")).agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("slug", "dir", bullet.alias("b")))).alias("x"))
     return rows.select("axis", "n", F.array_join(F.transform("x", lambda x: x["b"]), "\n").alias("lines"))
 
 
 RELPATHS = Fixture("rp", "path string", [("docs/a.md",), ("/etc/x",), ("docs/../y",), ("raw/b.txt",), ("C:/x",), ("other/z",)])
+RELPATHS.over("documents", {
+    "path": "CASE doc_id % 6 WHEN 0 THEN 'docs/' || doc_id || '.md' WHEN 1 THEN '/etc/' || doc_id WHEN 2 THEN 'docs/../' || doc_id WHEN 3 THEN 'raw/' || source || '.txt' WHEN 4 THEN 'C:/' || doc_id ELSE source || '/z' END",
+})
 
 
 @query(rf"WITH {RELPATHS.cte()} SELECT path, NOT regexp_matches(path, '^([/\\]|[A-Za-z]:)') AND NOT list_contains(string_split(path, '/'), '..') AND string_split(path, '/')[1] IN ('docs', 'raw') AS ok FROM rp")
 def p_09_path_safety(spark, d):
-    return RELPATHS.df(spark).select("path", X.safe_path("path", ["docs", "raw"]).alias("ok"))
+    return RELPATHS.df(spark, d).select("path", X.safe_path("path", ["docs", "raw"]).alias("ok"))
 
 
 @query("SELECT doc_id, length(text) // 3 > 0.5 * 8000 AS asynchronous FROM documents")
@@ -71,23 +77,24 @@ def p_13_async_route(spark, d):
     return table(spark, d, "documents").select("doc_id", (X.estimate_tokens("text") > 0.5 * 8000).alias("asynchronous"))
 
 
-@query(f"WITH {PAGES.cte()} SELECT slug, CASE WHEN slug <> 'how-refund' THEN 'C10' END AS code FROM pages_ WHERE dir = 'qa'")
+@query(f"SELECT slug, CASE WHEN count(property) > 0 THEN 'C10' END AS code FROM (WITH {PAGES.cte()} SELECT slug FROM pages_ WHERE dir = 'qa') AS p LEFT JOIN ({SQL['g_c10_invalid_schema']}) AS f USING (slug) GROUP BY 1")
 def p_15_schema_code(spark, d):
-    bad = G.invalid_answers(pages(spark)).select("slug").distinct().withColumn("code", F.lit("C10"))
-    return pages(spark).where("dir = 'qa'").select("slug").join(bad, "slug", "left")
+    bad = G.invalid_answers(pages(spark, d)).select("slug").distinct().withColumn("code", F.lit("C10"))
+    return pages(spark, d).where("dir = 'qa'").select("slug").join(bad, "slug", "left")
 
 
 FILING = Fixture("fi", "id int, passed boolean, answer string, top string", [(1, True, "yes", "wiki/entities/a.md"), (2, True, "yes", "wiki/qa/b.md"), (3, False, "yes", "wiki/entities/a.md"), (4, True, "I cannot confirm from the knowledge base.", "wiki/entities/a.md"), (5, True, "yes", None)])
+FILING.over("documents", {
+    "id": "doc_id",
+    "passed": "doc_id % 3 <> 0",
+    "answer": "CASE doc_id % 5 WHEN 0 THEN 'I cannot confirm from the knowledge base.' ELSE text END",
+    "top": "CASE doc_id % 4 WHEN 0 THEN 'wiki/qa/' || doc_id || '.md' WHEN 1 THEN 'wiki/entities/' || doc_id || '.md' WHEN 2 THEN 'wiki/concepts/' || doc_id || '.md' END",
+})
 
 
 @query(f"WITH {FILING.cte()} SELECT id FROM fi WHERE passed AND trim(answer) <> '{X.REFUSAL}' AND NOT coalesce(starts_with(top, 'wiki/qa/'), false)")
 def p_16_filing_eligible(spark, d):
-    return FILING.df(spark).where(F.col("passed") & ~X.is_refusal("answer") & ~F.coalesce(F.col("top").startswith("wiki/qa/"), F.lit(False))).select("id")
-
-
-@query(rf"""WITH {PAGES.cte()} SELECT slug, len(list_filter(regexp_extract_all(body, '{X.WIKILINK}', 1), lambda x: trim(x) NOT IN ('shipping', 'refunds'))) = 0 AS grounded FROM pages_""")
-def p_17_edit_grounding(spark, d):
-    return pages(spark).select("slug", (F.size(F.array_except(X.wikilinks("body"), F.array(F.lit("shipping"), F.lit("refunds")))) == 0).alias("grounded"))
+    return FILING.df(spark, d).where(F.col("passed") & ~X.is_refusal("answer") & ~F.coalesce(F.col("top").startswith("wiki/qa/"), F.lit(False))).select("id")
 
 
 @query("SELECT item_id, '[' || item_id || '] passage > ' || item_id || chr(10) || '<<<UNTRUSTED>>>' || chr(10) || text || chr(10) || '<<<END>>>' AS block FROM benchmark")
@@ -99,7 +106,7 @@ def p_18_prompt_block(spark, d):
 @query(f"WITH {PAGES.cte()} SELECT slug, CASE dir WHEN 'entities' THEN 'wiki/entities/' WHEN 'concepts' THEN 'wiki/concepts/' ELSE 'wiki/qa/' END || slug || '.md' AS path FROM pages_")
 def p_20_citation_path(spark, d):
     folder = F.element_at(F.create_map(*map(F.lit, ("entities", "wiki/entities/", "concepts", "wiki/concepts/", "qa", "wiki/qa/"))), F.col("dir"))
-    return pages(spark).select("slug", F.concat(folder, "slug", F.lit(".md")).alias("path"))
+    return pages(spark, d).select("slug", F.concat(folder, "slug", F.lit(".md")).alias("path"))
 
 
 @query(f"WITH {BM25}, {KNN} SELECT 'lexical' AS arm, query_id, id, score FROM hits WHERE rank <= 3 AND score > 0 UNION ALL SELECT 'dense', query_id, id, NULL FROM rk WHERE rank <= 3")
@@ -149,55 +156,61 @@ def j_03_full_merge(spark, d):
 REFS = "refs AS (SELECT DISTINCT slug, split_part(unnest(sources), '#', 1) AS source FROM pages_ WHERE dir <> 'qa')"
 
 
-def refs(spark):
-    return pages(spark).where("dir <> 'qa'").select("slug", F.explode("sources").alias("ref")).select("slug", F.element_at(F.split("ref", "#"), 1).alias("source")).distinct()
+def refs(spark, d):
+    return pages(spark, d).where("dir <> 'qa'").select("slug", F.explode("sources").alias("ref")).select("slug", F.element_at(F.split("ref", "#"), 1).alias("source")).distinct()
 
 
 @query(f"WITH {PAGES.cte()}, {DOCS.cte()}, {REFS} SELECT slug, source FROM refs WHERE source NOT IN (SELECT basename FROM docs_)")
 def j_06_missing_sources(spark, d):
-    return refs(spark).join(docs(spark).select(F.col("basename").alias("source")), "source", "left_anti").select("slug", "source")
+    return refs(spark, d).join(docs(spark, d).select(F.col("basename").alias("source")), "source", "left_anti").select("slug", "source")
 
 
 @query(f"WITH {PAGES.cte()}, {DOCS.cte()}, {REFS} SELECT slug, source, count(path) AS matches FROM refs LEFT JOIN docs_ ON basename = source GROUP BY 1, 2")
 def j_07_source_resolution(spark, d):
-    return refs(spark).join(docs(spark).select(F.col("basename").alias("source"), "path"), "source", "left").groupBy("slug", "source").agg(F.count("path").alias("matches"))
+    return refs(spark, d).join(docs(spark, d).select(F.col("basename").alias("source"), "path"), "source", "left").groupBy("slug", "source").agg(F.count("path").alias("matches"))
 
 
 @query(rf"WITH {PAGES.cte()}, {RESOLVE}, w AS (SELECT slug AS page, trim(unnest(regexp_extract_all(body, '{X.WIKILINK}', 1))) AS target FROM pages_ WHERE dir <> 'qa') SELECT page, target FROM w WHERE target NOT IN (SELECT name FROM res)")
 def j_08_unresolved_links(spark, d):
-    links = pages(spark).where("dir <> 'qa'").select(F.col("slug").alias("page"), F.explode(X.wikilinks("body")).alias("target"))
-    return links.join(G.resolution_map(pages(spark)).select(F.col("name").alias("target")), "target", "left_anti").select("page", "target")
+    links = pages(spark, d).where("dir <> 'qa'").select(F.col("slug").alias("page"), F.explode(X.wikilinks("body")).alias("target"))
+    return links.join(G.resolution_map(pages(spark, d)).select(F.col("name").alias("target")), "target", "left_anti").select("page", "target")
 
 
 @query(f"WITH {PAGES.cte()}, {DOCS.cte()} SELECT slug, basename AS source, sha256(content) AS now_hash FROM pages_ JOIN docs_ ON basename = split_part(sources[1], '#', 1) WHERE dir <> 'qa'")
 def j_10_page_source_hash(spark, d):
-    first = pages(spark).where("dir <> 'qa'").select("slug", F.element_at(F.split(F.get("sources", F.lit(0)), "#"), 1).alias("source"))
-    return first.join(docs(spark).select(F.col("basename").alias("source"), F.sha2("content", 256).alias("now_hash")), "source").select("slug", "source", "now_hash")
+    first = pages(spark, d).where("dir <> 'qa'").select("slug", F.element_at(F.split(F.get("sources", F.lit(0)), "#"), 1).alias("source"))
+    return first.join(docs(spark, d).select(F.col("basename").alias("source"), F.sha2("content", 256).alias("now_hash")), "source").select("slug", "source", "now_hash")
 
 
 @query(f"WITH {PAGES.cte()}, q AS (SELECT slug, updated, split_part(unnest(sources), '#', 1) AS cited FROM pages_ WHERE dir = 'qa') SELECT DISTINCT q.slug, q.cited FROM q JOIN pages_ p ON p.slug = q.cited AND p.dir <> 'qa' AND p.updated > q.updated")
 def j_11_later_citation(spark, d):
-    qa = pages(spark).where("dir = 'qa'").select("slug", "updated", F.explode("sources").alias("ref")).select("slug", "updated", F.element_at(F.split("ref", "#"), 1).alias("cited"))
-    wiki = pages(spark).where("dir <> 'qa'").select(F.col("slug").alias("cited"), F.col("updated").alias("later"))
+    qa = pages(spark, d).where("dir = 'qa'").select("slug", "updated", F.explode("sources").alias("ref")).select("slug", "updated", F.element_at(F.split("ref", "#"), 1).alias("cited"))
+    wiki = pages(spark, d).where("dir <> 'qa'").select(F.col("slug").alias("cited"), F.col("updated").alias("later"))
     return qa.join(wiki, "cited").where("later > updated").select("slug", "cited").distinct()
 
 
 @query(NEIGHBOURS)
 def j_13_bm25_neighbours(spark, d):
-    rows = pages(spark).where("dir <> 'qa'").select(F.col("slug").alias("id"), F.row_number().over(Window.orderBy("slug")).alias("seq"), X.tokenize("body").alias("tokens"))
-    asked = rows.select(F.col("id").alias("query_id"), F.explode("tokens").alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("times"))
-    scored = bm25.scores(asked, rows).where("query_id <> id AND score >= 1.0")
-    return bm25.top_k(scored, 3).select("query_id", F.col("id").alias("neighbour"), "rank", "score")
+    return G.page_index(pages(spark, d)).neighbours(3, 1.0).select("query_id", F.col("id").alias("neighbour"), "rank", "score")
 
 
 GROUPS = Fixture("grp", "group_id string, kind string, ids array<string>", [("g1", "contradiction", ["a", "b", "c"]), ("g2", "redundancy", ["d", "e"]), ("g3", "contradiction", ["f", "g"])])
+GROUPS.over("documents", {
+    "group_id": "'g' || doc_id",
+    "kind": "CASE doc_id % 3 WHEN 0 THEN 'redundancy' ELSE 'contradiction' END",
+    "ids": "array('a' || doc_id, 'b' || doc_id, 'a' || (doc_id + 7))",
+})
 GOLDS = Fixture("gq", "query_id int, gold array<string>", [(1, ["a"]), (2, ["d"]), (3, ["a", "f"]), (4, ["g"]), (5, [])])
+GOLDS.over("documents", {
+    "query_id": "doc_id",
+    "gold": "CASE doc_id % 4 WHEN 0 THEN array() WHEN 1 THEN array('b' || doc_id) WHEN 2 THEN array('a' || doc_id, 'b' || doc_id) ELSE array('b' || doc_id, 'a' || (doc_id div 2)) END",
+})
 
 
 @query(f"WITH {GROUPS.cte()}, {GOLDS.cte()}, m AS (SELECT query_id, any_value(gold) AS gold, any_value(kind) AS kind, any_value(ids) AS ids FROM (SELECT query_id, gold, unnest(gold) AS g FROM gq) JOIN grp ON list_contains(ids, g) GROUP BY query_id HAVING count(DISTINCT group_id) = 1) SELECT query_id, array_to_string(list_sort(list_filter(ids, lambda x: NOT list_contains(gold, x))), ',') AS leaks FROM m WHERE kind <> 'redundancy'")
 def j_19_leak_ids(spark, d):
-    members = GROUPS.df(spark).select("group_id", "kind", "ids", F.explode("ids").alias("g"))
-    rows = GOLDS.df(spark).select("query_id", "gold", F.explode("gold").alias("g")).join(members, "g").groupBy("query_id").agg(F.countDistinct("group_id").alias("n"), F.first("gold").alias("gold"), F.first("kind").alias("kind"), F.first("ids").alias("ids"))
+    members = GROUPS.df(spark, d).select("group_id", "kind", "ids", F.explode("ids").alias("g"))
+    rows = GOLDS.df(spark, d).select("query_id", "gold", F.explode("gold").alias("g")).join(members, "g").groupBy("query_id").agg(F.countDistinct("group_id").alias("n"), F.first("gold").alias("gold"), F.first("kind").alias("kind"), F.first("ids").alias("ids"))
     return rows.where("n = 1 AND kind <> 'redundancy'").select("query_id", F.array_join(F.array_sort(F.array_except("ids", "gold")), ",").alias("leaks"))
 
 
@@ -211,22 +224,27 @@ def j_22_zone_union(spark, d):
 
 @query(f"WITH {PAGES.cte()}, {REFS} SELECT DISTINCT source, first_value(slug) OVER (PARTITION BY source ORDER BY slug) AS first_page FROM refs")
 def j_26_union_of_sources(spark, d):
-    return refs(spark).groupBy("source").agg(F.min("slug").alias("first_page"))
+    return refs(spark, d).groupBy("source").agg(F.min("slug").alias("first_page"))
+
+
+KNOWN = Fixture("known", "ref string", [("refunds.md#a",), ("refunds.md#z",), ("shipping.md#s",), ("pricing.md#q",)])
+#: Sections of some files: of each cited source two, of each cited file one.
+KNOWN.over("documents", {"ref": "CASE WHEN doc_id % 3 = 0 THEN 'file' || (doc_id div 4) || '.md#x' ELSE source || '.md#s' || (doc_id % 3) END"})
 
 
-@query(f"WITH {PAGES.cte()}, c AS (SELECT slug, unnest(sources) AS ref FROM pages_ WHERE dir <> 'qa'), s(ref) AS (VALUES ('refunds.md#a'), ('refunds.md#z'), ('shipping.md#s'), ('pricing.md#q')), f AS (SELECT DISTINCT slug, split_part(ref, '#', 1) AS file FROM c) SELECT f.slug, s.ref, c.ref IS NOT NULL AS cited FROM f JOIN s ON split_part(s.ref, '#', 1) = f.file LEFT JOIN c ON c.slug = f.slug AND c.ref = s.ref")
+@query(f"WITH {PAGES.cte()}, c AS (SELECT slug, unnest(sources) AS ref FROM pages_ WHERE dir <> 'qa'), {KNOWN.cte()}, s AS (SELECT DISTINCT ref FROM known), f AS (SELECT DISTINCT slug, split_part(ref, '#', 1) AS file FROM c) SELECT f.slug, s.ref, c.ref IS NOT NULL AS cited FROM f JOIN s ON split_part(s.ref, '#', 1) = f.file LEFT JOIN c ON c.slug = f.slug AND c.ref = s.ref")
 def j_27_cited_and_siblings(spark, d):
-    cited = pages(spark).where("dir <> 'qa'").select("slug", F.explode("sources").alias("ref"))
-    known = spark.createDataFrame([("refunds.md#a",), ("refunds.md#z",), ("shipping.md#s",), ("pricing.md#q",)], "ref string").withColumn("file", F.element_at(F.split("ref", "#"), 1))
+    cited = pages(spark, d).where("dir <> 'qa'").select("slug", F.explode("sources").alias("ref"))
+    known = KNOWN.df(spark, d).distinct().withColumn("file", F.element_at(F.split("ref", "#"), 1))
     files = cited.select("slug", F.element_at(F.split("ref", "#"), 1).alias("file")).distinct()
     return files.join(known, "file").join(cited.withColumn("cited", F.lit(True)), ["slug", "ref"], "left").select("slug", "ref", F.coalesce("cited", F.lit(False)).alias("cited"))
 
 
 @query(f"WITH {PAGES.cte()}, q AS (SELECT DISTINCT split_part(unnest(sources), '#', 1) AS slug FROM pages_ WHERE dir = 'qa') SELECT q.slug, arg_min(dir, CASE dir WHEN 'entities' THEN 0 WHEN 'concepts' THEN 1 ELSE 2 END) AS dir FROM q JOIN pages_ p ON p.slug = q.slug GROUP BY 1")
 def j_28_citation_priority(spark, d):
-    cited = pages(spark).where("dir = 'qa'").select(F.explode("sources").alias("ref")).select(F.element_at(F.split("ref", "#"), 1).alias("slug")).distinct()
+    cited = pages(spark, d).where("dir = 'qa'").select(F.explode("sources").alias("ref")).select(F.element_at(F.split("ref", "#"), 1).alias("slug")).distinct()
     order = F.when(F.col("dir") == "entities", 0).when(F.col("dir") == "concepts", 1).otherwise(2)
-    return cited.join(pages(spark).select("slug", "dir"), "slug").groupBy("slug").agg(F.min_by("dir", order).alias("dir"))
+    return cited.join(pages(spark, d).select("slug", "dir"), "slug").groupBy("slug").agg(F.min_by("dir", order).alias("dir"))
 
 
 @query(f"""WITH {STATS}, q AS (SELECT item_id AS query_id, unnest({tokens_sql('text')}) AS token FROM benchmark), tf AS (SELECT id, len, token, count(*) AS tf FROM post GROUP BY 1, 2, 3), w(weight) AS (VALUES (CAST(0.1 AS DOUBLE)), (0.3), (1.0)),
@@ -249,7 +267,7 @@ def a_27_load_summary(spark, d):
 
 @query(rf"WITH {PAGES.cte()} SELECT t AS target, count(*) AS mentions, count(DISTINCT slug) AS pages FROM (SELECT slug, trim(unnest(regexp_extract_all(body, '{X.WIKILINK}', 1))) AS t FROM pages_) GROUP BY 1")
 def a_06_link_mentions(spark, d):
-    return pages(spark).select("slug", F.explode(X.wikilinks("body")).alias("target")).groupBy("target").agg(F.count("*").alias("mentions"), F.countDistinct("slug").alias("pages"))
+    return pages(spark, d).select("slug", F.explode(X.wikilinks("body")).alias("target")).groupBy("target").agg(F.count("*").alias("mentions"), F.countDistinct("slug").alias("pages"))
 
 
 @query(f"WITH {HYBRID} SELECT query_id, id, rank FROM lex WHERE rank <= 10")
@@ -262,9 +280,10 @@ def w_10_first_seen(spark, d):
     return table(spark, d, "benchmark").select("item_id", F.array_join(F.array_distinct(F.split(F.lower("text"), " ")), " ").alias("words"))
 
 
-@query("SELECT k, least(10, greatest(1, k)) AS clamped FROM (VALUES (-3), (0), (5), (99)) AS t(k)")
+@query("SELECT doc_id, CAST(least(10, greatest(1, doc_id % 25 - 5)) AS INT) AS clamped FROM documents")
 def o_12_clamp(spark, d):
-    return spark.createDataFrame([(-3,), (0,), (5,), (99,)], "k int").select("k", F.least(F.lit(10), F.greatest(F.lit(1), "k")).alias("clamped"))
+    k = (F.col("doc_id") % 25 - 5).cast("int")
+    return table(spark, d, "documents").select("doc_id", F.least(F.lit(10), F.greatest(F.lit(1), k)).alias("clamped"))
 
 
 @query(f"SELECT a.item_id AS a, len(list_intersect(list_distinct({tokens_sql('a.text')}), list_distinct({tokens_sql('b.text')}))) AS common FROM benchmark a JOIN benchmark b ON b.item_id = a.item_id + 1")
@@ -276,7 +295,7 @@ def u_02_token_intersection(spark, d):
 @query(f"WITH {PAGES.cte()} SELECT dir, array_to_string(list_sort(list_distinct(flatten(list(list_transform(sources, lambda s: split_part(s, '#', 1)))))), ',') AS files FROM pages_ GROUP BY 1")
 def u_04_source_union(spark, d):
     files = F.transform("sources", lambda s: F.element_at(F.split(s, "#"), 1))
-    return pages(spark).groupBy("dir").agg(F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_list(files)))), ",").alias("files"))
+    return pages(spark, d).groupBy("dir").agg(F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_list(files)))), ",").alias("files"))
 
 
 @query("SELECT doc_id, nfc_normalize(text) = text AS normal FROM documents")
@@ -292,7 +311,7 @@ def f_21_render_frontmatter(spark, d):
 
 @query(rf"WITH {PAGES.cte()} SELECT slug, regexp_extract(substr(body, 1, 600), '\(collision group: ''([^'']*)''\)', 1) AS marked FROM pages_")
 def f_35_separation_mark(spark, d):
-    return pages(spark).select("slug", F.regexp_extract(F.substring("body", 1, 600), r"\(collision group: '([^']*)'\)", 1).alias("marked"))
+    return pages(spark, d).select("slug", F.regexp_extract(F.substring("body", 1, 600), r"\(collision group: '([^']*)'\)", 1).alias("marked"))
 
 
 @query()
@@ -313,8 +332,8 @@ def x_02_draft_and_verify(spark, d):
     SELECT a, b, CASE WHEN nx <> ny AND len(wx) > 0 AND len(list_intersect(wx, wy)) / CAST(len(wx) AS DOUBLE) > 0.5 THEN 'contradiction' ELSE 'consistent' END AS verdict FROM n"""
 )
 def x_06_judge_pairs(spark, d):
-    p = G.contradictions(pages(spark))
-    body = pages(spark).select("slug", "body")
+    p = G.contradictions(pages(spark, d))
+    body = pages(spark, d).select("slug", "body")
     rows = p.join(body.select(F.col("slug").alias("a"), F.col("body").alias("x")), "a").join(body.select(F.col("slug").alias("b"), F.col("body").alias("y")), "b")
     return rows.select("a", "b", seams.judge("x", "y").alias("verdict"))
 

@@ -102,11 +102,23 @@ MIXED = Fixture(
         ("e", 6, ["Refunds"], "", None, "en"),
     ],
 )
+MIXED.over("documents", {
+    "id": "'d' || doc_id",
+    "seq": "doc_id",
+    "heading_path": "CASE doc_id % 3 WHEN 0 THEN array(source, split_part(text, ' ', 1) || ' ' || split_part(text, ' ', 2)) WHEN 1 THEN array(split_part(text, ' ', 3)) ELSE array(lang) END",
+    "content": "text",
+    "question": "CASE doc_id % 4 WHEN 0 THEN split_part(text, ' ', 4) || ' ' || split_part(text, ' ', 5) END",
+    "lang": "lang",
+})
 ASKED = Fixture("q", "query_id int, text string", [(1, "refund policy"), (2, "refunds refunds order"), (3, "shipping shipping days"), (4, "退款政策"), (5, "billing"), (6, "the of"), (7, "nothing matches")])
+ASKED.over("benchmark", {
+    "query_id": "item_id",
+    "text": "text || CASE item_id % 4 WHEN 0 THEN ' 退款政策 src' || (item_id % 20) ELSE '' END",
+})
 
 
-def mixed_sections(spark):
-    rows = MIXED.df(spark).withColumn("question_tokens", F.coalesce(X.tokenize("question"), F.expr("CAST(array() AS array<string>)")))
+def mixed_sections(spark, d):
+    rows = MIXED.df(spark, d).withColumn("question_tokens", F.coalesce(X.tokenize("question"), F.expr("CAST(array() AS array<string>)")))
     return rows.withColumn("tokens", F.concat(X.tokenize(F.element_at("heading_path", -1)), X.tokenize("content"), "question_tokens"))
 
 
@@ -119,7 +131,7 @@ def mixed_sections(spark):
     SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, seq) AS rank, score FROM sc WHERE score > 0 QUALIFY rank <= 3"""
 )
 def o_01_bm25_headings(spark, d):
-    return bm25.bm25_search(ASKED.df(spark), mixed_sections(spark), 3)
+    return bm25.bm25_search(ASKED.df(spark, d), mixed_sections(spark, d), 3)
 
 
 @query(
@@ -128,7 +140,7 @@ def o_01_bm25_headings(spark, d):
 )
 def p_05_route(spark, d):
     ratio = X.script_ratio("text")
-    return ASKED.df(spark).select("query_id", F.when(ratio >= 0.6, "zh").when(ratio <= 0.4, "en").otherwise("mixed").alias("route"))
+    return ASKED.df(spark, d).select("query_id", F.when(ratio >= 0.6, "zh").when(ratio <= 0.4, "en").otherwise("mixed").alias("route"))
 
 
 def probes(spark, d):
@@ -192,12 +204,17 @@ def o_05_hybrid(spark, d):
 
 
 GATES = Fixture("g", "id int, bm25_top double, dense_best double", [(1, 0.5, None), (2, 0.49, None), (3, None, 1.1), (4, None, 1.2), (5, None, None), (6, 0.1, 0.2), (7, 9.0, 2.0)])
+GATES.over("documents", {
+    "id": "doc_id",
+    "bm25_top": "CASE WHEN doc_id % 3 <> 0 THEN CAST(doc_id % 100 AS DOUBLE) / 100 END",
+    "dense_best": "CASE WHEN doc_id % 4 <> 0 THEN CAST(doc_id % 150 AS DOUBLE) / 60 END",
+})
 
 
 @query(f"WITH {GATES.cte()} SELECT id, coalesce(bm25_top >= 0.5, false) OR coalesce(dense_best <= 1.1, false) AS passed, coalesce(bm25_top >= 0.5, false) OR dense_best IS NOT NULL AS open_passed FROM g")
 def p_07_or_gate(spark, d):
-    rows = fusion.either_gate(GATES.df(spark), 0.5, 1.1).select("id", "passed")
-    return rows.join(fusion.either_gate(GATES.df(spark), 0.5, None).select("id", F.col("passed").alias("open_passed")), "id")
+    rows = fusion.either_gate(GATES.df(spark, d), 0.5, 1.1).select("id", "passed")
+    return rows.join(fusion.either_gate(GATES.df(spark, d), 0.5, None).select("id", F.col("passed").alias("open_passed")), "id")
 
 
 @query(f"""WITH {BM25}, f AS (SELECT query_id, source AS file, min(rank) AS first FROM hits JOIN documents ON doc_id = id WHERE rank <= 3 AND score > 0 GROUP BY 1, 2)

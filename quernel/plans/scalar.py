@@ -16,6 +16,11 @@ TEXTS = Fixture(
         (8, "Foo É退 ٣ Bar!"), (9, "  --  "), (10, "Straße 12 a b"), (11, "帳號 account deletion 申請流程"), (12, "A 1 b2"), (13, "\"quoted\" it's, ok?!"),
     ],
 )
+#: Benchmark passages among Han characters.
+TEXTS.over("benchmark", {
+    "id": "item_id",
+    "t": "CASE item_id % 5 WHEN 0 THEN '退貨政策 ' WHEN 1 THEN '貨' ELSE '' END || text || CASE item_id % 3 WHEN 0 THEN ' How do I 退款 my API-key?' WHEN 1 THEN ' 帳號 申請流程 É退 ٣' ELSE '' END",
+})
 STOP = "[" + ", ".join(f"'{w}'" for w in X.STOP_WORDS) + "]"
 
 
@@ -47,7 +52,7 @@ def f_01_tokenize(spark, d):
 
 @query(f"WITH {TEXTS.cte()} SELECT id, array_to_string({tokens_sql('t')}, ' ') AS tokens FROM texts")
 def f_01_tokenize_han(spark, d):
-    return TEXTS.df(spark).select("id", F.array_join(X.tokenize("t"), " ").alias("tokens"))
+    return TEXTS.df(spark, d).select("id", F.array_join(X.tokenize("t"), " ").alias("tokens"))
 
 
 @query(f"SELECT p_partkey, {slug_sql('p_name')} AS slug FROM part")
@@ -57,12 +62,12 @@ def f_02_slug(spark, d):
 
 @query(f"WITH {TEXTS.cte()} SELECT id, {slug_sql('t')} AS slug FROM texts")
 def f_02_slug_han(spark, d):
-    return TEXTS.df(spark).select("id", X.slugify("t").alias("slug"))
+    return TEXTS.df(spark, d).select("id", X.slugify("t").alias("slug"))
 
 
 @query(f"WITH {TEXTS.cte()} SELECT id, i AS at, regexp_matches(substr(t, i, 1), '[{HAN}]') AS han FROM (SELECT id, t, unnest(range(1, length(t) + 1)) AS i FROM texts)")
 def f_03_is_han(spark, d):
-    rows = TEXTS.df(spark).where("length(t) > 0").select("id", "t", F.explode(F.sequence(F.lit(1), F.length("t"))).alias("i")).withColumn("at", F.col("i").cast("long"))
+    rows = TEXTS.df(spark, d).where("length(t) > 0").select("id", "t", F.explode(F.sequence(F.lit(1), F.length("t"))).alias("i")).withColumn("at", F.col("i").cast("long"))
     return rows.select("id", "at", X.is_han(F.substring("t", F.col("at").cast("int"), F.lit(1))).alias("han"))
 
 
@@ -82,7 +87,7 @@ def f_04_detect_lang(spark, d):
     SELECT id, {LANG_SQL} AS lang, CASE WHEN h + a > 0 THEN h / CAST(h + a AS DOUBLE) ELSE 0 END AS ratio FROM c"""
 )
 def f_05_script_ratio(spark, d):
-    return TEXTS.df(spark).select("id", X.detect_lang("t").alias("lang"), X.script_ratio("t").alias("ratio"))
+    return TEXTS.df(spark, d).select("id", X.detect_lang("t").alias("lang"), X.script_ratio("t").alias("ratio"))
 
 
 @query(f"SELECT doc_id, {norm_sql('text')} AS q FROM documents")
@@ -106,6 +111,10 @@ def f_09_canonicalise(spark, d):
 
 
 SUMMARIES = Fixture("s", "id int, summary string", [(1, '"how to=x" reason=empty top_section=a#b reason=late'), (2, "cited=a,b"), (3, ""), (4, '"q" x= y=2')])
+SUMMARIES.over("events", {
+    "id": "event_id",
+    "summary": "'\"how to=x\" reason=' || event_type || ' user=' || user_id || CASE event_id % 3 WHEN 0 THEN ' reason=late x= y=2' WHEN 1 THEN ' cited=a,b' ELSE '' END",
+})
 
 
 @query(
@@ -115,18 +124,22 @@ SUMMARIES = Fixture("s", "id int, summary string", [(1, '"how to=x" reason=empty
     SELECT id, k, max_by(v, i) AS v FROM p GROUP BY id, k"""
 )
 def f_10_parse_kv(spark, d):
-    return SUMMARIES.df(spark).select("id", F.explode(X.parse_kv("summary")).alias("k", "v"))
+    return SUMMARIES.df(spark, d).select("id", F.explode(X.parse_kv("summary")).alias("k", "v"))
 
 
 BODIES = Fixture(
     "b", "id int, body string",
     [(1, "see [[refunds]] and [[ shipping #fees|Fees]] [[a|b]] [Source: docs.md#a ] [Source:  x.md#b]"), (2, "none [[]] [Source: ]"), (3, "[[x#y]] [[x]] [Source: z][Source: z]")],
 )
+BODIES.over("documents", {
+    "id": "doc_id",
+    "body": "text || ' [[p' || (doc_id div 3) || ']] [[ x' || (doc_id % 5) || ' #fees|Fees]] [[p' || (doc_id div 3) || '|b]] [Source: f' || (doc_id % 7) || '.md#a ] [Source:  x.md#b]' || CASE doc_id % 4 WHEN 0 THEN ' [[]] [Source: ]' ELSE '' END",
+})
 
 
 @query(rf"WITH {BODIES.cte()} SELECT id, trim(x) AS slug, count(*) AS n FROM (SELECT id, unnest(regexp_extract_all(body, '{X.WIKILINK}', 1)) AS x FROM b) GROUP BY 1, 2")
 def f_11_wikilinks(spark, d):
-    return BODIES.df(spark).select("id", F.explode(X.wikilinks("body")).alias("slug")).groupBy("id", "slug").agg(F.count("*").alias("n"))
+    return BODIES.df(spark, d).select("id", F.explode(X.wikilinks("body")).alias("slug")).groupBy("id", "slug").agg(F.count("*").alias("n"))
 
 
 @query(
@@ -134,7 +147,7 @@ def f_11_wikilinks(spark, d):
     array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(body, '{X.CITATION}', 1), lambda x: trim(x)))), '|') AS cited FROM b"""
 )
 def f_12_citations(spark, d):
-    return BODIES.df(spark).select("id", F.array_join(X.citations("body"), "|").alias("inline"), F.array_join(X.cited_ids("body"), "|").alias("cited"))
+    return BODIES.df(spark, d).select("id", F.array_join(X.citations("body"), "|").alias("inline"), F.array_join(X.cited_ids("body"), "|").alias("cited"))
 
 
 @query("SELECT doc_id, length(text) // 3 AS tokens FROM documents")
@@ -148,26 +161,30 @@ def f_14_sha256(spark, d):
 
 
 LINES = Fixture("l", "id int, t string", [(1, "Page  2/63 Il"), (2, "  p\u00a0age 11 l"), (3, "⼀⽂ text ⼭"), (4, "（全） ：ok， done。"), (5, "say \"hi\"\nnow\r!")])
+LINES.over("documents", {
+    "id": "doc_id",
+    "t": "text || CASE doc_id % 3 WHEN 0 THEN ' Page  ' || doc_id || '/63 Il' WHEN 1 THEN ' ⼀⽂ text ⼭' ELSE ' （全） ：ok， done。 say \"hi\"' END",
+})
 
 
 @query(rf"WITH {LINES.cte()} SELECT id, regexp_replace(translate(trim(regexp_replace(t, '[\s\x{{A0}}]+', ' ', 'g')), 'lI', '11'), '\d+', '#', 'g') AS k FROM l WHERE id <= 2")
 def f_17_furniture_key(spark, d):
-    return LINES.df(spark).where("id <= 2").select("id", X.furniture_key("t").alias("k"))
+    return LINES.df(spark, d).where("id <= 2").select("id", X.furniture_key("t").alias("k"))
 
 
 @query(f"WITH {LINES.cte()} SELECT id, nfc_normalize(translate(t, '⼀⽂⼭', '一文山')) AS t FROM l WHERE id = 3")
 def f_15_kangxi(spark, d):
-    return LINES.df(spark).where("id = 3").select("id", X.kangxi("t").alias("t"))
+    return LINES.df(spark, d).where("id = 3").select("id", X.kangxi("t").alias("t"))
 
 
 @query(rf"WITH {LINES.cte()} SELECT id, translate(regexp_replace(t, '[\s\x{{A0}}]+', '', 'g'), '，。：；！？（）', ',.:;!?()') AS anchor FROM l")
 def f_18_anchor(spark, d):
-    return LINES.df(spark).select("id", X.normalize_anchor("t").alias("anchor"))
+    return LINES.df(spark, d).select("id", X.normalize_anchor("t").alias("anchor"))
 
 
 @query(rf"WITH {LINES.cte()} SELECT id, replace(replace(replace(substr(t, 1, 60), chr(10), ''), chr(13), ''), '\"', '''') AS safe, CASE WHEN length(t) > 6 THEN substr(t, 1, 6) || '…' ELSE t END AS short FROM l".replace('\\"', '"'))
 def f_29_truncate(spark, d):
-    return LINES.df(spark).select("id", X.log_safe("t").alias("safe"), X.truncated("t", 6, "…").alias("short"))
+    return LINES.df(spark, d).select("id", X.log_safe("t").alias("safe"), X.truncated("t", 6, "…").alias("short"))
 
 
 @query("SELECT item_id, '<<<UNTRUSTED>>>' || chr(10) || text || chr(10) || '<<<END>>>' AS wrapped FROM benchmark")
@@ -176,14 +193,22 @@ def f_30_wrap_untrusted(spark, d):
 
 
 HOPS = Fixture("h", "id int, xff string, peer string", [(1, "1.1.1.1, 2.2.2.2 ", "9.9.9.9"), (2, None, "9.9.9.9"), (3, "", None), (4, "3.3.3.3", None), (5, "a,", "p")])
+HOPS.over("events", {
+    "id": "event_id",
+    "xff": "CASE event_id % 5 WHEN 0 THEN '10.0.0.' || user_id || ', 2.2.2.' || (event_id % 250) || ' ' WHEN 1 THEN '' WHEN 2 THEN 'a,' WHEN 3 THEN '3.3.3.' || user_id END",
+    "peer": "CASE WHEN event_id % 3 = 0 THEN '9.9.9.' || user_id END",
+})
 
 
 @query(f"WITH {HOPS.cte()} SELECT id, coalesce(nullif(trim(list_last(string_split(xff, ','))), ''), nullif(peer, ''), 'unknown') AS ip FROM h")
 def f_32_client_ip(spark, d):
-    return HOPS.df(spark).select("id", X.client_ip("xff", "peer").alias("ip"))
+    return HOPS.df(spark, d).select("id", X.client_ip("xff", "peer").alias("ip"))
 
 
 PATHS = Fixture("p", "path string", [("/wiki/qa/a-b/refile",), ("/wiki/qa/a-b",), ("/wiki/qa/promote-batch",), ("/wiki/pages/x/aliases/y",), ("/wiki/pages/x/aliases",), ("/wiki/pages/x/",), ("/chat/stream",), ("/",), ("/wiki/qa/z/demote",), ("/wiki/pages/reconcile",)])
+PATHS.over("documents", {
+    "path": "CASE doc_id % 10 WHEN 0 THEN '/wiki/qa/s' || doc_id || '/refile' WHEN 1 THEN '/wiki/qa/s' || doc_id WHEN 2 THEN '/wiki/qa/promote-batch' WHEN 3 THEN '/wiki/pages/s' || doc_id || '/aliases/y' WHEN 4 THEN '/wiki/pages/s' || doc_id || '/aliases' WHEN 5 THEN '/wiki/pages/s' || doc_id || '/' WHEN 6 THEN '/chat/' || source WHEN 7 THEN '/' WHEN 8 THEN '/wiki/qa/s' || doc_id || '/demote' ELSE '/wiki/pages/reconcile' END",
+})
 
 
 @query(
@@ -195,7 +220,7 @@ PATHS = Fixture("p", "path string", [("/wiki/qa/a-b/refile",), ("/wiki/qa/a-b",)
       WHEN s[2:3] = ['wiki', 'qa'] AND len(s) = 4 AND s[4] <> 'promote-batch' THEN '/wiki/qa/{{slug}}' ELSE q END AS template FROM s"""
 )
 def f_33_canonical_path(spark, d):
-    return PATHS.df(spark).select("path", X.canonical_path("path").alias("template"))
+    return PATHS.df(spark, d).select("path", X.canonical_path("path").alias("template"))
 
 
 PAIR = f"FROM (SELECT a.item_id AS a, b.item_id AS b, list_distinct({tokens_sql('a.text')}) AS x, list_distinct({tokens_sql('b.text')}) AS y FROM benchmark a JOIN benchmark b ON b.item_id = a.item_id + 1)"
@@ -231,22 +256,35 @@ def f_26_drift(spark, d):
 
 
 ANSWERS = Fixture("a", "id int, answer string", [(1, " I cannot confirm from the knowledge base. "), (2, "I cannot confirm"), (3, None)])
+ANSWERS.over("documents", {
+    "id": "doc_id",
+    "answer": "CASE doc_id % 4 WHEN 0 THEN ' I cannot confirm from the knowledge base. ' WHEN 1 THEN 'I cannot confirm' WHEN 2 THEN text END",
+})
 
 
 @query(f"WITH {ANSWERS.cte()} SELECT id, trim(answer) = '{X.REFUSAL}' AS refused FROM a")
 def f_27_refusal(spark, d):
-    return ANSWERS.df(spark).select("id", X.is_refusal("answer").alias("refused"))
+    return ANSWERS.df(spark, d).select("id", X.is_refusal("answer").alias("refused"))
 
 
 DATES = Fixture("t", "id int, ts string", [(1, "2024-05-01T10:00:00Z"), (2, "2024-05-01T10:00:00"), (3, "2024-05-01"), (4, "soon"), (5, None), (6, "2024-05-01T10:00:00+02:00")])
+DATES.over("documents", {
+    "id": "doc_id",
+    "ts": "CASE WHEN doc_id % 6 = 5 THEN CASE doc_id % 4 WHEN 1 THEN 'soon' END ELSE '2024-05-' || lpad(CAST(1 + doc_id % 28 AS STRING), 2, '0') || CASE doc_id % 6 WHEN 0 THEN 'T10:00:00Z' WHEN 1 THEN 'T10:00:00' WHEN 2 THEN '' WHEN 3 THEN 'T10:00:00+02:00' ELSE 'T23:59:59Z' END END",
+})
 
 
 @query(f"WITH {DATES.cte()} SELECT id, CAST(epoch(try_cast(ts AS TIMESTAMPTZ)) AS BIGINT) AS s FROM t")
 def f_28_parse_instant(spark, d):
-    return DATES.df(spark).select("id", F.unix_seconds(X.parse_instant("ts")).alias("s"))
+    return DATES.df(spark, d).select("id", F.unix_seconds(X.parse_instant("ts")).alias("s"))
 
 
 SECTIONS = Fixture("s", "id string, path array<string>, content string", [("a#b", ["A", "B"], " body "), ("c", [], "only"), ("d#e", ["D"], "  "), ("f", [], "")])
+SECTIONS.over("documents", {
+    "id": "'d' || doc_id",
+    "path": "CASE doc_id % 4 WHEN 0 THEN array(source, lang) WHEN 1 THEN array(source) ELSE array() END",
+    "content": "CASE doc_id % 3 WHEN 0 THEN '  ' ELSE ' ' || text || ' ' END",
+})
 
 
 @query(
@@ -254,7 +292,7 @@ SECTIONS = Fixture("s", "id string, path array<string>, content string", [("a#b"
     WHEN trim(content) <> '' THEN trim(content) WHEN len(path) > 0 THEN array_to_string(path, ' > ') ELSE id END AS text FROM s"""
 )
 def f_22_embed_text(spark, d):
-    return SECTIONS.df(spark).select("id", X.embed_text("path", "content", "id").alias("text"))
+    return SECTIONS.df(spark, d).select("id", X.embed_text("path", "content", "id").alias("text"))
 
 
 @query("SELECT event_id, CAST(props ->> '$.k' AS BIGINT) AS k FROM events")
@@ -263,6 +301,10 @@ def f_39_json_field(spark, d):
 
 
 NAMES = Fixture("n", "id int, name string", [(1, "a.md"), (2, "../x"), (3, "a#b.md"), (4, "c:\\d"), (5, "wiki/a.md"), (6, "/abs"), (7, ".hidden"), (8, ""), (9, "docs/../raw/x"), (10, "名.md"), (11, "a\u202eb"), (12, "raw/x\ty")])
+NAMES.over("documents", {
+    "id": "doc_id",
+    "name": "CASE doc_id % 12 WHEN 0 THEN '../x' || doc_id WHEN 1 THEN source || '#b.md' WHEN 2 THEN 'c:' || chr(92) || 'd' WHEN 3 THEN 'wiki/' || doc_id || '.md' WHEN 4 THEN '/abs' || doc_id WHEN 5 THEN '.hidden' WHEN 6 THEN '' WHEN 7 THEN 'docs/../raw/x' WHEN 8 THEN '名' || doc_id || '.md' WHEN 9 THEN 'raw/x' || chr(9) || 'y' ELSE source || '.md' END",
+})
 
 
 @query(
@@ -271,4 +313,4 @@ NAMES = Fixture("n", "id int, name string", [(1, "a.md"), (2, "../x"), (3, "a#b.
     NOT regexp_matches(name, '^([/\\]|[A-Za-z]:)') AND NOT list_contains(regexp_split_to_array(name, '[/\\]'), '..') AND regexp_split_to_array(name, '[/\\]')[1] IN ('docs', 'raw', 'wiki') AS path_ok FROM n"""
 )
 def p_08_safe_names(spark, d):
-    return NAMES.df(spark).select("id", X.bare_slug("name").alias("slug_ok"), X.safe_filename("name").alias("file_ok"), X.safe_path("name", ["docs", "raw", "wiki"]).alias("path_ok"))
+    return NAMES.df(spark, d).select("id", X.bare_slug("name").alias("slug_ok"), X.safe_filename("name").alias("file_ok"), X.safe_path("name", ["docs", "raw", "wiki"]).alias("path_ok"))

@@ -67,11 +67,14 @@ def k_12_upload_routing(spark, d):
 
 
 SLUGS = Fixture("sl", "slug string", [("plain",), ("a-b_c",), ("",), (".",), ("..",), (".hidden",), ("a/b",), ("a\\b",), ("tab\there",), ("über",), ("a.b",)])
+SLUGS.over("documents", {
+    "slug": "CASE doc_id % 8 WHEN 0 THEN '' WHEN 1 THEN '.hidden' || doc_id WHEN 2 THEN source || '/' || doc_id WHEN 3 THEN 'a' || chr(92) || doc_id WHEN 4 THEN 'tab' || chr(9) || doc_id WHEN 5 THEN '..' ELSE source || '-' || doc_id END",
+})
 
 
 @query(f"WITH {SLUGS.cte()} SELECT slug, slug <> '' AND NOT starts_with(slug, '.') AND NOT contains(slug, '/') AND NOT contains(slug, chr(92)) AND NOT contains(slug, chr(9)) AS ok FROM sl")
 def p_10_bare_slug(spark, d):
-    return SLUGS.df(spark).select("slug", X.bare_slug("slug").alias("ok"))
+    return SLUGS.df(spark, d).select("slug", X.bare_slug("slug").alias("ok"))
 
 
 @query("SELECT event_id, user_id, event_type FROM events")
@@ -178,7 +181,7 @@ SELECT {key}, CASE WHEN {key} IS NULL OR h IS NULL THEN NULL ELSE array_to_strin
 
 @query(f"WITH {MARKDOWN.cte()}, " + OUTLINE.format(key="name", text="text", rows="md", chars=30))
 def f_19_outline(spark, d):
-    return MARKDOWN.df(spark).select("name", S.outline_text("text", 10).alias("outline"))
+    return MARKDOWN.df(spark, d).select("name", S.outline_text("text", 10).alias("outline"))
 
 
 @query("WITH " + OUTLINE.format(key="doc_id", text="text", rows="documents", chars=6000))
@@ -191,7 +194,7 @@ def f_19_outline_of_documents(spark, d):
     SELECT name, CAST(i AS INT) AS line, x, coalesce(sum(f) OVER (PARTITION BY name ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) % 2 = 1 AS inside FROM l"""
 )
 def w_09_fence_parity(spark, d):
-    return S.fence_parity(MARKDOWN.df(spark).select("name", F.posexplode(F.split("text", "\n")).alias("line", "x")))
+    return S.fence_parity(MARKDOWN.df(spark, d).select("name", F.posexplode(F.split("text", "\n")).alias("line", "x")))
 
 
 EDITS = Fixture(
@@ -212,7 +215,7 @@ LIVE = Fixture("lv", "id string", [("a#1",), ("b#2",), ("c#3",)])
     SELECT ed.slug, coalesce(failures, CASE WHEN NOT regexp_matches(body, '\[Source:') AND len(sources) = 0 THEN 'no sources' ELSE '' END) AS failures FROM ed LEFT JOIN f ON f.slug = ed.slug"""
 )
 def p_17_edit_grounding(spark, d):
-    return G.edit_grounding(EDITS.df(spark), LIVE.df(spark)).select("slug", F.array_join("failures", "|").alias("failures"))
+    return G.edit_grounding(EDITS.df(spark, d), LIVE.df(spark, d)).select("slug", F.array_join("failures", "|").alias("failures"))
 
 
 @query("SELECT item_id, translate(substr(text, 1, 60), '\"' || chr(13) || chr(10), '''') AS safe FROM benchmark")
@@ -221,11 +224,15 @@ def f_31_log_safe(spark, d):
 
 
 CITED = Fixture("ci", "id int, t string", [(1, "b [Source: b] a [Source:a ] b [Source:  b  ]"), (2, "none"), (3, ""), (4, "[Source: x y#z]")])
+CITED.over("documents", {
+    "id": "doc_id",
+    "t": "text || CASE doc_id % 3 WHEN 0 THEN ' [Source: b' || doc_id || '] a [Source:a ] b [Source:  b' || doc_id || '  ]' WHEN 1 THEN ' [Source: ]' ELSE '' END",
+})
 
 
 @query(r"WITH " + CITED.cte() + r" SELECT id, array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(t, '\[Source:\s*([^\]]+)\]', 1), lambda x: trim(x)))), ',') AS ids FROM ci")
 def f_37_cited_ids(spark, d):
-    return CITED.df(spark).select("id", F.array_join(X.cited_ids("t"), ",").alias("ids"))
+    return CITED.df(spark, d).select("id", F.array_join(X.cited_ids("t"), ",").alias("ids"))
 
 
 # ---------------------------------------------------------------- reports
@@ -346,7 +353,7 @@ ADMITTED = Fixture("ad", "id int, admitted boolean", [(1, True), (2, True), (3,
 @query(f"WITH {ADMITTED.cte()} SELECT * FROM ad")
 def t_09_admitted_streams(spark, d):
     """At most two open streams a gate."""
-    return T.admitted_streams(STREAMS.df(spark), ["gate"], "opened", "closed", "id", 2).select("id", "admitted")
+    return T.admitted_streams(STREAMS.df(spark, d), ["gate"], "opened", "closed", "id", 2).select("id", "admitted")
 
 
 # ---------------------------------------------------------------- seams
