@@ -118,11 +118,19 @@ class Index:
         fresh = self.spark.read.parquet(f"{path}/sections")
         change = self.terms.unionByName(out).unionByName(document_frequencies(self.spark.read.parquet(f"{path}/blocks")))
         write_terms(change.groupBy("token").agg(F.sum("df").alias("df")).where("df > 0"), path)
-        sums = self.stats.select("n", "total_len", F.lit(0).alias("shards")).unionByName(totals(left).select(-F.col("n").alias("n"), (-F.col("total_len")).alias("total_len"), F.lit(0).alias("shards"))).unionByName(totals(fresh))
+        sums = self.stats.select("n", "total_len", F.lit(0).alias("shards")).unionByName(totals(left).select((-F.col("n")).alias("n"), (-F.col("total_len")).alias("total_len"), F.lit(0).alias("shards"))).unionByName(totals(fresh))
         # the part's own shards end where the next part's begin
         sums.agg(F.sum("n").alias("n"), F.sum("total_len").alias("total_len"), F.greatest(F.lit(shards), F.max("shards")).alias("shards")).coalesce(1).write.parquet(f"{path}/stats")
         return Index(self.spark, [*self.parts, path])
 
+    def refresh(self, sections: DataFrame, path: str) -> Index:
+        """The index of ``sections`` by way of what has changed: sections are compared by ``id`` and ``hash``, a column that both
+        have; those with another hash are taken out and added, the others are neither tokenised nor written."""
+        held = self.live().select("id", F.col("hash").alias("was"))
+        both = sections.select("id", "hash").join(held, "id", "full").where("NOT (hash <=> was)")
+        removed, added = both.where("was IS NOT NULL").select("id"), both.where("hash IS NOT NULL").select("id")
+        return self.update(sections.join(bm25.sized(added), "id", "left_semi"), removed, path)
+
     # ------------------------------------------------------------ reading
 
     def live(self) -> DataFrame:

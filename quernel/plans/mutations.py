@@ -1,10 +1,12 @@
-"""Mutations over literal pages."""
+"""Mutations of a stored table of pages."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from ..operators import mutate as M
+from ..sources import corpus as C
+from ..sources.versions import VersionedTable
 from .governance import DOCS, PAGES, docs, pages
 from .registry import Fixture, query
 
@@ -19,6 +21,13 @@ CHANGES.over("documents", {
 BASE = "p AS (SELECT slug, status, body, array_to_string(aliases, ',') AS aliases FROM pages_)"
 
 
+def changed(rows, change, keys):
+    """The rows after a change that was committed to a stored table of them."""
+    held = VersionedTable.create(rows, C.scratch(rows.sparkSession), ["slug"])
+    held.apply(change, keys)
+    return held.snapshot()
+
+
 def show(df):
     return df.withColumn("aliases", F.array_join("aliases", ",")) if "aliases" in df.columns else df
 
@@ -28,12 +37,14 @@ def show(df):
     CASE WHEN ch.slug IS NULL THEN o.body ELSE ch.body END AS body, array_to_string(CASE WHEN o.slug IS NULL THEN ch.aliases ELSE o.aliases END, ',') AS aliases FROM o FULL JOIN ch ON ch.slug = o.slug"""
 )
 def m_01_upsert(spark, d):
-    return show(M.upsert(pages(spark, d).select("slug", "status", "body", "aliases"), CHANGES.df(spark, d), keep=("aliases",)))
+    new = CHANGES.df(spark, d)
+    return show(changed(pages(spark, d).select("slug", "status", "body", "aliases"), lambda old: M.upsert(old, new, keep=("aliases",)), new))
 
 
 @query(f"WITH {PAGES.cte()}, {CHANGES.cte()} SELECT slug FROM pages_ WHERE NOT (len(list_filter(sources, lambda s: split_part(s, '#', 1) = 'src0.md')) > 0 AND slug NOT IN (SELECT slug FROM ch))")
 def m_02_delete_orphans(spark, d):
-    return M.delete_orphans(pages(spark, d), "src0.md", CHANGES.df(spark, d)).select("slug")
+    cites = F.exists("sources", lambda x: F.element_at(F.split(x, "#"), 1) == "src0.md")
+    return changed(pages(spark, d), lambda old: M.delete_orphans(old, "src0.md", CHANGES.df(spark, d)), lambda now: now.where(cites)).select("slug")
 
 
 @query(f"WITH {PAGES.cte()}, {CHANGES.cte()} SELECT slug, greatest(1, coalesce(count, 0) + CASE WHEN status IN ('draft', 'live') THEN 1 ELSE 0 END) AS count FROM pages_ WHERE dir = 'qa'")
@@ -59,7 +70,8 @@ def m_04_promote(spark, d):
 
 @query(f"WITH {PAGES.cte()}, {BATCH.cte()} SELECT slug, CASE WHEN dir = 'qa' AND slug IN (SELECT slug FROM batch) AND status = 'live' THEN 'draft' ELSE status END AS status FROM pages_")
 def m_05_demote(spark, d):
-    return M.promote(pages(spark, d), BATCH.df(spark, d), "draft")[0].select("slug", "status")
+    batch = BATCH.df(spark, d)
+    return changed(pages(spark, d), lambda old: M.promote(old, batch, "draft")[0], batch).select("slug", "status")
 
 
 EDITS = Fixture("ed", "slug string, body string", [("ask-a", "x [Source: refunds#a]"), ("ask-b", "y [Source: other#z]"), ("fresh", "z"), ("none", "q")])
@@ -80,7 +92,8 @@ def m_06_edit_draft(spark, d):
 
 @query(f"WITH {PAGES.cte()}, {BATCH.cte()} SELECT slug, dir FROM pages_ WHERE NOT (dir = 'qa' AND status <> 'live' AND slug IN (SELECT slug FROM batch))")
 def m_07_delete_answers(spark, d):
-    return M.delete_answers(pages(spark, d), BATCH.df(spark, d)).select("slug", "dir")
+    batch = BATCH.df(spark, d)
+    return changed(pages(spark, d), lambda old: M.delete_answers(old, batch), batch).select("slug", "dir")
 
 
 REFILED = Fixture("rf", "slug string, passed boolean, reason string, body string", [("how-refund", True, None, "better"), ("fresh", False, "below_threshold", None), ("ask-a", False, "provider_error", None)])
@@ -97,13 +110,15 @@ REFILED.over("documents", {
     CASE WHEN passed THEN rf.body ELSE p.body END AS body FROM pages_ p LEFT JOIN rf ON rf.slug = p.slug AND p.dir = 'qa'"""
 )
 def m_08_refile(spark, d):
-    return M.refile(pages(spark, d).drop("reason"), REFILED.df(spark, d)).select("slug", "status", "body")
+    results = REFILED.df(spark, d)
+    return changed(pages(spark, d).drop("reason"), lambda old: M.refile(old, results), results).select("slug", "status", "body")
 
 
 @query(f"""WITH {PAGES.cte()}, {DOCS.cte()}, {CHANGES.cte()}, r AS (SELECT slug, split_part(unnest(sources), '#', 1) AS source FROM pages_), g AS (SELECT slug FROM r GROUP BY 1 HAVING bool_and(source NOT IN (SELECT basename FROM docs_)))
     SELECT slug FROM pages_ WHERE NOT (slug IN (SELECT slug FROM g) AND slug IN (SELECT slug FROM ch))""")
 def m_09_delete_full_orphans(spark, d):
-    return M.delete_full_orphans(pages(spark, d), docs(spark, d), CHANGES.df(spark, d).select("slug")).select("slug")
+    batch = CHANGES.df(spark, d).select("slug")
+    return changed(pages(spark, d), lambda old: M.delete_full_orphans(old, docs(spark, d), batch), batch).select("slug")
 
 
 ALIASES = Fixture("al", "slug string, alias string", [("refunds", "payback"), ("refunds", "delivery"), ("ghost", "g"), ("shipping", "delivery"), ("pricing", "plan")])
@@ -123,7 +138,9 @@ def m_10_add_alias(spark, d):
 
 @query(f"WITH {PAGES.cte()} SELECT slug, array_to_string(list_transform(sources, lambda s: CASE WHEN split_part(s, '#', 1) = 'src0.md' THEN 'freight.md' || substr(s, 8) ELSE s END), ',') AS sources FROM pages_")
 def m_11_rename_source(spark, d):
-    return M.rename_source(pages(spark, d), "src0.md", "freight.md").select("slug", F.array_join("sources", ",").alias("sources"))
+    cites = F.exists("sources", lambda x: F.element_at(F.split(x, "#"), 1) == "src0.md")
+    rows = changed(pages(spark, d), lambda old: M.rename_source(old, "src0.md", "freight.md"), lambda now: now.where(cites))
+    return rows.select("slug", F.array_join("sources", ",").alias("sources"))
 
 
 #: Every third proposal saw a body that the page does not have any more.

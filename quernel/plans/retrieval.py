@@ -75,6 +75,27 @@ def o_01_bm25_topk(spark, d):
     return index_of(spark, d).search(asks(spark, d), 10)
 
 
+def refreshed(spark, d) -> Index:
+    """The index of the documents by way of an older state, in which some were missing, some others and some more."""
+    rows = sections(spark, d, F.xxhash64("text").alias("hash"))
+    old = table(spark, d, "documents").withColumn("text", F.when(F.col("doc_id") % 7 == 2, F.concat(F.lit("before: "), F.substring("text", 9, 1 << 30))).otherwise(F.col("text")))
+    more = old.where("doc_id % 5 = 1").withColumn("doc_id", -F.col("doc_id"))
+    old = old.where("doc_id % 11 <> 3").unionByName(more)
+    old = old.select(F.col("doc_id").alias("id"), F.col("doc_id").alias("seq"), F.col("source").alias("file"), X.tokenize("text").alias("tokens"), F.xxhash64("text").alias("hash"))
+    return Index.build(old, C.scratch(spark)).refresh(rows, C.scratch(spark))
+
+
+@query(f"WITH {BM25} SELECT query_id, id, rank, score FROM hits WHERE rank <= 10 AND score > 0")
+def o_01_refreshed_topk(spark, d):
+    return refreshed(spark, d).search(asks(spark, d), 10)
+
+
+@query(f"WITH {STATS} SELECT token, df, n, avg_len FROM df CROSS JOIN st")
+def k_02_refreshed_terms(spark, d):
+    index = refreshed(spark, d)
+    return index.terms.crossJoin(F.broadcast(index.stats.select("n", (F.col("total_len") / F.col("n")).alias("avg_len"))))
+
+
 @query(f"WITH {BM25} SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank, score FROM hits JOIN documents ON id = doc_id WHERE lang = 'en' QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) <= 5")
 def p_02_language_filter(spark, d):
     return index_of(spark, d).search(asks(spark, d), 5, F.col("lang") == "en")
