@@ -81,7 +81,11 @@ def trimmed(rows: pa.Table, k: int) -> pa.Table:
 
 def nearest_of(queries: DataFrame, vectors: DataFrame, k: int, filter_col: str, floor: int = 100, **names) -> DataFrame:
     """k nearest of the query's own ``filter_col`` value among the max(20 k, floor) nearest of all: there may be fewer."""
-    wide = nearest(queries.select("query_id", "vector"), vectors, max(20 * k, floor), keep=[filter_col], **names)
+    return own_label(nearest(queries.select("query_id", "vector"), vectors, max(20 * k, floor), keep=[filter_col], **names), queries, k, filter_col)
+
+
+def own_label(wide: DataFrame, queries: DataFrame, k: int, filter_col: str) -> DataFrame:
+    """The k best of the hits that have the query's own ``filter_col`` value."""
     own = wide.join(sized(queries.select("query_id", F.col(filter_col).alias("_own"))), "query_id").where(F.col(filter_col) == F.col("_own"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id"))
     return own.withColumn("rank", rank).where(F.col("rank") <= k).drop("_own")

@@ -12,6 +12,7 @@ from ..operators import bm25, dense, reports, seams
 from ..operators import evaluation as E
 from ..operators import governance as G
 from ..operators import sections as S
+from ..operators.cells import Cells
 from ..operators.postings import Index
 from ..sources import corpus as C
 from ..streaming import stateful as T
@@ -132,6 +133,18 @@ def s_05_stat_only(spark, d):
     return index_of(spark, d).stats.select(F.col("n").alias("sections"))
 
 
+@query(f"WITH {KNN} SELECT query_id, id, distance, rank FROM rk WHERE rank <= 5")
+def o_02_cells(spark, d):
+    """The nearest neighbours from a stored layout of cells, most of which a query does not read."""
+    return Cells.build(table(spark, d, "embeddings"), C.scratch(spark)).nearest(probes(spark, d), 5)
+
+
+@query(f"WITH {KNN} SELECT query_id, id, distance, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank FROM rk WHERE rk.rank <= 100 AND label = own QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY distance, id) <= 5")
+def o_03_cells_filter(spark, d):
+    wide = Cells.build(table(spark, d, "embeddings"), C.scratch(spark), keep=["label"]).nearest(probes(spark, d), 100, ["label"])
+    return dense.own_label(wide, probes(spark, d), 5, "label").select("query_id", "id", "distance", "rank")
+
+
 @query(f"WITH {KNN} SELECT query_id, id, distance, rank FROM rk WHERE rank <= 3")
 def s_10_dense_index(spark, d):
     """Nearest neighbours in a dense index that was written, with its metadata, and loaded."""
