@@ -99,4 +99,4 @@ def _literal(v) -> str:
     return repr(v)
 
 
-from . import evaluation, governance, more, mutations, retrieval, scalar, sources, stateful, stores  # noqa: E402,F401
+from . import evaluation, governance, more, mutations, retrieval, scalar, sources, stateful, stores, web  # noqa: E402,F401
