@@ -14,9 +14,9 @@ WORD = "regexp_extract(html, '<title>([^ <]*)', 1)"
 GRAPH = f"""hr AS (SELECT page_id AS page, {slug_sql(WORD)} AS name, regexp_extract_all(html, '<a href="/([^"]*)"', 1) AS paths FROM pages),
 nm AS (SELECT name, min(page) AS page, min(CASE WHEN page % 4 = 1 AND len(paths) >= 2 THEN {slug_sql('paths[2]')} END) AS target, bool_and(page % 4 = 1 AND len(paths) >= 2) AS moved FROM hr GROUP BY 1),
 ptr AS (SELECT name, target FROM nm WHERE moved AND target <> name),
-walk AS (SELECT name, target AS at, [name, target] AS seen, false AS looped FROM ptr
-  UNION ALL SELECT w.name, p.target, list_append(seen, p.target), list_contains(seen, p.target) FROM walk w JOIN ptr p ON p.name = w.at WHERE NOT looped),
-res AS (SELECT name, CASE WHEN looped THEN list_min(list_slice(seen, list_position(seen, at), len(seen))) ELSE at END AS canonical FROM walk WHERE looped OR at NOT IN (SELECT name FROM ptr)),
+walk AS (SELECT name, target AS pos, [name, target] AS seen, false AS looped FROM ptr
+  UNION ALL SELECT w.name, p.target, list_append(seen, p.target), list_contains(seen, p.target) FROM walk w JOIN ptr p ON p.name = w.pos WHERE NOT looped),
+res AS (SELECT name, CASE WHEN looped THEN list_min(list_slice(seen, list_position(seen, pos), len(seen))) ELSE pos END AS canonical FROM walk WHERE looped OR pos NOT IN (SELECT name FROM ptr)),
 lk AS (SELECT page, {slug_sql('path')} AS target FROM (SELECT page, unnest(paths) AS path FROM hr)),
 rl AS (SELECT page, coalesce(canonical, target) AS canonical FROM lk LEFT JOIN res ON res.name = lk.target)"""
 

@@ -214,3 +214,98 @@ def admitted_streams(opened: DataFrame, key: list[str], start: str, end: str, or
         return rows.assign(admitted=out)
 
     return opened.groupBy(*key).applyInPandas(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in opened.schema), "admitted boolean"]))
+
+
+class PendingFailures(StatefulProcessor):
+    """Failures and successes of a key in the order of their times, however they arrive.
+
+    Rows wait in the key's state until the watermark has passed them: a timer for each time then takes all that are due, in
+    order. A success that finds no pending failure counts; otherwise it clears one. What a key holds is the rows that are
+    not due yet and one counter.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getMapState("waiting", "ts_ms long, row_id long", "failed boolean")
+        self.pending = handle.getValueState("pending", "n long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        for batch in rows:
+            for ts, row_id, failed in zip(batch["ts_ms"], batch["row_id"], batch["failed"]):
+                self.waiting.updateValue((int(ts), int(row_id)), (bool(failed),))
+                self.handle.registerTimer(int(ts))
+        yield pd.DataFrame({"key": [], "row_id": [], "success": []})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        due = sorted(k for k in self.waiting.keys() if k[0] <= expiredTimerInfo.getExpiryTimeInMs())
+        n = self.pending.get()[0] if self.pending.exists() else 0
+        out = []
+        for k in due:
+            failed = self.waiting.getValue(k)[0]
+            out.append((key[0], k[1], not failed and n == 0))
+            n = n + 1 if failed else max(0, n - 1)
+            self.waiting.removeKey(k)
+        self.pending.update((n,))
+        yield pd.DataFrame(out, columns=["key", "row_id", "success"])
+
+    def close(self) -> None:
+        pass
+
+
+def pending_failures_stream(events: DataFrame, late: str = "10 minutes") -> DataFrame:
+    """events(key, row_id, ts, failed) as a stream: (key, row_id, success), as ``governance.pending_successes`` has them for the
+    rows in the order of (ts, row_id), for rows that are at most ``late`` behind. Rows come out when the watermark has passed them."""
+    kinds = {f.name: f.dataType.simpleString() for f in events.schema}
+    rows = events.withColumn("ts_ms", F.unix_millis("ts")).withWatermark("ts", late)
+    return rows.groupBy("key").transformWithStateInPandas(PendingFailures(), f"key {kinds['key']}, row_id long, success boolean", "Append", "EventTime")
+
+
+class Heartbeats(StatefulProcessor):
+    """Frames of a stream passed on, a ping whenever none was sent for the interval, and its end when none came for the timeout.
+
+    Both are timers on the clock of the machine. A frame after the end opens the stream anew.
+    """
+
+    def __init__(self, interval_ms: int, idle_ms: int):
+        self.interval_ms, self.idle_ms = interval_ms, idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("open", "read_ms long, sent_ms long, seq long")
+
+    def _restart(self) -> None:
+        for at in list(self.handle.listTimers()):
+            self.handle.deleteTimer(at)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentProcessingTimeInMs()
+        seq = self.state.get()[2] if self.state.exists() else 0
+        data = pd.concat(list(rows)).sort_values("frame_id")
+        self._restart()
+        self.handle.registerTimer(now + self.interval_ms)
+        self.state.update((now, now, seq + len(data)))
+        yield pd.DataFrame({"key": key[0], "seq": range(seq, seq + len(data)), "kind": "frame", "frame_id": data["frame_id"].to_numpy(), "at_ms": now})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if not self.state.exists():
+            return
+        read, _, seq = self.state.get()
+        at = expiredTimerInfo.getExpiryTimeInMs()
+        kind = "closed" if at - read >= self.idle_ms else "ping"
+        if kind == "closed":
+            self.state.clear()
+        else:
+            self.state.update((read, at, seq + 1))
+            self.handle.registerTimer(min(at + self.interval_ms, read + self.idle_ms))
+        yield pd.DataFrame({"key": [key[0]], "seq": [seq], "kind": [kind], "frame_id": [None], "at_ms": [at]})
+
+    def close(self) -> None:
+        pass
+
+
+def heartbeats_stream(frames: DataFrame, interval_sec: float = HEARTBEAT, idle_sec: float = IDLE) -> DataFrame:
+    """frames(key, frame_id) as a stream: (key, seq, kind, frame_id, at_ms), kind ``frame``, ``ping`` or ``closed``, numbered in each stream."""
+    kinds = {f.name: f.dataType.simpleString() for f in frames.schema}
+    return frames.groupBy("key").transformWithStateInPandas(
+        Heartbeats(int(interval_sec * 1000), int(idle_sec * 1000)), f"key {kinds['key']}, seq long, kind string, frame_id long, at_ms long", "Append", "ProcessingTime"
+    )
