@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from .common import materialize, release, runs
 
 #: Vectors of a segment; queries that a task holds at once; segments that a task reads one after the other for them.
-SEGMENT, QUERIES, LANE = 2048, 4096, 16
+SEGMENT, QUERIES, LANE = 2048, 4096, 4
 #: Signs of so many components put a vector into a cell; segments are cut from cells in order.
 SIGNS = 16
 #: Entries of each list that are read first; each later reading doubles them.
