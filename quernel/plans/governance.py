@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..operators import governance as G
 from ..operators import sections as S
+from ..sources import corpus as C
+from ..streaming import stateful as T
 from .registry import SQL, Fixture, query, table
 from .scalar import tokens_sql
 
@@ -257,17 +259,38 @@ def g_c1_coverage(spark, d):
     return G.coverage_gaps(log(spark, d)).withColumn("samples", F.array_join("samples", "|"))
 
 
-@query(
+PENDING = (
     """WITH RECURSIVE o AS (SELECT event_id, user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events WHERE event_type IN ('error', 'view')),
     w AS (SELECT event_id, user_id, event_type, i, CASE WHEN event_type = 'error' THEN 1 ELSE 0 END AS pending, event_type = 'view' AS success FROM o WHERE i = 1
       UNION ALL SELECT o.event_id, o.user_id, o.event_type, o.i, CASE WHEN o.event_type = 'error' THEN w.pending + 1 ELSE greatest(0, w.pending - 1) END, o.event_type = 'view' AND w.pending = 0 FROM w JOIN o ON o.user_id = w.user_id AND o.i = w.i + 1)
     SELECT event_id, success FROM w"""
 )
+
+
+@query(PENDING)
 def w_05_pending_failures(spark, d):
     rows = table(spark, d, "events").where(F.col("event_type").isin("error", "view"))
     return G.pending_successes(rows, "user_id", "event_id", F.col("event_type") == "error", F.col("event_type") == "view").select("event_id", "success")
 
 
+@query(PENDING)
+def w_05_pending_stream(spark, d):
+    """The same from a stream of the table, in the order of event time, whatever the order of the rows."""
+    rows = spark.readStream.schema(table(spark, d, "events").schema).parquet(f"{d}/events.parquet*").where(F.col("event_type").isin("error", "view"))
+    # the order is that of the ids: each is a second of a clock
+    rows = rows.select(F.col("user_id").alias("key"), F.col("event_id").alias("row_id"), F.timestamp_seconds(F.col("event_id") + 1).alias("ts"), (F.col("event_type") == "error").alias("failed"))
+    out, name = C.scratch(spark), "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        stream = T.pending_failures_stream(rows, "0 seconds").writeStream.option("checkpointLocation", f"{out}/state").outputMode("append").trigger(availableNow=True)
+        stream.start(f"{out}/rows", format="parquet").awaitTermination()
+    finally:
+        spark.conf.set(name, before)
+    return spark.read.schema("key long, row_id long, success boolean").parquet(f"{out}/rows").select(F.col("row_id").alias("event_id"), "success")
+
+
+
 def findings(spark, d):
     p, s = pages(spark, d), docs(spark, d)
     maps = HASHES.df(spark, d).groupBy("slug").agg(F.map_from_entries(F.collect_list(F.struct("source", "hash"))).alias("hashes"))
