@@ -98,23 +98,25 @@ def s_08_checkpoint_scan(spark, d):
     return C.scan_jsonl(spark, path, "query_id string, arm string", torn_tail=True)
 
 
-@query("SELECT 'first' AS step, true AS loaded, 3 AS rows UNION ALL SELECT 'again', false, 3 UNION ALL SELECT 'changed', true, 5 UNION ALL SELECT 'missing', false, 0")
+@query("""WITH n AS (SELECT count(*) FILTER (doc_id % 2 = 0) AS half, count(*) AS whole FROM documents)
+SELECT 'first' AS step, true AS loaded, half AS rows FROM n UNION ALL SELECT 'again', false, half FROM n UNION ALL SELECT 'changed', true, whole FROM n UNION ALL SELECT 'missing', false, 0""")
 def s_16_reload_if_changed(spark, d):
     path, out = C.scratch(spark), []
     held = C.Loaded(spark, path, lambda p: spark.read.parquet(p).count())
-    for step, n in (("first", 3), ("again", None), ("changed", 5)):
-        if n:
-            C.swap_in(spark.range(n), path)
+    for step, part in (("first", "doc_id % 2 = 0"), ("again", None), ("changed", "true")):
+        if part:
+            C.swap_in(table(spark, d, "documents").where(part), path)
         out.append((step, held.reload_if_changed(), held.value))
     none = C.Loaded(spark, path + "-none", lambda p: 1)
     out.append(("missing", none.reload_if_changed(), none.value or 0))
-    return spark.createDataFrame(out, "step string, loaded boolean, rows int")
+    return spark.createDataFrame(out, "step string, loaded boolean, rows long")
 
 
-@query("SELECT 'there' AS file, 'hot' || chr(10) || 'topics' AS text UNION ALL SELECT 'missing', ''")
+@query("SELECT 'there' AS file, string_agg(source || ' ' || n, chr(10) ORDER BY source) AS text FROM (SELECT source, count(*) AS n FROM documents GROUP BY 1) UNION ALL SELECT 'missing', ''")
 def s_18_hot_cache(spark, d):
+    """The sources with their documents as a small file that is read often."""
     path = C.scratch(spark)
-    spark.createDataFrame([("hot",), ("topics",)], "value string").coalesce(1).write.text(path)
+    table(spark, d, "documents").groupBy("source").count().orderBy("source").select(F.concat_ws(" ", "source", F.col("count").cast("string")).alias("value")).coalesce(1).write.text(path)
     return spark.createDataFrame([("there", C.read_hot(spark, path)), ("missing", C.read_hot(spark, path + "-none"))], "file string, text string")
 
 
@@ -218,7 +220,13 @@ EDITS = Fixture(
         ("gone", "see [Source: old#9]", ["old#9", "a#1"]), ("both", "[Source: old#9] [Source: c#3]", ["old#9"]),
     ],
 )
+EDITS.over("documents", {
+    "slug": "'e' || doc_id",
+    "body": "text || CASE doc_id % 4 WHEN 0 THEN ' [Source: f' || (doc_id % 50) || '#1] and [Source:  f' || (doc_id % 30) || '#2 ]' WHEN 1 THEN ' [Source: gone#9]' ELSE '' END",
+    "sources": "CASE doc_id % 3 WHEN 0 THEN array() WHEN 1 THEN array('f' || (doc_id % 50) || '#1', 'gone#9') ELSE array('f' || (doc_id % 30) || '#2') END",
+})
 LIVE = Fixture("lv", "id string", [("a#1",), ("b#2",), ("c#3",)])
+LIVE.over("documents", {"id": "'f' || (doc_id % 40) || '#' || (1 + doc_id % 2)"})
 
 
 @query(
@@ -360,10 +368,16 @@ def t_09_idle_cut(spark, d):
 
 
 STREAMS = Fixture("st", "gate string, id int, opened int, closed int", [("a", 1, 0, 100), ("a", 2, 1, 5), ("a", 3, 2, 50), ("a", 4, 5, 9), ("a", 5, 6, 9), ("b", 6, 0, 9), ("a", 7, 9, 10)])
-ADMITTED = Fixture("ad", "id int, admitted boolean", [(1, True), (2, True), (3, False), (4, True), (5, False), (6, True), (7, True)])
+STREAMS.over("events", {"gate": "'g' || (user_id % 40)", "id": "event_id", "opened": "event_id * 3", "closed": "event_id * 3 + 1 + event_id * 7919 % 900"})
 
 
-@query(f"WITH {ADMITTED.cte()} SELECT * FROM ad")
+@query(
+    f"""WITH RECURSIVE {STREAMS.cte()}, o AS (SELECT *, row_number() OVER (PARTITION BY gate ORDER BY opened, id) AS i FROM st),
+    w AS (SELECT gate, id, i, [closed] AS held, true AS admitted FROM o WHERE i = 1
+      UNION ALL SELECT o.gate, o.id, o.i, CASE WHEN len(list_filter(held, lambda x: x > opened)) < 2 THEN list_append(list_filter(held, lambda x: x > opened), closed) ELSE list_filter(held, lambda x: x > opened) END,
+        len(list_filter(held, lambda x: x > opened)) < 2 FROM w JOIN o ON o.gate = w.gate AND o.i = w.i + 1)
+    SELECT id, admitted FROM w"""
+)
 def t_09_admitted_streams(spark, d):
     """At most two open streams a gate."""
     return T.admitted_streams(STREAMS.df(spark, d), ["gate"], "opened", "closed", "id", 2).select("id", "admitted")
@@ -410,45 +424,17 @@ def x_08_transcribe(spark, d):
     return seams.transcribe(rows)
 
 
-REPLIES = Fixture("re", "id int, answers boolean, reasoning string", [(1, True, "yes"), (2, False, ""), (3, True, "fenced"), (4, False, "unparseable judge reply: no JSON"), (5, False, "unparseable judge reply: [1]")])
-
-
-@query(f"WITH {REPLIES.cte()} SELECT * FROM re")
+@query(
+    """SELECT doc_id AS id, doc_id % 5 IN (1, 3) AS answers, CASE doc_id % 5 WHEN 1 THEN 'yes ' || doc_id WHEN 2 THEN '' WHEN 3 THEN 'fenced ' || doc_id WHEN 4 THEN 'unparseable judge reply: no JSON' ELSE 'unparseable judge reply: [1]' END AS reasoning FROM documents"""
+)
 def x_10_judge(spark, d):
-    replies = {1: '{"answers": true, "reasoning": " yes "}', 2: "{}", 3: '```json\n{"answers": 1, "reasoning": "fenced"}\n```', 4: "no JSON", 5: "[1]"}
-    items = spark.createDataFrame([(i, "q", text) for i, text in replies.items()], "id int, query string, content string")
+    """Replies of each form about each document."""
+    i = F.col("doc_id").cast("string")
+    forms = [F.lit("[1]"), F.concat(F.lit('{"answers": true, "reasoning": " yes '), i, F.lit(' "}')), F.lit("{}"), F.concat(F.lit('```json\n{"answers": 1, "reasoning": "fenced '), i, F.lit('"}\n```')), F.lit("no JSON")]
+    items = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.lit("q").alias("query"), F.get(F.array(*forms), (F.col("doc_id") % 5).cast("int")).alias("content"))
     return seams.judged(items, lambda q, c: c).select("id", "answers", "reasoning")
 
 
-def pdf(*pages: bytes) -> bytes:
-    """A small PDF whose pages show some text, deflated where it is long."""
-    out = b"%PDF-1.4\n"
-    for i, text in enumerate(pages, 1):
-        body = b"BT /F1 12 Tf " + text + b" ET" if text else b"0 0 m"
-        head = b""
-        if len(body) > 60:
-            body, head = zlib.compress(body), b" /Filter /FlateDecode"
-        out += b"%d 0 obj <</Length %d%s>> stream\n%s\nendstream endobj\n" % (i, len(body), head, body)
-    return out + b"%%EOF"
-
-
-PDFS = {1: (b"(Hello \\(world\\)) Tj T* (second line) Tj", b""), 2: (b"", b""), 3: (b"[(A) -20 (fter a very long first line of words)] TJ 0 -14 Td <4869> Tj",), 4: (b"( ) Tj",)}
-
-
-def pdfs(spark):
-    return spark.createDataFrame([*((i, bytearray(pdf(*pages))) for i, pages in PDFS.items()), (5, None)], "id int, content binary")
-
-
-@query("SELECT * FROM (VALUES (1, true), (2, false), (3, true), (4, false), (5, NULL)) AS t(id, has_text)")
-def s_19_pdf_text_layer(spark, d):
-    return pdfs(spark).select("id", seams.has_text_layer("content").alias("has_text"))
-
-
-@query("SELECT * FROM (VALUES (1, 'Hello (world)' || chr(10) || 'second line'), (2, ''), (3, 'After a very long first line of words' || chr(10) || 'Hi'), (4, ''), (5, NULL)) AS t(id, markdown)")
-def s_20_pdf_markdown(spark, d):
-    return pdfs(spark).select("id", seams.pdf_to_markdown("content").alias("markdown"))
-
-
 # ---------------------------------------------------------------- pages and texts
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import links as L
+from ..operators import sections as S
 from .registry import query, table
 from .scalar import slug_sql
 
@@ -42,3 +43,20 @@ def g_c2_page_red_links(spark, d):
 def j_09_page_inbound(spark, d):
     pages, names, pointers = graph(spark, d)
     return L.inbound(L.resolved_links(pages, names, pointers), names)
+
+
+def parsed(spark, d):
+    files = S.convert_pages(table(spark, d, "pages")).select(F.col("page_id").cast("string").alias("name"), F.col("markdown").alias("body"))
+    return files, S.sections(files)
+
+
+#: Of each page its heading, with entities resolved and white space single.
+@query(r"""SELECT CAST(page_id AS VARCHAR) AS name, trim(regexp_replace(replace(replace(replace(regexp_extract(html, '<h1>(.*?)</h1>', 1), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '\s+', ' ', 'g')) AS heading FROM pages""")
+def f_36_page_headings(spark, d):
+    return parsed(spark, d)[1].where("emit_seq > 0").select("name", F.trim(F.regexp_replace("heading", r"\s+", " ")).alias("heading"))
+
+
+@query("SELECT CAST(page_id AS VARCHAR) AS name, 0 AS missing FROM pages")
+def a_28_page_uncarried(spark, d):
+    """No character of a converted page is lost between its sections."""
+    return S.uncarried(*parsed(spark, d))
