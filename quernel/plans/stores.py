@@ -435,6 +435,38 @@ def x_10_judge(spark, d):
     return seams.judged(items, lambda q, c: c).select("id", "answers", "reasoning")
 
 
+def pdf(*pages: bytes) -> bytes:
+    """A small PDF whose pages show some text, deflated where it is long."""
+    out = b"%PDF-1.4\n"
+    for i, text in enumerate(pages, 1):
+        body = b"BT /F1 12 Tf " + text + b" ET" if text else b"0 0 m"
+        head = b""
+        if len(body) > 60:
+            body, head = zlib.compress(body), b" /Filter /FlateDecode"
+        out += b"%d 0 obj <</Length %d%s>> stream\n%s\nendstream endobj\n" % (i, len(body), head, body)
+    return out + b"%%EOF"
+
+
+PDFS = {1: (b"(Hello \\(world\\)) Tj T* (second line) Tj", b""), 2: (b"", b""), 3: (b"[(A) -20 (fter a very long first line of words)] TJ 0 -14 Td <4869> Tj",), 4: (b"( ) Tj",)}
+
+
+def pdfs(spark, d):
+    """A PDF for each document: with a line of text, with a blank one, or with an empty page."""
+    line = F.when(F.col("doc_id") % 3 == 0, F.format_string("BT /F1 12 Tf (Doc %d of %s) Tj ET", "doc_id", "source")).when(F.col("doc_id") % 3 == 1, "BT /F1 12 Tf ( ) Tj ET").otherwise("0 0 m")
+    whole = F.format_string("%%PDF-1.4\n1 0 obj <</Length %d>> stream\n%s\nendstream endobj\n%%%%EOF", F.length(line), line)
+    return table(spark, d, "documents").select(F.col("doc_id").alias("id"), whole.cast("binary").alias("content"))
+
+
+@query("SELECT doc_id AS id, doc_id % 3 = 0 AS has_text FROM documents")
+def s_19_pdf_text_layer(spark, d):
+    return pdfs(spark, d).select("id", seams.has_text_layer("content").alias("has_text"))
+
+
+@query("SELECT doc_id AS id, CASE doc_id % 3 WHEN 0 THEN 'Doc ' || doc_id || ' of ' || source ELSE '' END AS markdown FROM documents")
+def s_20_pdf_markdown(spark, d):
+    return pdfs(spark, d).select("id", seams.pdf_to_markdown("content").alias("markdown"))
+
+
 # ---------------------------------------------------------------- pages and texts
 
 

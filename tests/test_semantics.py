@@ -200,8 +200,8 @@ def test_contradiction_candidates_need_no_common_source(spark):
     assert {(r.a, r.b) for r in governance.contradiction_pairs(rows).collect()} == {("a", "b"), ("a", "c")}
 
 
-def test_registered_candidates_hold_neighbours(spark, sf):
-    ask = lambda name: QUERIES[name](spark, sf).collect()
+def test_registered_candidates_hold_neighbours(spark):
+    ask = lambda name: QUERIES[name](spark, None).collect()  # on the literal pages, which have fewer pairs than are ranked
     pairs = {(r.a, r.b) for r in ask("j_12_shared_source")} | {tuple(sorted((r.query_id, r.neighbour))) for r in ask("j_13_bm25_neighbours")}
     assert len(pairs) > len(ask("j_12_shared_source"))
     assert {r.check_id: r.n for r in ask("a_08_findings_by_check")}["C5"] == len(pairs)

@@ -94,7 +94,7 @@ def test_red_links_of_one_long_page(spark):
 
 
 def test_registered_candidates_equal_all_pairs(spark):
-    p = P.pages(spark)
+    p = P.pages(spark, None)
     assert governance.contradictions(p).count() == governance.ranked_pairs(governance.contradiction_pairs(p), p).count()
 
 
@@ -137,3 +137,12 @@ def test_heartbeats_fill_gaps_only(spark):
     rows = spark.createDataFrame([("a", 0), ("a", 15), ("a", 46), ("b", 0)], "k string, s int").withColumn("ts", F.timestamp_seconds("s")).drop("s")
     got = sorted((r.k, r.ts.second, r.kind) for r in stateful.heartbeats(rows, "k", "ts").collect())
     assert got == [("a", 0, "frame"), ("a", 15, "frame"), ("a", 30, "ping"), ("a", 45, "ping"), ("a", 46, "frame"), ("b", 0, "frame")]
+
+
+def test_pdfs_of_several_pages(spark):
+    from quernel.operators import seams
+    from quernel.plans.stores import PDFS
+
+    rows = spark.createDataFrame([*((i, bytearray(pdf(*pages))) for i, pages in PDFS.items()), (5, None)], "id int, content binary")
+    got = {r.id: (r.has_text, r.markdown) for r in rows.select("id", seams.has_text_layer("content").alias("has_text"), seams.pdf_to_markdown("content").alias("markdown")).collect()}
+    assert got == {1: (True, "Hello (world)\nsecond line"), 2: (False, ""), 3: (True, "After a very long first line of words\nHi"), 4: (False, ""), 5: (None, None)}
