@@ -6,10 +6,12 @@ outcomes beside them where a change can be refused.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import bare_slug
+from .bm25 import sized
 from .governance import resolution_map
 
 
@@ -125,14 +127,70 @@ def import_outcome(files: DataFrame, known: DataFrame, max_bytes: int = 10_485_7
     return rows.select("path", how.alias("outcome"))
 
 
-def number_slugs(candidates: DataFrame, taken: list[str]) -> DataFrame:
-    """(place, base, slug): slugs in encounter order, -2, -3 ... where taken, numbers that are taken skipped: an ordered fold of one batch."""
-    rows = candidates.agg(F.array_sort(F.collect_list(F.struct("place", "base"))).alias("c"))
-    zero = F.struct(F.array(*map(F.lit, taken)).cast("array<string>").alias("used"), F.expr("CAST(array() AS array<struct<place:int,base:string,slug:string>>)").alias("out"))
+#: Places of a batch that are ranked in one task.
+SPAN = 1 << 16
 
-    def step(acc, x):
-        tries = F.transform(F.sequence(F.lit(1), F.size(acc["used"]) + 1), lambda i: F.when(i == 1, x["base"]).otherwise(F.concat(x["base"], F.lit("-"), i.cast("string"))))
-        slug = F.get(F.filter(tries, lambda t: ~F.array_contains(acc["used"], t)), F.lit(0))
-        return F.struct(F.concat(acc["used"], F.array(slug)).alias("used"), F.concat(acc["out"], F.array(F.struct(x["place"].alias("place"), x["base"].alias("base"), slug.alias("slug")))).alias("out"))
 
-    return rows.select(F.explode(F.aggregate("c", zero, step, lambda a: a["out"])).alias("x")).select("x.*")
+def number_slugs(candidates: DataFrame, taken: DataFrame) -> DataFrame:
+    """(place, base, slug) of candidates(place, base): slugs in the order of ``place``, a number of its own each, with -2, -3 ...
+    where the base is taken; numbers that ``taken`` (slug) has are skipped.
+
+    The r-th candidate of a base gets its r-th free number, which follows from its rank and the runs of taken numbers: ranks
+    are counted in spans of places, so that a base of very many candidates is in no single task. Only bases that can take
+    each other's names (x and x-2) are folded one after another, those of one stem together.
+    """
+    rows = candidates.select("place", "base", family("base").alias("family"))
+    bases = rows.groupBy("family").agg(F.countDistinct("base").alias("n"))
+    rows = rows.join(sized(bases), "family")
+    return ranked_slugs(rows.where("n = 1").select("place", "base"), taken).unionByName(folded_slugs(rows.where("n > 1").select("family", "place", "base"), taken))
+
+
+def family(slug: str) -> Column:
+    """The stem of a slug without the numbers at its end."""
+    return F.regexp_replace(slug, r"(-[1-9][0-9]*)+$", "")
+
+
+def ranked_slugs(rows: DataFrame, taken: DataFrame) -> DataFrame:
+    rows = rows.withColumn("span", F.floor(F.col("place") / SPAN))
+    before = Window.partitionBy("base").orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
+    start = rows.groupBy("base", "span").agg(F.count("*").alias("n")).select("base", "span", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    rank = F.row_number().over(Window.partitionBy("base", "span").orderBy("place"))
+    rows = rows.withColumn("rank", rank).join(sized(start), ["base", "span"]).select("place", "base", (F.col("start") + F.col("rank")).alias("rank"))
+    # taken numbers of each base, 1 for the base itself; a run of them moves every later rank by its length
+    names = taken.select("slug").distinct()
+    own = names.select(F.col("slug").alias("base"), F.lit(1).cast("long").alias("number"))
+    stem, number = F.regexp_extract("slug", r"^(.+)-([1-9][0-9]{0,17})$", 1), F.regexp_extract("slug", r"^(.+)-([1-9][0-9]{0,17})$", 2)
+    used = own.unionByName(names.where(stem != "").select(stem.alias("base"), number.cast("long").alias("number")).where("number >= 2")).join(sized(rows.select("base").distinct()), "base", "left_semi")
+    at = F.row_number().over(Window.partitionBy("base").orderBy("number"))
+    runs = used.withColumn("at", at).groupBy("base", (F.col("number") - F.col("at") + 1).alias("least")).agg(F.max("at").alias("moved"))
+    runs = runs.groupBy("base").agg(F.collect_list(F.struct("least", "moved")).alias("runs"))
+    moved = F.coalesce(F.array_max(F.transform(F.filter("runs", lambda r: r["least"] <= F.col("rank")), lambda r: r["moved"])), F.lit(0))
+    free = F.col("rank") + moved
+    return rows.join(sized(runs), "base", "left").select("place", "base", F.when(free == 1, F.col("base")).otherwise(F.concat("base", F.lit("-"), free.cast("string"))).alias("slug"))
+
+
+def folded_slugs(rows: DataFrame, taken: DataFrame) -> DataFrame:
+    names = taken.select(F.col("slug").alias("base"), family("slug").alias("family")).join(sized(rows.select("family").distinct()), "family", "left_semi")
+    # taken names come first
+    both = rows.withColumn("there", F.lit(False)).unionByName(names.select("family", F.lit(None).cast(rows.schema["place"].dataType).alias("place"), "base", F.lit(True).alias("there")))
+
+    def fold(batches):
+        stem, used, last = None, set(), {}
+        for batch in batches:
+            out = []
+            for name, place, base, there in zip(batch["family"], batch["place"], batch["base"], batch["there"]):
+                if name != stem:
+                    stem, used, last = name, set(), {}
+                if there:
+                    used.add(base)
+                    continue
+                n = last.get(base, 1)
+                while (slug := base if n == 1 else f"{base}-{n}") in used:
+                    n += 1
+                used.add(slug)
+                last[base] = n
+                out.append((int(place), base, slug))
+            yield pd.DataFrame(out, columns=["place", "base", "slug"])
+
+    dealt = both.repartition("family").sortWithinPartitions("family", F.col("there").desc(), "place")
+    return dealt.mapInPandas(fold, f"place {rows.schema['place'].dataType.simpleString()}, base string, slug string")

@@ -185,9 +185,29 @@ def test_token_functions(spark):
     assert row.t == ["𠀀", "退款", "7"] and row.l == "zh"
 
 
-def test_slug_numbers_skip_taken(spark):
-    rows = spark.createDataFrame([(1, "a"), (2, "a")], "place int, base string")
-    assert [r.slug for r in mutate.number_slugs(rows, ["a", "a-2"]).orderBy("place").collect()] == ["a-3", "a-4"]
+def folded(rows, taken):
+    used, out = set(taken), {}
+    for place, base in sorted(rows):
+        n = 1
+        while (slug := base if n == 1 else f"{base}-{n}") in used:
+            n += 1
+        used.add(slug)
+        out[place] = slug
+    return out
+
+
+def test_slug_numbers_equal_the_fold(spark, monkeypatch):
+    import random
+
+    monkeypatch.setattr(mutate, "SPAN", 16)
+    rng = random.Random(9)
+    bases = ["section"] * 6 + ["a", "b", "b-2", "b-2-3", "c-0", "d-01", "e", "x-y", "-2"]
+    for trial in range(2):
+        rows = [(i * 3, rng.choice(bases)) for i in range(150)]
+        taken = {f"{rng.choice(bases)}-{rng.randint(0, 40)}" for _ in range(60 * trial)} | {"a", "a-2", "a-4", "section-2", "e-02", "e-1"}
+        df, known = spark.createDataFrame(rows, "place int, base string").repartition(3), spark.createDataFrame([(t,) for t in taken], "slug string")
+        assert {r.place: r.slug for r in mutate.number_slugs(df, known).collect()} == folded(rows, taken)
+    assert mutate.number_slugs(df.limit(0), known).count() == 0
 
 
 def test_contradiction_candidates_need_no_common_source(spark):
