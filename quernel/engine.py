@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions.text import detect_lang, script_ratio, tokenize
 from .operators import bm25, dense, fusion, governance, seams, sections
+from .operators.postings import Index
 from .sources import corpus
 
 SUBDIRS = ["entities", "concepts", "qa"]
@@ -49,7 +52,9 @@ class Engine:
         )
         rows.write.mode("overwrite").parquet(f"{self.store}/sections")
         rows = self.sections()
-        bm25.term_stats(rows).repartitionByRange("token").sortWithinPartitions("token").write.mode("overwrite").parquet(f"{self.store}/terms")
+        new = f"{self.store}/index-{uuid.uuid4().hex}"
+        Index.build(rows.drop("embedding", "content", "heading"), new)
+        corpus.move_in(self.spark, new, f"{self.store}/index")
         stats = bm25.corpus_stats(rows)
         stats.coalesce(1).write.mode("overwrite").parquet(f"{self.store}/stats")
         return self.spark.read.parquet(f"{self.store}/stats")
@@ -61,12 +66,14 @@ class Engine:
 
     def search(self, queries: DataFrame, k: int = 10, exclude_qa: bool = False) -> DataFrame:
         """(query_id, id, rank, score): each query over the sections of its language; k from 1 to 10."""
-        k, rows = max(1, min(10, k)), self.sections()
-        scored = bm25.scores(bm25.ask(queries), rows)
-        lang = queries.select("query_id", detect_lang("text").alias("lang"))
-        keep = rows.where("page_type <> 'qa'") if exclude_qa else rows
-        own = scored.join(keep.select("id", "seq", "lang"), ["id", "seq"]).join(bm25.sized(lang), ["query_id", "lang"])
-        return bm25.top_k(own, k).select("query_id", "id", "rank", "score")
+        k, index = max(1, min(10, k)), Index(self.spark, [f"{self.store}/index"])
+        asked = queries.select("query_id", "text", detect_lang("text").alias("lang"))
+        found = None
+        for lang in bm25.THRESHOLD:
+            keep = F.col("lang") == lang
+            part = index.search(asked.where(keep), k, keep & (F.col("page_type") != "qa") if exclude_qa else keep)
+            found = part if found is None else found.unionByName(part)
+        return found
 
     def hybrid(self, queries: DataFrame, k: int = fusion.TOP) -> DataFrame:
         """(query_id, id, score, rank, passed): both arms, fused, behind the either-arm gate."""
