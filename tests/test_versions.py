@@ -108,10 +108,10 @@ def test_index_equals_plain_bm25(spark, tmp_path, monkeypatch, shard, lane):
     monkeypatch.setattr(postings, "LANE", lane)
     monkeypatch.setattr(postings, "QUERIES", 2)
     rows, q = spark.createDataFrame(corpus(spark), SCHEMA), spark.createDataFrame(QUERIES, "query_id int, text string")
-    for columns in (["id", "seq", "tokens"], ["id", "seq", "tokens", "question_tokens"], rows.columns):
+    for columns in (["id", "seq", "tokens"], rows.columns) if shard == 16 else (rows.columns,):
         own = rows.select(*columns)
         index = Index.build(own, str(tmp_path / f"{len(columns)}"))
-        for k in (1, 5, 500):
+        for k in (3, 500):
             assert hits(index.search(q, k)) == hits(bm25.bm25_search(q, own, k))
     assert hits(index.search(q, 4, F.col("lang") == "en")) == hits(bm25.bm25_search(q, rows, 4, lang="en"))
     assert hits(index.search(q, 4, ~F.col("page_type").eqNullSafe("qa"))) == hits(bm25.bm25_search(q, rows, 4, exclude_qa=True))
@@ -119,9 +119,8 @@ def test_index_equals_plain_bm25(spark, tmp_path, monkeypatch, shard, lane):
     assert stats.n == 132 and stats.total_len == rows.agg(F.sum(F.size("tokens"))).first()[0]
 
 
-@pytest.mark.parametrize("shard", [16, 2048])
-def test_neighbours_equal_all_pairs(spark, tmp_path, monkeypatch, shard):
-    monkeypatch.setattr(postings.in_shards, "__defaults__", (0, shard))
+def test_neighbours_equal_all_pairs(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(postings.in_shards, "__defaults__", (0, 16))
     rows = spark.createDataFrame(corpus(spark), SCHEMA).select("id", "seq", "tokens")
     asked = rows.select(F.col("id").alias("query_id"), F.explode("tokens").alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("times"))
     want = bm25.top_k(bm25.scores(asked, rows).where("query_id <> id AND score >= 1.0"), 3)
