@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import PUNCTUATION, WIKILINK, canonical_query, cited_ids, jaccard, parse_instant, parse_kv, tokenize
+from ..functions.text import WIKILINK, canonical_query, cited_ids, jaccard, parse_instant, parse_kv, tokenize
 from ..sources.corpus import scratch
 from .postings import Index
 

@@ -22,7 +22,7 @@ from ..functions.text import tokenize
 from . import bm25
 
 #: Sections of a shard; shards that a task goes through for its queries; queries that a task holds.
-SHARD, LANE, QUERIES = 2048, 8, 512
+SHARD, LANE, QUERIES = 2048, 8, 4096
 #: Scores closer than this may change places by rounding; bounds leave as much room.
 ROOM = 1e-7
 BODY, HEADING = 0, 1
@@ -194,6 +194,9 @@ class Index:
 
 
 def write_part(sections: DataFrame, path: str, first_shard: int, question_weight: float) -> None:
+    """Sections and their blocks; a section without tokens (null) is an empty one."""
+    empty = F.expr("CAST(array() AS array<string>)")
+    sections = sections.withColumns({c: F.coalesce(c, empty) for c in ("tokens", "question_tokens") if c in sections.columns})
     if "heading_path" in sections.columns:
         sections = sections.withColumn("heading_tokens", F.array_distinct(tokenize(F.array_join("heading_path", " "))))
     sections = in_shards(sections.withColumn("len", F.size("tokens")), first_shard)

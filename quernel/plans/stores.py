@@ -8,7 +8,7 @@ import zlib
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import bm25, dense, reports, seams
+from ..operators import dense, reports, seams
 from ..operators import evaluation as E
 from ..operators import governance as G
 from ..operators import sections as S

@@ -151,6 +151,15 @@ def test_an_empty_index(spark, tmp_path):
     assert Index.build(spark.createDataFrame(corpus(spark), SCHEMA), str(tmp_path / "j")).search(q.limit(0), 3).count() == 0
 
 
+def test_null_tokens_are_none(spark, tmp_path):
+    rows = [("a", 1, ["w1", "w2"], None), ("b", 2, None, None), ("c", 3, [], ["w1"])]
+    full = [(i, s, t or [], h or []) for i, s, t, h in rows]
+    q = spark.createDataFrame(QUERIES, "query_id int, text string")
+    kinds = "id string, seq long, tokens array<string>, heading_path array<string>"
+    own, want = (Index.build(spark.createDataFrame(r, kinds), str(tmp_path / n)) for r, n in ((rows, "x"), (full, "y")))
+    assert hits(own.search(q, 3)) == hits(want.search(q, 3)) and own.stats.first() == want.stats.first()
+
+
 def test_bounds_leave_lists_out():
     """A shard whose tokens cannot reach the bar is not read, and a rare token's sections are completed alone."""
     places = [np.arange(1000), np.array([3, 500])]
