@@ -14,10 +14,12 @@ import zlib
 from collections.abc import Callable
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import REFUSAL, kangxi
+from .sections import slices
 
 DIM = 64
 #: Waits before the second and third attempt, and the time that all attempts may take, in seconds (fixed values).
@@ -111,10 +113,11 @@ def transcribe(pages: DataFrame, model: Callable[[bytes], str] = lambda page: pa
     """(doc, page, text) of rows(doc, page, image); order is the page's number, whatever finishes first."""
 
     def run(batches):
-        for rows in batches:
-            yield pd.DataFrame({"doc": rows["doc"], "page": rows["page"], "text": [model(x) for x in rows["image"]]})
+        for rows in slices(batches, "image"):
+            text = [None if x is None else model(x) for x in rows.column("image").to_pylist()]
+            yield pa.RecordBatch.from_arrays([rows.column("doc"), rows.column("page"), pa.array(text, pa.string())], names=["doc", "page", "text"])
 
-    return pages.mapInPandas(run, "doc string, page int, text string")
+    return pages.select("doc", "page", "image").mapInArrow(run, "doc string, page int, text string")
 
 
 def classify_source(text: Column | str) -> Column:

@@ -9,8 +9,11 @@ from __future__ import annotations
 import html.parser
 import json
 import re
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,6 +22,20 @@ from ..functions.text import estimate_tokens, furniture_key, slugify, tokenize
 HEADING = re.compile(r"^(#{1,6})\s+(.+?)\s*$")
 FENCE = "```"
 
+#: Bytes of text that a task holds as Python objects at once.
+SLICE_BYTES = 4 << 20
+
+
+def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches in consecutive slices of about ``limit`` bytes of ``column`` (one row at least); an empty batch stays one."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        part = (np.cumsum(sizes) - sizes) // limit
+        cuts = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), batch.num_rows]
+        for lo, hi in zip(cuts, cuts[1:]):
+            yield batch.slice(lo, hi - lo)
+
+
 # ---------------------------------------------------------------- frontmatter
 
 
@@ -52,7 +69,7 @@ def with_frontmatter(files: DataFrame, text_col: str = "text") -> DataFrame:
     """Adds ``frontmatter`` (JSON text; ``{}`` where absent or malformed) and ``body``. Null texts give nulls."""
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches, text_col):
             fm, body = [], []
             for t in batch.column(text_col).to_pylist():
                 fields, rest = frontmatter_of(t) if t is not None else (None, None)
@@ -115,7 +132,7 @@ def sections(files: DataFrame, name_col: str = "name", body_col: str = "body") -
     """
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches, "body"):
             out = [[], [], [], [], [], [], []]
             for name, body in zip(batch.column("name").to_pylist(), batch.column("body").to_pylist()):
                 if body is None:
@@ -146,7 +163,7 @@ def uncarried(files: DataFrame, rows: DataFrame) -> DataFrame:
     """(name, missing): non-blank characters of each body, headings aside, that no section carries; 0 at least."""
 
     def count(batches):
-        for batch in batches:
+        for batch in slices(batches, "body"):
             n = []
             for body in batch.column("body").to_pylist():
                 found, lines = outline(body or "")
@@ -302,7 +319,7 @@ def convert_pages(pages: DataFrame, html_col: str = "html", out_col: str = "mark
     pages = pages.drop(out_col)
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches, html_col):
             text = [None if h is None else html_to_markdown(h) for h in batch.column(html_col).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(text, pa.string())], names=[*batch.schema.names, out_col])
 
@@ -370,7 +387,7 @@ def chunks(sections: DataFrame, id_col: str = "id", text_col: str = "content", s
     """(id, chunk, content): each section's pieces; a section without text has none."""
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches, "text"):
             out = [(i, k, c) for i, t in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist()) if t for k, c in enumerate(split_text(t, size, overlap))]
             cols = list(zip(*out)) or [(), (), ()]
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], batch.schema.field("id").type), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.string())], names=["id", "chunk", "content"])
