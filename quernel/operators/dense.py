@@ -16,6 +16,8 @@ from .bm25 import sized
 CEILING = 1.1
 #: Largest set of query vectors that is sent to every task at once.
 QUERY_BLOCK = 4096
+#: Queries that a task compares with a part of its vectors at once, and pairs of which it holds the differences.
+TASK_QUERIES, PAIRS = 256, 16384
 
 
 def squared_distance(a, b):
@@ -49,22 +51,23 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int, id_col: str = "vec_i
                     if not len(own):
                         continue
                     x = part.column("vector").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(part.num_rows, -1)
-                    near = np.maximum((q * q).sum(1)[:, None] - 2 * q @ x.T + (x * x).sum(1)[None, :], 0)
-                    take = min(k, x.shape[0])
-                    pick = np.argpartition(near, take - 1, axis=1)[:, :take]
-                    r = np.repeat(np.arange(len(own)), take)
-                    c = pick.ravel()
-                    exact = ((q[r] - x[c]) ** 2).sum(1)
-                    rows = pa.Table.from_arrays(
-                        [pa.array(own[r]), part.column("id").take(pa.array(c)), pa.array(exact), *(part.column(n).take(pa.array(c)) for n in part.schema.names[2:])],
-                        names=["query_id", "id", "distance", *part.schema.names[2:]],
-                    )
-                    best = rows if best is None else pa.concat_tables([best, rows])
-                    if best.num_rows > 4 * k * len(own):
-                        best = trimmed(best, k)
+                    for at in range(0, len(own), TASK_QUERIES):
+                        found = of_block(own[at : at + TASK_QUERIES], q[at : at + TASK_QUERIES], x, part)
+                        best = found if best is None else pa.concat_tables([best, found])
+                        if best.num_rows > 4 * k * len(own):
+                            best = trimmed(best, k)
             if best is not None:
                 yield from trimmed(best, k).combine_chunks().to_batches()
 
+        def of_block(own, q, x, part):
+            near = np.maximum((q * q).sum(1)[:, None] - 2 * q @ x.T + (x * x).sum(1)[None, :], 0)
+            take = min(k, x.shape[0])
+            c = np.argpartition(near, take - 1, axis=1)[:, :take].ravel()
+            r = np.repeat(np.arange(len(own)), take)
+            exact = np.concatenate([((q[r[lo : lo + PAIRS]] - x[c[lo : lo + PAIRS]]) ** 2).sum(1) for lo in range(0, len(r), PAIRS)])
+            columns = [pa.array(own[r]), part.column("id").take(pa.array(c)), pa.array(exact), *(part.column(n).take(pa.array(c)) for n in part.schema.names[2:])]
+            return pa.Table.from_arrays(columns, names=["query_id", "id", "distance", *part.schema.names[2:]])
+
         part = rows.mapInArrow(run, schema)
         out = part if out is None else out.unionByName(part)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id"))
