@@ -476,9 +476,9 @@ def s_20_pdf_markdown(spark, d):
     SELECT a, b, similarity FROM j QUALIFY row_number() OVER (ORDER BY similarity DESC, a, b) <= 30"""
 )
 def o_07_alike_pages(spark, d):
-    """The most alike documents of a common source, compared in blocks inside tasks."""
+    """The most alike documents of a common source."""
     rows = table(spark, d, "documents").select(F.lpad(F.col("doc_id").cast("string"), 9, "0").alias("slug"), F.lit("entities").alias("dir"), F.array("source").alias("sources"), F.col("text").alias("body"))
-    return G.alike_in_source(rows, 30).distinct().orderBy(F.col("similarity").desc(), "a", "b").limit(30)
+    return G.ranked_pairs(G.most_alike(rows, 30).select("a", "b"), rows, 30).drop("place")
 
 
 PAGE = "<html><head><title>T</title><script>x()</script></head><body><h1>Top &amp; more</h1><!-- c --><p>a <b>b</b> <a href='u'>l</a></p><ul><li>1</li><li>2</li></ul><pre>k  v</pre></body></html>"

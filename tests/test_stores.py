@@ -146,3 +146,25 @@ def test_pdfs_of_several_pages(spark):
     rows = spark.createDataFrame([*((i, bytearray(pdf(*pages))) for i, pages in PDFS.items()), (5, None)], "id int, content binary")
     got = {r.id: (r.has_text, r.markdown) for r in rows.select("id", seams.has_text_layer("content").alias("has_text"), seams.pdf_to_markdown("content").alias("markdown")).collect()}
     assert got == {1: (True, "Hello (world)\nsecond line"), 2: (False, ""), 3: (True, "After a very long first line of words\nHi"), 4: (False, ""), 5: (None, None)}
+
+
+@pytest.mark.parametrize("copies", [0, 1, 40])
+def test_candidates_by_a_bound(spark, monkeypatch, copies):
+    """The best pairs by a join on rare words, with blocks forbidden, against all pairs: near copies, copies and neighbours without a common source."""
+    monkeypatch.setattr(governance, "alike_in_source", None)
+    monkeypatch.setattr(governance, "FREQUENT", 5)
+    rng = random.Random(4)
+    words = [f"word{i}" for i in range(300)]
+    bases = [rng.sample(words, 40) for _ in range(25)]
+    rows = []
+    for i in range(160):
+        text = list(bases[rng.randrange(25)]) if copies < 40 or i % 2 else list(bases[0])
+        for _ in range(0 if i < copies else rng.randint(0, 4)):
+            text[rng.randrange(40)] = rng.choice(words)
+        rows.append((f"p{i:03}", "concepts", [f"s{i % 3}.md#a"] if i % 5 else [], " ".join(text)))
+    pages = spark.createDataFrame([*rows, ("e", "entities", ["s0.md"], ""), ("q", "qa", ["s0.md"], rows[0][3])], "slug string, dir string, sources array<string>, body string")
+    want = governance.ranked_pairs(governance.contradiction_pairs(pages), pages).orderBy("place").collect()
+    assert [tuple(r) for r in governance.contradictions(pages).orderBy("place").collect()] == [tuple(r) for r in want]
+    shared = governance.ranked_pairs(governance.shared_source_pairs(pages), pages).orderBy("place").collect()
+    got = governance.ranked_pairs(governance.most_alike(pages, 30).select("a", "b"), pages).orderBy("place").collect()
+    assert [tuple(r) for r in got] == [tuple(r) for r in shared]
