@@ -253,10 +253,10 @@ def a_21_question_weight_sweep(spark, d):
     index, asked = index_of(spark, d), bm25.sized(bm25.ask(asks(spark, d)))
     posts, average = index.postings(asked.select("token").distinct()), F.broadcast(index.stats.select((F.col("total_len") / F.col("n")).alias("avg_len")))
     idf = index.idf().crossJoin(average)
-    tf = F.col("weight") * F.col("tf")
-    part = F.col("idf") * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * F.col("len") / F.col("avg_len"))) * F.col("times")
-    grid = F.explode(F.array(F.lit(0.1), F.lit(0.3), F.lit(1.0))).alias("weight")
-    scored = posts.join(idf, "token").join(asked, "token").select("*", grid).groupBy("weight", "query_id", "id").agg(F.sum(part).alias("s"))
+    part = lambda w: F.col("idf") * (w * F.col("tf")) * 2.5 / (w * F.col("tf") + 1.5 * (0.25 + 0.75 * F.col("len") / F.col("avg_len"))) * F.col("times")
+    weights = (0.1, 0.3, 1.0)  # the sums of all weights go in one row
+    sums = posts.join(idf, "token").join(asked, "token").groupBy("query_id", "id").agg(*(F.sum(part(w)).alias(f"s{i}") for i, w in enumerate(weights)))
+    scored = sums.select(F.explode(F.array(*(F.struct(F.lit(w).alias("weight"), F.col(f"s{i}").alias("s")) for i, w in enumerate(weights)))).alias("x")).select("x.*")
     return scored.groupBy("weight").agg(F.max("s").alias("best"), F.avg("s").alias("mean"))
 
 

@@ -152,7 +152,8 @@ def mixed_sections(spark, d):
     SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, seq) AS rank, score FROM sc WHERE score > 0 QUALIFY rank <= 3"""
 )
 def o_01_bm25_headings(spark, d):
-    return bm25.bm25_search(ASKED.df(spark, d), mixed_sections(spark, d), 3)
+    index = Index.build(mixed_sections(spark, d).select("id", "seq", "tokens", "question_tokens", "heading_path"), C.scratch(spark))
+    return index.search(ASKED.df(spark, d), 3)
 
 
 @query(
