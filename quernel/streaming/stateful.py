@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,6 +16,8 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 WINDOW_SEC, LIMIT = 300, 30
 TTL_SEC, RING = 1800, 10
 CAP, RESERVE, DEFAULT_COST = 3.0, 0.60, 0.10
+#: A row that waits for the watermark.
+WAITING = np.dtype([("ts_ms", np.int64), ("row_id", np.int64), ("failed", np.bool_)])
 
 
 def rate_limit(requests: DataFrame, key: str, ts: str, request_id: str, limit: int = LIMIT, window_sec: int = WINDOW_SEC) -> DataFrame:
@@ -219,34 +222,42 @@ def admitted_streams(opened: DataFrame, key: list[str], start: str, end: str, or
 class PendingFailures(StatefulProcessor):
     """Failures and successes of a key in the order of their times, however they arrive.
 
-    Rows wait in the key's state until the watermark has passed them: a timer for each time then takes all that are due, in
-    order. A success that finds no pending failure counts; otherwise it clears one. What a key holds is the rows that are
-    not due yet and one counter.
+    Rows wait in the key's state, an entry for each batch, until the watermark has passed them. There is one timer for the
+    first row of what came or was left at once; it takes all that are due, in order. A success that finds no pending failure
+    counts; otherwise it clears one. What a key holds is the rows that are not due yet and one counter.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getMapState("waiting", "ts_ms long, row_id long", "failed boolean")
+        self.waiting = handle.getListState("waiting", "rows binary")
         self.pending = handle.getValueState("pending", "n long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         for batch in rows:
-            for ts, row_id, failed in zip(batch["ts_ms"], batch["row_id"], batch["failed"]):
-                self.waiting.updateValue((int(ts), int(row_id)), (bool(failed),))
-                self.handle.registerTimer(int(ts))
-        yield pd.DataFrame({"key": [], "row_id": [], "success": []})
+            if len(batch):
+                self._hold(np.rec.fromarrays([batch[c].to_numpy() for c in WAITING.names], dtype=WAITING))
+        return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        due = sorted(k for k in self.waiting.keys() if k[0] <= expiredTimerInfo.getExpiryTimeInMs())
+        rows = [np.frombuffer(x[0], WAITING) for x in self.waiting.get()]
+        if not rows:
+            return iter(())
+        rows = np.concatenate(rows)
+        past = rows["ts_ms"] <= max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs())
+        self.waiting.clear()
+        if not past.all():
+            self._hold(rows[~past])
+        due = np.sort(rows[past], order=["ts_ms", "row_id"])
         n = self.pending.get()[0] if self.pending.exists() else 0
-        out = []
-        for k in due:
-            failed = self.waiting.getValue(k)[0]
-            out.append((key[0], k[1], not failed and n == 0))
-            n = n + 1 if failed else max(0, n - 1)
-            self.waiting.removeKey(k)
-        self.pending.update((n,))
-        yield pd.DataFrame(out, columns=["key", "row_id", "success"])
+        # the counter never falls below zero: the free walk over its running minimum
+        walk = np.concatenate([[n], n + np.cumsum(np.where(due["failed"], 1, -1))])
+        counter = walk - np.minimum(0, np.minimum.accumulate(walk))
+        self.pending.update((int(counter[-1]),))
+        return iter([pd.DataFrame({"key": [key[0]] * len(due), "row_id": due["row_id"], "success": ~due["failed"] & (counter[:-1] == 0)})] if len(due) else [])
+
+    def _hold(self, rows: np.ndarray) -> None:
+        self.waiting.appendValue((rows.tobytes(),))
+        self.handle.registerTimer(int(rows["ts_ms"].min()))
 
     def close(self) -> None:
         pass

@@ -2,7 +2,12 @@
 
 import random
 
+import pandas as pd
+from pyspark.sql import functions as F
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
+
 from quernel.operators import governance
+from quernel.streaming import stateful
 
 
 def test_shared_source_pairs_are_dealt_in_blocks_and_stand_once(spark, monkeypatch):
@@ -19,3 +24,65 @@ def test_shared_source_pairs_are_dealt_in_blocks_and_stand_once(spark, monkeypat
     assert sorted(map(tuple, found.collect())) == want and len(of["hot.md"]) > 20
     above = found._jdf.queryExecution().optimizedPlan().toString().split("Join")[0]
     assert "Aggregate" not in above  # no exchange of the pairs themselves
+
+
+class Held:
+    """A handle of states that counts what is asked of it."""
+
+    def __init__(self):
+        self.calls, self.timers, self.of = 0, set(), {}
+
+    def registerTimer(self, at):
+        self.calls += 1
+        self.timers.add(at)
+
+    def _state(self, name):
+        held, rows = self, self.of.setdefault(name, [])
+
+        class State:
+            def call(self, *row):
+                held.calls += 1
+                rows.append(row)
+
+            updateValue = call
+            appendValue = lambda self, x: self.call(*x)
+            update = lambda self, x: (self.clear(), self.call(*x))
+            exists = lambda self: bool(rows)
+            get = lambda self: rows[0] if name == "pending" else iter(list(rows))
+            clear = lambda self: rows.clear()
+
+        return State()
+
+    getMapState = getListState = getValueState = lambda self, name, *a: self._state(name)
+
+
+def test_pending_rows_wait_by_the_batch():
+    rows = [(i * 1000, i // 2 * 2, i % 3 == 0) for i in range(1000)]
+    random.Random(1).shuffle(rows)
+    handle, processor, out = Held(), stateful.PendingFailures(), []
+    processor.init(handle)
+    for lo in (0, 500):
+        list(processor.handleInputRows(("k",), iter([pd.DataFrame(rows[lo : lo + 500], columns=["ts_ms", "row_id", "failed"])]), TimerValues(0, -1)))
+    assert handle.calls == 4  # an entry and a timer for each batch, not for each row
+    for watermark in (400_500, 10**9):  # a part of them first
+        while due := sorted(t for t in handle.timers if t <= watermark):
+            handle.timers.remove(due[0])
+            out += [tuple(r) for x in processor.handleExpiredTimer(("k",), TimerValues(0, watermark), ExpiredTimerInfo(due[0])) for r in x.itertuples(index=False)]
+    n, want = 0, []
+    for _, row_id, failed in sorted(rows):
+        want.append(("k", row_id, not failed and n == 0))
+        n = n + 1 if failed else max(0, n - 1)
+    assert out == want and handle.calls < 20
+
+
+def test_rows_of_one_time_and_id_all_come_out(spark, tmp_path):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        rows = [(5, 1, 0, True), (5, 1, 0, True), (5, 2, 1, False), (5, 3, 2, False), (5, 4, 3, False), (6, 9, 9, False)]
+        df = spark.createDataFrame(rows, "key long, row_id long, s long, failed boolean").select("key", "row_id", F.timestamp_seconds(F.col("s") + 1).alias("ts"), "failed")
+        df.coalesce(1).write.parquet(str(tmp_path / "in"))
+        q = stateful.pending_failures_stream(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")), "0 seconds").writeStream.format("memory").queryName("twice").outputMode("append").trigger(availableNow=True).start()
+        assert q.awaitTermination(100)
+        assert sorted(map(tuple, spark.table("twice").collect())) == [(5, 1, False), (5, 1, False), (5, 2, False), (5, 3, False), (5, 4, True), (6, 9, True)]
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
