@@ -21,17 +21,19 @@ from pyspark.sql import functions as F
 from ..functions.text import tokenize
 from . import bm25
 
-#: Sections of a shard; shards that a task goes through for its queries; queries that a task holds.
-SHARD, LANE, QUERIES = 2048, 8, 4096
+#: Sections of a shard; shards that a task goes through for its queries; queries that a task holds; shards that a task writes.
+SHARD, LANE, QUERIES, WRITTEN = 2048, 8, 4096, 2
 #: Scores closer than this may change places by rounding; bounds leave as much room.
 ROOM = 1e-7
 BODY, HEADING = 0, 1
 
 
 def in_shards(sections: DataFrame, first: int = 0, size: int = SHARD) -> DataFrame:
-    """``sections`` with ``shard``, by a hash of the id, and ``place``, the rank by ``seq`` within it."""
+    """``sections`` with ``shard``, by a hash of the id, and ``place``, the rank by ``seq`` within it.
+
+    The tasks follow the shards, so that what one sorts does not grow with the input."""
     shards = max(1, -(-sections.count() // size))
-    dealt = sections.withColumn("shard", (F.pmod(F.xxhash64("id"), F.lit(shards)) + first).cast("int"))
+    dealt = sections.withColumn("shard", (F.pmod(F.xxhash64("id"), F.lit(shards)) + first).cast("int")).repartition(max(1, -(-shards // WRITTEN)), "shard")
     return dealt.withColumn("place", (F.row_number().over(Window.partitionBy("shard").orderBy("seq")) - 1).cast("int"))
 
 
@@ -53,7 +55,7 @@ def blocks_of(sections: DataFrame, question_weight: float = bm25.QUESTION_WEIGHT
         for kind, part in ((BODY, body), (HEADING, counted(batch.column("heading_tokens")) if "heading_tokens" in batch.schema.names else None)):
             if part is not None:
                 row, token, tf = part
-                order = np.lexsort((place[row], token.indices.to_numpy(zero_copy_only=False), shard[row]))
+                order = np.lexsort((place[row], rank_of(token.dictionary)[token.indices.to_numpy(zero_copy_only=False)], shard[row]))
                 row, code, tf = row[order], token.indices.to_numpy(zero_copy_only=False)[order], tf[order]
                 at = np.flatnonzero(np.concatenate([[True], (code[1:] != code[:-1]) | (shard[row][1:] != shard[row][:-1])]))
                 off = pa.array(np.append(at, len(row)).astype(np.int32))
@@ -61,6 +63,12 @@ def blocks_of(sections: DataFrame, question_weight: float = bm25.QUESTION_WEIGHT
                 columns = [pa.array(shard[row][at].astype(np.int32)), token.dictionary.take(pa.array(code[at])), pa.array(np.full(len(at), kind, np.int32)), *lists, pa.array(np.maximum.reduceat(tf, at)), pa.array(np.minimum.reduceat(length[row], at).astype(np.int32))]
                 yield pa.RecordBatch.from_arrays(columns, ["shard", "token", "kind", "places", "tf", "len", "most", "shortest"])
 
+    def rank_of(words: pa.Array) -> np.ndarray:
+        """Each word's place in order: blocks of a shard are written by token."""
+        rank = np.empty(len(words), np.int32)
+        rank[pc.sort_indices(words).to_numpy()] = np.arange(len(words), dtype=np.int32)
+        return rank
+
     def counted(column: pa.Array) -> tuple | None:
         """(row, token, times) of each row's distinct tokens."""
         tokens = pc.list_flatten(column).dictionary_encode()
@@ -200,9 +208,9 @@ def write_part(sections: DataFrame, path: str, first_shard: int, question_weight
     if "heading_path" in sections.columns:
         sections = sections.withColumn("heading_tokens", F.array_distinct(tokenize(F.array_join("heading_path", " "))))
     sections = in_shards(sections.withColumn("len", F.size("tokens")), first_shard)
-    sections.sortWithinPartitions("shard", "place").write.parquet(f"{path}/sections")
+    sections.write.parquet(f"{path}/sections")  # as the ranks leave them: by shard and place
     stored = sections.sparkSession.read.parquet(f"{path}/sections")
-    blocks_of(stored, question_weight).sortWithinPartitions("token").write.parquet(f"{path}/blocks")
+    blocks_of(stored, question_weight).write.parquet(f"{path}/blocks")
 
 
 def document_frequencies(blocks: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 
-from quernel.operators import governance
+from quernel.operators import governance, postings
 from quernel.streaming import stateful
 
 
@@ -86,3 +86,15 @@ def test_rows_of_one_time_and_id_all_come_out(spark, tmp_path):
         assert sorted(map(tuple, spark.table("twice").collect())) == [(5, 1, False), (5, 1, False), (5, 2, False), (5, 3, False), (5, 4, True), (6, 9, True)]
     finally:
         spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+
+
+def test_tasks_of_an_index_follow_its_shards(spark, tmp_path, monkeypatch):
+    """However few partitions a shuffle has, a task sorts and writes some shards."""
+    monkeypatch.setattr(postings.in_shards, "__defaults__", (0, 8))
+    rows = spark.range(400).select(F.col("id"), F.col("id").alias("seq"), F.array(F.lit("w"), F.concat(F.lit("x"), F.col("id") % 50)).alias("tokens"))
+    index = postings.Index.build(rows, str(tmp_path / "i"))
+    shards = [r.n for r in index.sections.groupBy(F.input_file_name()).agg(F.countDistinct("shard").alias("n")).collect()]
+    assert sum(shards) == 50 and len(shards) > 2 * int(spark.conf.get("spark.sql.shuffle.partitions")) and max(shards) <= 10
+    assert {r.token: r.df for r in index.terms.collect()} == {"w": 400} | {f"x{i}": 8 for i in range(50)}
+    for shard in index.blocks.groupBy("shard").agg(F.collect_list("token").alias("t")).collect():
+        assert len(set(shard.t)) == len(shard.t)
