@@ -23,6 +23,8 @@ from . import bm25
 
 #: Sections of a shard; shards that a task goes through for its queries; queries that a task holds; shards that a task writes.
 SHARD, LANE, QUERIES, WRITTEN = 2048, 8, 4096, 2
+#: Tasks that a search is dealt to, at most.
+CELLS = 20_000
 #: Scores closer than this may change places by rounding; bounds leave as much room.
 ROOM = 1e-7
 BODY, HEADING = 0, 1
@@ -173,17 +175,35 @@ class Index:
 
     def best(self, asked: DataFrame, k: int, keep: Column | None = None, least: float | None = None, own: DataFrame | None = None) -> DataFrame:
         """(query_id, id, rank, score) for asked(query_id, token, times); ``own`` names the section that a query stands for and does not find."""
+        stats = self.stats.first()
+        average = stats.total_len / stats.n if stats.n else 0.0
+        kind = asked.schema["query_id"].dataType
+        run = searcher(k, average, least, keep is not None or self.gone is not None, kind)
+        found = self._met(asked, keep, own).mapInArrow(run, f"query_id {kind.simpleString()}, shard int, place int, score double")
+        found = found.join(self.sections.select("shard", "place", "id", "seq"), ["shard", "place"])
+        return bm25.top_k(found, k).select("query_id", "id", "rank", "score")
+
+    def touched(self, asked: DataFrame) -> DataFrame:
+        """(query_id, matches, touched) for asked(query_id, token, times): how often a query's tokens meet those of the sections, and in how many
+        distinct ids. Counted in each shard, which holds all sections of an id; only the counts of a query and a shard leave a task."""
+        kind = asked.schema["query_id"].dataType
+        twins = self.live().groupBy("shard", "id").agg(F.array_sort(F.collect_list("place")).alias("places")).where("id IS NULL OR size(places) > 1")
+        # sections of one id stand for their first, those without an id for none
+        twins = twins.select("shard", "places", F.transform("places", lambda p: F.when(F.col("id").isNull(), -1).otherwise(F.get("places", F.lit(0)))).alias("len"), F.lit(3).alias("step"))
+        counts = self._met(asked, more=twins).mapInArrow(searcher(0, 0.0, None, self.gone is not None, kind, True), f"query_id {kind.simpleString()}, matches long, touched long")
+        return counts.groupBy("query_id").agg(F.sum("matches").alias("matches"), F.sum("touched").alias("touched"))
+
+    def _met(self, asked: DataFrame, keep: Column | None = None, own: DataFrame | None = None, more: DataFrame | None = None) -> DataFrame:
+        """Queries, the blocks of their words and masks, dealt and sorted as ``searcher`` reads them; ``more`` are further rows of shards."""
         weighed = asked.join(self.idf(), "token").select("query_id", "token", "times", (F.col("times") * F.col("idf")).alias("w"))
         if "heading_tokens" in self.sections.columns:  # a heading's words need no section that holds them
             weighed = asked.join(self.idf(), "token", "left").select("query_id", "token", "times", F.coalesce(F.col("times") * F.col("idf"), F.lit(0.0)).alias("w"))
         packed = weighed.groupBy("query_id").agg(*(F.collect_list(c).alias(c) for c in ("token", "w", "times")))
         packed = packed.join(own, "query_id") if own is not None else packed.withColumns({"own_shard": F.lit(None).cast("int"), "own_place": F.lit(None).cast("int")})
         stats = self.stats.first()
-        average = stats.total_len / stats.n if stats.n else 0.0
         lanes, groups = max(1, -(-stats.shards // LANE)), max(1, -(-packed.count() // QUERIES))
         every = lambda n, out: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(out)
         none = lambda kind: F.lit(None).cast(kind)
-        query_type = asked.schema["query_id"].dataType
         question = packed.select(every(lanes, "lane"), F.pmod(F.xxhash64("query_id"), F.lit(groups)).cast("int").alias("group"), F.lit(-1).alias("shard"), F.lit(0).alias("step"), "query_id", "token", "w", F.col("times").cast("array<double>").alias("times"), "own_shard", "own_place", none("string").alias("word"), none("int").alias("kind"), none("array<int>").alias("places"), none("array<double>").alias("tf"), none("array<int>").alias("len"), none("double").alias("most"), none("int").alias("shortest"))
         shape = {f.name: f.dataType for f in question.schema}
         fill = lambda rows: rows.select(*(F.col(c) if c in rows.columns else F.lit(None).cast(t).alias(c) for c, t in shape.items()))
@@ -195,10 +215,11 @@ class Index:
             left = self.live() if keep is None else self.live().where(keep)
             masks = left.groupBy("shard").agg(F.collect_list("place").alias("places")).select("shard", "places", lane, F.lit(2).alias("step"), every(groups, "group"))
             rows = rows.unionByName(fill(masks))
-        masked = keep is not None or self.gone is not None
-        found = rows.repartition("lane", "group").sortWithinPartitions("lane", "group", "shard", "step").mapInArrow(searcher(k, average, least, masked, query_type), f"query_id {query_type.simpleString()}, shard int, place int, score double")
-        found = found.join(self.sections.select("shard", "place", "id", "seq"), ["shard", "place"])
-        return bm25.top_k(found, k).select("query_id", "id", "rank", "score")
+        if more is not None:
+            rows = rows.unionByName(fill(more.withColumns({"lane": F.pmod(F.xxhash64("shard"), F.lit(lanes)).cast("int"), "group": every(groups, "group")})))
+        # the tasks follow the cells: what one sorts does not grow with the input
+        tasks = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), min(lanes * groups, CELLS))
+        return rows.repartition(tasks, "lane", "group").sortWithinPartitions("lane", "group", "shard", "step")
 
 
 def write_part(sections: DataFrame, path: str, first_shard: int, question_weight: float) -> None:
@@ -245,6 +266,14 @@ class Shard:
         which = np.repeat(np.arange(len(codes)), n)
         return self.by_code[np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())], which
 
+    def met(self, codes: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of every posting of the query's tokens in a body: place, weight and how often the query has the token."""
+        lists, which = self.lists_of(codes)
+        lists, which = lists[self.kind[lists] == BODY], which[self.kind[lists] == BODY]
+        size = self.size[lists]
+        at = np.repeat(self.start[lists] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        return self.places[at], self.weight[at], np.repeat(times[which], size)
+
     def add(self, total: np.ndarray, lists: np.ndarray, factor: np.ndarray) -> None:
         size = self.size[lists]
         at = np.repeat(self.start[lists] - (np.cumsum(size) - size), size) + np.arange(size.sum())
@@ -285,8 +314,8 @@ class Shard:
         return alive, total[alive]
 
 
-def searcher(k: int, average: float, least: float | None, masked: bool, query_type):
-    """The task of ``Index.best``: queries of a lane come first, then one shard after the other, its blocks before its mask."""
+def searcher(k: int, average: float, least: float | None, masked: bool, query_type, count: bool = False):
+    """The task of ``Index.best``: queries of a lane come first, then one shard after the other, its blocks before its mask. With ``count`` that of ``Index.touched``."""
     from pyspark.sql.pandas.types import to_arrow_type
 
     arrow_type = to_arrow_type(query_type)
@@ -301,7 +330,9 @@ def searcher(k: int, average: float, least: float | None, masked: bool, query_ty
                 queries = Queries(part)
             elif queries is not None:
                 held = queries.ask(part)
-                if held:
+                if held and count:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*held), (arrow_type, pa.int64(), pa.int64()))], ["query_id", "matches", "touched"])
+                elif held:
                     yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*held), (arrow_type, pa.int32(), pa.int32(), pa.float64()))], ["query_id", "shard", "place", "score"])
 
     def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -337,6 +368,7 @@ def searcher(k: int, average: float, least: float | None, masked: bool, query_ty
             allowed = None
             if masked:
                 allowed = part.filter(pa.array(step == 2)).column("places").combine_chunks().flatten().to_numpy(zero_copy_only=False)
+            twins = part.filter(pa.array(step == 3)) if count else None
             part = part.filter(pa.array(step == 1))
             if not part.num_rows:
                 return []
@@ -347,11 +379,25 @@ def searcher(k: int, average: float, least: float | None, masked: bool, query_ty
             kind = part.column("kind").to_numpy()
             split = lambda c: np.split(part.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False), np.cumsum(part.column("places").combine_chunks().value_lengths().to_numpy(zero_copy_only=False))[:-1])
             norm = (lambda n: 1 - bm25.B + bm25.B * n / average) if average > 0 else (lambda n: np.ones(len(n)))
-            weigh = lambda tf, n: tf * (bm25.K1 + 1) / (tf + bm25.K1 * norm(n))
+            weigh = lambda tf, n: tf if count else tf * (bm25.K1 + 1) / (tf + bm25.K1 * norm(n))
             weight = [np.ones(len(t)) if h == HEADING else weigh(t, n) for t, n, h in zip(split("tf"), split("len"), kind)]
             bound = np.where(kind == HEADING, 1.0, weigh(part.column("most").to_numpy(), part.column("shortest").to_numpy()))
             shard = Shard(code, kind, split("places"), weight, bound, len(self.code))
             out = []
+            if count:
+                first = np.arange(shard.n)
+                for places, firsts in zip(twins.column("places").to_pylist(), twins.column("len").to_pylist()):
+                    for p, q in zip(places, firsts):
+                        if p < shard.n:  # others hold no asked word
+                            first[p] = min(q, p)
+                there = np.ones(shard.n, bool) if allowed is None else np.isin(np.arange(shard.n), allowed)
+                for i, codes in enumerate(self.codes):
+                    places, tf, times = shard.met(codes, self.times[i])
+                    tf, times, places = (x[there[places]] for x in (tf, times, places))
+                    seen = np.unique(first[places])
+                    if len(places):
+                        out.append((self.ids[i], int(np.trunc(tf * times).sum()), int((seen >= 0).sum())))
+                return out
             for i, codes in enumerate(self.codes):
                 own = self.own[i][1] if self.own[i][0] == number else None
                 places, scores = shard.best(codes, self.w[i], self.times[i], float(self.top[i].min()), k, allowed, own)

@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 
-from quernel.operators import governance, postings
+from quernel.operators import bm25, governance, postings
 from quernel.streaming import stateful
 
 
@@ -98,3 +98,36 @@ def test_tasks_of_an_index_follow_its_shards(spark, tmp_path, monkeypatch):
     assert {r.token: r.df for r in index.terms.collect()} == {"w": 400} | {f"x{i}": 8 for i in range(50)}
     for shard in index.blocks.groupBy("shard").agg(F.collect_list("token").alias("t")).collect():
         assert len(set(shard.t)) == len(shard.t)
+
+
+def test_touched_sections_are_counted_in_their_shard(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(postings.in_shards, "__defaults__", (0, 16))
+    monkeypatch.setattr(postings, "LANE", 2)
+    rng = random.Random(11)
+    rows = [(None if i % 10 == 3 else f"s{i // 3 if i % 4 == 0 else i}", i, [f"w{int(rng.paretovariate(0.8)) % 40}" for _ in range(i % 9)]) for i in range(150)]
+    df = spark.createDataFrame(rows, "id string, seq long, tokens array<string>")
+    asked = spark.createDataFrame([(q, f"w{rng.randrange(40)}", rng.randint(1, 3)) for q in range(12) for _ in range(3)] + [(99, "absent", 1)], "query_id int, token string, times long").groupBy("query_id", "token").agg(F.max("times").alias("times"))
+
+    def want(left):
+        asks = asked.collect()
+        met = [(a.query_id, i, t.count(a.token) * a.times) for a in asks for i, _, t in left if a.token in t]
+        return sorted((q, sum(n for p, _, n in met if p == q), len({i for p, i, _ in met if p == q} - {None})) for q in {p for p, _, _ in met})
+
+    index = postings.Index.build(df, str(tmp_path / "a"))
+    found = index.touched(asked)
+    assert sorted(map(tuple, found.collect())) == want(rows)
+    assert "Generate" not in found._jdf.queryExecution().optimizedPlan().toString().split("MapInArrow")[0]  # no row for each posting is exchanged
+    gone = [r for r in rows if r[0] is None or int(r[0][1:]) % 5]
+    fewer = index.update(df.limit(0), df.where("CAST(substring(id, 2) AS INT) % 5 = 0"), str(tmp_path / "b"))
+    assert sorted(map(tuple, fewer.touched(asked).collect())) == want(gone)
+
+
+def test_tasks_of_a_search_follow_its_cells(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(postings.in_shards, "__defaults__", (0, 8))
+    monkeypatch.setattr(postings, "LANE", 1)
+    rows = spark.range(400).select(F.col("id"), F.col("id").alias("seq"), F.array(F.lit("w"), F.concat(F.lit("x"), F.col("id") % 50)).alias("tokens"))
+    index = postings.Index.build(rows, str(tmp_path / "i"))
+    met = index._met(bm25.ask(spark.createDataFrame([(1, "w x3"), (2, "x4")], "query_id int, text string")), None, None)
+    lanes = met.where("shard >= 0").groupBy(F.spark_partition_id()).agg(F.countDistinct("lane").alias("n")).collect()
+    assert met.rdd.getNumPartitions() == 50 and max(r.n for r in lanes) < 8
+    assert {r.id for r in index.search(spark.createDataFrame([(1, "x3")], "query_id int, text string"), 20).collect()} == {3 + 50 * i for i in range(8)}
