@@ -3,10 +3,12 @@
 import random
 
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 
-from quernel.operators import bm25, governance, postings
+from quernel.operators import alike, bm25, governance, postings
+from quernel.operators.postings import Index
 from quernel.streaming import stateful
 
 
@@ -26,6 +28,33 @@ def test_shared_source_pairs_are_dealt_in_blocks_and_stand_once(spark, monkeypat
     assert "Aggregate" not in above  # no exchange of the pairs themselves
 
 
+@pytest.mark.parametrize(("block", "shared"), [(8, 0.0), (8, 0.05), (16, 1.0), (2048, 0.0022)])
+def test_neighbours_are_whole_and_exchange_no_query_by_lane(spark, tmp_path, monkeypatch, block, shared):
+    """Blocks of pages against all pairs: copies, ties, pages without words, long pages; matrices alone, postings alone and both."""
+    for name, value in (("BLOCK", block), ("SORTED", 4 * block), ("POSTINGS", 40 * block), ("SHARED", shared), ("AT_ONCE", 5), ("COLUMNS", 9)):
+        monkeypatch.setattr(alike, name, value, raising=False)
+    rng = random.Random(5)
+    words = [f"{kind}{i}" for kind in "xyz" for i in range(60)]
+    text = lambda kind, n: rng.choices(words[kind * 60 : kind * 60 + 60], [1 / (i + 1) for i in range(60)], k=n)
+    rows = [(f"p{i}", f"p{i}", text(i % 3, rng.choice([0, 1, 5, 30, 200]))) for i in range(150)]
+    rows += [(f"c{i}", f"c{i}", rows[7][2][: 5 + i // 10]) for i in range(30)] + [(f"t{i}", f"t{i}", ["x1", "y1", "one"]) for i in range(20)]
+    rows += [("null", "null", None), ("alone", "alone", ["only", "here"])]
+    sections = spark.createDataFrame(rows, "id string, seq string, tokens array<string>").repartition(3)
+    asked = sections.select(F.col("id").alias("query_id"), F.explode("tokens").alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("times"))
+    known = sections.withColumn("tokens", F.coalesce("tokens", F.array().cast("array<string>")))
+    hits = lambda df: sorted((r.query_id, r.rank, r.id, round(r.score, 8)) for r in df.collect())
+    want = hits(bm25.top_k(bm25.scores(asked, known).where("query_id <> id AND score >= 1.0"), 3))
+    index = Index.build(sections, str(tmp_path / "i"))
+    found = index.neighbours(3, 1.0)
+    assert hits(found) == want and len(want) > 400
+    assert "RepartitionByExpression" not in found._jdf.queryExecution().optimizedPlan().toString()
+    if block == 8:
+        pages = sections.select(F.col("id").alias("slug"), F.lit("concepts").alias("dir"), F.array_join("tokens", " ").alias("body"))
+        assert hits(governance.page_neighbours(pages, 3, 1.0)) == hits(governance.page_index(pages).neighbours(3, 1.0))
+        twice = sections.union(sections.where("id = 'p3'"))  # ids that are there twice ask together, as they did
+        assert {r[0] for r in hits(Index.build(twice, str(tmp_path / "j")).neighbours(3, 1.0))} == {r[0] for r in want}
+
+
 class Held:
     """A handle of states that counts what is asked of it."""
 
