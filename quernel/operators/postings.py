@@ -191,12 +191,25 @@ class Index:
         """(query_id, matches, touched) for asked(query_id, token, times): how often a query's tokens meet those of the sections, and in how many
         distinct ids. Counted in each shard, which holds all sections of an id; only the counts of a query and a shard leave a task."""
         kind = asked.schema["query_id"].dataType
-        twins = self.live().groupBy("shard", "id").agg(F.array_sort(F.collect_list("place")).alias("places")).where("id IS NULL OR size(places) > 1")
-        # sections of one id stand for their first, those without an id for none
-        twins = twins.select("shard", "places", F.transform("places", lambda p: F.when(F.col("id").isNull(), -1).otherwise(F.get("places", F.lit(0)))).alias("len"), F.lit(3).alias("step"))
-        counts = self._met(asked, more=twins).mapInArrow(searcher(0, 0.0, None, self.gone is not None, kind, True), f"query_id {kind.simpleString()}, matches long, touched long")
+        counts = self._met(asked, more=self._twins(False)).mapInArrow(searcher(0, 0.0, None, self.gone is not None, kind, True), f"query_id {kind.simpleString()}, matches long, touched long")
         return counts.groupBy("query_id").agg(F.sum("matches").alias("matches"), F.sum("touched").alias("touched"))
 
+    def swept(self, asked: DataFrame, weights: tuple[float, ...]) -> DataFrame:
+        """(weight, best, mean) for asked(query_id, token, times): the highest and the mean score of all queries and the ids that they touch, with each of
+        ``weights`` in turn as the factor of how often a section has a token. Scores are summed in each shard, which holds all sections of an id;
+        a shard's peaks and sums alone leave a task."""
+        stats = self.stats.first()
+        average = stats.total_len / stats.n if stats.n else 0.0
+        run = searcher(0, average, None, self.gone is not None, asked.schema["query_id"].dataType, sweep=tuple(map(float, weights)))
+        sums = self._met(asked, more=self._twins(True)).mapInArrow(run, "weight double, best double, total double, n long")
+        return sums.groupBy("weight").agg(F.max("best").alias("best"), (F.sum("total") / F.sum("n")).alias("mean"))
+
+    def _twins(self, none: bool) -> DataFrame:
+        """Places of a shard whose sections share an id, each with the first of them; sections without an id are one with ``none``, else they stand for no place."""
+        twins = self.live().groupBy("shard", "id").agg(F.array_sort(F.collect_list("place")).alias("places")).where("id IS NULL OR size(places) > 1")
+        first = F.transform("places", lambda p: F.when(F.col("id").isNull() & F.lit(not none), -1).otherwise(F.get("places", F.lit(0))))
+        return twins.select("shard", "places", first.alias("len"), F.lit(3).alias("step"))
+
     def _met(self, asked: DataFrame, keep: Column | None = None, own: DataFrame | None = None, more: DataFrame | None = None) -> DataFrame:
         """Queries, the blocks of their words and masks, dealt and sorted as ``searcher`` reads them; ``more`` are further rows of shards."""
         weighed = asked.join(self.idf(), "token").select("query_id", "token", "times", (F.col("times") * F.col("idf")).alias("w"))
@@ -270,13 +283,13 @@ class Shard:
         which = np.repeat(np.arange(len(codes)), n)
         return self.by_code[np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())], which
 
-    def met(self, codes: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of every posting of the query's tokens in a body: place, weight and how often the query has the token."""
+    def met(self, codes: np.ndarray, factor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Every posting of the query's tokens in a body, and the factor of its token."""
         lists, which = self.lists_of(codes)
         lists, which = lists[self.kind[lists] == BODY], which[self.kind[lists] == BODY]
         size = self.size[lists]
         at = np.repeat(self.start[lists] - (np.cumsum(size) - size), size) + np.arange(size.sum())
-        return self.places[at], self.weight[at], np.repeat(times[which], size)
+        return at, np.repeat(factor[which], size)
 
     def add(self, total: np.ndarray, lists: np.ndarray, factor: np.ndarray) -> None:
         size = self.size[lists]
@@ -318,8 +331,8 @@ class Shard:
         return alive, total[alive]
 
 
-def searcher(k: int, average: float, least: float | None, masked: bool, query_type, count: bool = False):
-    """The task of ``Index.best``: queries of a lane come first, then one shard after the other, its blocks before its mask. With ``count`` that of ``Index.touched``."""
+def searcher(k: int, average: float, least: float | None, masked: bool, query_type, count: bool = False, sweep: tuple[float, ...] = ()):
+    """The task of ``Index.best``: queries of a lane come first, then one shard after the other, its blocks before its mask. With ``count`` that of ``Index.touched``, with ``sweep`` that of ``Index.swept``."""
     from pyspark.sql.pandas.types import to_arrow_type
 
     arrow_type = to_arrow_type(query_type)
@@ -336,6 +349,8 @@ def searcher(k: int, average: float, least: float | None, masked: bool, query_ty
                 held = queries.ask(part)
                 if held and count:
                     yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*held), (arrow_type, pa.int64(), pa.int64()))], ["query_id", "matches", "touched"])
+                elif held and sweep:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*held), (pa.float64(), pa.float64(), pa.float64(), pa.int64()))], ["weight", "best", "total", "n"])
                 elif held:
                     yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*held), (arrow_type, pa.int32(), pa.int32(), pa.float64()))], ["query_id", "shard", "place", "score"])
 
@@ -372,7 +387,7 @@ def searcher(k: int, average: float, least: float | None, masked: bool, query_ty
             allowed = None
             if masked:
                 allowed = part.filter(pa.array(step == 2)).column("places").combine_chunks().flatten().to_numpy(zero_copy_only=False)
-            twins = part.filter(pa.array(step == 3)) if count else None
+            twins = part.filter(pa.array(step == 3)) if count or sweep else None
             part = part.filter(pa.array(step == 1))
             if not part.num_rows:
                 return []
@@ -383,21 +398,36 @@ def searcher(k: int, average: float, least: float | None, masked: bool, query_ty
             kind = part.column("kind").to_numpy()
             split = lambda c: np.split(part.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False), np.cumsum(part.column("places").combine_chunks().value_lengths().to_numpy(zero_copy_only=False))[:-1])
             norm = (lambda n: 1 - bm25.B + bm25.B * n / average) if average > 0 else (lambda n: np.ones(len(n)))
-            weigh = lambda tf, n: tf if count else tf * (bm25.K1 + 1) / (tf + bm25.K1 * norm(n))
+            weigh = lambda tf, n: tf if count or sweep else tf * (bm25.K1 + 1) / (tf + bm25.K1 * norm(n))
             weight = [np.ones(len(t)) if h == HEADING else weigh(t, n) for t, n, h in zip(split("tf"), split("len"), kind)]
             bound = np.where(kind == HEADING, 1.0, weigh(part.column("most").to_numpy(), part.column("shortest").to_numpy()))
             shard = Shard(code, kind, split("places"), weight, bound, len(self.code))
             out = []
-            if count:
+            if count or sweep:
                 first = np.arange(shard.n)
                 for places, firsts in zip(twins.column("places").to_pylist(), twins.column("len").to_pylist()):
                     for p, q in zip(places, firsts):
                         if p < shard.n:  # others hold no asked word
                             first[p] = min(q, p)
                 there = np.ones(shard.n, bool) if allowed is None else np.isin(np.arange(shard.n), allowed)
+            if sweep:
+                length = np.concatenate(split("len"))
+                parts = [w * shard.weight * (bm25.K1 + 1) / (w * shard.weight + bm25.K1 * norm(length)) for w in sweep]
+                best, total, n = np.full(len(sweep), -np.inf), np.zeros(len(sweep)), 0
+                for i, codes in enumerate(self.codes):
+                    at, w = shard.met(codes, self.w[i])
+                    at, w = (x[there[shard.places[at]]] for x in (at, w))
+                    if len(at):
+                        to = first[shard.places[at]]
+                        seen = np.unique(to)
+                        sums = np.stack([np.bincount(to, part[at] * w)[seen] for part in parts])
+                        best, total, n = np.maximum(best, sums.max(axis=1)), total + sums.sum(axis=1), n + len(seen)
+                return [(w, float(b), float(t), n) for w, b, t in zip(sweep, best, total)] if n else []
+            if count:
                 for i, codes in enumerate(self.codes):
-                    places, tf, times = shard.met(codes, self.times[i])
-                    tf, times, places = (x[there[places]] for x in (tf, times, places))
+                    at, times = shard.met(codes, self.times[i])
+                    at, times = (x[there[shard.places[at]]] for x in (at, times))
+                    places, tf = shard.places[at], shard.weight[at]
                     seen = np.unique(first[places])
                     if len(places):
                         out.append((self.ids[i], int(np.trunc(tf * times).sum()), int((seen >= 0).sum())))

@@ -249,14 +249,7 @@ def j_28_citation_priority(spark, d):
 @query(f"""WITH {STATS}, q AS (SELECT item_id AS query_id, unnest({tokens_sql('text')}) AS token FROM benchmark), tf AS (SELECT id, len, token, count(*) AS tf FROM post GROUP BY 1, 2, 3), w(weight) AS (VALUES (CAST(0.1 AS DOUBLE)), (0.3), (1.0)),
 sc AS (SELECT weight, query_id, id, sum(ln((n - df + 0.5) / (df + 0.5) + 1) * (weight * tf) * 2.5 / (weight * tf + 1.5 * (0.25 + 0.75 * len / avg_len))) AS s FROM q JOIN tf USING (token) JOIN df USING (token) CROSS JOIN st CROSS JOIN w GROUP BY 1, 2, 3) SELECT weight, max(s) AS best, avg(s) AS mean FROM sc GROUP BY 1""")
 def a_21_question_weight_sweep(spark, d):
-    index, asked = index_of(spark, d), bm25.sized(bm25.ask(asks(spark, d)))
-    posts, average = index.postings(asked.select("token").distinct()), F.broadcast(index.stats.select((F.col("total_len") / F.col("n")).alias("avg_len")))
-    idf = index.idf().crossJoin(average)
-    part = lambda w: F.col("idf") * (w * F.col("tf")) * 2.5 / (w * F.col("tf") + 1.5 * (0.25 + 0.75 * F.col("len") / F.col("avg_len"))) * F.col("times")
-    weights = (0.1, 0.3, 1.0)  # the sums of all weights go in one row
-    sums = posts.join(idf, "token").join(asked, "token").groupBy("query_id", "id").agg(*(F.sum(part(w)).alias(f"s{i}") for i, w in enumerate(weights)))
-    scored = sums.select(F.explode(F.array(*(F.struct(F.lit(w).alias("weight"), F.col(f"s{i}").alias("s")) for i, w in enumerate(weights)))).alias("x")).select("x.*")
-    return scored.groupBy("weight").agg(F.max("s").alias("best"), F.avg("s").alias("mean"))
+    return index_of(spark, d).swept(bm25.ask(asks(spark, d)), (0.1, 0.3, 1.0))
 
 
 @query("SELECT event_type, coalesce(max(value), 0) AS peak, count(*) AS requests, count(*) FILTER (value < 10) / CAST(count(*) AS DOUBLE) AS error_rate FROM events GROUP BY 1")

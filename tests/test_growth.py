@@ -1,5 +1,6 @@
 """What a task holds and what is exchanged, where it once grew faster than the input."""
 
+import math
 import random
 
 import pandas as pd
@@ -9,6 +10,7 @@ from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValu
 
 from quernel.operators import alike, bm25, governance, postings
 from quernel.operators.postings import Index
+from quernel.plans.registry import QUERIES
 from quernel.streaming import stateful
 
 
@@ -160,3 +162,35 @@ def test_tasks_of_a_search_follow_its_cells(spark, tmp_path, monkeypatch):
     lanes = met.where("shard >= 0").groupBy(F.spark_partition_id()).agg(F.countDistinct("lane").alias("n")).collect()
     assert met.rdd.getNumPartitions() == 50 and max(r.n for r in lanes) < 8
     assert {r.id for r in index.search(spark.createDataFrame([(1, "x3")], "query_id int, text string"), 20).collect()} == {3 + 50 * i for i in range(8)}
+
+
+def test_a_sweep_of_weights_is_summed_in_the_shards(spark, sf, tmp_path, monkeypatch):
+    """Repeated ids, sections without one, sections that are gone; only sums leave a task, no row for a posting or for a query and a section."""
+    found = QUERIES["a_21_question_weight_sweep"](spark, sf)._jdf.queryExecution().optimizedPlan().toString().split("MapInArrow")[0]
+    assert "Aggregate" in found and not {"Join", "Generate"} & set(found.replace("(", " ").split())
+    monkeypatch.setattr(postings.in_shards, "__defaults__", (0, 16))
+    monkeypatch.setattr(postings, "LANE", 2)
+    rng = random.Random(12)
+    rows = [(None if i % 10 == 3 else f"s{i // 3 if i % 4 == 0 else i}", i, [f"w{int(rng.paretovariate(0.8)) % 40}" for _ in range(i % 9)]) for i in range(150)]
+    df = spark.createDataFrame(rows, "id string, seq long, tokens array<string>")
+    asked = spark.createDataFrame([(q, f"w{rng.randrange(40)}", rng.randint(1, 3)) for q in range(12) for _ in range(3)] + [(99, "absent", 1)], "query_id int, token string, times long").groupBy("query_id", "token").agg(F.max("times").alias("times"))
+
+    def want(left):
+        asks, average = asked.collect(), sum(len(t) for _, _, t in left) / len(left)
+        idf = lambda w: math.log((len(left) - (n := sum(w in t for _, _, t in left)) + 0.5) / (n + 0.5) + 1)
+        out = []
+        for weight in (0.2, 1.0):
+            sums = {}
+            for a in asks:
+                for i, _, t in left:
+                    if n := weight * t.count(a.token):
+                        sums[a.query_id, i] = sums.get((a.query_id, i), 0) + a.times * idf(a.token) * n * 2.5 / (n + 1.5 * (0.25 + 0.75 * len(t) / average))
+            out.append((weight, pytest.approx(max(sums.values())), pytest.approx(sum(sums.values()) / len(sums))))
+        return out
+
+    index = postings.Index.build(df, str(tmp_path / "a"))
+    assert sorted(map(tuple, index.swept(asked, (0.2, 1.0)).collect())) == want(rows)
+    gone = [r for r in rows if r[0] is None or int(r[0][1:]) % 5]
+    fewer = index.update(df.limit(0), df.where("CAST(substring(id, 2) AS INT) % 5 = 0"), str(tmp_path / "b"))
+    assert sorted(map(tuple, fewer.swept(asked, (0.2, 1.0)).collect())) == want(gone)
+    assert fewer.swept(asked.where("query_id = 99"), (0.2, 1.0)).collect() == []
