@@ -29,6 +29,8 @@ SHARED, COLUMNS = 0.0022, 2048
 AT_ONCE = 128
 #: Stored blocks of a file, about; parts that the answers are read in: a task goes through one of them, and what it has seen is the bar for the rest.
 WRITTEN, PARTS = 2, 4
+#: Queries of ``nearest_of``, at most.
+MANY = 1 << 15
 
 
 def nearest(sections: DataFrame, k: int = 3, least: float = 1.0) -> DataFrame:
@@ -51,6 +53,25 @@ def nearest(sections: DataFrame, k: int = 3, least: float = 1.0) -> DataFrame:
     return bm25.top_k(found, k).select("query_id", "id", "rank", "score")
 
 
+def nearest_of(queries: DataFrame, sections: DataFrame, frequencies: DataFrame, n: int, average: float, k: int = 3, least: float = 1.0) -> DataFrame:
+    """The rows of ``nearest`` for some of its sections, ``queries``, which are few (``MANY`` at most). The others are packed and compared as they are read:
+    nothing of them is stored, and the best of each query alone leave a task. ``frequencies`` (word, df) has the hashes of the queries' tokens,
+    ``n`` and ``average`` are the number of ``sections`` and their mean length."""
+    spark = sections.sparkSession
+    path = scratch(spark)
+    packed(queries.repartition(1)).write.parquet(f"{path}/packed")
+    raw = spark.read.parquet(f"{path}/packed")
+    each = raw.select("block", F.posexplode("words").alias("pos", "token")).select("block", "pos", F.xxhash64("token").alias("word"))
+    known = each.join(bm25.sized(frequencies), "word").groupBy("block").agg(F.array_sort(F.collect_list(F.struct("pos", "df"))).alias("known"))
+    asking = raw.join(known, "block").withColumn("df", F.transform("known", lambda w: w["df"]))
+    asking.select(*(F.col(c).alias(f"x_{c}") for c in ("block", "ids", "sizes", "index", "tf", "words", "df"))).write.parquet(f"{path}/asking")
+    x = spark.read.parquet(f"{path}/asking").coalesce(1)  # the sections are read once
+    y = packed(sections).select(*(F.col(c).alias(f"y_{c}") for c in ("block", "ids", "seqs", "lens", "sizes", "index", "tf", "words")))
+    kinds = {c: sections.schema[c].dataType.simpleString() for c in ("id", "seq")}
+    found = y.crossJoin(x).mapInArrow(comparer(k, least, (n, average)), f"query_id {kinds['id']}, id {kinds['id']}, seq {kinds['seq']}, score double")
+    return bm25.top_k(found, k).select("query_id", "id", "rank", "score")
+
+
 def distinct_ids(sections: DataFrame) -> bool:
     return sections.where("id IS NOT NULL").groupBy("id").count().where("count > 1").isEmpty()
 
@@ -243,8 +264,9 @@ def equal(a: pa.Array, b: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(np.arange(len(a)), size), order[np.repeat(lo - (np.cumsum(size) - size), size) + np.arange(size.sum())]
 
 
-def comparer(k: int, least: float):
-    """The task of ``nearest``: rows are pairs of blocks. The best of each query so far are the bar for what comes."""
+def comparer(k: int, least: float, stats: tuple[int, float] | None = None):
+    """The task of ``nearest``: rows are pairs of blocks. The best of each query so far are the bar for what comes. With ``stats``, the number of
+    sections and their mean length, that of ``nearest_of``: tokens have the numbers that the block of queries gives them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: dict[int, pa.Table] = {}
@@ -254,10 +276,10 @@ def comparer(k: int, least: float):
         for batch in batches:
             for i in range(batch.num_rows):
                 number = batch.column("y_block")[i].as_py()
-                if number != held:
+                if stats is None and number != held:
                     held, y = number, answers(batch, i)
                 at = batch.column("x_block")[i].as_py()
-                x = queries(batch, i)
+                x, y = (queries(batch, i), y) if stats is None else (queries_of(batch, i, *stats), answers_to(batch, i, stats[1]))
                 if at not in bars:
                     bars[at], names[at] = np.full(x.n, least), x.ids
                 found = []
@@ -296,6 +318,25 @@ def comparer(k: int, least: float):
         out.by_token()
         return out
 
+    def queries_of(batch: pa.RecordBatch, i: int, n: int, average: float) -> Block:
+        sizes, index, tf = (numbers(batch, f"x_{c}", i, np.int32) for c in ("sizes", "index", "tf"))
+        df = batch.column("x_df")[i].values.to_numpy()
+        return Block(batch.column("x_ids")[i].values, sizes, np.arange(len(df)), index, tf * np.log((n - df + 0.5) / (df + 0.5) + 1)[index])
+
+    def answers_to(batch: pa.RecordBatch, i: int, average: float) -> Block:
+        sizes, index, tf, lens = (numbers(batch, f"y_{c}", i, np.int32) for c in ("sizes", "index", "tf", "lens"))
+        to = pc.fill_null(pc.index_in(batch.column("y_words")[i].values, value_set=batch.column("x_words")[i].values), -1).to_numpy(zero_copy_only=False)
+        row, code = np.repeat(np.arange(len(sizes)), sizes), to[index]
+        kept = np.flatnonzero(code >= 0)
+        kept = kept[np.lexsort((code[kept], row[kept]))]  # sums go in the order of the tokens' numbers, whatever block it is
+        row, tf = row[kept], tf[kept]
+        codes, index = np.unique(code[kept], return_inverse=True)
+        norm = 1 - bm25.B + bm25.B * lens / average if average > 0 else np.ones(len(lens))
+        out = Block(batch.column("y_ids")[i].values, np.bincount(row, minlength=len(sizes)), codes, index, tf * (bm25.K1 + 1) / (tf + bm25.K1 * norm[row]))
+        out.seqs = batch.column("y_seqs")[i].values
+        out.by_token()
+        return out
+
     def numbers(batch: pa.RecordBatch, column: str, i: int, kind: type) -> np.ndarray:
         return np.frombuffer(batch.column(column)[i].as_buffer(), kind)
 

@@ -219,12 +219,12 @@ LEAST_BOUND = 0.6
 
 
 def page_sets(pages: DataFrame, spark: SparkSession) -> DataFrame:
-    """(slug, files, n, key, words), written once: the files that a page cites and the hashes of its distinct words, ascending."""
-    words = F.array_sort(F.transform(F.array_distinct(tokenize("body")), lambda t: F.xxhash64(t)))
+    """(slug, dir, files, len, n, key, words), written once: the files that a page cites, the number of its words and the hashes of its distinct ones, ascending."""
+    words = F.array_sort(F.transform(F.array_distinct("tokens"), lambda t: F.xxhash64(t)))
     files = F.array_distinct(F.transform("sources", lambda r: F.element_at(F.split(r, "#"), 1)))
-    rows = pages.select("slug", "dir", files.alias("files"), F.coalesce(words, F.array().cast("array<bigint>")).alias("words"))
+    rows = pages.withColumn("tokens", tokenize("body")).select("slug", "dir", files.alias("files"), F.coalesce(F.size("tokens"), F.lit(0)).alias("len"), F.coalesce(words, F.array().cast("array<bigint>")).alias("words"))
     path = scratch(spark)
-    rows.select("slug", "dir", "files", F.size("words").alias("n"), F.struct(F.xxhash64("words").alias("k"), F.hash("words").alias("l"), F.size("words").alias("n")).alias("key"), "words").write.parquet(path)
+    rows.select("slug", "dir", "files", F.greatest("len", F.lit(0)).alias("len"), F.size("words").alias("n"), F.struct(F.xxhash64("words").alias("k"), F.hash("words").alias("l"), F.size("words").alias("n")).alias("key"), "words").write.parquet(path)
     return spark.read.parquet(path)
 
 
@@ -247,7 +247,10 @@ def pairs_from(sets: DataFrame, group: str, bound: float, frequent: list[int]) -
     others = heads.withColumn("kind", F.explode(F.array(F.col("kind") - 1, F.col("kind"), F.col("kind") + 1)))
     room = F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at")) >= (F.col("x.n") + F.col("y.n")) * (bound / (1 + bound)) - 1e-6
     met = heads.alias("x").join(others.alias("y"), [group, "word", "kind"]).where((F.col("x.slug") < F.col("y.slug")) & room).select(F.col("x.slug").alias("a"), F.col("y.slug").alias("b")).distinct()
-    own = sets.select("slug", "words").dropDuplicates(["slug"])
+    path = scratch(sets.sparkSession)
+    met.write.parquet(path)
+    met = sets.sparkSession.read.parquet(path)
+    own = sets.select("slug", "words").join(sized(met.select(F.explode(F.array("a", "b")).alias("slug")).distinct()), "slug", "left_semi").dropDuplicates(["slug"])
     whole = met.join(own.select(F.col("slug").alias("a"), F.col("words").alias("x")), "a").join(own.select(F.col("slug").alias("b"), F.col("words").alias("y")), "b")
     return whole.select("a", "b", shared_words(F.col("x"), F.col("y")).alias("similarity")).where(F.col("similarity") >= bound - 1e-9)
 
@@ -276,7 +279,7 @@ def frequent_words(sets: DataFrame) -> list[int]:
     return [r.word for r in counts.collect()][::-1]
 
 
-def most_alike(pages: DataFrame, cap: int, sets: DataFrame | None = None) -> DataFrame:
+def most_alike(pages: DataFrame, cap: int, sets: DataFrame | None = None, frequent: list[int] | None = None) -> DataFrame:
     """(a, b, similarity): the ``cap`` most alike pairs of pages that cite a common source, ties by slugs.
 
     Pairs tried first give a bound that the last of them reaches; a join on rare words finds every pair that reaches it. Of the
@@ -286,17 +289,18 @@ def most_alike(pages: DataFrame, cap: int, sets: DataFrame | None = None) -> Dat
     best = lambda rows: rows.distinct().orderBy(F.col("similarity").desc(), "a", "b").limit(cap)
     sets = page_sets(pages, pages.sparkSession) if sets is None else sets
     own = sets.where(F.col("dir").isin("entities", "concepts")).select(F.explode("files").alias("source"), "slug", "n", "key", "words")
-    own = own.withColumn("place", F.row_number().over(Window.partitionBy("source", "key").orderBy("slug"))).where(F.col("place") <= cap + 1)
+    # the words stay where they are: places are given without them, and those beyond the cap are taken out
+    place = F.row_number().over(Window.partitionBy("source", "key").orderBy("slug"))
     path = scratch(pages.sparkSession)
-    own.write.parquet(path)
-    own = pages.sparkSession.read.parquet(path)
+    own.select("source", "key", "slug").distinct().withColumn("place", place).where(F.col("place") > cap + 1).drop("place").write.parquet(path)
+    own = own.join(sized(pages.sparkSession.read.parquet(path)), ["source", "key", "slug"], "left_anti").select("source", "slug", "n", "key", "words")
     bound = alike_bound(own, cap)
     if bound < LEAST_BOUND:
         return best(alike_in_source(pages, cap))
     if bound == 1.0:
         x, y = own.where("n > 0").select("source", "key", "slug").alias("x"), own.select("source", "key", "slug").alias("y")
         return best(x.join(y, ["source", "key"]).where("x.slug < y.slug").select(F.col("x.slug").alias("a"), F.col("y.slug").alias("b"), F.lit(1.0).alias("similarity")))
-    return best(pairs_from(own, "source", bound, frequent_words(sets)))
+    return best(pairs_from(own, "source", bound, frequent_words(sets) if frequent is None else frequent))
 
 
 def contradictions(pages: DataFrame, cap: int = 30) -> DataFrame:
@@ -306,7 +310,8 @@ def contradictions(pages: DataFrame, cap: int = 30) -> DataFrame:
     """
     spark = pages.sparkSession
     sets = page_sets(pages, spark)
-    found = most_alike(pages, cap, sets).collect()  # cap at most
+    frequent = frequent_words(sets)
+    found = most_alike(pages, cap, sets, frequent).collect()  # cap at most
     shared = spark.createDataFrame([(r.a, r.b) for r in found], "a string, b string")
     if len(found) < cap or found[-1].similarity < LEAST_BOUND:
         return ranked_pairs(shared.union(neighbour_pairs(pages)).distinct(), pages, cap)
@@ -316,7 +321,7 @@ def contradictions(pages: DataFrame, cap: int = 30) -> DataFrame:
         x, y = rows.where((F.col("n") > 0) & (F.col("slug") <= last.a)).select("key", "slug").alias("x"), rows.select("key", "slug").alias("y")
         before = x.join(y, "key").where("x.slug < y.slug").select(F.col("x.slug").alias("a"), F.col("y.slug").alias("b"), F.lit(1.0).alias("similarity"))
     else:
-        before = pairs_from(rows, "every", last.similarity, frequent_words(sets))
+        before = pairs_from(rows, "every", last.similarity, frequent)
     # as good as the last by rounding: room for it, exact ranks follow
     before = before.where((F.col("similarity") > last.similarity + 1e-9) | (F.struct("a", "b") <= F.struct(F.lit(last.a), F.lit(last.b)))).select("a", "b")
     path = scratch(spark)
@@ -325,12 +330,25 @@ def contradictions(pages: DataFrame, cap: int = 30) -> DataFrame:
     asking = before.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     if before.isEmpty():
         return ranked_pairs(shared, pages, cap)
-    near = page_index(pages).neighbours(3, 1.0, asking).select(F.least("query_id", "id").alias("a"), F.greatest("query_id", "id").alias("b")).distinct()
+    near = neighbours_of(asking, pages, sets).select(F.least("query_id", "id").alias("a"), F.greatest("query_id", "id").alias("b")).distinct()
     path = scratch(spark)
     before.join(near, ["a", "b"], "left_semi").write.parquet(path)
     return ranked_pairs(shared.union(spark.read.parquet(path)).distinct(), pages, cap)
 
 
+def neighbours_of(asking: DataFrame, pages: DataFrame, sets: DataFrame, k: int = 3, threshold: float = 1.0) -> DataFrame:
+    """The rows of ``page_neighbours`` for the pages of asking(id). Where they are few, pages are compared with them as they are read, without an index;
+    frequencies and lengths are those of ``page_sets``."""
+    rows = sets.where("dir <> 'qa'")
+    if asking.limit(alike.MANY + 1).count() > alike.MANY or not alike.distinct_ids(rows.select(F.col("slug").alias("id"))):
+        return page_index(pages).neighbours(k, threshold, asking)
+    named = sized(asking.select(F.col("id").alias("slug")))
+    words = sized(rows.join(named, "slug", "left_semi").select(F.explode("words").alias("word")).distinct())
+    df = rows.select(F.explode("words").alias("word")).join(words, "word", "left_semi").groupBy("word").agg(F.count("*").alias("df"))
+    stats = rows.agg(F.count("*").alias("n"), F.avg("len").alias("average")).first()
+    return alike.nearest_of(page_bodies(pages.join(named, "slug", "left_semi")), page_bodies(pages), df, stats.n, stats.average, k, threshold)
+
+
 def ranked_pairs(pairs: DataFrame, pages: DataFrame, cap: int = 30) -> DataFrame:
     """(a, b, similarity, place) of the ``cap`` most alike pairs by Jaccard similarity of body tokens; ties by slugs."""
     named = sized(pairs.select(F.explode(F.array("a", "b")).alias("slug")).distinct())

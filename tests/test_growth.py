@@ -194,3 +194,28 @@ def test_a_sweep_of_weights_is_summed_in_the_shards(spark, sf, tmp_path, monkeyp
     fewer = index.update(df.limit(0), df.where("CAST(substring(id, 2) AS INT) % 5 = 0"), str(tmp_path / "b"))
     assert sorted(map(tuple, fewer.swept(asked, (0.2, 1.0)).collect())) == want(gone)
     assert fewer.swept(asked.where("query_id = 99"), (0.2, 1.0)).collect() == []
+
+
+@pytest.mark.parametrize("block", [8, 2048])
+def test_some_pages_ask_without_an_index(spark, monkeypatch, block):
+    """A few pages against all, in blocks and at once, give the rows of all pages; the most alike pairs build no index and exchange no words of pages that are no candidates."""
+    for name, value in (("BLOCK", block), ("SORTED", 4 * block), ("POSTINGS", 40 * block)):
+        monkeypatch.setattr(alike, name, value)
+    rng = random.Random(6)
+    text = lambda n: " ".join(rng.choices([f"w{i}" for i in range(80)], [1 / (i + 1) for i in range(80)], k=n))
+    rows = [(f"p{i}", ["entities", "concepts", "qa"][i % 3], [f"s{i % 4}.md"], text(rng.choice([0, 2, 30, 60]))) for i in range(120)]
+    rows += [(f"c{i}", "concepts", [f"t{i}.md"], rows[46][3]) for i in range(6)] + [(f"d{i}", "concepts", ["s1.md"], rows[70][3] + " one" * (i % 2)) for i in range(40)] + [("null", "entities", ["s2.md"], None)]
+    pages = spark.createDataFrame(rows, "slug string, dir string, sources array<string>, body string").repartition(3)
+    sets = governance.page_sets(pages, spark)
+    asking = spark.createDataFrame([(r[0],) for r in rows[::7]] + [("c3",), ("null",), ("none",)], "id string")
+    hits = lambda df: sorted((r.query_id, r.rank, r.id, round(r.score, 8)) for r in df.collect())
+    names = {r.id for r in asking.collect()}
+    every = governance.page_neighbours(pages).collect()
+    want = sorted((r.query_id, r.rank, r.id, round(r.score, 8)) for r in every if r.query_id in names)
+    if block == 8:  # ids that are there twice go by the index, as they did
+        twice = pages.union(pages.where("slug = 'p7'"))
+        assert {r[0] for r in hits(governance.neighbours_of(asking, twice, governance.page_sets(twice, spark)))} == {r[0] for r in want}
+    pairs = governance.ranked_pairs(governance.contradiction_pairs(pages), pages).orderBy("place").collect()
+    monkeypatch.setattr(governance, "page_index", None)
+    assert hits(governance.neighbours_of(asking, pages, sets)) == want and len(want) > 30
+    assert governance.contradictions(pages).orderBy("place").collect() == pairs
