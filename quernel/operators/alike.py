@@ -30,7 +30,7 @@ AT_ONCE = 128
 #: Stored blocks of a file, about; parts that the answers are read in: a task goes through one of them, and what it has seen is the bar for the rest.
 WRITTEN, PARTS = 2, 4
 #: Queries of ``nearest_of``, at most.
-MANY = 1 << 15
+MANY = 1 << 12
 
 
 def nearest(sections: DataFrame, k: int = 3, least: float = 1.0) -> DataFrame:
@@ -54,21 +54,24 @@ def nearest(sections: DataFrame, k: int = 3, least: float = 1.0) -> DataFrame:
 
 
 def nearest_of(queries: DataFrame, sections: DataFrame, frequencies: DataFrame, n: int, average: float, k: int = 3, least: float = 1.0) -> DataFrame:
-    """The rows of ``nearest`` for some of its sections, ``queries``, which are few (``MANY`` at most). The others are packed and compared as they are read:
-    nothing of them is stored, and the best of each query alone leave a task. ``frequencies`` (word, df) has the hashes of the queries' tokens,
+    """The rows of ``nearest`` for some of its sections, ``queries``, which are few (``MANY`` at most) and go to every task. The others are packed and compared
+    as they are read: nothing of them is stored, and the best of each query alone leave a task. ``frequencies`` (word, df) has the hashes of the queries' tokens,
     ``n`` and ``average`` are the number of ``sections`` and their mean length."""
-    spark = sections.sparkSession
-    path = scratch(spark)
-    packed(queries.repartition(1)).write.parquet(f"{path}/packed")
-    raw = spark.read.parquet(f"{path}/packed")
+    path = scratch(sections.sparkSession)
+    packed(queries.repartition(1)).write.parquet(path)
+    raw = sections.sparkSession.read.parquet(path)
     each = raw.select("block", F.posexplode("words").alias("pos", "token")).select("block", "pos", F.xxhash64("token").alias("word"))
     known = each.join(bm25.sized(frequencies), "word").groupBy("block").agg(F.array_sort(F.collect_list(F.struct("pos", "df"))).alias("known"))
     asking = raw.join(known, "block").withColumn("df", F.transform("known", lambda w: w["df"]))
-    asking.select(*(F.col(c).alias(f"x_{c}") for c in ("block", "ids", "sizes", "index", "tf", "words", "df"))).write.parquet(f"{path}/asking")
-    x = spark.read.parquet(f"{path}/asking").coalesce(1)  # the sections are read once
-    y = packed(sections).select(*(F.col(c).alias(f"y_{c}") for c in ("block", "ids", "seqs", "lens", "sizes", "index", "tf", "words")))
+    asking = asking.select(*(F.col(c).alias(f"x_{c}") for c in ("block", "ids", "sizes", "index", "tf", "words", "df"))).toArrow()
     kinds = {c: sections.schema[c].dataType.simpleString() for c in ("id", "seq")}
-    found = y.crossJoin(x).mapInArrow(comparer(k, least, (n, average)), f"query_id {kinds['id']}, id {kinds['id']}, seq {kinds['seq']}, score double")
+    compare, pack = comparer(k, least, (n, average)), packer(BLOCK, POSTINGS, BLOCK, 16 << 20)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        xs = [asking.slice(i, 1).combine_chunks().to_batches()[0] for i in range(asking.num_rows)]
+        yield from compare(pa.RecordBatch.from_arrays([*y.columns, *x.columns], [*(f"y_{c}" for c in y.schema.names), *x.schema.names]) for y in pack(batches) for x in xs)
+
+    found = sections.select("id", "seq", "tokens").mapInArrow(run, f"query_id {kinds['id']}, id {kinds['id']}, seq {kinds['seq']}, score double")
     return bm25.top_k(found, k).select("query_id", "id", "rank", "score")
 
 
@@ -79,14 +82,20 @@ def distinct_ids(sections: DataFrame) -> bool:
 def packed(sections: DataFrame) -> DataFrame:
     """(block, ids, seqs, lens, sizes, index, tf, total_len, words, held): blocks of sections as they are read. ``words`` are a block's distinct tokens
     with the number of its sections that hold them; ``index`` and ``tf`` are those of the sections, ``sizes`` how many each has."""
-    block, postings, chunk = BLOCK, POSTINGS, SORTED
+    kinds = {c: sections.schema[c].dataType.simpleString() for c in ("id", "seq")}
+    schema = f"block long, ids array<{kinds['id']}>, seqs array<{kinds['seq']}>, lens binary, sizes binary, index binary, tf binary, total_len long, words array<string>, held array<int>"
+    return sections.select("id", "seq", "tokens").mapInArrow(packer(BLOCK, POSTINGS, SORTED, 64 << 20), schema)
+
+
+def packer(block: int, postings: int, chunk: int, room: int):
+    """The task of ``packed``: blocks of up to ``block`` sections and ``postings`` tokens, from ``chunk`` sections or ``room`` bytes at once."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, held, rows, size = TaskContext.get().partitionId() << 16, [], 0, 0
         for batch in batches:
             for lo in range(0, batch.num_rows, chunk):
                 part = batch.slice(lo, chunk)
-                if held and (rows + part.num_rows > chunk or size + part.nbytes > 64 << 20):
+                if held and (rows + part.num_rows > chunk or size + part.nbytes > room):
                     for out in cut(pa.Table.from_batches(held)):
                         yield of_block(number, *out)
                         number += 1
@@ -137,9 +146,7 @@ def packed(sections: DataFrame) -> DataFrame:
         }
         return pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
-    kinds = {c: sections.schema[c].dataType.simpleString() for c in ("id", "seq")}
-    schema = f"block long, ids array<{kinds['id']}>, seqs array<{kinds['seq']}>, lens binary, sizes binary, index binary, tf binary, total_len long, words array<string>, held array<int>"
-    return sections.select("id", "seq", "tokens").mapInArrow(pack, schema)
+    return pack
 
 
 def numbered(raw: DataFrame, n: int, average: float, blocks: int) -> DataFrame:

@@ -214,6 +214,8 @@ def alike_in_source(pages: DataFrame, cap: int) -> DataFrame:
 
 #: Words of the most pages, which come last in the order of a page's words; pairs whose estimate gives the bound of the most alike ones; words of an estimate.
 FREQUENT, TRIED, SKETCH = 1024, 500, 16
+#: Words from the other end that go with each of a set's first ones, at most.
+LAST = 8
 #: A bound below this leaves too many pairs to a join: all pairs of a source are compared in blocks instead.
 LEAST_BOUND = 0.6
 
@@ -237,16 +239,20 @@ def shared_words(x: Column, y: Column) -> Column:
 def pairs_from(sets: DataFrame, group: str, bound: float, frequent: list[int]) -> DataFrame:
     """(a, b, similarity) of the pairs of one ``group`` of sets(slug, group, n, words) whose similarity reaches the bound (above 0), each once for a group.
 
-    Words stand in one order, those of most pages last: alike sets share one of the first few. Pairs that do are compared whole.
+    Words stand in one order, those of most pages last: alike sets share one of the first few. With the rarer words turned round they share one of the first
+    few again, which is asked where it takes no more than ``LAST`` words. Pairs that do both are compared whole.
     """
     top = F.array(*map(F.lit, frequent)) if frequent else F.array().cast("array<bigint>")
-    first = F.slice(F.concat(F.array_except("words", top), F.array_intersect(top, F.col("words"))), 1, (F.col("n") - F.ceil(F.col("n") * bound - 1e-6) + 1).cast("int"))
+    few = (F.col("n") - F.ceil(F.col("n") * bound - 1e-6) + 1).cast("int")
+    sets = sets.withColumn("rare", F.array_except("words", top)).withColumn("rest", F.array_intersect(top, F.col("words")))
+    first = F.slice(F.concat("rare", "rest"), 1, few)
+    last = F.when(few <= LAST, F.slice(F.concat(F.reverse("rare"), "rest"), 1, few))
     # sizes of alike sets are in one class or in neighbouring ones; the first common word leaves room for as many as the bound asks
     kind = F.floor(F.log("n") / -math.log(bound))
-    heads = sets.where("n > 0").select(group, "slug", "n", kind.alias("kind"), F.posexplode(first).alias("at", "word"))
+    heads = sets.where("n > 0").select(group, "slug", "n", kind.alias("kind"), last.alias("last"), F.posexplode(first).alias("at", "word"))
     others = heads.withColumn("kind", F.explode(F.array(F.col("kind") - 1, F.col("kind"), F.col("kind") + 1)))
     room = F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at")) >= (F.col("x.n") + F.col("y.n")) * (bound / (1 + bound)) - 1e-6
-    met = heads.alias("x").join(others.alias("y"), [group, "word", "kind"]).where((F.col("x.slug") < F.col("y.slug")) & room).select(F.col("x.slug").alias("a"), F.col("y.slug").alias("b")).distinct()
+    met = heads.alias("x").join(others.alias("y"), [group, "word", "kind"]).where((F.col("x.slug") < F.col("y.slug")) & room & F.coalesce(F.arrays_overlap("x.last", "y.last"), F.lit(True))).select(F.col("x.slug").alias("a"), F.col("y.slug").alias("b")).distinct()
     path = scratch(sets.sparkSession)
     met.write.parquet(path)
     met = sets.sparkSession.read.parquet(path)
